@@ -32,13 +32,9 @@ def namespaces(plan: DataFrame) -> DataFrame:
     """Catalogs and schemas that must exist first; a row without schema is the catalog itself."""
     parts = F.split("full_name", "\\.")
     named = plan.where(F.size(parts) == 3).select(parts.alias("parts"))
+    catalog, schema = F.get("parts", F.lit(0)), F.get("parts", F.lit(1))
     return named.select(
-        F.inline(
-            F.array(
-                F.struct(F.get("parts", F.lit(0)).alias("catalog_name"), F.lit(None).cast("string").alias("schema_name")),
-                F.struct(F.get("parts", F.lit(0)), F.get("parts", F.lit(1))),
-            )
-        )
+        F.stack(F.lit(2), catalog, F.lit(None).cast("string"), catalog, schema).alias("catalog_name", "schema_name")
     ).distinct()
 
 

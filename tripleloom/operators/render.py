@@ -100,110 +100,102 @@ def render_rml(specs: DataFrame, schemes: DataFrame) -> DataFrame:
     and the finished texts meet again under the mapping id. A group is one
     declaration's columns, so it is as large as one input row.
     """
+    column_type = specs.schema["dataset"].dataType["columns"].dataType
     data = F.col("dataset")
     subject = data["subject_identifier"]
     opened = specs.select(
         "mapping_id",
-        (F.size(F.filter(spec_problems(), lambda item: item["severity"] == "error")) == 0).alias("sound"),
+        (F.size(spec_problems()) == 0).alias("sound"),
         strip(F.coalesce(data["name"], F.lit(""))).alias("name"),
         strip(subject["scheme"]).alias("subject_scheme"),
         strip(subject["column"]).alias("subject_column"),
         F.coalesce(first_nonempty(data["row_subject"]["rdf_class"]), F.lit(DEFAULT_CLASS)).alias("rdf_class"),
-        data["storage_location"].alias("declared_location"),
-        data["source_uri"].alias("declared_source"),
+        data["storage_location"].alias("location"),
+        data["source_uri"].alias("source"),
         F.filter(
-            F.coalesce(data["columns"], F.array().cast(specs.schema["dataset"].dataType["columns"].dataType)),
+            F.coalesce(data["columns"], F.array().cast(column_type)),
             lambda column: ~column["kind"].eqNullSafe("ignore"),
         ).alias("mapped"),
     )
+    located = opened.withColumn("location", storage_location(F.col("name"), F.col("location")))
+    sourced = located.withColumn("source", source_uri(F.col("location"), F.col("source")))
     # Item 0 stands for the mapping itself, the others for its columns.
-    headless = F.transform("mapped", lambda column, at: F.struct((at + 1).alias("pos"), column.alias("column")))
-    no_column = F.lit(None).cast(specs.schema["dataset"].dataType["columns"].dataType.elementType)
-    items = opened.select(
-        "*",
-        F.inline(
-            F.concat(F.array(F.struct(F.lit(0).alias("pos"), no_column.alias("column"))), headless)
-        ).alias("pos", "column"),
-    ).drop("mapped")
-    keyed = items.withColumn(
-        "scheme_key",
-        F.when(F.col("pos") == 0, F.col("subject_scheme")).when(
-            F.col("column.kind") == "entity_reference", F.col("column.scheme")
-        ),
-    ).withColumn("needs_scheme", (F.col("pos") == 0) | F.col("column.kind").eqNullSafe("entity_reference"))
-    known = schemes.select(F.col("scheme_id").alias("_scheme"), F.col("template").alias("scheme_template"))
+    head = F.struct(F.lit(0).alias("pos"), F.lit(None).cast(column_type.elementType).alias("column"))
+    others = F.transform("mapped", lambda column, at: F.struct((at + 1).alias("pos"), column.alias("column")))
+    items = sourced.select("*", F.inline(F.concat(F.array(head), others)).alias("pos", "column")).drop("mapped")
+
+    is_head = F.col("pos") == 0
+    column = F.col("column")
+    kind = column["kind"]
+    is_reference = kind.eqNullSafe("entity_reference")
+    declared_type = F.coalesce(first_nonempty(column["type_name"]), F.lit("STRING"))
+    given = items.select(
+        "mapping_id",
+        "pos",
+        "sound",
+        "name",
+        "location",
+        "source",
+        kind.alias("kind"),
+        (is_head | is_reference).alias("needs_scheme"),
+        F.when(is_head, F.col("subject_scheme")).when(is_reference, column["scheme"]).alias("scheme"),
+        F.when(is_head, F.col("subject_column")).otherwise(F.coalesce(column["name"], F.lit(""))).alias("field"),
+        column_annotation(column["name"], column["type_name"], column["comment"]).alias("annotation"),
+        first_nonempty(column["predicate"]).alias("predicate"),
+        # The class of a mapping, the datatype of a literal, the term of a classification.
+        F.when(is_head, F.col("rdf_class"))
+        .when(kind == "literal", F.coalesce(first_nonempty(column["datatype"]), xsd_datatype(declared_type)))
+        .otherwise(F.coalesce(column["term"], F.lit("")))
+        .alias("what"),
+    )
+    expanded = given.withColumns(
+        {"predicate": expand_curie(F.col("predicate")), "what": expand_curie(F.col("what"))}
+    )
+
+    known = schemes.select(F.col("scheme_id").alias("_scheme"), "template")
     # Items without a scheme take a key that no scheme has, spread over all partitions.
     spread = F.concat(F.lit("\u0000"), F.xxhash64("mapping_id", "pos").cast("string"))
-    found = keyed.withColumn("_key", F.coalesce("scheme_key", spread)).join(
+    found = expanded.withColumn("_key", F.coalesce("scheme", spread)).join(
         known, F.col("_key") == F.col("_scheme"), "left"
     )
 
-    column = F.col("column")
-    name = F.coalesce(column["name"], F.lit(""))
-    given = first_nonempty(column["predicate"])
-    predicate = expand_curie(given)
-    declared_type = F.coalesce(first_nonempty(column["type_name"]), F.lit("STRING"))
-    datatype = expand_curie(F.coalesce(first_nonempty(column["datatype"]), xsd_datatype(declared_type)))
+    predicate, what, field = F.col("predicate"), F.col("what"), F.col("field")
+    template = _filled_template(F.col("template"), field)
     object_map = (
         F.when(
-            column["kind"] == "literal",
-            _fill(LITERAL_LAYOUT, predicate=predicate, reference=escape_literal(name), datatype=datatype),
+            F.col("kind") == "literal",
+            _fill(LITERAL_LAYOUT, predicate=predicate, reference=escape_literal(field), datatype=what),
         )
+        .when(F.col("kind") == "entity_reference", _fill(REFERENCE_LAYOUT, predicate=predicate, template=template))
         .when(
-            column["kind"] == "entity_reference",
-            _fill(
-                REFERENCE_LAYOUT,
-                predicate=predicate,
-                template=_filled_template(F.col("scheme_template"), name),
-            ),
-        )
-        .when(
-            column["kind"] == "classification",
+            F.col("kind") == "classification",
             _fill(
                 CLASSIFICATION_LAYOUT,
                 predicate=F.coalesce(predicate, F.lit(DEFAULT_CLASSIFICATION)),
-                term=expand_curie(F.coalesce(column["term"], F.lit(""))),
+                term=what,
             ),
         )
     )
-    location = storage_location(F.col("name"), F.col("declared_location"))
-    is_head = F.col("pos") == 0
     texts = found.select(
         "mapping_id",
         "pos",
-        (F.col("sound") & ~(F.col("needs_scheme") & F.col("scheme_template").isNull())).alias("sound"),
+        (F.col("sound") & ~(F.col("needs_scheme") & F.col("template").isNull())).alias("sound"),
         F.when(
             is_head,
             _fill(
                 PREFIX_LINES + HEAD_LAYOUT,
                 name=safe_name(F.col("mapping_id")),
                 object=escape_literal(F.col("name")),
-                location=escape_literal(location),
+                location=escape_literal(F.col("location")),
             ),
         )
-        .otherwise(
-            _fill(
-                ANNOTATION_LAYOUT,
-                annotation=escape_literal(
-                    column_annotation(column["name"], column["type_name"], column["comment"])
-                ),
-            )
-        )
+        .otherwise(_fill(ANNOTATION_LAYOUT, annotation=escape_literal(F.col("annotation"))))
         .alias("top"),
         F.when(
             is_head,
             F.concat(
-                _fill(
-                    SOURCE_LAYOUT,
-                    source=escape_literal(source_uri(location, F.col("declared_source"))),
-                ),
-                _fill(
-                    SUBJECT_LAYOUT,
-                    **{
-                        "template": _filled_template(F.col("scheme_template"), F.col("subject_column")),
-                        "class": expand_curie(F.col("rdf_class")),
-                    },
-                ),
+                _fill(SOURCE_LAYOUT, source=escape_literal(F.col("source"))),
+                _fill(SUBJECT_LAYOUT, **{"template": template, "class": what}),
             ),
         )
         .otherwise(object_map)

@@ -17,6 +17,8 @@ ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "static",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Recording the Python call site of every column costs more than the call.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

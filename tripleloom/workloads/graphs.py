@@ -1 +1,391 @@
-QUERIES = {}
+"""Questions to the graphs of regions, nations, customers and orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.graph import (
+    Literal,
+    Pattern,
+    bgp_join,
+    bindings_rows,
+    class_counts,
+    clear_graph,
+    complete_triples,
+    construct,
+    delete_data,
+    delete_where,
+    describe_node,
+    exists,
+    graph_counts,
+    graph_edges,
+    graph_nodes,
+    graph_sample,
+    insert_data,
+    list_graphs,
+    minus,
+    node_degrees,
+    not_exists,
+    number,
+    optional,
+    predicate_stats,
+    table_view,
+    top_k,
+    triple_pattern,
+    union,
+)
+from ..operators.paths import path_closure
+from ..operators.updates import update_graphs
+from ..session import scratch_path
+from ..sources import publish_graphs, read_graphs
+from ..vocab import DPA, RDF_TYPE, XSD
+from .data import GRAPH, RESOURCE, Query, graph_iri, table, triples, with_triples
+
+PEOPLE = ("region", "nation", "customer")
+ALL_TABLES = (*PEOPLE, "orders")
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triples(spark, sf_dir, *PEOPLE)
+
+
+def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triples(spark, sf_dir, *ALL_TABLES)
+
+
+def _stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored query result per customer: two rows, the second with nothing bound to o at times."""
+    customer = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    uri = lambda text: F.struct(F.lit("uri").alias("type"), text.alias("value"))
+    first = F.struct(
+        uri(F.concat(F.lit(RESOURCE + "customer/"), key)).alias("s"),
+        uri(F.lit(DPA + "name")).alias("p"),
+        F.struct(F.lit("literal").alias("type"), F.col("c_name").alias("value")).alias("o"),
+    )
+    second = F.struct(
+        uri(F.concat(F.lit(RESOURCE + "customer/"), key)).alias("s"),
+        uri(F.lit(DPA + "segment")).alias("p"),
+        F.when(
+            F.col("c_mktsegment") != "BUILDING",
+            F.struct(
+                F.lit("literal").alias("type"),
+                F.when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_mktsegment")).alias("value"),
+            ),
+        ).alias("o"),
+    )
+    document = F.struct(
+        F.struct(F.array(*[F.lit(name) for name in "spo"]).alias("vars")).alias("head"),
+        F.struct(F.array(first, second).alias("bindings")).alias("results"),
+    )
+    return customer.select(F.col("c_custkey").alias("result_id"), F.to_json(document).alias("json"))
+
+
+def bindings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bindings_rows(_stored_results(spark, sf_dir), ["s", "p", "o"])
+    return rows.withColumn("row_index", F.col("row_index").cast("bigint"))
+
+
+_RESULT_ROWS = f"""
+SELECT c_custkey AS result_id, CAST(0 AS BIGINT) AS row_index, '{RESOURCE}customer/' || c_custkey AS s, 'uri' AS s_type,
+  '{DPA}name' AS p, 'uri' AS p_type, c_name AS o, 'literal' AS o_type FROM customer
+UNION ALL
+SELECT c_custkey, 1, '{RESOURCE}customer/' || c_custkey, 'uri', '{DPA}segment', 'uri',
+  CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN '' ELSE c_mktsegment END,
+  CASE WHEN c_mktsegment <> 'BUILDING' THEN 'literal' END FROM customer
+"""
+
+
+def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complete_triples(bindings_query(spark, sf_dir)).select("s", "p", "o", "o_type")
+
+
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_view(bindings_query(spark, sf_dir), ["s", "p", "o"])
+
+
+_DRAWN = with_triples("customer") + (
+    ", d AS (SELECT *, row_number() OVER (ORDER BY s, p, o) - 1 AS place FROM t ORDER BY s, p, o LIMIT 150)"
+)
+_LABEL = "regexp_extract(regexp_replace({0}, '[>#]$', ''), '([^#/]*)$', 1)"
+_NODES_SQL = f"""{_DRAWN},
+x AS (SELECT s AS id, 'subject' AS type, 2 * place AS seen FROM d
+      UNION ALL SELECT o, CASE WHEN o_type = 'uri' THEN 'resource' ELSE 'literal' END, 2 * place + 1 FROM d)
+SELECT id, {_LABEL.format('id')} AS label, arg_min(type, seen) AS type FROM x GROUP BY id
+"""
+
+
+def paths_to_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers per region, by way of their nations."""
+    found = bgp_join(
+        people(spark, sf_dir),
+        [
+            Pattern("?customer", DPA + "inNation", "?nation"),
+            Pattern("?nation", DPA + "inRegion", "?region"),
+            Pattern("?region", DPA + "name", "?region_name"),
+        ],
+    )
+    return found.groupBy("region_name").agg(F.count("*").alias("customer_count"))
+
+
+def with_rich_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = people(spark, sf_dir)
+    nations = bgp_join(graph, [Pattern("?nation", RDF_TYPE, DPA + "Nation"), Pattern("?nation", DPA + "name", "?name")])
+    rich = bgp_join(
+        graph,
+        [Pattern("?customer", DPA + "accountBalance", "?balance"), Pattern("?customer", DPA + "inNation", "?nation")],
+    ).where(number("balance") > 9900)
+    return optional(nations, rich).select("name", "customer", "balance")
+
+
+def _orders_of(graph: DataFrame, status: str) -> DataFrame:
+    return bgp_join(
+        graph,
+        [Pattern("?order", DPA + "placedBy", "?customer"), Pattern("?order", DPA + "orderStatus", Literal(status))],
+    )
+
+
+def without_dear_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = everything(spark, sf_dir)
+    homes = bgp_join(graph, [Pattern("?customer", DPA + "inNation", "?nation")])
+    orders = bgp_join(
+        graph, [Pattern("?order", DPA + "placedBy", "?customer"), Pattern("?order", DPA + "totalPrice", "?price")]
+    )
+    return not_exists(homes, orders.where(number("price") > 300000))
+
+
+def with_open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = everything(spark, sf_dir)
+    names = bgp_join(graph, [Pattern("?customer", DPA + "inNation", "?nation")])
+    return exists(names, _orders_of(graph, "P"))
+
+
+def minus_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = everything(spark, sf_dir)
+    names = bgp_join(graph, [Pattern("?customer", DPA + "inNation", "?nation")])
+    return minus(names, _orders_of(graph, "P"))
+
+
+def union_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with their regions, and regions; what a part does not bind is null."""
+    graph = people(spark, sf_dir)
+    nations = bgp_join(graph, [Pattern("?it", DPA + "inRegion", "?region"), Pattern("?it", DPA + "name", "?name")])
+    regions = bgp_join(graph, [Pattern("?it", RDF_TYPE, DPA + "Region"), Pattern("?it", DPA + "name", "?name")])
+    return union(nations, regions, regions).distinct()
+
+
+def dearest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten dearest orders after the first five."""
+    graph = everything(spark, sf_dir)
+    priced = bgp_join(
+        graph, [Pattern("?order", DPA + "totalPrice", "?price"), Pattern("?order", DPA + "placedBy", "?customer")]
+    )
+    return top_k(priced, [number("price").desc(), F.col("order")], limit=10, offset=5)
+
+
+def balance_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bgp_join(
+        people(spark, sf_dir),
+        [
+            Pattern("?customer", DPA + "accountBalance", "?balance"),
+            Pattern("?customer", DPA + "inNation", "?nation"),
+            Pattern("?nation", DPA + "name", "?name"),
+        ],
+    )
+    amount = number("balance", "decimal(20,2)")
+    summed = found.groupBy("name").agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
+    return summed.where(F.col("total") > 0).select("name", "n", F.col("total").cast("double").alias("total"))
+
+
+def region_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct links from customers to regions, and the customers' names with them."""
+    found = bgp_join(
+        people(spark, sf_dir),
+        [
+            Pattern("?customer", DPA + "inNation", "?nation"),
+            Pattern("?nation", DPA + "inRegion", "?region"),
+            Pattern("?customer", DPA + "name", "?name"),
+        ],
+        typed=["name"],
+    )
+    return construct(
+        found,
+        [
+            Pattern("?customer", DPA + "livesIn", "?region"),
+            Pattern("?region", DPA + "knows", "?name"),
+            Pattern("?region", DPA + "kind", Literal("inhabited", XSD + "string")),
+        ],
+        GRAPH + "derived",
+    )
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_node(everything(spark, sf_dir), RESOURCE + "nation/0")
+
+
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where orders lead, over customers and nations to regions."""
+    links = everything(spark, sf_dir).where(
+        F.col("p").isin(DPA + "placedBy", DPA + "inNation", DPA + "inRegion")
+    )
+    return path_closure(links.select(F.col("s").alias("source"), F.col("o").alias("target")))
+
+
+_LINKS = with_triples(*ALL_TABLES) + (
+    f", l AS (SELECT s, o FROM t WHERE p IN ('{DPA}placedBy', '{DPA}inNation', '{DPA}inRegion'))"
+)
+
+
+def closure_from_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p*`` against the links: who is in each nation, who ordered, and the nation itself."""
+    links = everything(spark, sf_dir).where(F.col("p").isin(DPA + "placedBy", DPA + "inNation"))
+    starts = triple_pattern(people(spark, sf_dir), Pattern("?s", RDF_TYPE, DPA + "Nation"))
+    return path_closure(
+        links.select(F.col("o").alias("source"), F.col("s").alias("target")),
+        sources=starts.select(F.col("s").alias("start")),
+        include_start=True,
+    )
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert, delete and clear, one after the other, on triples in flight."""
+    graph = people(spark, sf_dir)
+    renamed = triple_pattern(graph, Pattern("?s", DPA + "name", "?o", graph=graph_iri("nation"))).withColumn(
+        "o", F.concat(F.lit("The "), F.col("o"))
+    )
+    grown = insert_data(graph, renamed.unionByName(graph.where(F.col("p") == RDF_TYPE)))
+    poor = triple_pattern(graph, Pattern("?s", DPA + "accountBalance", "?o")).where(number("o") < 0)
+    shrunk = delete_data(grown, poor)
+    plain = delete_where(shrunk, Pattern("?s", DPA + "classifiedAs", "?o"))
+    return clear_graph(plain, graph_iri("region"))
+
+
+def stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same kinds of change in a store; the graph of regions is emptied, that of nations stays."""
+    path = scratch_path(spark, "store")
+    publish_graphs(people(spark, sf_dir), path)
+
+    def change(touched: DataFrame) -> DataFrame:
+        kept = clear_graph(touched, graph_iri("region"))
+        return delete_where(kept, Pattern("?s", DPA + "accountBalance", "?o"))
+
+    update_graphs(spark, path, [graph_iri("region"), graph_iri("customer")], change)
+    return read_graphs(spark, path)
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_counts(everything(spark, sf_dir))
+
+
+_P = with_triples(*PEOPLE)
+_A = with_triples(*ALL_TABLES)
+_CN = f"'{RESOURCE}customer/' || c_custkey AS customer, '{RESOURCE}nation/' || c_nationkey AS nation FROM customer"
+
+QUERIES = {
+    "list_graphs": Query(lambda s, d: list_graphs(everything(s, d)), _A + "SELECT DISTINCT graph FROM t ORDER BY graph"),
+    "graph_sample": Query(
+        lambda s, d: graph_sample(everything(s, d), graph_iri("customer")),
+        with_triples("customer") + "SELECT * FROM t ORDER BY s, p, o LIMIT 100",
+    ),
+    "bindings_rows": Query(bindings_query, _RESULT_ROWS),
+    "complete_triples": Query(
+        complete, f"SELECT s, p, o, o_type FROM ({_RESULT_ROWS}) WHERE o IS NOT NULL"
+    ),
+    "table_view": Query(shown, f"SELECT s, p, COALESCE(o, '') AS o FROM ({_RESULT_ROWS})"),
+    "graph_nodes": Query(lambda s, d: graph_nodes(triples(s, d, "customer")), _NODES_SQL),
+    "graph_edges": Query(
+        lambda s, d: graph_edges(triples(s, d, "customer")),
+        f"{_DRAWN} SELECT 'edge-' || place AS id, s AS source, o AS target, p AS predicate, {_LABEL.format('p')} AS label FROM d",
+    ),
+    "graph_counts": Query(sizes, _A + "SELECT graph, count(*) AS triple_count FROM t GROUP BY graph"),
+    "triple_pattern": Query(
+        lambda s, d: triple_pattern(
+            everything(s, d), Pattern("?s", DPA + "inNation", RESOURCE + "nation/7", graph=graph_iri("customer"))
+        ),
+        _A + f"SELECT * FROM t WHERE p = '{DPA}inNation' AND o = '{RESOURCE}nation/7'",
+    ),
+    "bgp_join": Query(
+        paths_to_region,
+        "SELECT r_name AS region_name, count(*) AS customer_count FROM customer JOIN nation ON c_nationkey = n_nationkey "
+        "JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    ),
+    "bgp_optional": Query(
+        with_rich_customers,
+        f"SELECT n_name AS name, '{RESOURCE}customer/' || c_custkey AS customer, CAST(c_acctbal AS VARCHAR) AS balance "
+        "FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9900",
+    ),
+    "bgp_not_exists": Query(
+        without_dear_orders,
+        f"SELECT {_CN} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    ),
+    "bgp_exists": Query(
+        with_open_orders, f"SELECT {_CN} WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
+    ),
+    "bgp_minus": Query(
+        minus_open, f"SELECT {_CN} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
+    ),
+    "bgp_union": Query(
+        union_of_names,
+        f"SELECT '{RESOURCE}nation/' || n_nationkey AS it, '{RESOURCE}region/' || n_regionkey AS region, n_name AS name FROM nation "
+        f"UNION ALL SELECT '{RESOURCE}region/' || r_regionkey, NULL, r_name FROM region",
+    ),
+    "bgp_top_k": Query(
+        dearest_orders,
+        f"SELECT '{RESOURCE}orders/' || o_orderkey AS \"order\", CAST(o_totalprice AS VARCHAR) AS price, "
+        f"'{RESOURCE}customer/' || o_custkey AS customer FROM orders ORDER BY o_totalprice DESC, 1 LIMIT 10 OFFSET 5",
+    ),
+    "bgp_aggregate": Query(
+        balance_by_nation,
+        "SELECT n_name AS name, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(20,2))) AS DOUBLE) AS total "
+        "FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING sum(CAST(c_acctbal AS DECIMAL(20,2))) > 0",
+    ),
+    "bgp_construct": Query(
+        region_links,
+        f"""WITH j AS (SELECT '{RESOURCE}customer/' || c_custkey AS c, '{RESOURCE}region/' || n_regionkey AS r, c_name
+                       FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        x AS (SELECT c AS s, '{DPA}livesIn' AS p, r AS o, 'uri' AS o_type, CAST(NULL AS VARCHAR) AS o_datatype FROM j
+              UNION SELECT r, '{DPA}knows', c_name, 'literal', '{XSD}string' FROM j
+              UNION SELECT r, '{DPA}kind', 'inhabited', 'literal', '{XSD}string' FROM j)
+        SELECT '{GRAPH}derived' AS graph, *, CAST(NULL AS VARCHAR) AS o_lang FROM x""",
+    ),
+    "describe_node": Query(
+        described, _A + f"SELECT DISTINCT * FROM t WHERE s = '{RESOURCE}nation/0' OR o = '{RESOURCE}nation/0'"
+    ),
+    "path_closure": Query(
+        closure,
+        _LINKS.replace("WITH t", "WITH RECURSIVE t", 1)
+        + ", w AS (SELECT s AS start, o AS node FROM l UNION SELECT w.start, l.o FROM w JOIN l ON w.node = l.s) SELECT start, node FROM w",
+    ),
+    "path_closure_star": Query(
+        closure_from_nations,
+        f"""SELECT '{RESOURCE}nation/' || n_nationkey AS start, '{RESOURCE}nation/' || n_nationkey AS node FROM nation
+        UNION SELECT '{RESOURCE}nation/' || c_nationkey, '{RESOURCE}customer/' || c_custkey FROM customer
+        UNION SELECT '{RESOURCE}nation/' || c_nationkey, '{RESOURCE}orders/' || o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey""",
+    ),
+    "graph_update": Query(
+        updates,
+        _P
+        + f""", g AS (SELECT DISTINCT * FROM (SELECT * FROM t UNION ALL
+               SELECT * REPLACE ('The ' || o AS o) FROM t WHERE p = '{DPA}name' AND graph = '{GRAPH}nation'))
+        SELECT * FROM g WHERE graph <> '{GRAPH}region' AND p <> '{DPA}classifiedAs'
+          AND NOT (p = '{DPA}accountBalance' AND TRY_CAST(o AS DOUBLE) < 0)""",
+    ),
+    "graph_update_stored": Query(
+        stored_updates,
+        _P + f"SELECT * FROM t WHERE graph <> '{GRAPH}region' AND p <> '{DPA}accountBalance'",
+    ),
+    "predicate_stats": Query(
+        lambda s, d: predicate_stats(everything(s, d)),
+        _A + "SELECT p, count(*) AS triple_count, count(*) FILTER (o_type = 'uri') AS resource_count FROM t GROUP BY p",
+    ),
+    "node_degrees": Query(
+        lambda s, d: node_degrees(everything(s, d)),
+        _A + "SELECT node, CAST(sum(a) AS BIGINT) AS out_degree, CAST(sum(b) AS BIGINT) AS in_degree FROM "
+        "(SELECT s AS node, 1 AS a, 0 AS b FROM t UNION ALL SELECT o, 0, 1 FROM t WHERE o_type <> 'literal') GROUP BY node",
+    ),
+    "class_counts": Query(
+        lambda s, d: class_counts(everything(s, d)),
+        _A + f"SELECT o AS class_iri, count(*) AS instance_count FROM t WHERE p = '{RDF_TYPE}' GROUP BY o",
+    ),
+}

@@ -126,12 +126,10 @@ def distinct_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers linked to nations that no supplier belongs to."""
-    references = triples(spark, sf_dir, "customer")
-    home = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
-    nations = table(spark, sf_dir, "nation").join(home, "n_nationkey", "left_semi")
-    known = materialize(nations, plan("nation"), graph_iri("nation"), predicate=RDF_TYPE)
-    links = references.where(F.col("p") == DPA + "inNation")
+    """Orders against a graph that describes the customers of one segment only."""
+    links = materialize(table(spark, sf_dir, "orders"), plan("orders"), graph_iri("orders"), predicate=DPA + "placedBy")
+    households = table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "HOUSEHOLD")
+    known = materialize(households, plan("customer"), graph_iri("customer"), predicate=RDF_TYPE)
     return dangling_references(links, known)
 
 
@@ -220,9 +218,8 @@ QUERIES = {
     "distinct_triples_plain": Query(distinct_plain, with_triples("lineitem") + "SELECT DISTINCT * FROM t"),
     "dangling_refs": Query(
         dangling_refs,
-        f"SELECT '{DPA}inNation' AS p, '{RESOURCE}nation/' || c_nationkey AS o, count(*) AS reference_count "
-        "FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) "
-        "GROUP BY c_nationkey",
+        f"SELECT '{DPA}placedBy' AS p, '{RESOURCE}customer/' || o_custkey AS o, count(*) AS reference_count FROM orders "
+        "WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD') GROUP BY o_custkey",
     ),
     "materialize_rml": Query(materialize_rml, triples_sql("customer")),
     "stream_materialize": Query(stream_materialize, triples_sql("events")),
