@@ -17,7 +17,7 @@ from .names import (
     source_uri,
     storage_location,
 )
-from .text import escape_literal, first_nonempty, split_lines, strip
+from .text import escape_literal, first_nonempty, strip, unix_lines
 
 __all__ = [
     "bucket_of",
@@ -38,9 +38,9 @@ __all__ = [
     "record_id",
     "safe_name",
     "source_uri",
-    "split_lines",
     "storage_location",
     "strip",
     "type_json",
+    "unix_lines",
     "xsd_datatype",
 ]

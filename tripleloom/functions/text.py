@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocab import LINE_BREAK, WHITESPACE
+from ..vocab import LINE_BREAK, UNUSUAL_BREAKS, WHITESPACE
 
 
 def strip(text: Column) -> Column:
@@ -13,8 +15,10 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def split_lines(text: Column) -> Column:
-    return F.split(text, LINE_BREAK, -1)
+def unix_lines(text: Column) -> Column:
+    """Every kind of line end as ``\\n``; most texts have no other and stay untouched."""
+    unusual = reduce(Column.__or__, [text.contains(char) for char in UNUSUAL_BREAKS])
+    return F.when(unusual, F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
 
 
 def first_nonempty(*candidates: Column) -> Column:

@@ -15,9 +15,9 @@ from ..functions import (
     expand_known_prefix,
     iri_local_part,
     iri_suffixes,
-    split_lines,
     strip,
     type_json,
+    unix_lines,
 )
 from ..functions.iris import term_prefix
 from ..vocab import (
@@ -29,6 +29,9 @@ from ..vocab import (
     MAP_CLASS_PATTERN,
     OBJECT_NAME_PATTERN,
     PREFIX_PATTERN,
+    SKIPPED_LINE,
+    STATEMENT,
+    WHITESPACE,
 )
 
 
@@ -65,30 +68,13 @@ def ttl_statements(corpus: DataFrame, keep_empty: bool = False) -> DataFrame:
     stays as one row with nulls.
     """
 
-    def counts(line: Column) -> Column:
-        bare = strip(line)
-        return (bare != "") & ~bare.startswith("#") & ~bare.startswith("@prefix")
-
-    lines = corpus.select("doc_id", "doc_order", F.filter(split_lines(F.col("text")), counts).alias("lines"))
-    ends = lines.select(
-        "*",
-        F.array_compact(
-            F.transform("lines", lambda line, at: F.when(strip(line).endswith("."), at + 1))
-        ).alias("ends"),
-    )
-    cut = F.transform(
-        "ends",
-        lambda end, nth: F.array_join(
-            F.slice(
-                "lines",
-                F.when(nth == 0, 1).otherwise(F.get("ends", nth - 1) + 1),
-                end - F.when(nth == 0, 0).otherwise(F.get("ends", nth - 1)),
-            ),
-            "\n",
-        ),
+    body = F.regexp_replace(unix_lines(F.col("text")), SKIPPED_LINE, "")
+    found = F.filter(
+        F.regexp_extract_all(body, F.lit(STATEMENT), F.lit(0)),
+        lambda text: F.rtrim(text, F.lit(WHITESPACE)).endswith("."),
     )
     unroll = F.posexplode_outer if keep_empty else F.posexplode
-    return ends.select("doc_id", "doc_order", unroll(cut).alias("stmt_pos", "statement"))
+    return corpus.select("doc_id", "doc_order", unroll(found).alias("stmt_pos", "statement"))
 
 
 def expand_terms(df: DataFrame, term: str, prefixes: DataFrame, into: str) -> DataFrame:
@@ -157,7 +143,7 @@ def term_lookup(terms: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _column_structs(statement: Column) -> Column:
-    """Catalog columns of a statement, each with the reason it is unusable, if any."""
+    """Column annotations of a statement, each with the reason it is unusable, if any."""
     raw = F.regexp_extract_all(statement, F.lit(COLUMN_PATTERN), F.lit(1))
     parted = F.transform(
         raw,
@@ -173,25 +159,21 @@ def _column_structs(statement: Column) -> Column:
             F.get(item["parts"], F.lit(0)).alias("name"),
             F.upper(F.get(item["parts"], F.lit(1))).alias("type_name"),
             F.coalesce(F.get(item["parts"], F.lit(2)), F.lit("")).alias("comment"),
-            catalog_type(F.upper(F.get(item["parts"], F.lit(1)))).alias("json_type"),
         ),
     )
     return F.transform(
         typed,
         lambda item, at: F.struct(
             item["name"].alias("name"),
-            item["type_name"].alias("type_text"),
-            type_json(item["name"], item["json_type"]).alias("type_json"),
             item["type_name"].alias("type_name"),
-            at.cast("int").alias("position"),
-            F.lit(True).alias("nullable"),
             item["comment"].alias("comment"),
+            at.cast("int").alias("position"),
             F.when(
                 item["type_name"].isNull(),
                 F.concat(F.lit("Invalid dpa:unityCatalogColumn value: "), item["raw"]),
             )
             .when(
-                item["json_type"].isNull(),
+                catalog_type(item["type_name"]).isNull(),
                 F.concat(F.lit("Unsupported dpa:unityCatalogColumn type: "), item["type_name"]),
             )
             .alias("problem"),
@@ -199,7 +181,17 @@ def _column_structs(statement: Column) -> Column:
     )
 
 
-_COLUMN_FIELDS = ("name", "type_text", "type_json", "type_name", "position", "nullable", "comment")
+def _catalog_column(column: Column) -> Column:
+    """A usable annotation as the catalog wants it."""
+    return F.struct(
+        column["name"].alias("name"),
+        column["type_name"].alias("type_text"),
+        type_json(column["name"], catalog_type(column["type_name"])).alias("type_json"),
+        column["type_name"].alias("type_name"),
+        column["position"].alias("position"),
+        F.lit(True).alias("nullable"),
+        column["comment"].alias("comment"),
+    )
 
 
 def projection_candidates(corpus: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -209,6 +201,8 @@ def projection_candidates(corpus: DataFrame, keep_empty: bool = False) -> DataFr
     ``keep_empty`` they and empty documents stay, marked by a null ``full_name``.
     """
     statements = ttl_statements(corpus, keep_empty=keep_empty)
+    if not keep_empty:
+        statements = statements.where(F.col("statement").contains("dpa:unityCatalogObject"))
     named = F.nullif(F.regexp_extract("statement", OBJECT_NAME_PATTERN, 1), F.lit(""))
     typed = F.nullif(F.regexp_extract("statement", MAP_CLASS_PATTERN, 1), F.lit(""))
     found = statements.select(
@@ -225,11 +219,9 @@ def projection_candidates(corpus: DataFrame, keep_empty: bool = False) -> DataFr
 
 def catalog_columns(corpus: DataFrame) -> DataFrame:
     """Usable catalog columns, one row each."""
-    return (
-        projection_candidates(corpus)
-        .select("doc_id", "full_name", F.inline("found_columns"))
-        .where(F.col("problem").isNull())
-        .drop("problem")
+    usable = F.filter("found_columns", lambda column: column["problem"].isNull())
+    return projection_candidates(corpus).select(
+        "doc_id", "full_name", F.inline(F.transform(usable, _catalog_column))
     )
 
 
@@ -264,9 +256,7 @@ def mapping_projections(corpus: DataFrame, prefixes: DataFrame | None = None) ->
         "full_name",
         "class_iri",
         "storage_location",
-        F.transform(
-            "found_columns", lambda column: F.struct(*[column[name].alias(name) for name in _COLUMN_FIELDS])
-        ).alias("columns"),
+        F.transform("found_columns", _catalog_column).alias("columns"),
     )
 
 

@@ -64,8 +64,16 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+UNUSUAL_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_BREAK = "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
+# Lines that belong to no statement (blank ones, comments, prefixes), and
+# statements: up to the next full stop that only white space parts from its line's end, or
+# up to the end of the text.
+_SPACE = "\\t\\x1f\\x20\\xa0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000"
+SKIPPED_LINE = rf"(?md)^[{_SPACE}]*+(?:(?:#|@prefix).*+)?(?:\n|\z)"
+STATEMENT = rf"(?=[^\n])[^.]*+(?:\.(?![{_SPACE}]*+(?:\n|\z))[^.]*+)*+(?:\.[{_SPACE}]*+)?"
+
 # Patterns that find things in Turtle text (Java regex syntax,
 # (?U) makes \s and \w cover all of Unicode).
 PREFIX_PATTERN = r"(?U)@prefix\s+([A-Za-z][\w-]*):\s+<([^>]+)>\s*\."
