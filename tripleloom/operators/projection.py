@@ -168,7 +168,7 @@ def apply_projection(
         properties = ", ".join(f"{_text(key)} = {_text(value)}" for key, value in sorted(row.properties.items()))
         target = f"{location}/{schema}/{table}" if location else row.storage_location
         spark.sql(
-            f"CREATE TABLE {_name(home, schema, table)} ({columns}) USING {table_format} "
+            f"CREATE TABLE IF NOT EXISTS {_name(home, schema, table)} ({columns}) USING {table_format} "
             f"LOCATION {_text(target)} COMMENT {_text(row.comment)} TBLPROPERTIES ({properties})"
         )
         made.append(f"{home}.{schema}.{table}")

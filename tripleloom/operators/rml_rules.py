@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import expand_known_prefix
 from ..functions.iris import term_prefix
 from ..plans import MappingPlan, TripleRule
-from ..vocab import RDF_TYPE
-from .turtle import ttl_prefixes, ttl_statements
+from ..vocab import COLUMN_PATTERN, DPA, LOCATION_PATTERN, OBJECT_NAME_PATTERN, RDF_TYPE, RML, RR, TRIPLE_COLUMNS, XSD
+from .turtle import expand_terms, ttl_prefixes, ttl_statements
 
 _QUOTED = r'"((?:[^"\\]|\\.)*)"'
 _TERM = r"(<[^>]*>|[^\s;\]\[]+)"
@@ -58,7 +58,12 @@ def triples_maps(corpus: DataFrame) -> DataFrame:
         .select(
             F.col("doc_id").alias("mapping_id"),
             "stmt_pos",
+            F.regexp_extract(statement, r"(?U)^\s*(\S+)", 1).alias("map_term"),
+            F.nullif(F.regexp_extract(statement, OBJECT_NAME_PATTERN, 1), F.lit("")).alias("object_name"),
+            F.nullif(F.regexp_extract(statement, LOCATION_PATTERN, 1), F.lit("")).alias("storage_location"),
+            F.regexp_extract_all(statement, F.lit(COLUMN_PATTERN), F.lit(1)).alias("annotations"),
             _quoted_after(F.regexp_extract(statement, _SOURCE, 1), "rml:source").alias("source_uri"),
+            _term_after(F.regexp_extract(statement, _SOURCE, 1), "rml:referenceFormulation").alias("formulation"),
             _quoted_after(subject, "rr:template").alias("subject_template"),
             _term_after(subject, "rr:class").alias("class_term"),
             F.transform(
@@ -136,3 +141,67 @@ def plans_from_rml(corpus: DataFrame) -> list[tuple[str, str | None, MappingPlan
                 raise ValueError(f"{row.mapping_id}: object map without reference, template or object")
         plans.append((row.mapping_id, row.source_uri, MappingPlan(key, template, tuple(rules))))
     return plans
+
+
+def document_triples(corpus: DataFrame, graph: str, prefixes: DataFrame | None = None) -> DataFrame:
+    """The mapping documents themselves as triples, to be published and queried.
+
+    Nested parts become blank nodes named after their place, so the same
+    document gives the same triples again.
+    """
+    if prefixes is None:
+        prefixes = ttl_prefixes(corpus)
+    maps = expand_terms(triples_maps(corpus).where(F.col("problem").isNull()), "map_term", prefixes, "map_iri")
+    node = F.concat(F.lit("_:m"), F.md5(F.concat_ws("\u0000", F.col("mapping_id"), F.col("stmt_pos").cast("string"))))
+    maps = maps.withColumn("node", node)
+    s, source, subject = F.col("map_iri"), F.concat("node", F.lit("s")), F.concat("node", F.lit("t"))
+
+    def fact(where: Column, predicate: str, value: Column, kind: str) -> Column:
+        return F.struct(where.alias("s"), F.lit(predicate).alias("p"), value.alias("raw"), F.lit(kind).alias("kind"))
+
+    whole = F.array(
+        fact(s, RDF_TYPE, F.lit(f"<{RR}TriplesMap>"), "term"),
+        fact(s, DPA + "unityCatalogObject", F.col("object_name"), "literal"),
+        fact(s, DPA + "unityCatalogStorageLocation", F.col("storage_location"), "literal"),
+        fact(s, RML + "logicalSource", F.when(F.col("source_uri").isNotNull(), source), "bnode"),
+        fact(source, RML + "source", F.col("source_uri"), "literal"),
+        fact(source, RML + "referenceFormulation", F.col("formulation"), "term"),
+        fact(s, RR + "subjectMap", subject, "bnode"),
+        fact(subject, RR + "template", F.col("subject_template"), "literal"),
+        fact(subject, RR + "class", F.col("class_term"), "term"),
+    )
+    annotations = F.transform(
+        "annotations", lambda text: fact(s, DPA + "unityCatalogColumn", text, "literal")
+    )
+
+    def of_rule(rule: Column, at: Column) -> Column:
+        here = F.concat(F.col("node"), F.lit("p"), at.cast("string"))
+        there = F.concat(F.col("node"), F.lit("o"), at.cast("string"))
+        return F.array(
+            fact(s, RR + "predicateObjectMap", here, "bnode"),
+            fact(here, RR + "predicate", rule["predicate"], "term"),
+            fact(here, RR + "object", rule["object"], "term"),
+            fact(here, RR + "objectMap", F.when(rule["object"].isNull(), there), "bnode"),
+            fact(there, RML + "reference", rule["reference"], "literal"),
+            fact(there, RR + "template", rule["template"], "literal"),
+            fact(there, RR + "datatype", rule["datatype"], "term"),
+        )
+
+    facts = maps.select(
+        F.inline(F.concat(whole, annotations, F.flatten(F.transform("rules", of_rule)))).alias("s", "p", "raw", "kind")
+    ).where(F.col("raw").isNotNull())
+    terms = facts.withColumn("term", F.when(F.col("kind") == "term", F.col("raw")))
+    resolved = expand_terms(terms, "term", prefixes, "iri")
+    return (
+        resolved.select(
+            F.lit(graph).alias("graph"),
+            "s",
+            "p",
+            F.coalesce("iri", "raw").alias("o"),
+            F.when(F.col("kind") == "term", "uri").otherwise(F.col("kind")).alias("o_type"),
+            F.when(F.col("kind") == "literal", F.lit(XSD + "string")).alias("o_datatype"),
+            F.lit(None).cast("string").alias("o_lang"),
+        )
+        .select(*TRIPLE_COLUMNS)
+        .distinct()
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +42,18 @@ def registered_tables(spark: SparkSession, prefix: str = "") -> DataFrame:
     return counts
 
 
-def catalog_snapshot(spark: SparkSession, full_names: list[str]) -> DataFrame:
+def catalog_snapshot(spark: SparkSession, full_names: Iterable[str], catalog: str | None = None) -> DataFrame:
     """Location, comment and properties of tables as the catalog has them now.
 
     Absent tables have no row. Metadata only: one catalog call per table.
+    ``catalog`` is looked into instead of the one a name begins with.
     """
     rows = []
     for name in full_names:
-        quoted = ".".join(f"`{part}`" for part in name.split("."))
+        parts = name.split(".")
+        if catalog and len(parts) == 3:
+            parts[0] = catalog
+        quoted = ".".join(f"`{part}`" for part in parts)
         if not spark.catalog.tableExists(quoted):
             continue
         described = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted}").collect()
