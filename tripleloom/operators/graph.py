@@ -162,20 +162,30 @@ def optional(left: DataFrame, right: DataFrame) -> DataFrame:
     return _compatible_join(left, right, "left_outer")
 
 
+def _keys(right: DataFrame, names: list[str]) -> DataFrame:
+    """Each combination once: a hub that fills the right side is one row in a semi or anti join.
+
+    The join uses the partitioning of this aggregation, so it adds no shuffle.
+    """
+    return right.select(*names).distinct()
+
+
 def minus(left: DataFrame, right: DataFrame) -> DataFrame:
     """MINUS: without shared variables nothing is taken away."""
     names = _shared(left, right)
-    return left.join(right.select(*names), names, "left_anti") if names else left
+    return left.join(_keys(right, names), names, "left_anti") if names else left
 
 
 def exists(left: DataFrame, right: DataFrame) -> DataFrame:
+    """FILTER EXISTS"""
     names = _shared(left, right)
-    return left.join(right.select(*names), names, "left_semi")
+    return left.join(_keys(right, names), names, "left_semi")
 
 
 def not_exists(left: DataFrame, right: DataFrame) -> DataFrame:
+    """FILTER NOT EXISTS"""
     names = _shared(left, right)
-    return left.join(right.select(*names), names, "left_anti")
+    return left.join(_keys(right, names), names, "left_anti")
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -336,22 +346,32 @@ def class_counts(triples: DataFrame) -> DataFrame:
 # -- changes ------------------------------------------------------------------------------------
 
 
+def _join_triples(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on whole terms; datatype and language may be null on both sides."""
+    other = right.select(*[F.col(name).alias(f"_{name}") for name in TRIPLE_COLUMNS])
+    same = [
+        F.col(name).eqNullSafe(F.col(f"_{name}"))
+        if name in ("o_datatype", "o_lang")
+        else F.col(name) == F.col(f"_{name}")
+        for name in TRIPLE_COLUMNS
+    ]
+    return left.join(other, reduce(Column.__and__, same), how)
+
+
 def insert_data(triples: DataFrame, new: DataFrame) -> DataFrame:
-    """INSERT DATA: a triple that is there already stays one triple."""
-    return triples.select(*TRIPLE_COLUMNS).unionByName(new.select(*TRIPLE_COLUMNS)).distinct()
+    """INSERT DATA into a set of triples: one that is there already stays one triple.
+
+    Only the new triples are de-duplicated, and what the graph has of them is
+    looked up from the graph's side, so a small insert moves none of a large graph.
+    """
+    added = new.select(*TRIPLE_COLUMNS).distinct()
+    held = _join_triples(triples.select(*TRIPLE_COLUMNS), added, "left_semi")
+    return triples.select(*TRIPLE_COLUMNS).unionByName(_join_triples(added, held, "left_anti"))
 
 
 def delete_data(triples: DataFrame, gone: DataFrame) -> DataFrame:
     """DELETE DATA: exact matches go, all parts of the term included."""
-    other = gone.select(*[F.col(name).alias(f"_{name}") for name in TRIPLE_COLUMNS])
-    same = reduce(
-        Column.__and__,
-        [
-            F.col(name).eqNullSafe(F.col(f"_{name}")) if name in ("o_datatype", "o_lang") else F.col(name) == F.col(f"_{name}")
-            for name in TRIPLE_COLUMNS
-        ],
-    )
-    return triples.join(other, same, "left_anti")
+    return _join_triples(triples, gone.select(*TRIPLE_COLUMNS).distinct(), "left_anti")
 
 
 def delete_where(triples: DataFrame, pattern: Pattern) -> DataFrame:

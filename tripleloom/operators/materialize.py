@@ -222,10 +222,11 @@ def distinct_triples(triples: DataFrame) -> DataFrame:
 def dangling_references(references: DataFrame, subjects: DataFrame) -> DataFrame:
     """Linked IRIs that no triple of ``subjects`` describes, with how often each is linked.
 
-    References are counted before the join, so a popular target is one row in it.
+    Both sides are reduced before the join: a popular target and a resource with
+    many triples are one row each in it.
     """
     linked = (
         references.where(F.col("o_type") == "uri").groupBy("p", "o").agg(F.count("*").alias("reference_count"))
     )
-    known = subjects.select(F.col("s").alias("known"))
+    known = subjects.select(F.col("s").alias("known")).distinct()
     return linked.join(known, F.col("o") == F.col("known"), "left_anti")

@@ -100,14 +100,16 @@ def _slot(template: str) -> tuple[str, str]:
     return column, template.replace("{" + column + "}", "{value}")
 
 
-def plans_from_rml(corpus: DataFrame) -> list[tuple[str, str | None, MappingPlan]]:
+def plans_from_rml(corpus: DataFrame, max_maps: int = 1000) -> list[tuple[str, str | None, MappingPlan]]:
     """``(mapping_id, source_uri, plan)`` of each TriplesMap, in document order.
 
-    Meant for the few maps of one job: their plans are needed on the driver
-    before the job can be put together. Raises ``ValueError`` for a map that
-    cannot be run.
+    The plans of a job are needed on the driver before the job can be put
+    together. Raises ``ValueError`` for a map that cannot be run, and for more
+    than ``max_maps`` of them: run such a corpus in several jobs.
     """
     maps = triples_maps(corpus)
+    if maps.limit(max_maps + 1).count() > max_maps:
+        raise ValueError(f"more than {max_maps} maps for one job")
     terms = F.concat(
         F.array("class_term"), F.flatten(F.transform("rules", lambda rule: F.array(rule["predicate"], rule["object"], rule["datatype"])))
     )

@@ -14,16 +14,16 @@ def monte_carlo_pi(samples: DataFrame, x: Column, y: Column) -> DataFrame:
     )
 
 
-def unit_from_hash(*key: Column) -> Column:
-    """A number in [0, 1) that depends on the key alone, so a task run again gives it again."""
-    digits = F.substr(F.md5(F.concat_ws(":", *key)), F.lit(1), F.lit(8))
-    return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
+def point_from_hash(*key: Column) -> tuple[Column, Column]:
+    """A point of the unit square that depends on the key alone, so a task run again gives it again."""
+    digest = F.md5(F.concat_ws(":", *key))
+
+    def unit(first: int) -> Column:
+        return F.conv(F.substring(digest, first, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+    return unit(1), unit(9)
 
 
 def spark_pi(spark: SparkSession, samples: int, partitions: int, seed: int = 0) -> DataFrame:
     numbers = spark.range(0, samples, 1, partitions)
-    return monte_carlo_pi(
-        numbers,
-        unit_from_hash(F.lit(seed), F.lit("x"), F.col("id")),
-        unit_from_hash(F.lit(seed), F.lit("y"), F.col("id")),
-    )
+    return monte_carlo_pi(numbers, *point_from_hash(F.lit(seed).cast("string"), F.col("id").cast("string")))

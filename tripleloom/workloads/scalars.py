@@ -20,7 +20,7 @@ from ..functions import (
     xsd_datatype,
 )
 from ..operators.graph import list_graphs
-from ..operators.sampling import monte_carlo_pi, unit_from_hash
+from ..operators.sampling import monte_carlo_pi, point_from_hash
 from ..operators.turtle import expand_terms
 from ..vocab import CATALOG_TYPE, DPA, XSD, XSD_LOCAL_BY_TYPE
 from .data import GRAPH, Query, table
@@ -221,13 +221,14 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line is one sample; its keys give the point."""
     lines = table(spark, sf_dir, "lineitem")
     key = [F.col(name).cast("string") for name in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
-    return monte_carlo_pi(lines, unit_from_hash(F.lit("x"), *key), unit_from_hash(F.lit("y"), *key))
+    return monte_carlo_pi(lines, *point_from_hash(*key))
 
 
 _KEY_SQL = "l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber"
 _PI_SQL = f"""
-WITH s AS (SELECT ('0x' || substr(md5('x:' || {_KEY_SQL}), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 AS x,
-                  ('0x' || substr(md5('y:' || {_KEY_SQL}), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 AS y FROM lineitem),
+WITH d AS (SELECT md5({_KEY_SQL}) AS h FROM lineitem),
+s AS (SELECT ('0x' || substr(h, 1, 8))::UBIGINT::DOUBLE / 4294967296.0 AS x,
+             ('0x' || substr(h, 9, 8))::UBIGINT::DOUBLE / 4294967296.0 AS y FROM d),
 c AS (SELECT count(*) AS sample_count, count(*) FILTER (x * x + y * y <= 1.0) AS inside_count FROM s)
 SELECT sample_count, inside_count, 4.0::DOUBLE * inside_count / sample_count AS pi FROM c
 """
