@@ -262,7 +262,7 @@ class Mapper:
     def activate_mapping(self, mapping: str | dict[str, Any]) -> dict[str, Any]:
         return self._home().activate(reference_id(mapping))
 
-    def project_catalog(self, mapping: str | dict[str, Any]) -> dict[str, Any]:
+    def project_unity_catalog(self, mapping: str | dict[str, Any]) -> dict[str, Any]:
         return self._home().project([reference_id(mapping)])
 
 

@@ -22,7 +22,10 @@ def read_table_stream(
     table_format: str = "parquet",
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """A folder of table files as a stream."""
+    """A table's files as a stream.
+
+    ``path`` is a folder, or a glob, which may also name a single file.
+    """
     reader = spark.readStream.format(table_format).schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

@@ -142,7 +142,7 @@ def materialize_rml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    rows = read_table_stream(spark, sf_dir, schema, pattern="events.parquet")
+    rows = read_table_stream(spark, f"{sf_dir}/events.parquet*", schema)
     made = materialize_stream(rows, plan("events"), graph_iri("events"))
     return run_available(made, scratch_path(spark, "stream"), scratch_path(spark, "offsets"))
 
@@ -159,7 +159,7 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
         .spec()
     )
     schema = table(spark, sf_dir, "events").schema
-    rows = read_table_stream(spark, sf_dir, schema, pattern="events.parquet")
+    rows = read_table_stream(spark, f"{sf_dir}/events.parquet*", schema)
     made = distinct_stream(rows, plan_mapping(spec, SCHEMES), graph_iri("users"), "ts", "60 days")
     stored = run_available(made, scratch_path(spark, "stream"), scratch_path(spark, "offsets"))
     return stored.select("s", "p", "o", "o_type", "o_datatype")
