@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, scratch_root
 from ..sources.graphs import clear_graphs, publish_graphs, read_graphs
 from ..vocab import TRIPLE_COLUMNS
+from .graph import join_triples
+
+_LISTED = 1000
 
 
 def update_graphs(
@@ -26,3 +29,21 @@ def update_graphs(
     after = read_graphs(spark, staged)
     publish_graphs(after, path)
     clear_graphs(spark, path, graphs, keep=after)
+
+
+def insert_into(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """Add triples to stored graphs without writing again what they hold.
+
+    What a graph has of the new triples is looked up from its side, so a small
+    insert is broadcast to the graph's files and moves none of its rows.
+    """
+    scratch_root(spark)
+    added = new.select(*TRIPLE_COLUMNS).distinct().checkpoint()
+    graphs = [row.graph for row in added.select("graph").distinct().limit(_LISTED + 1).collect()]
+    stored = read_graphs(spark, path)
+    if len(graphs) <= _LISTED:
+        # Few graphs are named in the filter, so only their partitions are read.
+        stored = stored.where(F.col("graph").isin(graphs))
+    held = join_triples(stored, added, "left_semi")
+    fresh = join_triples(added, held, "left_anti").sortWithinPartitions("graph", "p", "s")
+    fresh.write.mode("append").partitionBy("graph").parquet(path)

@@ -36,7 +36,7 @@ from ..operators.graph import (
     union,
 )
 from ..operators.paths import path_closure
-from ..operators.updates import update_graphs
+from ..operators.updates import insert_into, update_graphs
 from ..session import scratch_path
 from ..sources import publish_graphs, read_graphs
 from ..vocab import DPA, RDF_TYPE, XSD
@@ -262,7 +262,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same kinds of change in a store; the graph of regions is emptied, that of nations stays."""
+    """The same kinds of change in a store; the graph of regions is emptied, that of nations grows."""
     path = scratch_path(spark, "store")
     publish_graphs(people(spark, sf_dir), path)
 
@@ -271,6 +271,9 @@ def stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         return delete_where(kept, Pattern("?s", DPA + "accountBalance", "?o"))
 
     update_graphs(spark, path, [graph_iri("region"), graph_iri("customer")], change)
+    nations = triples(spark, sf_dir, "nation")
+    renamed = triple_pattern(nations, Pattern("?s", DPA + "name", "?o")).withColumn("o", F.concat(F.lit("The "), F.col("o")))
+    insert_into(spark, path, nations.unionByName(renamed))
     return read_graphs(spark, path)
 
 
@@ -373,7 +376,8 @@ QUERIES = {
     ),
     "graph_update_stored": Query(
         stored_updates,
-        _P + f"SELECT * FROM t WHERE graph <> '{GRAPH}region' AND p <> '{DPA}accountBalance'",
+        _P + f"SELECT * FROM t WHERE graph <> '{GRAPH}region' AND p <> '{DPA}accountBalance' UNION ALL "
+        f"SELECT * REPLACE ('The ' || o AS o) FROM t WHERE graph = '{GRAPH}nation' AND p = '{DPA}name'",
     ),
     "predicate_stats": Query(
         lambda s, d: predicate_stats(everything(s, d)),
