@@ -97,6 +97,24 @@ def test_no_cross_product_in_plan(spark, random_rows):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_hub_is_one_row_in_a_semi_join(spark):
+    """The right side is aggregated on the map side, and the join adds no shuffle to it."""
+    from tripleloom.operators.graph import exists
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(50).select(F.col("id").cast("string").alias("x"))
+        hub = F.when(F.col("id") % 10 != 0, F.lit(7)).otherwise(F.col("id"))
+        right = spark.range(3000).select(hub.cast("string").alias("x"), F.col("id").alias("y"))
+        made = exists(left, right)
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert {row.x for row in made.collect()} == {"0", "7", "10", "20", "30", "40"}
+        assert text.count("Exchange hashpartitioning") == 2 and text.count("HashAggregate") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_parts_of_queries(spark):
     rows = [("a", "p", "1", "literal", "int", None), ("b", "p", "1", "literal", "string", "en"), ("a", "q", "b", "uri", None, None)]
     triples = graph(spark, rows)

@@ -38,6 +38,21 @@ def test_document_without_columns(spark):
     assert 'rml:source "s3a://a/b"' in text and "unityCatalogColumn" not in text
 
 
+def test_declarations_that_share_an_id_stay_apart(spark):
+    from tripleloom.operators.registry import register_batch
+
+    make = lambda comment: (
+        Mapper().dataset("a.b.c").subject_identifier(column="id", scheme="sea:mmsi").column("x", "INT", comment).literal(predicate="p").spec()
+    )
+    specs = specs_frame(spark, [make("one"), make("two"), make("two")])
+    schemes = schemes_frame(spark, SCHEMES)
+    texts = [row.rml for row in render_rml(specs, schemes).collect()]
+    assert len(texts) == 2 and all(text.count("unityCatalogColumn") == 1 for text in texts)
+    events = register_batch(specs, schemes, F.lit("2024-01-01").cast("timestamp")).collect()
+    assert len(events) == 3 and len({event.mapping_id for event in events}) == 2
+    assert all(event.payload.count(comment) == event.rml.count(comment) for event in events for comment in ("one", "two"))
+
+
 def test_triples(people):
     plan = plan_mapping(declare().spec(), SCHEMES)
     made = materialize(people, plan, "g")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EVENT_SCHEMA
-from .render import render_rml
+from .render import payload_text, render_keyed, spec_key
 from .validate import validation_summary
 
 REGISTER, UPDATE, ACTIVATE, DEPRECATE, DELETE = "register", "update", "activate", "deprecate", "delete"
@@ -42,19 +42,20 @@ def register_batch(
     ``new_id`` and ``seq`` are expressions over the declaration rows. By default
     the id follows from the batch name and the declaration.
     """
-    payload = F.to_json(F.struct("ontology", "profile", "dataset"))
+    payload = payload_text()
     chosen = derived_id(F.lit(batch), F.col("mapping_id"), payload) if new_id is None else new_id
     numbered = specs.select(
         "mapping_id",
+        spec_key().alias("spec_key"),
         chosen.alias("record_id"),
         (F.lit(0) if seq is None else seq).cast("bigint").alias("seq"),
         "ontology",
         "profile",
         payload.alias("payload"),
     )
-    rendered = render_rml(specs, schemes).where(F.col("rml").isNotNull())
+    rendered = render_keyed(specs, schemes).where(F.col("rml").isNotNull())
     return _events(
-        numbered.join(rendered, "mapping_id").select(
+        numbered.join(rendered, ["mapping_id", "spec_key"]).select(
             F.col("record_id").alias("mapping_id"),
             "seq",
             at.alias("ts"),

@@ -93,18 +93,35 @@ def _filled_template(template: Column, column: Column) -> Column:
     return escape_literal(F.replace(template, F.lit("{value}"), F.concat(F.lit("{"), column, F.lit("}"))))
 
 
+def payload_text() -> Column:
+    """A declaration row as JSON, without its id."""
+    return F.to_json(F.struct("ontology", "profile", "dataset"))
+
+
+def spec_key() -> Column:
+    """What tells declarations apart: ids do not, as two mappings of one dataset share theirs."""
+    return F.md5(payload_text())
+
+
 def render_rml(specs: DataFrame, schemes: DataFrame) -> DataFrame:
-    """``(mapping_id, rml)`` per declaration; ``rml`` is null where the declaration has errors.
+    """``(mapping_id, rml)`` per different declaration; ``rml`` is null where it has errors."""
+    return render_keyed(specs, schemes).select("mapping_id", "rml")
+
+
+def render_keyed(specs: DataFrame, schemes: DataFrame) -> DataFrame:
+    """Documents with the :func:`spec_key` of their declarations.
 
     Each declaration is opened into its columns, the schemes are joined once,
-    and the finished texts meet again under the mapping id. A group is one
-    declaration's columns, so it is as large as one input row.
+    and the finished texts meet again under id and key. A group is one
+    declaration's columns, so it is as large as one input row; copies of a
+    declaration add nothing to it and drop out on the map side.
     """
     column_type = specs.schema["dataset"].dataType["columns"].dataType
     data = F.col("dataset")
     subject = data["subject_identifier"]
     opened = specs.select(
         "mapping_id",
+        spec_key().alias("spec_key"),
         (F.size(spec_problems()) == 0).alias("sound"),
         strip(F.coalesce(data["name"], F.lit(""))).alias("name"),
         strip(subject["scheme"]).alias("subject_scheme"),
@@ -131,6 +148,7 @@ def render_rml(specs: DataFrame, schemes: DataFrame) -> DataFrame:
     declared_type = F.coalesce(first_nonempty(column["type_name"]), F.lit("STRING"))
     given = items.select(
         "mapping_id",
+        "spec_key",
         "pos",
         "sound",
         "name",
@@ -154,7 +172,7 @@ def render_rml(specs: DataFrame, schemes: DataFrame) -> DataFrame:
 
     known = schemes.select(F.col("scheme_id").alias("_scheme"), "template")
     # Items without a scheme take a key that no scheme has, spread over all partitions.
-    spread = F.concat(F.lit("\u0000"), F.xxhash64("mapping_id", "pos").cast("string"))
+    spread = F.concat(F.lit("\u0000"), F.xxhash64("mapping_id", "spec_key", "pos").cast("string"))
     found = expanded.withColumn("_key", F.coalesce("scheme", spread)).join(
         known, F.col("_key") == F.col("_scheme"), "left"
     )
@@ -178,6 +196,7 @@ def render_rml(specs: DataFrame, schemes: DataFrame) -> DataFrame:
     )
     texts = found.select(
         "mapping_id",
+        "spec_key",
         "pos",
         (F.col("sound") & ~(F.col("needs_scheme") & F.col("template").isNull())).alias("sound"),
         F.when(
@@ -201,13 +220,13 @@ def render_rml(specs: DataFrame, schemes: DataFrame) -> DataFrame:
         .otherwise(object_map)
         .alias("body"),
     )
-    whole = texts.groupBy("mapping_id").agg(
+    whole = texts.groupBy("mapping_id", "spec_key").agg(
         F.bool_and("sound").alias("sound"),
-        F.array_sort(F.collect_list(F.struct("pos", "top", "body"))).alias("items"),
+        F.array_sort(F.collect_set(F.struct("pos", "top", "body"))).alias("items"),
     )
     text = F.concat(
         F.array_join(F.transform("items", lambda item: item["top"]), ""),
         F.array_join(F.array_compact(F.transform("items", lambda item: item["body"])), BETWEEN_MAPS),
         F.lit(LAST_LINE),
     )
-    return whole.select("mapping_id", F.when(F.col("sound"), text).alias("rml"))
+    return whole.select("mapping_id", "spec_key", F.when(F.col("sound"), text).alias("rml"))

@@ -30,7 +30,7 @@ from ..operators.validate import (
 from ..vocab import CSV_FORMULATION, DPA, OWL_CLASS, RDF_TYPE, RDFS_COMMENT, RML, RR, XSD
 from .data import Query, case, table
 
-# The schemes the declarations below refer to.
+# The schemes the declarations below refer to.
 DATASET = "https://data-pipeline.local/resource/dataset/{value}"
 VESSEL = "https://data-pipeline.local/resource/vessel/mmsi/{value}"
 ASSET = "https://data-pipeline.local/resource/manufacturing/asset/{value}"
