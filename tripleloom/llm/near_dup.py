@@ -253,27 +253,13 @@ def _rest_of_large_stars(spans: DataFrame, links: DataFrame, texts: DataFrame, w
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
-
-    Two texts are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of ``words``-word shingles (A to Z
-    in lower case; a text of fewer words is one shingle). ``component_id`` is the smallest id that links reach. Texts
-    that are null or have no words have no shingles and no links. Rows that share an id are one node; a null id counts
-    as one more id, smaller than all, and comes back as null. Other columns are not looked at and not returned.
+def confirmed(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) of the components that confirmed links make; nodes that are their own root are left out.
 
-    Equal sets are always linked. A pair of different texts at the threshold shares none of 32 bands of 4 bins with a
-    probability below 1e-7; every pair that shares one is confirmed or refuted on full sets.
+    ``docs`` has doc_id and text; ``signed`` has id, n, a digest d1, d2 of each set, and its band keys.
     """
-    ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    # A set of n shingles can only be linked with another one if percent of its size leaves room for a difference.
-    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 40
-    signed = stored(
-        docs.mapInArrow(lambda batches: _signed(batches, words, least), "id long, n long, d1 long, d2 long, bands array<long>"),
-        "near-signatures",
-    )
     firsts = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("first"))
-    classed = stored(signed.where("n > 0").drop("bands", "n").distinct().join(firsts, ["d1", "d2"]).select("id", "first"), "near-classes")
+    classed = stored(signed.where("n > 0").select("id", "d1", "d2").distinct().join(firsts, ["d1", "d2"]).select("id", "first"), "near-classes")
     # One row of bands for each class, however many copies it has.
     of_class = signed.where(F.size("bands") > 0).join(classed.where("id = first").select("id").distinct(), "id", "left_semi")
     bucketed = of_class.select("id", F.explode("bands").alias("key"))
@@ -300,15 +286,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not spans.isEmpty():
         links = links.union(_rest_of_large_stars(spans, links, texts, words, percent).where("linked"))
     copies = classed.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    roots = components(links.select("u", "v").union(copies), "near-components")
-    back = lambda c: F.when(F.col(c) == NO_ID, None).otherwise(F.col(c))
+    return components(links.select("u", "v").union(copies), "near-components")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
+
+    Two texts are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of ``words``-word shingles (A to Z
+    in lower case; a text of fewer words is one shingle). ``component_id`` is the smallest id that links reach. Texts
+    that are null or have no words have no shingles and no links. Rows that share an id are one node; a null id counts
+    as one more id, smaller than all, and comes back as null. Other columns are not looked at and not returned.
+
+    Equal sets are always linked. A pair of different texts at the threshold shares none of 32 bands of 4 bins with a
+    probability below 1e-7; every pair that shares one is confirmed or refuted on full sets.
+    """
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    # A set of n shingles can only be linked with another one if percent of its size leaves room for a difference.
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 40
+    signed = stored(
+        docs.mapInArrow(lambda batches: _signed(batches, words, least), "id long, n long, d1 long, d2 long, bands array<long>"),
+        "near-signatures",
+    )
+    roots = confirmed(docs, signed, words, percent)
+    back = lambda c: F.when(c != NO_ID, c)
     return (
         signed.select("id", "n")
         .join(roots.withColumnRenamed("node", "id"), "id", "left")
         .select(
-            back("id").alias("doc_id"),
+            back(F.col("id")).alias("doc_id"),
             F.col("n").alias("n_shingles"),
-            F.when(F.coalesce("root", "id") == NO_ID, None).otherwise(F.coalesce("root", "id")).alias("component_id"),
+            back(F.coalesce("root", "id")).alias("component_id"),
             F.coalesce(F.col("root") == F.col("id"), F.lit(True)).alias("kept"),
         )
     )

@@ -8,17 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleloom.session import scratch_path
+
+from . import ppm, url_filter
 from .decontaminate import decontaminate
+from .fingerprints import edited_fingerprints
 from .language import held_out, identify, train
 from .near_dup import near_duplicates
 from .packing import pack
+from .suffix_dedup import remove_repeated_bytes
+from .token_files import read_tokens, write_tokens
+from .url_filter import Rule
 from .window_dedup import remove_repeats
 
+RULES = (
+    Rule(url_filter.BLOCK, "net/"),
+    Rule(url_filter.ALLOW, "example.net/en/"),
+    Rule(url_filter.BLOCK, "example.com/de/"),
+    Rule(url_filter.ALLOW, "org/fr/"),
+)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.host_and_path(F.coalesce("url", F.lit("")))
+    # The labels are the URLs that rules decide.
+    ruled = pages.withColumn("rule", url_filter.deciding_rule(host, path, RULES)).where("rule is not null")
+    model = url_filter.train(ruled.select("url", (F.col("rule.verdict") == url_filter.BLOCK).alias("blocked")))
+    return url_filter.judge(pages, RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -43,6 +66,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, path)
+
+
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 7, 2)
+    return ppm.scores(docs.withColumn("held_out", out), docs.where(~out)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 5, 0)
@@ -50,6 +92,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in sorted(globals().items()) if name.startswith("op") and callable(function)
 }
