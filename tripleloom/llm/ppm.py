@@ -1,8 +1,8 @@
 """Language-model scoring: prediction by partial matching over bytes.
 
 The model is a trie of byte contexts of up to ``ORDER`` bytes with the counts of what followed them, over all training
-texts. A byte is predicted in its longest known context; if it never followed there, the model escapes (method C: as
-many escape counts as distinct bytes) to the context one byte shorter, where the bytes already ruled out are excluded,
+texts. A byte is predicted in its longest known context; if it never followed there, the model escapes (method D: every
+distinct byte of a context gives half a count to the escape) to the context one byte shorter, where the bytes already ruled out are excluded,
 and so on down to all bytes alike. A text's score is the sum of the log10 probabilities of its bytes and of its end.
 
 Counting is distributed: each task counts the longest strings of its slices, counts combine across the cluster, and the
@@ -31,6 +31,8 @@ MAX_NODES = 2_000_000
 #: Bytes that UTF-8 never has: before and after each text.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
+#: What each distinct byte of a context gives to its escape.
+DISCOUNT = 0.5
 
 
 def strings_of(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +115,9 @@ def build(strings: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
         totals.append(total)
         distinct.append(kinds)
         place = np.repeat(np.arange(len(own)), kinds)
-        direct.append(log(n) - log(total + kinds)[place])
-        after.append(log(n))
-        escape.append(log(kinds) - log(total + kinds))
+        direct.append(log(n - DISCOUNT) - log(total)[place])
+        after.append(log(n - DISCOUNT))
+        escape.append(log(DISCOUNT * kinds) - log(total))
         if k == 0:
             rest.append(np.zeros(len(own)))
             onward.append(np.zeros(len(own)))
@@ -126,10 +128,10 @@ def build(strings: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
         known = np.add.reduceat(counts[k - 1][shorter], first) if len(keys) else np.zeros(0, np.int64)
         up = np.searchsorted(contexts[k - 1], own & ((1 << (8 * (k - 1))) - 1))
         fresh = distinct[k - 1][up] - kinds
-        left = totals[k - 1][up] - known + fresh
+        left = totals[k - 1][up] - known
         rest.append(log(np.maximum(left, 1)))
         # With nothing fresh there, the escape goes on for certain.
-        onward.append(np.where(fresh > 0, log(np.maximum(fresh, 1)) - log(np.maximum(left, 1)), 0.0))
+        onward.append(np.where(fresh > 0, log(DISCOUNT * np.maximum(fresh, 1)) - log(np.maximum(left, 1)), 0.0))
     seen = np.array([int(distinct[0][0]) if len(distinct[0]) else 0])
     return Trie(strings, direct, after, contexts, escape, rest, onward, seen)
 
