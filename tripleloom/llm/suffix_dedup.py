@@ -156,7 +156,7 @@ def byte_windows(part: Packed, width: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _packed(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, limit=2 << 20):
+    for batch in slices(batches, limit=4 << 20):
         texts = plain(batch.column("text"))
         data = texts.buffers()[2]
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)

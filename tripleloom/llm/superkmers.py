@@ -80,22 +80,39 @@ def encode(part: Packed) -> bytes:
     lengths = np.array([len(t) for t in part.text], np.uint32)
     columns = [np.ascontiguousarray(c, dtype=t).tobytes() for c, t in zip(part[:_COLUMNS], _TYPES)]
     body = b"".join([len(lengths).to_bytes(4, "little"), *columns, lengths.tobytes(), *part.text])
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=3).compress(body)
+
+
+class Sent(NamedTuple):
+    """Super-k-mers as they travelled: columns of Packed but the strings, which are cut out of ``body`` when wanted."""
 
+    columns: list[np.ndarray]
+    body: bytes
+    stops: np.ndarray
+    lengths: np.ndarray
 
-def decode(payload: bytes) -> Packed:
+
+def decode(payload: bytes) -> Sent:
     body = zstandard.ZstdDecompressor().decompress(payload)
     n, at, columns = int.from_bytes(body[:4], "little"), 4, []
     for t in (*_TYPES, np.uint32):
         columns.append(np.frombuffer(body, t, n, at))
         at += n * np.dtype(t).itemsize
-    ends = at + np.cumsum(columns[-1].astype(np.int64))
-    starts = ends - columns[-1]
-    return Packed(*columns[:-1], [body[s:e] for s, e in zip(starts.tolist(), ends.tolist())])
-
-
-def joined(parts: list[Packed]) -> Packed:
-    return Packed(*(np.concatenate([p[i] for p in parts]) for i in range(_COLUMNS)), [t for p in parts for t in p.text])
+    return Sent(columns[:-1], body, at + np.cumsum(columns[-1].astype(np.int64)), columns[-1].astype(np.int64))
+
+
+def not_alone(parts: list[Sent]) -> Packed:
+    """Of all that came to a bucket, the super-k-mers whose minimiser another one has too, or that have it twice."""
+    columns = [np.concatenate([p.columns[i] for p in parts]) for i in range(_COLUMNS)]
+    _, code, times = np.unique(columns[0], return_inverse=True, return_counts=True)
+    wanted = (times[code] > 1) | (columns[5] > 0)
+    text, at = [], 0
+    for part in parts:
+        own = np.nonzero(wanted[at : at + len(part.stops)])[0]
+        at += len(part.stops)
+        stops = part.stops[own]
+        text += [part.body[s:e] for s, e in zip((stops - part.lengths[own]).tolist(), stops.tolist())]
+    return Packed(*(c[wanted] for c in columns), text)
 
 
 def chosen(part: Packed, which: np.ndarray) -> Packed:

@@ -19,12 +19,9 @@ from pyspark.sql import functions as F
 
 from .batches import NO_ID, STEP, hashes, ids_of, mixed, plain, rolled, ship, shuffle_parts, slices, words_of
 from .near_dup import grouped
-from .superkmers import DEALT, SPANS, Packed, chosen, covered, dealt, decode, decode_spans, first_of_equal, inner_repeats, joined, merged, minimisers, runs, span_batch
+from .superkmers import DEALT, SPANS, Packed, chosen, covered, dealt, decode, decode_spans, first_of_equal, inner_repeats, merged, minimisers, not_alone, runs, span_batch
 
 MINIMISER = 4
-#: Buckets for each shuffle partition; more make a task's memory smaller, not its work.
-BUCKETS_PER_PART = 4
-
 
 def _packed(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
@@ -83,8 +80,6 @@ def word_windows(part: Packed, width: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def repeated(part: Packed, width: int, classes: Callable) -> Iterator[pa.RecordBatch]:
     """Spans of one bucket whose windows start earlier elsewhere."""
-    _, code, times = np.unique(part.key, return_inverse=True, return_counts=True)
-    part = chosen(part, (times[code] > 1) | (part.inner > 0))
     if not len(part.key):
         return
     distinct, later, _ = first_of_equal(part)
@@ -116,7 +111,7 @@ def compared(batches: Iterator[pa.RecordBatch], width: int, classes: Callable) -
             else:
                 parts.append(decode(payload))
         if parts:
-            yield from repeated(joined(parts), width, classes)
+            yield from repeated(not_alone(parts), width, classes)
 
 
 def spans_to_remove(docs: DataFrame, pack: Callable, width: int, classes: Callable) -> DataFrame:
@@ -124,8 +119,7 @@ def spans_to_remove(docs: DataFrame, pack: Callable, width: int, classes: Callab
     spark = docs.sparkSession
     ship(spark)
     parts = shuffle_parts(spark)
-    buckets = parts * BUCKETS_PER_PART
-    sent = docs.mapInArrow(lambda batches: pack(batches, width, buckets), DEALT)
+    sent = docs.mapInArrow(lambda batches: pack(batches, width, parts), DEALT)
     found = (
         sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: compared(batches, width, classes), SPANS)
     )
@@ -134,7 +128,10 @@ def spans_to_remove(docs: DataFrame, pack: Callable, width: int, classes: Callab
 
 def with_spans(docs: DataFrame, pack: Callable, width: int, classes: Callable) -> DataFrame:
     """``docs`` and the spans that each row loses (null for none), on column ``spans``."""
-    keyed = docs.withColumn("mark", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    # What tells rows with one id apart need not travel where ids are unique.
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))).first()
+    mark = F.lit(0).cast("long") if rows == ids else F.coalesce(F.xxhash64("text"), F.lit(0))
+    keyed = docs.withColumn("mark", mark)
     spans = spans_to_remove(keyed.select("doc_id", "mark", "text"), pack, width, classes)
     spans = spans.withColumnRenamed("mark", "_mark")
     on = (F.coalesce(keyed["doc_id"].cast("long"), F.lit(NO_ID)) == spans["id"]) & (keyed["mark"] == spans["_mark"])
