@@ -79,13 +79,17 @@ SUFFIX_DEDUP = """
 WITH doc AS (
     SELECT doc_id, encode(coalesce(text, '')) AS data FROM documents
 ), bytes AS (
-    SELECT doc_id, data, unnest(range(1, octet_length(data) + 1)) AS i FROM doc
+    SELECT doc_id, unnest(range(1, octet_length(data) + 1)) AS i,
+           unnest(list_transform(range(1, octet_length(data) + 1), lambda i: hex(array_slice(data, i, i)))) AS pair
+    FROM doc
 ), windows AS (
-    SELECT doc_id, i, md5_number(array_slice(data, i, i + 99)) AS line FROM bytes WHERE i + 99 <= octet_length(data)
+    SELECT doc_id, unnest(range(1, octet_length(data) - 98)) AS i,
+           unnest(list_transform(range(1, octet_length(data) - 98), lambda i: md5_number(array_slice(data, i, i + 99)))) AS line
+    FROM doc WHERE octet_length(data) >= 100
 ), later AS (
     SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1
 ), judged AS (
-    SELECT bytes.doc_id, bytes.i, hex(array_slice(data, bytes.i, bytes.i)) AS pair,
+    SELECT bytes.doc_id, bytes.i, pair,
            coalesce(bytes.i - max(later.i) OVER (PARTITION BY bytes.doc_id ORDER BY bytes.i) < 100, FALSE) AS gone
     FROM bytes LEFT JOIN later ON later.doc_id = bytes.doc_id AND later.i = bytes.i
 ), edged AS (
