@@ -23,11 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, ids_of, plain, ship, slices, stored, words_of
+from .batches import NO_ID, plain, ship, slices, stored, words_of
 
 ORDER = 5
 #: Strings in the trie at most: 16 bytes each on the driver and in every worker.
-MAX_NODES = 2_000_000
+MAX_NODES = 1_000_000
 #: Bytes that UTF-8 never has: before and after each text.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
@@ -104,7 +104,7 @@ class Trie(NamedTuple):
 
 def build(strings: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
     """The trie of these strings by context length 0, 1, ...; each list sorted, shorter ones hold all suffixes."""
-    log = lambda x: np.log10(np.maximum(x, 1e-300))
+    log = lambda x: np.log10(np.maximum(x, 1e-30)).astype(np.float32)
     direct, after, contexts, escape, rest, onward = [], [], [], [], [], []
     totals, distinct = [], []
     for k, (keys, n) in enumerate(zip(strings, counts)):
@@ -119,8 +119,8 @@ def build(strings: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
         after.append(log(n - DISCOUNT))
         escape.append(log(DISCOUNT * kinds) - log(total))
         if k == 0:
-            rest.append(np.zeros(len(own)))
-            onward.append(np.zeros(len(own)))
+            rest.append(np.zeros(len(own), np.float32))
+            onward.append(np.zeros(len(own), np.float32))
             continue
         # What the shorter context says of the bytes known here: these are excluded after an escape.
         mask = (1 << (8 * k)) - 1
@@ -131,7 +131,7 @@ def build(strings: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
         left = totals[k - 1][up] - known
         rest.append(log(np.maximum(left, 1)))
         # With nothing fresh there, the escape goes on for certain.
-        onward.append(np.where(fresh > 0, log(DISCOUNT * np.maximum(fresh, 1)) - log(np.maximum(left, 1)), 0.0))
+        onward.append(np.where(fresh > 0, log(DISCOUNT * np.maximum(fresh, 1)) - log(np.maximum(left, 1)), np.float32(0)))
     seen = np.array([int(distinct[0][0]) if len(distinct[0]) else 0])
     return Trie(strings, direct, after, contexts, escape, rest, onward, seen)
 
@@ -233,7 +233,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rare(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """Per slice: words that are not common, each with the documents that have it and how often."""
     for batch in slices(batches, limit=8 << 20):
-        ids = ids_of(batch.column("id"))
+        ids = batch.column("_key").to_numpy(zero_copy_only=False)
         words = words_of(pc.ascii_lower(plain(batch.column("text"))))
         codes, distinct = words.coded()
         rare = np.fromiter((w not in common for w in distinct.to_pylist()), bool, len(distinct))
@@ -279,20 +279,20 @@ def _based(batches: Iterator[pa.RecordBatch], common: dict[str, int], ends: int,
         columns = {name: batch.column(name) for name in batch.schema.names}
         columns |= {
             "n_tokens": pa.array(tokens, pa.int64()),
-            "sure": pa.array(hits[words.starts[1:]] - hits[words.starts[:-1]] + (1 if ends else 0), pa.int64()),
-            "part": pa.array(run[words.starts[1:]] - run[words.starts[:-1]] + math.log10(ends + 1) - tokens * floor),
+            "_sure": pa.array(hits[words.starts[1:]] - hits[words.starts[:-1]] + (1 if ends else 0), pa.int64()),
+            "_part": pa.array(run[words.starts[1:]] - run[words.starts[:-1]] + math.log10(ends + 1) - tokens * floor),
         }
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def word_scores(docs: DataFrame, training: DataFrame, most: int = 100_000, texts: DataFrame | None = None) -> DataFrame:
-    """``docs`` (id, text, ...) with n_tokens, n_known, train_tokens and base_score under smoothed word counts of ``training``.
+    """``docs`` (_key, text, ...) with n_tokens, n_known, train_tokens and base_score under smoothed word counts of ``training``.
 
     Tokens are words in lower case (A to Z) and one end for each text; a token's log10 probability is that of
     (c + 1) / (N + V + 1). The ``most`` most frequent words go to every executor, a bound that holds at any size;
     all other words meet their counts in a join, each word of a slice once with the documents that have it. Rows that
     share an id are taken together for what rare words add, so ids must be unique for exact scores. ``texts`` may give
-    id and text of the same rows from where they are cheaper to read.
+    _key and text of the same rows from where they are cheaper to read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -302,24 +302,28 @@ def word_scores(docs: DataFrame, training: DataFrame, most: int = 100_000, texts
     total, kinds = words + ends, kinds + (1 if ends else 0)
     common = {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()}
     sent = spark.sparkContext.broadcast(common)
-    rare = (docs if texts is None else texts).select("id", "text").mapInArrow(lambda batches: _rare(batches, sent.value), "word string, ids array<long>, times array<int>")
+    rare = (docs if texts is None else texts).select("_key", "text").mapInArrow(lambda batches: _rare(batches, sent.value), "word string, ids array<long>, times array<int>")
     met = rare.join(counts, "word").select("ids", "times", "n")
     gains = met.mapInArrow(_summed, "id long, gain double, known long")
-    gains = gains.groupBy("id").agg(F.sum("gain").alias("gain"), F.sum("known").alias("known")).withColumnRenamed("id", "_id")
+    gains = gains.groupBy("id").agg(F.sum("gain").alias("_gain"), F.sum("known").alias("_known")).withColumnRenamed("id", "_id")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    based = docs.mapInArrow(lambda batches: _based(batches, sent.value, ends, total, kinds), f"{fields}, n_tokens long, sure long, part double")
-    joined = based.drop("text").join(gains, F.col("id") == F.col("_id"), "left")
+    based = docs.mapInArrow(lambda batches: _based(batches, sent.value, ends, total, kinds), f"{fields}, n_tokens long, _sure long, _part double")
+    joined = based.drop("text").join(gains, F.col("_key") == F.col("_id"), "left")
     return joined.select(
         *[c for c in docs.columns if c != "text"],
         "n_tokens",
-        (F.col("sure") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        (F.col("_sure") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
+        (F.col("_part") + F.coalesce("_gain", F.lit(0.0))).alias("base_score"),
     )
 
 
 def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """Both scores of each row of ``docs`` (doc_id, text, ...); the text is not returned."""
+    """Both scores of each row of ``docs`` (doc_id, text, ...), learning from all rows of ``training`` (text).
+
+    The text is not returned. Columns with the names of results are replaced, all others stay.
+    """
+    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     trie = train(training)
-    keyed = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return word_scores(score(keyed, trie), training, texts=keyed).drop("id")
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return word_scores(score(keyed, trie), training, texts=keyed).drop("_key")
