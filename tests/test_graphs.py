@@ -11,6 +11,7 @@ from tripleloom.operators.graph import (
     Literal,
     Pattern,
     bgp_join,
+    solutions,
     construct,
     delete_data,
     describe_node,
@@ -78,7 +79,7 @@ def brute_force(rows, patterns):
 )
 def test_patterns(spark, random_rows, patterns):
     expected = brute_force(random_rows, patterns)
-    made = bgp_join(graph(spark, random_rows), patterns)
+    made = solutions(bgp_join(graph(spark, random_rows), patterns))
     names = made.columns
     got = sorted(tuple(row[name] for name in names) for row in made.collect())
     assert got == sorted(tuple(solution["?" + name][1] for name in names) for solution in expected)
@@ -161,7 +162,7 @@ def test_store(spark, tmp_path):
     path = str(tmp_path / "store")
     first = graph(spark, [("a", "p", "b", "uri", None, None)])
     second = first.withColumn("graph", F.lit("http://x/other graph?"))
-    publish_graphs(first.unionByName(second), path, cluster=True)
+    publish_graphs(first.unionByName(second), path)
     publish_graphs(first.limit(0), path)
     assert read_graphs(spark, path).count() == 2
     one = read_graphs(spark, path, "http://x/other graph?")

@@ -1,7 +1,7 @@
 """The declared example: its document, its triples, and the plan shapes."""
 
 import pytest
-from fixtures import GOLDEN, PEOPLE_DDL, ROWS, SCHEMES, D, declare
+from fixtures import GAUGES_DDL, GOLDEN, ROWS, SCHEMES, D, declare
 from pyspark.sql import functions as F
 
 from tripleloom import Mapper, plan_mapping, schemes_frame, specs_frame
@@ -22,8 +22,8 @@ def rows(df, *columns):
 
 
 @pytest.fixture
-def people(spark):
-    return spark.createDataFrame(ROWS, PEOPLE_DDL)
+def gauges(spark):
+    return spark.createDataFrame(ROWS, GAUGES_DDL)
 
 
 def test_document(spark):
@@ -32,7 +32,7 @@ def test_document(spark):
 
 
 def test_document_without_columns(spark):
-    spec = Mapper().dataset("a.b").subject_identifier(column="id", scheme="sea:mmsi").column("x").ignore().spec()
+    spec = Mapper().dataset("a.b").subject_identifier(column="id", scheme="hydro:gauge").column("x").ignore().spec()
     text = render_rml(specs_frame(spark, [spec]), schemes_frame(spark, SCHEMES)).first().rml
     assert text.endswith("        rr:class <https://data-pipeline.local/ontology/Dataset>\n    ] .\n")
     assert 'rml:source "s3a://a/b"' in text and "unityCatalogColumn" not in text
@@ -42,7 +42,7 @@ def test_declarations_that_share_an_id_stay_apart(spark):
     from tripleloom.operators.registry import register_batch
 
     make = lambda comment: (
-        Mapper().dataset("a.b.c").subject_identifier(column="id", scheme="sea:mmsi").column("x", "INT", comment).literal(predicate="p").spec()
+        Mapper().dataset("a.b.c").subject_identifier(column="id", scheme="hydro:gauge").column("x", "INT", comment).literal(predicate="p").spec()
     )
     specs = specs_frame(spark, [make("one"), make("two"), make("two")])
     schemes = schemes_frame(spark, SCHEMES)
@@ -53,27 +53,27 @@ def test_declarations_that_share_an_id_stay_apart(spark):
     assert all(event.payload.count(comment) == event.rml.count(comment) for event in events for comment in ("one", "two"))
 
 
-def test_triples(people):
+def test_triples(gauges):
     plan = plan_mapping(declare().spec(), SCHEMES)
-    made = materialize(people, plan, "g")
-    assert made.count() == 20 == distinct_triples(made).count()
-    subject = "https://data-pipeline.local/resource/dataset/1"
+    made = materialize(gauges, plan, "g")
+    assert made.count() == 15 == distinct_triples(made).count()
+    subject = "https://rivers.example/gauge/K-17"
     assert rows(made.where(F.col("s") == subject), "p", "o", "o_type", "o_datatype", "o_lang") == sorted(
         [
-            (RDF_TYPE, D + "Dataset", "uri", None, None),
-            (D + "datasetId", "1", "literal", XSD + "integer", None),
-            (D + "name", "Ada", "literal", XSD + "string", None),
-            (D + "age", "37", "literal", XSD + "integer", None),
-            (D + "classifiedAs", D + "LocationAttribute", "uri", None, None),
+            (RDF_TYPE, D + "Gauge", "uri", None, None),
+            (D + "code", "K-17", "literal", XSD + "string", None),
+            (D + "river", "Ammer", "literal", XSD + "string", None),
+            (D + "depth", "1.25", "literal", XSD + "double", None),
+            (D + "inBasin", "https://rivers.example/basin/3", "uri", None, None),
         ],
         key=str,
     )
 
 
-def test_shapes_agree(spark, people):
+def test_shapes_agree(spark, gauges):
     plan = plan_mapping(declare().spec(), SCHEMES)
-    odd = people.unionByName(people).unionByName(
-        spark.createDataFrame([(5, None, None, None), (None, "X", 1, "Y")], PEOPLE_DDL)
+    odd = gauges.unionByName(gauges).unionByName(
+        spark.createDataFrame([("Z", None, None, None, None), (None, "X", 1.0, 1, "Y")], GAUGES_DDL)
     )
     whole = materialize(odd, plan, "g")
     branches = materialize(odd, plan, "g", shape="branches")
@@ -143,10 +143,10 @@ def test_subject_bound(spark, iri, count):
     assert made.count() == count
 
 
-def test_reading_a_document_back(spark, people):
+def test_reading_a_document_back(spark, gauges):
     corpus = corpus_of(render_rml(specs_frame(spark, [declare().spec()]), schemes_frame(spark, SCHEMES)))
     [(name, source, plan)] = plans_from_rml(corpus)
-    assert (name, source) == ("mapping-unity-default-example_dataset", "s3a://delta/example-dataset")
+    assert (name, source) == ("mapping-unity-default-gauges", "s3a://rivers/gauges")
     assert plan == plan_mapping(declare().spec(), SCHEMES)
     assert mapping_projections(corpus).count() == 1
 

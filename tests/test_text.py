@@ -84,13 +84,14 @@ def test_prefixes(spark):
 def test_ontology(spark):
     classes = ontology_classes(corpus(spark, ONTOLOGY))
     assert {(row.label, row.comment) for row in classes.collect()} == {
-        ("Dataset", "A governed dataset."),
-        ("Catalog projection", "Derived metadata."),
+        ("River gauge", "A place where water levels are read."),
+        ("Basin", ""),
+        ("Reading", "One level at one time."),
     }
-    assert ontology_summary(classes, schemes_frame(spark, SCHEMES)).first() == (2, 3)
-    terms = spark.createDataFrame([("Dataset",), ("ontology/Dataset",), ("set",)], "term string")
+    assert ontology_summary(classes, schemes_frame(spark, SCHEMES)).first() == (3, 2)
+    terms = spark.createDataFrame([("Gauge",), ("ontology/Gauge",), ("auge",)], "term string")
     found = {row.term: row.label for row in term_lookup(terms, classes).collect()}
-    assert found == {"Dataset": "Dataset", "ontology/Dataset": "Dataset", "set": None}
+    assert found == {"Gauge": "River gauge", "ontology/Gauge": "River gauge", "auge": None}
 
 
 def test_later_class_wins_but_keeps_its_place(spark):
@@ -105,7 +106,7 @@ def test_escaped_quotes_cut_an_annotation(spark):
     spec = (
         Mapper()
         .dataset("a.b.c")
-        .subject_identifier(column="id", scheme="sea:mmsi")
+        .subject_identifier(column="id", scheme="hydro:gauge")
         .column("x", "STRING", 'say "hi" now')
         .classification(term="")
         .column("y:z", "INT", "a: b: c")

@@ -30,7 +30,7 @@ def workspace(spark, tmp_path):
 @pytest.fixture
 def clean_catalog(spark):
     yield
-    spark.sql("DROP TABLE IF EXISTS spark_catalog.default.example_dataset")
+    spark.sql("DROP TABLE IF EXISTS spark_catalog.default.gauges")
 
 
 def test_register_and_project(spark, workspace, clean_catalog):
@@ -39,29 +39,29 @@ def test_register_and_project(spark, workspace, clean_catalog):
     assert done["mapping"]["status"] == "active"
     assert done["validation"] == {"valid": True, "projection_count": 1, "warnings": []}
     assert workspace.rml(mapping_id) == GOLDEN
-    assert done["projection"]["created"] == ["spark_catalog.default.example_dataset"]
+    assert done["projection"]["created"] == ["spark_catalog.default.gauges"]
     assert workspace.job(done["projection"]["id"])["mapping_count"] == 1
 
-    table = spark.table("spark_catalog.default.example_dataset")
+    table = spark.table("spark_catalog.default.gauges")
     assert [(f.name, f.dataType.simpleString()) for f in table.schema.fields] == [
-        ("id", "int"), ("name", "string"), ("age", "int"), ("city", "string"),
+        ("code", "string"), ("river", "string"), ("depth", "double"), ("basin", "int"),
     ]
     properties = {
-        row.key: row.value for row in spark.sql("SHOW TBLPROPERTIES spark_catalog.default.example_dataset").collect()
+        row.key: row.value for row in spark.sql("SHOW TBLPROPERTIES spark_catalog.default.gauges").collect()
     }
-    assert properties["semantic.class"] == D + "Dataset" and properties["semantic.label"] == "Dataset"
+    assert properties["semantic.class"] == D + "Gauge" and properties["semantic.label"] == "River gauge"
 
     # The published graph can be asked like any other.
     graph = workspace.graph()
     assert graph.where((F.col("p") == RDF_TYPE) & (F.col("o") == RR + "TriplesMap")).count() == 1
     assert graph.where(F.col("p") == RR + "predicateObjectMap").count() == 4
-    assert graph.where((F.col("p") == RR + "predicate") & (F.col("o") == D + "age")).count() == 1
+    assert graph.where((F.col("p") == RR + "predicate") & (F.col("o") == D + "depth")).count() == 1
     assert graph.select("graph").distinct().collect() == [(MAPPINGS_GRAPH,)]
 
     # A second run only checks; changed properties stop it, and no job is logged then.
     assert workspace.project([mapping_id])["created"] == []
     jobs = workspace.jobs().count()
-    spark.sql("ALTER TABLE spark_catalog.default.example_dataset SET TBLPROPERTIES ('semantic.label' = 'X')")
+    spark.sql("ALTER TABLE spark_catalog.default.gauges SET TBLPROPERTIES ('semantic.label' = 'X')")
     with pytest.raises(RuntimeError, match="semantic.label"):
         workspace.project()
     assert workspace.jobs().count() == jobs
@@ -74,7 +74,7 @@ def test_lifecycle(workspace):
     assert (first["source"], first["status"], first["payload"]) == ("rml", "draft", None)
     assert first["validation"]["projection_count"] == 0
     assert [row.id for row in workspace.list().collect()] == sorted([first["id"], second["id"]])
-    assert [row.id for row in workspace.list("unity.default.example_dataset").collect()] == [second["id"]]
+    assert [row.id for row in workspace.list("unity.default.gauges").collect()] == [second["id"]]
 
     Mapper(workspace).activate_mapping(first)
     before = workspace.graph().count()
@@ -106,18 +106,18 @@ def test_lifecycle(workspace):
     with pytest.raises(ValueError, match="ttl is required"):
         workspace.register_document(" \n")
     with pytest.raises(ValueError, match="Unknown ontology"):
-        Mapper(workspace, ontology="x").dataset("a.b.c").subject_identifier(column="i", scheme="sea:mmsi").register()
+        Mapper(workspace, ontology="x").dataset("a.b.c").subject_identifier(column="i", scheme="hydro:gauge").register()
 
 
 def test_unknown_class_is_a_warning(workspace):
-    spec = Mapper(workspace).dataset("a.b.c").row_subject(rdf_class="x:Y").subject_identifier(column="i", scheme="sea:mmsi")
+    spec = Mapper(workspace).dataset("a.b.c").row_subject(rdf_class="x:Y").subject_identifier(column="i", scheme="hydro:gauge")
     assert spec.register()["validation"]["warnings"] == [f"Class not found in ontology: {D}x/Y"]
 
 
 def test_ontology(workspace):
-    assert workspace.summary()["class_count"] == 2 and workspace.summary()["identifier_scheme_count"] == 3
-    assert workspace.term("Dataset")["iri"] == D + "Dataset"
-    assert {row.prefix for row in workspace.prefixes().collect()} == {"dpa", "dcterms", "owl", "rdfs"}
+    assert workspace.summary()["class_count"] == 3 and workspace.summary()["identifier_scheme_count"] == 2
+    assert workspace.term("Gauge")["iri"] == D + "Gauge"
+    assert {row.prefix for row in workspace.prefixes().collect()} == {"dpa", "owl", "rdfs"}
     with pytest.raises(ValueError):
         workspace.term("Nothing")
 

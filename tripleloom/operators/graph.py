@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import contains_ignoring_case, iri_label
-from ..vocab import DRAW_LIMIT, FETCH_LIMIT, RDF_TYPE, TRIPLE_COLUMNS
+from ..vocab import DRAW_LIMIT, FETCH_LIMIT, RDF_TYPE, TRIPLE_COLUMNS, XSD
 
 TERM_ORDER = ("s", "p", "o", "o_type", "o_datatype", "o_lang")
 
@@ -114,23 +114,38 @@ def order_patterns(patterns: Sequence[Pattern], predicate_counts: Mapping[str, i
     return sorted(patterns, key=lambda pattern: predicate_counts.get(pattern.p, float("inf")))
 
 
-def bgp_join(triples: DataFrame, patterns: Sequence[Pattern], typed: Iterable[str] = ()) -> DataFrame:
+def merged(triples: DataFrame) -> DataFrame:
+    """All graphs as one set: a triple that several of them hold is one triple here.
+
+    Ask this where graphs may share triples; patterns over several graphs match
+    a triple once for each graph that has it.
+    """
+    return triples.select(*TERM_ORDER).distinct().withColumn("graph", F.lit(None).cast("string")).select(*TRIPLE_COLUMNS)
+
+
+def bgp_join(
+    triples: DataFrame, patterns: Sequence[Pattern], typed: Iterable[str] = (), counts: Mapping[str, int] | None = None
+) -> DataFrame:
     """All ways to match the patterns together, one column per variable.
 
-    Patterns must hang together through their variables. Parts that do not are
-    separate questions, and pairing all their answers is refused.
+    A variable that stands only for objects has its kind of term beside it
+    (``name_kind``), so that later steps can tell literals from resources;
+    :func:`solutions` drops the kinds in the end. With ``counts`` of predicates
+    the rarest pattern comes first. Patterns must hang together through their
+    variables. Parts that do not are separate questions, and pairing all their
+    answers is refused.
     """
     if not patterns:
         raise ValueError("no pattern given")
+    if counts is not None:
+        patterns = order_patterns(patterns, counts)
     places: dict[str, list[str]] = {}
     for pattern in patterns:
         for column, term in pattern.cells():
             if _is_variable(term):
                 places.setdefault(term[1:], []).append(column)
     resources = {name for name, columns in places.items() if set(columns) - {"o"}}
-    shared_objects = {name for name, columns in places.items() if name not in resources and len(columns) > 1}
-    kept = set(typed)
-    wanted = shared_objects | kept
+    wanted = (set(places) - resources) | set(typed)
 
     def bound(pattern: Pattern) -> DataFrame:
         return bindings(triples, pattern, resources=resources, typed=wanted)
@@ -142,24 +157,86 @@ def bgp_join(triples: DataFrame, patterns: Sequence[Pattern], typed: Iterable[st
         position = next((i for i, pattern in enumerate(rest) if known & set(pattern.variables())), None)
         if position is None:
             raise ValueError("patterns share no variable; ask them as separate queries")
-        joined = _compatible_join(joined, bound(rest.pop(position)), "inner")
-    return joined.drop(*[_kind(name) for name in wanted - kept])
+        right = bound(rest.pop(position))
+        joined = joined.join(right, [name for name in joined.columns if name in right.columns], "inner")
+    return joined
+
+
+def solutions(found: DataFrame) -> DataFrame:
+    """The variables alone, without their kinds."""
+    return found.drop(*[_kind(name) for name in found.columns if _kind(name) in found.columns])
+
+
+def _variables(found: DataFrame) -> list[str]:
+    return [name for name in found.columns if not (name.endswith("_kind") and name.removesuffix("_kind") in found.columns)]
+
+
+def _alike(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with kinds for every shared variable that one of them has a kind of, and the shared variables."""
+    names = [name for name in _variables(left) if name in _variables(right)]
+    for name in names:
+        kind = F.when(F.col(name).startswith("_:"), "bnode").when(F.col(name).isNotNull(), "uri").alias(_kind(name))
+        if _kind(name) in left.columns and _kind(name) not in right.columns:
+            right = right.select("*", kind)
+        if _kind(name) in right.columns and _kind(name) not in left.columns:
+            left = left.select("*", kind)
+    return left, right, names
+
 
+def _by_bound(found: DataFrame, names: list[str], unbound: set[str]) -> list[tuple[DataFrame, list[str]]]:
+    """``found`` in parts by which of the variables that may be null are bound, with the bound ones of each part."""
+    parts = [(found, [name for name in names if name not in unbound])]
+    for name in (n for n in names if n in unbound):
+        parts = [
+            part
+            for frame, bound in parts
+            for part in ((frame.where(F.col(name).isNotNull()), [*bound, name]), (frame.where(F.col(name).isNull()), bound))
+        ]
+    return parts
 
-def _shared(left: DataFrame, right: DataFrame) -> list[str]:
-    return [name for name in left.columns if name in right.columns]
 
+def _pairs(left: DataFrame, right: DataFrame, names: list[str], unbound: Iterable[str]):
+    """For each part of the left side: the part, and the parts of the right side with the variables both have bound."""
+    nullable = set(unbound)
+    rights = _by_bound(right, names, nullable)
+    for part, bound in _by_bound(left, names, nullable):
+        yield part, [(other, [name for name in bound if name in known]) for other, known in rights]
 
-def _compatible_join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on all shared columns, kinds included."""
-    return left.join(right, _shared(left, right), how)
 
+def _columns_of(names: list[str], frame: DataFrame) -> list[str]:
+    return [column for name in names for column in (name, _kind(name)) if column in frame.columns]
 
-def optional(left: DataFrame, right: DataFrame) -> DataFrame:
-    """OPTIONAL: every left solution, extended where right ones fit."""
-    if not _shared(left, right):
-        raise ValueError("OPTIONAL part shares no variable")
-    return _compatible_join(left, right, "left_outer")
+
+def optional(left: DataFrame, right: DataFrame, unbound: Iterable[str] = ()) -> DataFrame:
+    """OPTIONAL: every left solution, extended where right ones are compatible.
+
+    Name in ``unbound`` the shared variables that may be null on either side,
+    after another OPTIONAL or a UNION: a null fits anything, and takes the
+    other side's value. Each choice of bound ones is a join of its own, so the
+    list should be short. If no shared variable is sure to be bound, all
+    solutions could pair, which is refused.
+    """
+    unbound = set(unbound)
+    left, right, names = _alike(left, right)
+    if not set(names) - unbound:
+        raise ValueError("OPTIONAL part shares no variable that is always bound")
+    whole = list(dict.fromkeys([*left.columns, *right.columns]))
+    made = []
+    for part, others in _pairs(left, right, names, unbound):
+        alone = part
+        for other, keys in others:
+            on = _columns_of(keys, part)
+            taken = other.select(*[F.col(c).alias(c if c in on else f"_right_{c}") for c in other.columns])
+            joined = part.join(taken, on, "inner" if len(others) > 1 else "left_outer")
+            value = lambda c: (
+                F.col(c) if c in on or c not in other.columns else F.col(f"_right_{c}") if c not in part.columns else F.coalesce(c, f"_right_{c}")  # noqa: B023
+            )
+            made.append(joined.select(*[value(c).alias(c) for c in whole]))
+            if len(others) > 1:
+                alone = alone.join(_keys(other, on), on, "left_anti")
+        if len(others) > 1:
+            made.append(alone.select(*[(F.col(c) if c in alone.columns else F.lit(None).cast(right.schema[c].dataType)).alias(c) for c in whole]))
+    return reduce(DataFrame.unionByName, made)
 
 
 def _keys(right: DataFrame, names: list[str]) -> DataFrame:
@@ -170,22 +247,51 @@ def _keys(right: DataFrame, names: list[str]) -> DataFrame:
     return right.select(*names).distinct()
 
 
-def minus(left: DataFrame, right: DataFrame) -> DataFrame:
-    """MINUS: without shared variables nothing is taken away."""
-    names = _shared(left, right)
-    return left.join(_keys(right, names), names, "left_anti") if names else left
-
-
-def exists(left: DataFrame, right: DataFrame) -> DataFrame:
-    """FILTER EXISTS"""
-    names = _shared(left, right)
-    return left.join(_keys(right, names), names, "left_semi")
-
+def minus(left: DataFrame, right: DataFrame, unbound: Iterable[str] = ()) -> DataFrame:
+    """MINUS: without solutions that are compatible with a right one and share a bound variable with it.
 
-def not_exists(left: DataFrame, right: DataFrame) -> DataFrame:
-    """FILTER NOT EXISTS"""
-    names = _shared(left, right)
-    return left.join(_keys(right, names), names, "left_anti")
+    ``unbound`` as for :func:`optional`; solutions that share nothing bound stay.
+    """
+    columns = left.columns
+    left, right, names = _alike(left, right)
+    made = []
+    for part, others in _pairs(left, right, names, unbound):
+        for other, keys in others:
+            if keys:
+                on = _columns_of(keys, part)
+                part = part.join(_keys(other, on), on, "left_anti")
+        made.append(part)
+    return reduce(DataFrame.unionByName, made).select(*columns)
+
+
+def _filtered(left: DataFrame, right: DataFrame, unbound: Iterable[str], wanted: bool) -> DataFrame:
+    columns = left.columns
+    left, right, names = _alike(left, right)
+    made = []
+    for part, others in _pairs(left, right, names, unbound):
+        rest = part
+        for other, keys in others:
+            on = _columns_of(keys, part)
+            if keys:
+                if wanted:
+                    made.append(rest.join(_keys(other, on), on, "left_semi"))
+                rest = rest.join(_keys(other, on), on, "left_anti")
+            elif not other.limit(1).isEmpty():
+                # Nothing bound is shared: any right solution fits every left one.
+                made += [rest] if wanted else []
+                rest = rest.where(F.lit(False))
+        made += [] if wanted else [rest]
+    return reduce(DataFrame.unionByName, made).select(*columns) if made else left.where(F.lit(False)).select(*columns)
+
+
+def exists(left: DataFrame, right: DataFrame, unbound: Iterable[str] = ()) -> DataFrame:
+    """FILTER EXISTS: solutions with a compatible right one; ``unbound`` as for :func:`optional`."""
+    return _filtered(left, right, unbound, True)
+
+
+def not_exists(left: DataFrame, right: DataFrame, unbound: Iterable[str] = ()) -> DataFrame:
+    """FILTER NOT EXISTS: solutions without a compatible right one."""
+    return _filtered(left, right, unbound, False)
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -199,17 +305,27 @@ def top_k(solutions: DataFrame, order: Sequence[Column], limit: int, offset: int
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
-def number(value: str | Column, as_type: str = "double") -> Column:
-    """Numeric value of a literal, null where its text is none."""
-    column = F.col(value) if isinstance(value, str) else value
-    return column.try_cast(as_type)
+#: Datatypes whose literals count as numbers.
+NUMERIC = [XSD + name for name in "integer decimal double float long int short byte nonNegativeInteger positiveInteger".split()]
+
+
+def number(name: str, as_type: str = "double") -> Column:
+    """Numeric value of a variable whose kind is at hand; null unless it is a literal of a numeric datatype."""
+    kind = F.col(_kind(name))
+    numeric = F.startswith(kind, F.lit("literal^")) & F.substring_index(F.substring_index(kind, "^", -1), "@", 1).isin(NUMERIC)
+    return F.when(numeric, F.col(name).try_cast(as_type))
+
+
+def object_number(as_type: str = "double") -> Column:
+    """The same for the object of a triple."""
+    return F.when((F.col("o_type") == "literal") & F.col("o_datatype").isin(NUMERIC), F.col("o").try_cast(as_type))
 
 
 def construct(solutions: DataFrame, templates: Sequence[Pattern], graph: str) -> DataFrame:
     """CONSTRUCT: the triples the templates make of each solution, as a set.
 
-    A triple with an unbound part is left out. An object variable is a resource
-    unless its solution column has a ``_kind`` beside it.
+    A triple with an unbound part is left out. An object variable is what its
+    ``_kind`` says, and a resource where it stood for a subject or predicate.
     """
 
     def cell(term: str | Literal) -> Column:
@@ -226,7 +342,7 @@ def construct(solutions: DataFrame, templates: Sequence[Pattern], graph: str) ->
         elif _is_variable(template.o) and _kind(template.o[1:]) in solutions.columns:
             kind = F.col(_kind(template.o[1:]))
             detail = F.substring_index(kind, "^", -1)
-            o_type = F.substring_index(kind, "^", 1)
+            o_type = F.substring_index(F.coalesce(kind, F.lit("uri")), "^", 1)
             is_literal = o_type == "literal"
             datatype = F.when(is_literal, F.nullif(F.substring_index(detail, "@", 1), F.lit("")))
             lang = F.when(is_literal, F.nullif(F.substring_index(detail, "@", -1), F.lit("")))
@@ -251,9 +367,10 @@ def list_graphs(triples: DataFrame, containing: str = "") -> DataFrame:
     return names.orderBy("graph")
 
 
-def graph_sample(triples: DataFrame, graph: str, limit: int = FETCH_LIMIT) -> DataFrame:
-    """The first triples of a graph in term order."""
-    return triples.where(F.col("graph") == graph).orderBy(*TERM_ORDER).limit(limit)
+def graph_sample(triples: DataFrame, graph: str, limit: int | None = FETCH_LIMIT) -> DataFrame:
+    """The first triples of a graph in term order, or all of them."""
+    ordered = triples.where(F.col("graph") == graph).orderBy(*TERM_ORDER)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 _RESULT_DDL = (

@@ -6,28 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import TRIPLE_SCHEMA
+from ..session import remove_path, scratch_path
 from ..vocab import TRIPLE_COLUMNS
 
 
 def publish_graphs(
     triples: DataFrame,
     path: str,
-    cluster: bool = False,
+    is_set: bool = False,
     clear_if_empty: list[str] | None = None,
 ) -> None:
     """Replace each graph that ``triples`` has rows for; other graphs stay as they are.
 
-    Nothing to publish therefore leaves the old graph in place. Name graphs in
-    ``clear_if_empty`` to have them emptied in that case.
+    Graphs are sets: repeated triples are stored once. ``is_set`` says that the
+    input has none and spares their removal. Nothing to publish leaves the old
+    graph in place; name graphs in ``clear_if_empty`` to have them emptied in
+    that case.
 
-    Files are sorted by predicate and subject, so their statistics let a scan
-    skip row groups. ``cluster`` also range-partitions by them first: one more
-    shuffle, fewer files per graph, and the largest graph is still split.
+    Rows are dealt by ranges of graph, predicate and subject and sorted by them:
+    files of a graph stay few, the largest graph is still split, and their
+    statistics let a scan skip row groups.
     """
     laid_out = triples.select(*TRIPLE_COLUMNS)
-    if cluster:
-        laid_out = laid_out.repartitionByRange("graph", "p", "s")
-    laid_out = laid_out.sortWithinPartitions("graph", "p", "s")
+    if not is_set:
+        laid_out = laid_out.distinct()
+    laid_out = laid_out.repartitionByRange("graph", "p", "s").sortWithinPartitions("graph", "p", "s")
     (
         laid_out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -38,6 +41,14 @@ def publish_graphs(
         clear_graphs(triples.sparkSession, path, clear_if_empty, keep=triples)
 
 
+def compact_graphs(spark: SparkSession, path: str, graphs: list[str]) -> None:
+    """Write the named graphs again in the layout of :func:`publish_graphs`, after many small additions."""
+    staged = scratch_path(spark, "graph-compaction")
+    read_graphs(spark, path).where(F.col("graph").isin(graphs)).write.partitionBy("graph").parquet(staged)
+    publish_graphs(read_graphs(spark, staged), path)
+    remove_path(spark, staged)
+
+
 def clear_graphs(spark: SparkSession, path: str, graphs: list[str], keep: DataFrame | None = None) -> list[str]:
     """Empty the named graphs, except those that ``keep`` has triples of."""
     kept: set[str] = set()
@@ -47,8 +58,7 @@ def clear_graphs(spark: SparkSession, path: str, graphs: list[str], keep: DataFr
         kept = {row.graph for row in rows}
     gone = [name for name in graphs if name not in kept]
     for name in gone:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/graph={_partition_name(spark, name)}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_path(spark, f"{path}/graph={_partition_name(spark, name)}")
     return gone
 
 

@@ -30,14 +30,11 @@ from ..operators.validate import (
 from ..vocab import CSV_FORMULATION, DPA, OWL_CLASS, RDF_TYPE, RDFS_COMMENT, RML, RR, XSD
 from .data import Query, case, table
 
-# The schemes the declarations below refer to.
-DATASET = "https://data-pipeline.local/resource/dataset/{value}"
-VESSEL = "https://data-pipeline.local/resource/vessel/mmsi/{value}"
-ASSET = "https://data-pipeline.local/resource/manufacturing/asset/{value}"
+# The schemes the declarations below refer to.
 SCHEME_ROWS = [
-    ("dpa:dataset-id", "Dataset identifier", DATASET),
-    ("sea:mmsi", "Maritime Mobile Service Identity", VESSEL),
-    ("manufacturing:asset-id", "Manufacturing asset identifier", ASSET),
+    ("shop:article", "Article number", "https://parts.example/article/{value}"),
+    ("shop:bin", "Place in the store", "https://parts.example/store/bin/{value}"),
+    ("shop:brand", "Brand", "https://parts.example/brand/{value}"),
 ]
 
 
@@ -63,8 +60,8 @@ def specs(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
     """One declaration per part. With ``broken``, some of every kind of mistake."""
     key = _text("p_partkey")
     name = F.concat(F.lit("unity."), F.lower("p_type"), F.lit(".part_"), key)
-    scheme = case("p_partkey", {0: F.lit("dpa:dataset-id"), 1: F.lit(" sea:mmsi ")}, F.lit("manufacturing:asset-id"), 3)
-    id_column, name_predicate, brand_scheme = F.lit("p_partkey"), F.lit("dpa:name"), F.lit("manufacturing:asset-id")
+    scheme = case("p_partkey", {0: F.lit("shop:article"), 1: F.lit(" shop:bin ")}, F.lit("shop:brand"), 3)
+    id_column, name_predicate, brand_scheme = F.lit("p_partkey"), F.lit("dpa:name"), F.lit("shop:brand")
     ontology, profile = F.lit("manufacturing-rdl"), F.lit("spark-delta")
     if broken:
         name = case("p_partkey", {0: F.lit("  ")}, name, 11)
@@ -127,7 +124,7 @@ _F = f"""
 SELECT p_partkey AS k, p_type, p_name, p_brand, 'mapping-unity-' || lower(p_type) || '-part.' || p_partkey AS mapping_id,
   'unity.' || lower(p_type) || '.part_' || p_partkey AS name,
   '{DPA}' || CASE WHEN p_partkey % 4 = 0 THEN 'Dataset' ELSE p_type END AS class_iri,
-  CASE p_partkey % 3 WHEN 0 THEN 'dataset' WHEN 1 THEN 'vessel/mmsi' ELSE 'manufacturing/asset' END AS scheme_path,
+  CASE p_partkey % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'store/bin' ELSE 'brand' END AS scheme_path,
   CASE WHEN p_partkey % 4 = 1 THEN 's3://held/' || p_partkey ELSE 's3://unity/' || lower(p_type) || '/part_' || p_partkey END AS location
 FROM part
 """
@@ -150,7 +147,7 @@ SELECT mapping_id, concat_ws(chr(10),
   '        rml:referenceFormulation <{CSV_FORMULATION}>',
   '    ] ;',
   '    rr:subjectMap [',
-  '        rr:template "https://data-pipeline.local/resource/' || scheme_path || '/{{p_partkey}}" ;',
+  '        rr:template "https://parts.example/' || scheme_path || '/{{p_partkey}}" ;',
   '        rr:class <' || class_iri || '>',
   '    ] ;',
   '    rr:predicateObjectMap [', '        rr:predicate <{DPA}partKey> ;', '        rr:objectMap [',
@@ -158,7 +155,7 @@ SELECT mapping_id, concat_ws(chr(10),
   '    rr:predicateObjectMap [', '        rr:predicate <{DPA}name> ;', '        rr:objectMap [',
   '            rml:reference "p_name" ;', '            rr:datatype <{XSD}string>', '        ]', '    ] ;',
   '    rr:predicateObjectMap [', '        rr:predicate <{DPA}mfg/brand> ;', '        rr:objectMap [',
-  '            rr:template "https://data-pipeline.local/resource/manufacturing/asset/{{p_brand}}"', '        ]', '    ] ;',
+  '            rr:template "https://parts.example/brand/{{p_brand}}"', '        ]', '    ] ;',
   '    rr:predicateObjectMap [', '        rr:predicate <{DPA}classifiedAs> ;', '        rr:object <{DPA}' || p_type || '>', '    ] ;',
   '    rr:predicateObjectMap [', '        rr:predicate <https://example.org/price> ;', '        rr:objectMap [',
   '            rml:reference "p_retailprice" ;', '            rr:datatype <{XSD}decimal>', '        ]', '    ] .', '') AS rml

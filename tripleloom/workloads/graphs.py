@@ -28,15 +28,17 @@ from ..operators.graph import (
     node_degrees,
     not_exists,
     number,
+    object_number,
     optional,
     predicate_stats,
+    solutions,
     table_view,
     top_k,
     triple_pattern,
     union,
 )
 from ..operators.paths import path_closure
-from ..operators.updates import insert_into, update_graphs
+from ..operators.updates import insert_into, update_graphs, update_where
 from ..session import scratch_path
 from ..sources import publish_graphs, read_graphs
 from ..vocab import DPA, RDF_TYPE, XSD
@@ -47,6 +49,7 @@ ALL_TABLES = (*PEOPLE, "orders")
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For questions that bind a predicate: only its columns are read."""
     return triples(spark, sf_dir, *PEOPLE)
 
 
@@ -54,6 +57,11 @@ def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples(spark, sf_dir, *ALL_TABLES)
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For questions about all triples: one scan for each table."""
+    return triples(spark, sf_dir, *ALL_TABLES, shape="rows")
+
+
 def _stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stored query result per customer: two rows, the second with nothing bound to o at times."""
     customer = table(spark, sf_dir, "customer")
@@ -136,7 +144,7 @@ def with_rich_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         graph,
         [Pattern("?customer", DPA + "accountBalance", "?balance"), Pattern("?customer", DPA + "inNation", "?nation")],
     ).where(number("balance") > 9900)
-    return optional(nations, rich).select("name", "customer", "balance")
+    return solutions(optional(nations, rich)).select("name", "customer", "balance")
 
 
 def _orders_of(graph: DataFrame, status: str) -> DataFrame:
@@ -172,7 +180,7 @@ def union_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = people(spark, sf_dir)
     nations = bgp_join(graph, [Pattern("?it", DPA + "inRegion", "?region"), Pattern("?it", DPA + "name", "?name")])
     regions = bgp_join(graph, [Pattern("?it", RDF_TYPE, DPA + "Region"), Pattern("?it", DPA + "name", "?name")])
-    return union(nations, regions, regions).distinct()
+    return solutions(union(nations, regions, regions)).distinct()
 
 
 def dearest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +189,7 @@ def dearest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = bgp_join(
         graph, [Pattern("?order", DPA + "totalPrice", "?price"), Pattern("?order", DPA + "placedBy", "?customer")]
     )
-    return top_k(priced, [number("price").desc(), F.col("order")], limit=10, offset=5)
+    return top_k(priced, [number("price").desc(), F.col("order")], limit=10, offset=5).drop("price_kind")
 
 
 def balance_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +215,6 @@ def region_links(spark: SparkSession, sf_dir: str) -> DataFrame:
             Pattern("?nation", DPA + "inRegion", "?region"),
             Pattern("?customer", DPA + "name", "?name"),
         ],
-        typed=["name"],
     )
     return construct(
         found,
@@ -221,7 +228,7 @@ def region_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe_node(everything(spark, sf_dir), RESOURCE + "nation/0")
+    return describe_node(whole(spark, sf_dir), RESOURCE + "nation/0")
 
 
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +262,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o", F.concat(F.lit("The "), F.col("o"))
     )
     grown = insert_data(graph, renamed.unionByName(graph.where(F.col("p") == RDF_TYPE)))
-    poor = triple_pattern(graph, Pattern("?s", DPA + "accountBalance", "?o")).where(number("o") < 0)
+    poor = triple_pattern(graph, Pattern("?s", DPA + "accountBalance", "?o")).where(object_number() < 0)
     shrunk = delete_data(grown, poor)
     plain = delete_where(shrunk, Pattern("?s", DPA + "classifiedAs", "?o"))
     return clear_graph(plain, graph_iri("region"))
@@ -277,8 +284,99 @@ def stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_graphs(spark, path)
 
 
+def foreign_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update of the graph of regions that also writes to that of nations, which keeps what it has."""
+    path = scratch_path(spark, "store")
+    publish_graphs(people(spark, sf_dir), path)
+
+    def change(touched: DataFrame) -> DataFrame:
+        names = triple_pattern(touched, Pattern("?s", DPA + "name", "?o"))
+        return insert_data(touched, names.withColumn("p", F.lit(DPA + "regionName")).withColumn("graph", F.lit(graph_iri("nation"))))
+
+    update_graphs(spark, path, [graph_iri("region")], change)
+    return read_graphs(spark, path)
+
+
+def pattern_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances of customers become worths, where the nation is known; all else stays."""
+    path = scratch_path(spark, "store")
+    publish_graphs(people(spark, sf_dir), path)
+    update_where(
+        spark,
+        path,
+        graph_iri("customer"),
+        where=[Pattern("?customer", DPA + "accountBalance", "?balance"), Pattern("?customer", DPA + "inNation", RESOURCE + "nation/3")],
+        delete=[Pattern("?customer", DPA + "accountBalance", "?balance")],
+        insert=[Pattern("?customer", DPA + "worth", "?balance"), Pattern("?customer", DPA + "ratedIn", RESOURCE + "nation/3")],
+    )
+    return read_graphs(spark, path)
+
+
+def _rich(graph: DataFrame) -> DataFrame:
+    found = bgp_join(
+        graph,
+        [Pattern("?customer", DPA + "accountBalance", "?balance"), Pattern("?customer", DPA + "inNation", "?nation")],
+    )
+    return found.where(number("balance") > 9000).drop("balance", "balance_kind")
+
+
+def optional_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, their rich customers if any, and dear orders: of those customers, or of anyone where there are none."""
+    graph = everything(spark, sf_dir)
+    nations = bgp_join(graph, [Pattern("?nation", RDF_TYPE, DPA + "Nation"), Pattern("?nation", DPA + "name", "?name")])
+    orders = bgp_join(
+        graph,
+        [
+            Pattern("?order", DPA + "placedBy", "?customer"),
+            Pattern("?customer", DPA + "inNation", "?nation"),
+            Pattern("?order", DPA + "totalPrice", "?price"),
+        ],
+    ).where(number("price") > 400000)
+    first = optional(nations, _rich(graph))
+    return solutions(optional(first, orders, unbound=["customer"])).select("nation", "name", "customer", "order", "price")
+
+
+def minus_unbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without the rich ones, and without all of nations that have no rich one."""
+    graph = people(spark, sf_dir)
+    homes = bgp_join(graph, [Pattern("?customer", DPA + "inNation", "?nation")])
+    nations = bgp_join(graph, [Pattern("?nation", RDF_TYPE, DPA + "Nation")])
+    return minus(homes, optional(nations, _rich(graph)), unbound=["customer"])
+
+
+def literal_or_iri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that are a nation, and not only its address as text."""
+    customers = triples(spark, sf_dir, "customer")
+    homes = triple_pattern(customers, Pattern("?s", DPA + "inNation", "?o"))
+    as_text = F.pmod(F.substring_index("s", "/", -1).cast("long"), F.lit(2)) == 0
+    notes = homes.withColumns(
+        {
+            "p": F.lit(DPA + "note"),
+            "o_type": F.when(as_text, "literal").otherwise("uri"),
+            "o_datatype": F.when(as_text, F.lit(XSD + "string")),
+        }
+    )
+    noted = bgp_join(notes, [Pattern("?customer", DPA + "note", "?place")])
+    return solutions(exists(noted, bgp_join(homes, [Pattern("?other", DPA + "inNation", "?place")])))
+
+
+def typed_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances summed by nation where a third of them are plain texts, which count as no number."""
+    graph = people(spark, sf_dir)
+    as_text = (F.col("p") == DPA + "accountBalance") & (F.pmod(F.substring_index("s", "/", -1).try_cast("long"), F.lit(3)) == 0)
+    graph = graph.withColumn("o_datatype", F.when(as_text, F.lit(XSD + "string")).otherwise(F.col("o_datatype")))
+    found = bgp_join(
+        graph,
+        [Pattern("?customer", DPA + "accountBalance", "?balance"), Pattern("?customer", DPA + "inNation", "?nation")],
+    )
+    amount = number("balance", "decimal(20,2)")
+    return found.groupBy("nation").agg(
+        F.count("*").alias("n"), F.count(amount).alias("n_numbers"), F.sum(amount).cast("double").alias("total")
+    )
+
+
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_counts(everything(spark, sf_dir))
+    return graph_counts(whole(spark, sf_dir))
 
 
 _P = with_triples(*PEOPLE)
@@ -286,7 +384,7 @@ _A = with_triples(*ALL_TABLES)
 _CN = f"'{RESOURCE}customer/' || c_custkey AS customer, '{RESOURCE}nation/' || c_nationkey AS nation FROM customer"
 
 QUERIES = {
-    "list_graphs": Query(lambda s, d: list_graphs(everything(s, d)), _A + "SELECT DISTINCT graph FROM t ORDER BY graph"),
+    "list_graphs": Query(lambda s, d: list_graphs(whole(s, d)), _A + "SELECT DISTINCT graph FROM t ORDER BY graph"),
     "graph_sample": Query(
         lambda s, d: graph_sample(everything(s, d), graph_iri("customer")),
         with_triples("customer") + "SELECT * FROM t ORDER BY s, p, o LIMIT 100",
@@ -379,12 +477,47 @@ QUERIES = {
         _P + f"SELECT * FROM t WHERE graph <> '{GRAPH}region' AND p <> '{DPA}accountBalance' UNION ALL "
         f"SELECT * REPLACE ('The ' || o AS o) FROM t WHERE graph = '{GRAPH}nation' AND p = '{DPA}name'",
     ),
+    "graph_update_foreign": Query(
+        foreign_updates,
+        _P + f"SELECT * FROM t UNION ALL SELECT * REPLACE ('{GRAPH}nation' AS graph, '{DPA}regionName' AS p) "
+        f"FROM t WHERE graph = '{GRAPH}region' AND p = '{DPA}name'",
+    ),
+    "graph_update_where": Query(
+        pattern_updates,
+        _P
+        + f""", c AS (SELECT s FROM t WHERE p = '{DPA}inNation' AND o = '{RESOURCE}nation/3')
+        SELECT * REPLACE (CASE WHEN p = '{DPA}accountBalance' AND s IN (SELECT s FROM c) THEN '{DPA}worth' ELSE p END AS p) FROM t
+        UNION ALL SELECT * REPLACE ('{DPA}ratedIn' AS p) FROM t WHERE p = '{DPA}inNation' AND o = '{RESOURCE}nation/3'""",
+    ),
+    "bgp_optional_chain": Query(
+        optional_chain,
+        f"""WITH rich AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 9000),
+        dear AS (SELECT o_orderkey, o_totalprice, c_custkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 400000),
+        one AS (SELECT n_nationkey, n_name, c_custkey FROM nation LEFT JOIN rich ON c_nationkey = n_nationkey)
+        SELECT '{RESOURCE}nation/' || n_nationkey AS nation, n_name AS name,
+          '{RESOURCE}customer/' || coalesce(one.c_custkey, dear.c_custkey) AS customer,
+          '{RESOURCE}orders/' || o_orderkey AS "order", CAST(o_totalprice AS VARCHAR) AS price
+        FROM one LEFT JOIN dear ON c_nationkey = n_nationkey AND (one.c_custkey IS NULL OR one.c_custkey = dear.c_custkey)""",
+    ),
+    "bgp_minus_unbound": Query(
+        minus_unbound,
+        f"SELECT {_CN} WHERE c_acctbal <= 9000 AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)",
+    ),
+    "bgp_literal_vs_iri": Query(
+        literal_or_iri,
+        f"SELECT '{RESOURCE}customer/' || c_custkey AS customer, '{RESOURCE}nation/' || c_nationkey AS place FROM customer WHERE c_custkey % 2 = 1",
+    ),
+    "bgp_sum_typed": Query(
+        typed_sum,
+        f"""SELECT '{RESOURCE}nation/' || c_nationkey AS nation, count(*) AS n, count(*) FILTER (c_custkey % 3 <> 0) AS n_numbers,
+        CAST(sum(CAST(c_acctbal AS DECIMAL(20,2))) FILTER (c_custkey % 3 <> 0) AS DOUBLE) AS total FROM customer GROUP BY c_nationkey""",
+    ),
     "predicate_stats": Query(
-        lambda s, d: predicate_stats(everything(s, d)),
+        lambda s, d: predicate_stats(whole(s, d)),
         _A + "SELECT p, count(*) AS triple_count, count(*) FILTER (o_type = 'uri') AS resource_count FROM t GROUP BY p",
     ),
     "node_degrees": Query(
-        lambda s, d: node_degrees(everything(s, d)),
+        lambda s, d: node_degrees(whole(s, d)),
         _A + "SELECT node, CAST(sum(a) AS BIGINT) AS out_degree, CAST(sum(b) AS BIGINT) AS in_degree FROM "
         "(SELECT s AS node, 1 AS a, 0 AS b FROM t UNION ALL SELECT o, 0, 1 FROM t WHERE o_type <> 'literal') GROUP BY node",
     ),

@@ -171,7 +171,7 @@ def publish_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "graphs")
-    publish_graphs(triples(spark, sf_dir, "nation", "customer", "orders", shape="rows"), path, cluster=True)
+    publish_graphs(triples(spark, sf_dir, "nation", "customer", "orders", shape="rows"), path)
     return read_graphs(spark, path, graph_iri("customer"))
 
 
