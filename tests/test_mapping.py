@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tripleloom import Mapper, plan_mapping, schemes_frame, specs_frame
 from tripleloom.operators.materialize import distinct_triples, materialize, materialize_distinct
 from tripleloom.operators.render import render_rml
-from tripleloom.operators.rml_rules import plans_from_rml, triples_maps
+from tripleloom.operators.rml_rules import document_triples, plan_batches, plans_from_rml, rejected_documents, triples_maps
 from tripleloom.operators.turtle import corpus_of, mapping_projections
 from tripleloom.plans import expand, template_key
 from tripleloom.vocab import RDF_TYPE, XSD
@@ -207,3 +207,46 @@ def test_template_keys():
     assert template_key("http://x/{value}", "http://y/1") is None
     assert template_key("http://x/{value}/{value}", "http://x/1/1") is None
     assert template_key("ab{value}ba", "aba") is None
+
+
+HEAD = "@prefix rr: <http://www.w3.org/ns/r2rml#> .\n@prefix ex: <http://ex/> .\n"
+
+
+def documents(spark, **texts):
+    return spark.createDataFrame([(k, k, v) for k, v in texts.items()], "doc_id string, doc_order string, text string")
+
+
+def test_all_classes_and_escapes_are_read(spark):
+    text = HEAD + """<#m> a rr:TriplesMap ; dpa:unityCatalogColumn "id:INT:Key \\"id\\" x" ;
+  rr:subjectMap [ rr:template "http://ex/{id}" ; rr:class ex:A , ex:B ; rr:class ex:C ] ;
+  rr:predicateObjectMap [ rr:predicate ex:p ; rr:objectMap [ rml:reference "a\\tb\\u00e9" ] ] ."""
+    corpus = documents(spark, d=text)
+    assert rejected_documents(corpus).count() == 0
+    [(_, _, plan)] = plans_from_rml(corpus)
+    assert [rule.constant for rule in plan.rules[:3]] == ["http://ex/A", "http://ex/B", "http://ex/C"]
+    assert plan.rules[3].column == "a\tb\u00e9"
+    made = document_triples(corpus, "g")
+    assert {row.o for row in made.where(F.col("p").endswith("#class")).collect()} == {"http://ex/A", "http://ex/B", "http://ex/C"}
+    assert made.where(F.col("p").endswith("unityCatalogColumn")).first().o == 'id:INT:Key "id" x'
+
+
+def test_what_cannot_be_read_is_rejected(spark):
+    subject = 'rr:subjectMap [ rr:template "http://ex/{id}" ]'
+    corpus = documents(
+        spark,
+        fine=HEAD + f"<#m> a rr:TriplesMap ; {subject} .",
+        table=HEAD + f'<#m> a rr:TriplesMap ; rr:logicalTable [ rr:tableName "t" ] ; {subject} .',
+        other=HEAD + f'<#m> a rr:TriplesMap ; ex:note "n" ; {subject} .',
+        listed=HEAD + f"<#m> a rr:TriplesMap ; {subject} ; rr:predicateObjectMap [ rr:predicate ex:p ; rr:object ex:o ] , [ rr:predicate ex:q ; rr:object ex:o ] .",
+        renamed=HEAD.replace("rr:", "r2:") + f"<#m> a r2:TriplesMap ; {subject.replace('rr:', 'r2:')} .",
+        nothing="<a> <b> <c> .",
+    )
+    found = {row.mapping_id for row in rejected_documents(corpus).collect()}
+    assert found == {"table", "other", "listed", "renamed", "nothing"}
+
+
+def test_plans_come_in_batches(spark):
+    text = HEAD + "\n".join(f'<#m{i}> a rr:TriplesMap ; rr:subjectMap [ rr:template "http://ex/{i}/{{id}}" ] .' for i in range(7))
+    batches = list(plan_batches(documents(spark, d=text), 3))
+    assert [len(batch) for batch in batches] == [3, 3, 1]
+    assert {plan.subject_template for batch in batches for _, _, plan in batch} == {f"http://ex/{i}/{{value}}" for i in range(7)}

@@ -144,3 +144,45 @@ def test_states(spark):
     assert {key: (row.status, row.source, row.rml) for key, row in records.items()} == {
         "a": ("active", "rml", "2"), "b": ("draft", "simple", "3"), "d": ("draft", "simple", "6"),
     }
+
+
+def test_active_mappings_are_run(spark, workspace):
+    """From the registry to triples: two mappings of one graph, planned one at a time."""
+    from fixtures import GAUGES_DDL, ROWS
+
+    gauges = spark.createDataFrame(ROWS, GAUGES_DDL)
+    first, second = declare(workspace).register(), declare(workspace).register()
+    for record in (first, second):
+        workspace.activate(record["id"])
+    workspace.materialize({"s3a://rivers/gauges": gauges}.__getitem__, lambda mapping_id: "g", batch=1)
+    made = workspace.graph("g")
+    # Both say the same, and a graph is a set.
+    assert made.count() == 15 and made.where(F.col("o") == "Ammer").count() == 1
+
+
+def test_unpublishable_documents_stop_the_publication(workspace):
+    good = declare(workspace).register()
+    workspace.activate(good["id"])
+    before = workspace.graph().count()
+    bad = Mapper(workspace).register_rml(EXPERT.replace("rr:subjectMap", 'rr:logicalTable [ rr:tableName "t" ] ; rr:subjectMap'))
+    with pytest.raises(ValueError, match="logicalTable"):
+        workspace.activate(bad["id"])
+    assert [row.mapping_id for row in workspace.rejected().collect()] == [bad["id"]]
+    assert workspace.graph().count() == before
+    workspace.publish(skip_rejected=True)
+    assert workspace.graph().count() == before
+
+
+def test_updates_keep_other_graphs(spark, tmp_path):
+    from tripleloom.operators.updates import update_graphs
+    from tripleloom.sources import publish_graphs, read_graphs
+
+    ddl = "graph string, s string, p string, o string, o_type string, o_datatype string, o_lang string"
+    row = lambda g, s: (g, s, "p", "o", "uri", None, None)
+    path = str(tmp_path / "store")
+    publish_graphs(spark.createDataFrame([row("g1", "a"), row("g1", "a"), row("g2", "b"), row("g2", "c")], ddl), path)
+    assert read_graphs(spark, path, "g1").count() == 1
+    update_graphs(spark, path, ["g1"], lambda old: old.unionByName(spark.createDataFrame([row("g2", "new"), row("g2", "b")], ddl)))
+    assert {r.s for r in read_graphs(spark, path, "g2").collect()} == {"b", "c", "new"}
+    update_graphs(spark, path, ["g1"], lambda old: old.where("false"))
+    assert {r.graph for r in read_graphs(spark, path).collect()} == {"g2"}

@@ -1,12 +1,15 @@
 """Mapping documents back to runnable mappings.
 
-Handles the constructs that :mod:`.render` writes, in any layout and with any
-prefixes. A statement that uses something else is reported, not half-run.
+Handles the constructs that :mod:`.render` writes, in any layout. What uses
+anything else, or names the mapping vocabularies by other prefixes, is reported
+by :func:`rejected_documents`, not half-run and not half-published.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import expand_known_prefix
 from ..functions.iris import term_prefix
 from ..plans import MappingPlan, TripleRule
-from ..vocab import COLUMN_PATTERN, DPA, LOCATION_PATTERN, OBJECT_NAME_PATTERN, RDF_TYPE, RML, RR, TRIPLE_COLUMNS, XSD
+from ..vocab import DPA, PREFIX_PATTERN, RDF_TYPE, RML, RR, TRIPLE_COLUMNS, XSD
 from .turtle import expand_terms, ttl_prefixes, ttl_statements
 
 _QUOTED = r'"((?:[^"\\]|\\.)*)"'
@@ -29,8 +32,20 @@ _KNOWN_TERMS = (
 ).split()
 
 
+_ANNOTATIONS = "dpa:unityCatalogObject dpa:unityCatalogStorageLocation dpa:unityCatalogColumn".split()
+# Where a statement names a property: behind its subject, behind a bracket or a semicolon.
+_PROPERTY = r"(?U)(?:^\s*\S+|[;\[])\s*([\w-]*:[\w-]+)"
+_CLASS_LIST = rf"(?U)rr:class\s+{_TERM}((?:\s*,\s*{_TERM})*)"
+
+
 def _unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(.)", "$1")
+    """The characters that a quoted text stands for; its escapes are those of JSON."""
+    read = F.from_json(
+        F.concat(F.lit('["'), text, F.lit('"]')),
+        "array<string>",
+        {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"},
+    )
+    return F.when(text.contains("\\"), read[0]).otherwise(text)
 
 
 def _quoted_after(text: Column, name: str) -> Column:
@@ -50,8 +65,10 @@ def triples_maps(corpus: DataFrame) -> DataFrame:
     statement = F.col("statement")
     bare = F.regexp_replace(statement, r'"(?:[^"\\]|\\.)*"|<[^>]*>', "")
     used = F.regexp_extract_all(bare, F.lit(r"(?U)\b(?:rr|rml):\w+"), F.lit(0))
+    properties = F.regexp_extract_all(F.regexp_replace(statement, r'"(?:[^"\\]|\\.)*"', '""'), F.lit(_PROPERTY), F.lit(1))
     maps = F.regexp_extract_all(statement, F.lit(_MAP), F.lit(0))
     subject = F.regexp_extract(statement, _SUBJECT, 1)
+    classes = F.regexp_extract_all(subject, F.lit(_CLASS_LIST), F.lit(0))
     found = (
         ttl_statements(corpus)
         .where(statement.contains("rr:subjectMap"))
@@ -59,13 +76,17 @@ def triples_maps(corpus: DataFrame) -> DataFrame:
             F.col("doc_id").alias("mapping_id"),
             "stmt_pos",
             F.regexp_extract(statement, r"(?U)^\s*(\S+)", 1).alias("map_term"),
-            F.nullif(F.regexp_extract(statement, OBJECT_NAME_PATTERN, 1), F.lit("")).alias("object_name"),
-            F.nullif(F.regexp_extract(statement, LOCATION_PATTERN, 1), F.lit("")).alias("storage_location"),
-            F.regexp_extract_all(statement, F.lit(COLUMN_PATTERN), F.lit(1)).alias("annotations"),
+            _quoted_after(statement, "dpa:unityCatalogObject").alias("object_name"),
+            _quoted_after(statement, "dpa:unityCatalogStorageLocation").alias("storage_location"),
+            F.transform(
+                F.regexp_extract_all(statement, F.lit(rf"(?U)dpa:unityCatalogColumn\s+{_QUOTED}"), F.lit(1)), _unescaped
+            ).alias("annotations"),
             _quoted_after(F.regexp_extract(statement, _SOURCE, 1), "rml:source").alias("source_uri"),
             _term_after(F.regexp_extract(statement, _SOURCE, 1), "rml:referenceFormulation").alias("formulation"),
             _quoted_after(subject, "rr:template").alias("subject_template"),
-            _term_after(subject, "rr:class").alias("class_term"),
+            F.array_distinct(
+                F.flatten(F.transform(classes, lambda text: F.regexp_extract_all(F.regexp_replace(text, "^rr:class", ""), F.lit(r"<[^>]*>|[^\s,]+"), F.lit(0))))
+            ).alias("class_terms"),
             F.transform(
                 maps,
                 lambda text: F.struct(
@@ -76,7 +97,10 @@ def triples_maps(corpus: DataFrame) -> DataFrame:
                     _quoted_after(text, "rr:template").alias("template"),
                 ),
             ).alias("rules"),
-            F.array_except(used, F.array(*[F.lit(term) for term in _KNOWN_TERMS])).alias("unknown"),
+            F.array_except(
+                F.array_union(used, properties), F.array(*[F.lit(term) for term in [*_KNOWN_TERMS, *_ANNOTATIONS]])
+            ).alias("unknown"),
+            (bare.rlike(r"\]\s*,") | F.contains(statement, F.lit(f"<{RR}")) | F.contains(statement, F.lit(f"<{RML}"))).alias("other_form"),
             (F.size(maps) == F.size(F.filter(used, lambda term: term == "rr:predicateObjectMap"))).alias("all_read"),
         )
     )
@@ -86,9 +110,10 @@ def triples_maps(corpus: DataFrame) -> DataFrame:
             F.concat(F.lit("Unsupported construct: "), F.array_join(F.array_sort("unknown"), ", ")),
         )
         .when(~F.col("all_read"), F.lit("Unreadable predicate-object map"))
+        .when(F.col("other_form"), F.lit("List of objects or vocabulary without prefix"))
         .when(F.col("subject_template").isNull(), F.lit("Subject map without template"))
     )
-    return found.withColumn("problem", problem).drop("unknown", "all_read")
+    return found.withColumn("problem", problem).drop("unknown", "all_read", "other_form")
 
 
 def _slot(template: str) -> tuple[str, str]:
@@ -100,55 +125,82 @@ def _slot(template: str) -> tuple[str, str]:
     return column, template.replace("{" + column + "}", "{value}")
 
 
-def plans_from_rml(corpus: DataFrame, max_maps: int = 1000) -> list[tuple[str, str | None, MappingPlan]]:
-    """``(mapping_id, source_uri, plan)`` of each TriplesMap, in document order.
+def rejected_documents(corpus: DataFrame) -> DataFrame:
+    """``(mapping_id, problem)`` of each document that cannot be turned into triples as a whole.
 
-    The plans of a job are needed on the driver before the job can be put
-    together. Raises ``ValueError`` for a map that cannot be run, and for more
-    than ``max_maps`` of them: run such a corpus in several jobs.
+    A document is rejected for a map with a problem, for a prefix that gives a
+    mapping vocabulary another name or its name to something else, and if it has
+    no map at all.
     """
+    declared = corpus.select(F.col("doc_id").alias("mapping_id"), F.explode(F.regexp_extract_all("text", F.lit(PREFIX_PATTERN), F.lit(0))).alias("line"))
+    prefix, iri = F.regexp_extract("line", PREFIX_PATTERN, 1), F.regexp_extract("line", PREFIX_PATTERN, 2)
+    usual = F.when(prefix == "rr", F.lit(RR)).when(prefix == "rml", F.lit(RML))
+    wrong = (iri != F.coalesce(usual, iri)) | (iri.isin(RR, RML) & usual.isNull())
+    renamed = declared.where(wrong).select("mapping_id", F.concat(F.lit("Prefix of the mapping vocabulary: "), prefix).alias("problem"))
     maps = triples_maps(corpus)
-    if maps.limit(max_maps + 1).count() > max_maps:
-        raise ValueError(f"more than {max_maps} maps for one job")
+    bad = maps.where(F.col("problem").isNotNull()).select("mapping_id", "problem")
+    empty = (
+        corpus.select(F.col("doc_id").alias("mapping_id"))
+        .join(maps.select("mapping_id").distinct(), "mapping_id", "left_anti")
+        .select("mapping_id", F.lit("No TriplesMap found").alias("problem"))
+    )
+    return renamed.union(bad).union(empty).distinct()
+
+
+def plan_batches(corpus: DataFrame, size: int = 200) -> Iterator[list[tuple[str, str | None, MappingPlan]]]:
+    """``(mapping_id, source_uri, plan)`` of each TriplesMap, in document order, ``size`` of them at a time.
+
+    Plans are needed on the driver before a job can be put together; it holds
+    one batch of them, however many maps the corpus has. Raises ``ValueError``
+    for a map that cannot be run.
+    """
     terms = F.concat(
-        F.array("class_term"), F.flatten(F.transform("rules", lambda rule: F.array(rule["predicate"], rule["object"], rule["datatype"])))
+        F.col("class_terms"), F.flatten(F.transform("rules", lambda rule: F.array(rule["predicate"], rule["object"], rule["datatype"])))
     )
-    wanted = maps.select(F.explode(F.array_distinct(terms)).alias("term")).where("term is not null").distinct()
-    prefixes = ttl_prefixes(corpus)
-    known = prefixes.select(F.col("prefix").alias("_prefix"), F.col("iri").alias("_namespace"))
-    resolved = wanted.join(known, term_prefix(F.col("term")) == F.col("_prefix"), "left").select(
+    maps = triples_maps(corpus).withColumn("terms", F.array_distinct(terms))
+    wanted = maps.select("mapping_id", "stmt_pos", F.explode("terms").alias("term")).where("term is not null")
+    known = ttl_prefixes(corpus).select(F.col("prefix").alias("_prefix"), F.col("iri").alias("_namespace"))
+    # Each distinct term meets its prefix once, however many maps use it.
+    resolved = wanted.select("term").distinct().join(known, term_prefix(F.col("term")) == F.col("_prefix"), "left").select(
         "term", expand_known_prefix(F.col("term"), F.col("_namespace")).alias("iri")
     )
-    iri_of = {row.term: row.iri for row in resolved.collect()}
-
-    plans = []
-    for row in maps.orderBy("mapping_id", "stmt_pos").collect():
-        if row.problem:
-            raise ValueError(f"{row.mapping_id}: {row.problem}")
-        key, template = _slot(row.subject_template)
-        rules = []
-        if row.class_term:
-            rules.append(TripleRule(RDF_TYPE, "uri", constant=iri_of[row.class_term]))
-        for rule in row.rules:
-            predicate = iri_of[rule.predicate]
-            if rule.object is not None:
-                rules.append(TripleRule(predicate, "uri", constant=iri_of[rule.object]))
-            elif rule.template is not None:
-                column, pattern = _slot(rule.template)
-                rules.append(TripleRule(predicate, "uri", column=column, template=pattern))
-            elif rule.reference is not None:
-                datatype = iri_of[rule.datatype] if rule.datatype else None
-                rules.append(TripleRule(predicate, "literal", column=rule.reference, datatype=datatype))
-            else:
-                raise ValueError(f"{row.mapping_id}: object map without reference, template or object")
-        plans.append((row.mapping_id, row.source_uri, MappingPlan(key, template, tuple(rules))))
-    return plans
+    of_map = wanted.join(resolved, "term").groupBy("mapping_id", "stmt_pos").agg(F.map_from_entries(F.collect_list(F.struct("term", "iri"))).alias("iris"))
+    rows = maps.drop("terms").join(of_map, ["mapping_id", "stmt_pos"], "left").orderBy("mapping_id", "stmt_pos").toLocalIterator()
+    while batch := list(islice(rows, size)):
+        yield [_plan_of(row) for row in batch]
+
+
+def _plan_of(row) -> tuple[str, str | None, MappingPlan]:
+    if row.problem:
+        raise ValueError(f"{row.mapping_id}: {row.problem}")
+    iri_of = row.iris or {}
+    key, template = _slot(row.subject_template)
+    rules = [TripleRule(RDF_TYPE, "uri", constant=iri_of[term]) for term in row.class_terms]
+    for rule in row.rules:
+        predicate = iri_of[rule.predicate]
+        if rule.object is not None:
+            rules.append(TripleRule(predicate, "uri", constant=iri_of[rule.object]))
+        elif rule.template is not None:
+            column, pattern = _slot(rule.template)
+            rules.append(TripleRule(predicate, "uri", column=column, template=pattern))
+        elif rule.reference is not None:
+            datatype = iri_of[rule.datatype] if rule.datatype else None
+            rules.append(TripleRule(predicate, "literal", column=rule.reference, datatype=datatype))
+        else:
+            raise ValueError(f"{row.mapping_id}: object map without reference, template or object")
+    return row.mapping_id, row.source_uri, MappingPlan(key, template, tuple(rules))
+
+
+def plans_from_rml(corpus: DataFrame) -> list[tuple[str, str | None, MappingPlan]]:
+    """All plans of a corpus at once, for one that is known to be small."""
+    return [plan for batch in plan_batches(corpus) for plan in batch]
 
 
 def document_triples(corpus: DataFrame, graph: str, prefixes: DataFrame | None = None) -> DataFrame:
     """The mapping documents themselves as triples, to be published and queried.
 
-    Nested parts become blank nodes named after their place, so the same
+    Documents that :func:`rejected_documents` names are not, or not wholly,
+    among them. Nested parts become blank nodes named after their place, so the same
     document gives the same triples again.
     """
     if prefixes is None:
@@ -170,8 +222,8 @@ def document_triples(corpus: DataFrame, graph: str, prefixes: DataFrame | None =
         fact(source, RML + "referenceFormulation", F.col("formulation"), "term"),
         fact(s, RR + "subjectMap", subject, "bnode"),
         fact(subject, RR + "template", F.col("subject_template"), "literal"),
-        fact(subject, RR + "class", F.col("class_term"), "term"),
     )
+    classes = F.transform("class_terms", lambda term: fact(subject, RR + "class", term, "term"))
     annotations = F.transform(
         "annotations", lambda text: fact(s, DPA + "unityCatalogColumn", text, "literal")
     )
@@ -190,7 +242,7 @@ def document_triples(corpus: DataFrame, graph: str, prefixes: DataFrame | None =
         )
 
     facts = maps.select(
-        F.inline(F.concat(whole, annotations, F.flatten(F.transform("rules", of_rule)))).alias("s", "p", "raw", "kind")
+        F.inline(F.concat(whole, classes, annotations, F.flatten(F.transform("rules", of_rule)))).alias("s", "p", "raw", "kind")
     ).where(F.col("raw").isNotNull())
     terms = facts.withColumn("term", F.when(F.col("kind") == "term", F.col("raw")))
     resolved = expand_terms(terms, "term", prefixes, "iri")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +20,9 @@ from pyspark.sql.utils import AnalysisException
 from .model import EVENT_SCHEMA, JOB_SCHEMA, MappingSpec, payload_json, specs_frame
 from .operators import projection as projecting
 from .operators import registry
+from .operators.materialize import materialize_all
 from .operators.render import render_rml
-from .operators.rml_rules import document_triples
+from .operators.rml_rules import document_triples, plan_batches, rejected_documents
 from .operators.turtle import (
     bad_columns,
     corpus_of,
@@ -32,6 +33,7 @@ from .operators.turtle import (
     ttl_prefixes,
 )
 from .operators.validate import projection_errors, raise_on_error, validate_mappings, validation_summary
+from .session import remove_path, scratch_path
 from .sources.catalog import catalog_snapshot
 from .sources.graphs import publish_graphs, read_graphs
 from .vocab import MAPPINGS_GRAPH, ONTOLOGY_ID, ONTOLOGY_LABEL, PROFILES, PROJECTION_TARGET
@@ -208,15 +210,47 @@ class Workspace:
         self.publish()
         return self._require(mapping_id).asDict()
 
-    def publish(self, clear_if_empty: bool = False) -> None:
+    def rejected(self) -> DataFrame:
+        """``(mapping_id, problem)`` of active documents that cannot be published as a whole."""
+        return rejected_documents(corpus_of(registry.documents_of(registry.active_mappings(self.records()))))
+
+    def publish(self, clear_if_empty: bool = False, skip_rejected: bool = False) -> None:
         """Replace the mappings graph by the documents of all active mappings.
 
         Without any, the graph stays as it was, unless ``clear_if_empty``.
+        Raises ``ValueError`` if a document cannot be turned into triples as a
+        whole, unless told to go on without such documents.
         """
         active = registry.documents_of(registry.active_mappings(self.records()))
+        rejected = self.rejected()
+        if skip_rejected:
+            active = active.join(rejected.select(F.col("mapping_id")).distinct(), "mapping_id", "left_anti")
+        elif bad := rejected.limit(5).collect():
+            raise ValueError("; ".join(f"{row.mapping_id}: {row.problem}" for row in bad))
         triples = document_triples(corpus_of(active), MAPPINGS_GRAPH)
         publish_graphs(triples, f"{self.root}/graphs", clear_if_empty=[MAPPINGS_GRAPH] if clear_if_empty else None)
 
+    def materialize(self, tables: Callable[[str], DataFrame], graph: Callable[[str], str], batch: int = 200) -> None:
+        """Run all active mappings: the rows they describe as triples, published graph by graph.
+
+        ``tables`` gives the table of a source URI, ``graph`` names the graph of
+        a mapping id. Mappings are planned and run ``batch`` at a time into a
+        staged copy, from which each graph is published once, as a set: mappings
+        may share graphs, and a failing one leaves the old graphs in place.
+        """
+        staged = scratch_path(self.spark, "materialized")
+        corpus = corpus_of(registry.documents_of(registry.active_mappings(self.records())))
+        sources_seen = False
+        for plans in plan_batches(corpus, batch):
+            sources = {uri: tables(uri) for uri in {uri for _, uri, _ in plans if uri is not None}}
+            jobs = [(sources[uri], plan, graph(mapping_id)) for mapping_id, uri, plan in plans if uri is not None]
+            sources_seen |= bool(jobs)
+            if jobs:
+                materialize_all(jobs, shape="rows").write.mode("append").partitionBy("graph").parquet(staged)
+        if sources_seen:
+            publish_graphs(read_graphs(self.spark, staged), f"{self.root}/graphs")
+            remove_path(self.spark, staged)
+
     def graph(self, name: str = MAPPINGS_GRAPH) -> DataFrame:
         return read_graphs(self.spark, f"{self.root}/graphs", name)
 
