@@ -169,6 +169,21 @@ def log10_of(trie: Trie, strings: np.ndarray) -> np.ndarray:
     return out
 
 
+def least_count(counted: DataFrame, most: int) -> int:
+    """The least n for which at most ``most`` rows of ``counted`` (n) have n or more.
+
+    It follows from how many rows have each n, a table as short as the distinct counts, of which there are 100,000
+    at most: beyond that n is only known to be larger.
+    """
+    sizes = counted.groupBy(F.least(F.col("n"), F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows")).collect()
+    rows = 0
+    for row in sorted(sizes, key=lambda r: -r.n):
+        rows += row.rows
+        if rows > most:
+            return row.n + 1
+    return 1
+
+
 def train(texts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
     """The trie of all rows of ``texts`` (column text); null counts as the empty text."""
     ship(texts.sparkSession)
@@ -177,15 +192,7 @@ def train(texts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> T
     levels = [F.struct(F.lit(k).alias("k"), F.col("string").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("string")) for k in range(order + 1)]
     every = longest.select("n", F.explode(F.array(*levels)).alias("at")).groupBy("at.k", "at.string").agg(F.sum("n").alias("n"))
     every = stored(every, "contexts")
-    # How many strings occur once, twice, ...: the threshold follows from a table as short as its distinct counts.
-    sizes = every.groupBy(F.least(F.col("n"), F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("strings")).orderBy(F.desc("n")).collect()
-    threshold, nodes = 1, 0
-    for row in sizes:
-        nodes += row.strings
-        if nodes > max_nodes:
-            threshold = row.n + 1
-            break
-    kept = every.where(F.col("n") >= threshold).toArrow()
+    kept = every.where(F.col("n") >= least_count(every, max_nodes)).toArrow()
     level, string, n = (kept.column(c).to_numpy() for c in ("k", "string", "n"))
     strings, counts = [], []
     for k in range(order + 1):
@@ -289,7 +296,7 @@ def word_scores(docs: DataFrame, training: DataFrame, most: int = 100_000, texts
     """``docs`` (_key, text, ...) with n_tokens, n_known, train_tokens and base_score under smoothed word counts of ``training``.
 
     Tokens are words in lower case (A to Z) and one end for each text; a token's log10 probability is that of
-    (c + 1) / (N + V + 1). The ``most`` most frequent words go to every executor, a bound that holds at any size;
+    (c + 1) / (N + V + 1). The most frequent words, ``most`` at most, go to every executor, a bound that holds at any size;
     all other words meet their counts in a join, each word of a slice once with the documents that have it. Rows that
     share an id are taken together for what rare words add, so ids must be unique for exact scores. ``texts`` may give
     _key and text of the same rows from where they are cheaper to read.
@@ -300,7 +307,7 @@ def word_scores(docs: DataFrame, training: DataFrame, most: int = 100_000, texts
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = training.count()
     total, kinds = words + ends, kinds + (1 if ends else 0)
-    common = {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()}
+    common = {r.word: r.n for r in counts.where(F.col("n") >= least_count(counts, most)).collect()}
     sent = spark.sparkContext.broadcast(common)
     rare = (docs if texts is None else texts).select("_key", "text").mapInArrow(lambda batches: _rare(batches, sent.value), "word string, ids array<long>, times array<int>")
     met = rare.join(counts, "word").select("ids", "times", "n")
