@@ -1,8 +1,8 @@
 """Removing repeated byte strings with suffix arrays.
 
 Windows of ``width`` bytes go as super-k-mers to the bucket of their minimiser, so every occurrence of a window lies in
-one bucket and no text is sorted whole on one machine. In a bucket, the distinct strings that share a minimiser are
-sorted by suffix; equal windows then stand together, and all but the earliest repeat.
+one bucket and no text is sorted whole on one machine. In a bucket, stretches of distinct strings whose windows have a
+hash that others have too are sorted by suffix; equal windows then stand together, and all but the earliest repeat.
 
 The suffix array is built by linear grouping. First, suffixes are put into groups by their first byte, and the groups
 are processed from the last to the first. For each suffix of the group, the pointer to the previous suffix of a smaller
@@ -27,8 +27,8 @@ from .window_dedup import with_spans
 
 #: Bytes in a minimiser.
 MINIMISER = 20
-#: Strings of so many bytes together are sorted at a time; strings of one minimiser are never parted.
-SORTED_BYTES = 1 << 18
+#: Strings of so many bytes together are looked through and sorted at a time; those of one minimiser are never parted.
+COMPARED_BYTES, SORTED_BYTES = 1 << 20, 1 << 18
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -133,28 +133,65 @@ def _sorted_classes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndar
     return string, offset, np.concatenate([[0], np.cumsum(~equal)])[: len(array)]
 
 
+def _candidates(texts: list[bytes], width: int) -> list[tuple[int, int, int]]:
+    """(string, start, stop) of the stretches whose every window has a hash that another window has too.
+
+    Equal windows have equal hashes, so all else can be left out of the sorting.
+    """
+    data = b"".join(texts)
+    eight = _loads(data)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    counts = np.maximum(lengths - width + 1, 0)
+    firsts = np.cumsum(counts) - counts
+    at = np.repeat(begins - firsts, counts) + np.arange(int(counts.sum()))
+    sums = np.zeros(len(at), np.uint64)
+    for shift in [*range(0, width - 7, 8), width - 8]:
+        sums = sums * STEP + eight[at + shift]
+    sums = mixed(sums)
+    order = np.argsort(sums, kind="stable")
+    equal = sums[order[1:]] == sums[order[:-1]]
+    again = np.zeros(len(at), bool)
+    again[order[1:][equal]] = True
+    again[order[:-1][equal]] = True
+    string = np.repeat(np.arange(len(texts)), counts)
+    offset = at - begins[string]
+    kept = np.nonzero(again)[0]
+    string, offset = string[kept], offset[kept]
+    cut = np.ones(len(kept), bool)
+    cut[1:] = (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)
+    heads = np.nonzero(cut)[0]
+    tails = np.append(heads[1:], len(kept)) - 1
+    return list(zip(string[heads].tolist(), offset[heads].tolist(), (offset[tails] + width).tolist()))
+
+
 def byte_windows(part: Packed, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows of distinct strings: string number, offset in it, and a class number that equal windows share."""
-    order = np.argsort(part.key, kind="stable")
-    found, held, size, base = [], [], 0, 0
-
-    def sort_held() -> None:
-        nonlocal base
-        string, offset, number = _sorted_classes([part.text[i] for i in held], width)
-        found.append((np.array(held, np.int64)[string], offset, number + base))
-        base += int(number.max()) + 1 if len(number) else 0
-
-    for nth, i in enumerate(order.tolist()):
-        if held and size > SORTED_BYTES and part.key[i] != part.key[order[nth - 1]]:
-            sort_held()
-            held, size = [], 0
-        held.append(i)
-        size += len(part.text[i])
-    if held:
-        sort_held()
+    none = np.zeros(0, np.int64)
+    found, base = [(none, none, none)], 0
+    order = np.argsort(part.key, kind="stable").tolist()
+    for held in _batched(order, part.key[order], [len(part.text[i]) for i in order], COMPARED_BYTES):
+        spans = [(held[string], start, stop) for string, start, stop in _candidates([part.text[i] for i in held], width)]
+        for some in _batched(spans, part.key[[i for i, _, _ in spans]], [stop - start for _, start, stop in spans], SORTED_BYTES):
+            string, offset, number = _sorted_classes([part.text[i][start:stop] for i, start, stop in some], width)
+            at = np.array(some, np.int64)
+            found.append((at[string, 0], at[string, 1] + offset, number + base))
+            base += int(number.max()) + 1 if len(number) else 0
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _batched(items: list, keys: np.ndarray, sizes: list[int], limit: int) -> Iterator[list]:
+    """``items`` in runs of about ``limit`` bytes; those with one key, which stand together, are never parted."""
+    start, size = 0, 0
+    for i in range(len(items)):
+        if size > limit and keys[i] != keys[i - 1]:
+            yield items[start:i]
+            start, size = i, 0
+        size += sizes[i]
+    if start < len(items):
+        yield items[start:]
+
+
 def _packed(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=4 << 20):
         texts = plain(batch.column("text"))
