@@ -126,7 +126,7 @@ def test_batch_ids_are_stable(spark):
     specs = specs_frame(spark, [declare().spec()])
     make = lambda batch: register_batch(specs, schemes_frame(spark, SCHEMES), F.lit("2024-01-01").cast("timestamp"), batch=batch)
     first, again, other = (make(batch).first().mapping_id for batch in ("a", "a", "b"))
-    assert first == again != other and len(first) == 16
+    assert first == again != other and len(first) == 36
 
 
 def test_states(spark):
@@ -186,3 +186,21 @@ def test_updates_keep_other_graphs(spark, tmp_path):
     assert {r.s for r in read_graphs(spark, path, "g2").collect()} == {"b", "c", "new"}
     update_graphs(spark, path, ["g1"], lambda old: old.where("false"))
     assert {r.graph for r in read_graphs(spark, path).collect()} == {"g2"}
+
+
+def test_two_projections_of_one_table_must_agree(workspace, clean_catalog):
+    declare(workspace).register()
+    other = declare(workspace)
+    other.row_subject(rdf_class="dpa:Basin")
+    other.register()
+    with pytest.raises(RuntimeError, match="semantic.class"):
+        workspace.project()
+    assert workspace.jobs().count() == 0
+    with pytest.raises(KeyError):
+        workspace.project(["never-there"])
+
+
+def test_a_projection_of_nothing_is_a_job(workspace):
+    done = workspace.project([])
+    assert workspace.job(done["id"])["mapping_count"] == 0
+    assert workspace.job_mappings(done["id"]).count() == 0

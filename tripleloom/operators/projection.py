@@ -63,6 +63,21 @@ def desired_tables(plan: DataFrame) -> DataFrame:
     )
 
 
+def first_of_each_name(desired: DataFrame) -> DataFrame:
+    """One entry for each table name: that of the first place and class in their order."""
+    whole = F.struct(*[F.col(name) for name in desired.columns if name != "properties"], F.to_json("properties").alias("_facts"))
+    key = F.struct("storage_location", F.col("properties")["semantic.class"])
+    firsts = desired.groupBy("full_name").agg(F.min_by(whole, key).alias("first"))
+    parsed = F.from_json("first._facts", "map<string,string>").alias("properties")
+    return firsts.select(*[parsed if name == "properties" else F.col("first")[name].alias(name) for name in desired.columns])
+
+
+def name_conflicts(desired: DataFrame) -> DataFrame:
+    """Properties in which projections of one table name differ from the first of them, as drift rows."""
+    firsts = first_of_each_name(desired)
+    return property_drift(desired, firsts).distinct()
+
+
 def create_actions(desired: DataFrame, catalog: DataFrame) -> DataFrame:
     """Entries the catalog lacks. Those it has are only checked, never changed."""
     return desired.join(catalog.select("full_name"), "full_name", "left_anti")

@@ -25,8 +25,8 @@ def _events(df: DataFrame) -> DataFrame:
 
 
 def derived_id(*parts: Column) -> Column:
-    """A record id of the usual form that comes out the same when a task runs again."""
-    return F.concat(F.lit("map-"), F.substr(F.sha2(F.concat_ws("\u0000", *parts), 256), F.lit(1), F.lit(12)))
+    """A record id that comes out the same when a task runs again: 128 bits of a hash, so that batches of any size keep apart."""
+    return F.concat(F.lit("map-"), F.substr(F.sha2(F.concat_ws("\u0000", *parts), 256), F.lit(1), F.lit(32)))
 
 
 def register_batch(

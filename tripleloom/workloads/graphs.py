@@ -160,19 +160,19 @@ def without_dear_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = bgp_join(
         graph, [Pattern("?order", DPA + "placedBy", "?customer"), Pattern("?order", DPA + "totalPrice", "?price")]
     )
-    return not_exists(homes, orders.where(number("price") > 300000))
+    return solutions(not_exists(homes, orders.where(number("price") > 300000)))
 
 
 def with_open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = everything(spark, sf_dir)
     names = bgp_join(graph, [Pattern("?customer", DPA + "inNation", "?nation")])
-    return exists(names, _orders_of(graph, "P"))
+    return solutions(exists(names, _orders_of(graph, "P")))
 
 
 def minus_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = everything(spark, sf_dir)
     names = bgp_join(graph, [Pattern("?customer", DPA + "inNation", "?nation")])
-    return minus(names, _orders_of(graph, "P"))
+    return solutions(minus(names, _orders_of(graph, "P")))
 
 
 def union_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +189,7 @@ def dearest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = bgp_join(
         graph, [Pattern("?order", DPA + "totalPrice", "?price"), Pattern("?order", DPA + "placedBy", "?customer")]
     )
-    return top_k(priced, [number("price").desc(), F.col("order")], limit=10, offset=5).drop("price_kind")
+    return solutions(top_k(priced, [number("price").desc(), F.col("order")], limit=10, offset=5))
 
 
 def balance_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +341,7 @@ def minus_unbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = people(spark, sf_dir)
     homes = bgp_join(graph, [Pattern("?customer", DPA + "inNation", "?nation")])
     nations = bgp_join(graph, [Pattern("?nation", RDF_TYPE, DPA + "Nation")])
-    return minus(homes, optional(nations, _rich(graph)), unbound=["customer"])
+    return solutions(minus(homes, optional(nations, _rich(graph)), unbound=["customer"]))
 
 
 def literal_or_iri(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RML_SQL = _RML.replace("\\n", "' || chr(10) || '")
-_RECORDS = f"""
+RECORDS_SQL = f"""
 WITH e AS (
   SELECT 'map-' || user_id AS id, event_id AS n, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS moment, {_OP} AS op,
     CASE WHEN event_id % 3 = 0 THEN 'rml' ELSE 'simple' END AS source,
@@ -112,7 +112,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", "status", "valid", "projection_count", F.array_join("warnings", "|").alias("warnings"))
 
 
-_RESPONSES_SQL = f"""{_RECORDS}
+_RESPONSES_SQL = f"""{RECORDS_SQL}
 SELECT id, status, true AS valid, CAST(1 AS BIGINT) AS projection_count,
   CASE WHEN contains(rml, 'dpa:C2') THEN 'Class not found in ontology: {DPA}C2' ELSE '' END AS warnings
 FROM r
@@ -171,29 +171,29 @@ QUERIES = {
         f"'draft' AS status, 'spark-delta' AS profile, rml FROM ({documents.QUERIES['render_rml'].sql})",
     ),
     "list_mappings": Query(
-        lambda spark, sf: _shown(list_mappings(records(spark, sf))), f"{_RECORDS} SELECT {_ALL} FROM r ORDER BY id"
+        lambda spark, sf: _shown(list_mappings(records(spark, sf))), f"{RECORDS_SQL} SELECT {_ALL} FROM r ORDER BY id"
     ),
     "mappings_by_dataset": Query(
         lambda spark, sf: _shown(mappings_by_dataset(records(spark, sf), "unity.default.t_3")),
-        f"{_RECORDS} SELECT {_ALL} FROM r WHERE json_extract_string(payload, '$.dataset.name') = 'unity.default.t_3'",
+        f"{RECORDS_SQL} SELECT {_ALL} FROM r WHERE json_extract_string(payload, '$.dataset.name') = 'unity.default.t_3'",
     ),
     "mapping_response": Query(responses, _RESPONSES_SQL),
     "latest_rml": Query(
-        lambda spark, sf: records(spark, sf).select("id", "source", "rml"), f"{_RECORDS} SELECT id, source, rml FROM r"
+        lambda spark, sf: records(spark, sf).select("id", "source", "rml"), f"{RECORDS_SQL} SELECT id, source, rml FROM r"
     ),
     "current_status": Query(
         lambda spark, sf: current_status(events(spark, sf)).withColumn(
             "updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         ),
-        f"{_RECORDS} SELECT id, status, updated_at FROM r",
+        f"{RECORDS_SQL} SELECT id, status, updated_at FROM r",
     ),
     "active_mappings": Query(
         lambda spark, sf: active_mappings(records(spark, sf)).select("id", "rml"),
-        f"{_RECORDS} SELECT id, rml FROM r WHERE status = 'active'",
+        f"{RECORDS_SQL} SELECT id, rml FROM r WHERE status = 'active'",
     ),
     "rml_for_ids": Query(
         documents_for_ids,
-        f"{_RECORDS} SELECT id AS mapping_id, rml FROM r WHERE id IN (SELECT 'map-' || user_id FROM events WHERE value > 40)",
+        f"{RECORDS_SQL} SELECT id AS mapping_id, rml FROM r WHERE id IN (SELECT 'map-' || user_id FROM events WHERE value > 40)",
     ),
     "projection_jobs": Query(
         jobs,

@@ -14,12 +14,14 @@ from ..operators.materialize import (
     materialize_distinct,
 )
 from ..operators.render import render_rml
+from ..operators.registry import active_mappings
 from ..operators.rml_rules import plans_from_rml
 from ..operators.turtle import corpus_of
 from ..plans import plan_mapping
 from ..session import scratch_path
 from ..streaming import distinct_stream, materialize_stream, read_table_stream, run_available
 from ..vocab import DPA, RDF_TYPE, XSD
+from . import lifecycle
 from .data import (
     RESOURCE,
     SCHEMES,
@@ -104,15 +106,16 @@ def subject_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TURNS = ("region", "nation", "customer", "orders")
+
+
 def materialize_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All active mappings into one graph. Which are active is read from the records."""
-    states = spark.createDataFrame(
-        [("region", "active"), ("nation", "active"), ("customer", "deprecated"), ("orders", "active")],
-        "name string, status string",
-    )
-    names = [row.name for row in states.where("status = 'active'").orderBy("name").collect()]
+    """All active mappings into one graph. The log of events says which are active; records take turns with the tables."""
+    active = active_mappings(lifecycle.records(spark, sf_dir))
+    turn = F.regexp_extract("id", "([0-9]+)$", 1).cast("int") % len(TURNS)
+    chosen = sorted(row.turn for row in active.select(turn.alias("turn")).distinct().collect())
     return materialize_all(
-        [(table(spark, sf_dir, name), plan(name), graph_iri("all")) for name in names], shape="rows"
+        [(table(spark, sf_dir, TURNS[i]), plan(TURNS[i]), graph_iri("all")) for i in chosen], shape="rows"
     )
 
 
@@ -212,7 +215,12 @@ QUERIES = {
     ),
     "materialize_active": Query(
         materialize_active,
-        with_triples("region", "nation", "orders") + f"SELECT * REPLACE ('{graph_iri('all')}' AS graph) FROM t",
+        with_triples(*TURNS).rstrip()
+        + ", "
+        + lifecycle.RECORDS_SQL.strip().removeprefix("WITH")
+        + f"SELECT * REPLACE ('{graph_iri('all')}' AS graph) FROM t "
+        + f"WHERE list_position({[graph_iri(name) for name in TURNS]}, graph) - 1 IN "
+        + f"(SELECT CAST(split_part(id, '-', 2) AS BIGINT) % {len(TURNS)} FROM r WHERE status = 'active')",
     ),
     "distinct_triples": Query(distinct, with_triples("lineitem") + "SELECT DISTINCT * FROM t"),
     "distinct_triples_plain": Query(distinct_plain, with_triples("lineitem") + "SELECT DISTINCT * FROM t"),

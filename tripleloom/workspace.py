@@ -265,15 +265,17 @@ class Workspace:
         records = self.records()
         covered = records.select("id")
         if ids is not None:
-            wanted = list(ids)
-            for mapping_id in wanted:
-                self._require(mapping_id)
-            covered = self.spark.createDataFrame([(name,) for name in wanted], "id string")
+            covered = self.spark.createDataFrame([(name,) for name in ids], "id string").distinct()
+            if missing := covered.join(records.select("id"), "id", "left_anti").limit(1).collect():
+                raise KeyError(missing[0].id)
         corpus = corpus_of(registry.rml_for_ids(records, covered))
         raise_on_error(bad_columns(corpus))
         projections = mapping_projections(corpus)
         raise_on_error(projection_errors(projections))
         wanted_tables = projecting.desired_tables(projecting.projection_plan(projections, self.classes()))
+        # Two mappings of one table must agree before the first statement runs.
+        projecting.raise_on_drift(projecting.name_conflicts(wanted_tables))
+        wanted_tables = projecting.first_of_each_name(wanted_tables)
         names = (row.full_name for row in wanted_tables.select("full_name").distinct().toLocalIterator())
         present = catalog_snapshot(self.spark, names, self.catalog)
         drift = projecting.property_drift(wanted_tables, present, strict=strict)
@@ -287,10 +289,16 @@ class Workspace:
         )
         job_id = f"job-{uuid.uuid4().hex[:12]}"
         now = F.lit(datetime.datetime.now(datetime.UTC))
-        log = registry.projection_jobs(covered, F.lit(job_id), now, PROJECTION_TARGET)
+        # A row without mapping stands for the job itself, so that one over nothing is logged too.
+        header = self.spark.createDataFrame([(None,)], "id string")
+        log = registry.projection_jobs(covered.union(header), F.lit(job_id), now, PROJECTION_TARGET)
         log.write.mode("append").parquet(f"{self.root}/jobs")
         return {"id": job_id, "status": "succeeded", "target": PROJECTION_TARGET, "created": made}
 
+    def job_mappings(self, job_id: str) -> DataFrame:
+        """``(mapping_id)`` of the mappings that a projection run covered."""
+        return self.jobs().where((F.col("job_id") == job_id) & F.col("mapping_id").isNotNull()).select("mapping_id")
+
     def job(self, job_id: str) -> dict[str, Any]:
         row = registry.job_overview(self.jobs().where(F.col("job_id") == job_id)).first()
         if row is None:
