@@ -279,10 +279,10 @@ def test_held_out_languages(spark, docs):
 
 
 def test_unseen_words_back_off_to_the_longest_known_n_gram():
-    model = LanguageModel(["a", "b"], np.zeros(2), {b"known": np.array([-1.0, -9.0])}, {1: {"x": np.array([-5.0, -1.0])}, 2: {"xy": np.array([-1.0, -7.0])}})
-    assert word_scores(b"known", model).tolist() == [-1.0, -9.0]
+    rows = np.array([[-5.0, -1.0], [-0.5, -3.5]], np.float32)
+    model = LanguageModel(["a", "b"], np.zeros(2), {b"known": 0}, np.array([[-1.0, -9.0]], np.float32), {"x": 0, "xy": 1}, rows, (2, 1))
     # " xyx ": the pair, then nothing for y, then the single x.
-    assert word_scores(b"xyx", model).tolist() == [-0.5 - 5.0, -3.5 - 1.0]
+    assert word_scores([b"known", b"xyx", b"q"], model).tolist() == [[-1.0, -9.0], [-0.5 - 5.0, -3.5 - 1.0], [0.0, 0.0]]
 
 
 def test_languages_of_messy_and_empty_tables(docs, messy, empty):

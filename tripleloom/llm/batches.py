@@ -43,6 +43,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    # Workers are used again: what Arrow holds in reserve would add to the next task's memory.
+    pa.default_memory_pool().release_unused()
 
 
 def ids_of(column: pa.Array) -> np.ndarray:

@@ -9,6 +9,7 @@ so it may be sent to every executor whatever the corpus holds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +29,15 @@ _LETTERS = bytes(
 
 
 class LanguageModel(NamedTuple):
-    """Languages in order, log priors, and log frequencies of words and of n-grams by length, one per language."""
+    """Languages in order, log priors, and log frequencies: a row per word, and per n-gram divided by its length."""
 
     langs: list[str]
     prior: np.ndarray
-    words: dict[bytes, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: dict[bytes, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
+    lengths: tuple[int, ...]
 
 
 def lettered(texts: pa.Array) -> pa.Array:
@@ -62,7 +66,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(
-    docs: DataFrame, sample: int = 50_000, max_words: int = 30_000, max_grams: int = 20_000, lengths: tuple[int, ...] = (4, 3, 2, 1)
+    docs: DataFrame, sample: int = 50_000, max_words: int = 20_000, max_grams: int = 10_000, lengths: tuple[int, ...] = (4, 3, 2, 1)
 ) -> LanguageModel:
     """Fit on at most about ``sample`` documents with a language, chosen by a hash of their text.
 
@@ -96,61 +100,61 @@ def train(
                     counts = own[gram] = [0.0] * size
                 counts[lang] += 1.0
     prior = np.log((totals + 1) / (totals.sum() + size)) if size else np.zeros(0)
+    kept: dict[str, int] = {}
+    rows_of: list[np.ndarray] = []
+    for length, own in grams.items():
+        top = sorted(own, key=lambda gram: (-sum(own[gram]), gram))[: max_grams * max(1, size)]
+        rows_of.append(_logged([own[gram] for gram in top], size) / length)
+        base = len(kept)
+        kept.update((gram, base + i) for i, gram in enumerate(top))
     return LanguageModel(
-        langs,
-        prior,
-        _logged(words),
-        {length: _logged(dict(sorted(g.items(), key=lambda x: (-sum(x[1]), x[0]))[: max_grams * max(1, size)])) for length, g in grams.items()},
+        langs, prior, {word: i for i, word in enumerate(words)}, _logged(list(words.values()), size), kept, np.concatenate(rows_of), tuple(sorted(lengths, reverse=True))
     )
 
 
-def _logged(counts: dict) -> dict:
+def _logged(counts: list[list[float]], size: int) -> np.ndarray:
     """Log relative frequencies with half a count added."""
-    if not counts:
-        return {}
-    table = np.array(list(counts.values())) + 0.5
-    return dict(zip(counts, np.log(table) - np.log(table.sum(axis=0))))
-
-
-def word_scores(word: bytes, model: LanguageModel) -> np.ndarray:
-    """Log frequency of a word in each language; of an unseen one, from its n-grams."""
-    if word in model.words:
-        return model.words[word]
-    padded = f" {word.decode(errors='replace')} "
-    total = np.zeros(len(model.langs))
-    lengths = sorted(model.grams, reverse=True)
-    at = 0
-    while at < len(padded):
+    table = np.array(counts, np.float64).reshape(len(counts), size) + 0.5
+    return (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32)
+
+
+def gram_numbers(word: bytes, model: LanguageModel) -> list[int]:
+    """At each position of a word, blanks at its ends included, the longest known n-gram that starts there."""
+    padded, grams, lengths, found = f" {word.decode(errors='replace')} ", model.grams, model.lengths, []
+    for at in range(len(padded)):
         for length in lengths:
-            found = model.grams[length].get(padded[at : at + length])
-            if found is not None:
-                # Each position gives its own character's share of what the n-gram says.
-                total = total + found / length
+            number = grams.get(padded[at : at + length])
+            if number is not None:
+                found.append(number)
                 break
-        at += 1
-    return total
+    return found
+
+
+def word_scores(words: list[bytes], model: LanguageModel) -> np.ndarray:
+    """Log frequencies of words in each language; of unseen ones, from their n-grams, each for its own character."""
+    numbers = np.fromiter((model.words.get(word, -1) for word in words), np.int64, len(words))
+    out = model.word_rows[numbers] if len(model.word_rows) else np.zeros((len(words), len(model.langs)), np.float32)
+    unseen = np.nonzero(numbers < 0)[0]
+    found = [gram_numbers(words[i], model) for i in unseen.tolist()]
+    sizes = np.array([len(f) for f in found], np.int64)
+    rows = model.gram_rows[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))]
+    run = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(rows, axis=0, dtype=np.float64)])
+    ends = np.cumsum(sizes)
+    out[unseen] = run[ends] - run[ends - sizes]
+    return out
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
     size = len(model.langs)
-    known: dict[bytes, np.ndarray] = {}
-    # A word moves the odds by its evidence only so far: long texts would end in scores of exactly one anyway.
     for batch in slices(batches):
         texts = plain(batch.column("text"))
         words = words_of(lettered(texts))
         codes, distinct = words.coded()
-        if len(known) > most:
-            known.clear()
-        table = np.zeros((len(distinct), size))
-        for i, word in enumerate(distinct.cast(pa.binary()).to_pylist()):
-            scores = known.get(word)
-            if scores is None:
-                scores = known[word] = word_scores(word, model)
-            table[i] = scores
+        table = word_scores(distinct.cast(pa.binary()).to_pylist(), model)
         counts = words.counts
         sums = np.zeros((len(counts), size))
         for k in range(size):
-            run = np.concatenate([[0.0], np.cumsum(table[codes, k])])
+            run = np.concatenate([[0.0], np.cumsum(table[codes, k], dtype=np.float64)])
             sums[:, k] = run[words.starts[1:]] - run[words.starts[:-1]]
         spelled = np.zeros(len(counts), bool)
         ascii_letter = pc.match_substring_regex(texts, "[A-Za-z]").to_numpy(zero_copy_only=False)
@@ -182,7 +186,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    return docs.mapInArrow(lambda batches: _predicted(batches, model), schema)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda batches: _predicted(batches, sent.value), schema)
 
 
 def held_out(doc_id: Column, folds: int, rest: int) -> Column:

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 #: Pieces whose characters Python and the tokenizer class alike without doubt: no rare controls, no late additions.
 _SIMPLE = regex.compile(r"[\n\x20-\x7e\xa1-ɏ]*")
 _LATIN = regex.compile(r"[\x20-\x7e\xa1-\xac\xae-\xff]*")
-CACHE = 200_000
+CACHE = 120_000
 
 
 class Ids(NamedTuple):
