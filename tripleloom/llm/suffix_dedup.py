@@ -26,7 +26,7 @@ from .superkmers import Packed, covered, dealt, inner_repeats, minimisers, runs
 from .window_dedup import with_spans
 
 #: Bytes in a minimiser.
-MINIMISER = 20
+MINIMISER = 16
 #: Strings of so many bytes together are looked through and sorted at a time; those of one minimiser are never parted.
 COMPARED_BYTES, SORTED_BYTES = 1 << 20, 1 << 18
 
@@ -243,7 +243,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and kept (binary).
 
-    A byte of the UTF-8 text goes if a string of ``width`` bytes (24 at least) that covers it also starts earlier: in a
+    A byte of the UTF-8 text goes if a string of ``width`` bytes (20 at least) that covers it also starts earlier: in a
     document with a smaller doc_id, or earlier in the same one. All strings are judged on the texts as they came, and
     none crosses documents. ``n_spans`` counts the maximal removed runs. Null is the empty text. A null doc_id comes
     before all others; rows with one doc_id but different texts come in the order of a hash of their texts; a row
