@@ -361,6 +361,45 @@ def test_a_small_trie_keeps_the_frequent_strings(spark):
     assert (10 ** ppm.log10_of(small, contexts[0])).sum() == pytest.approx(1)
 
 
+def _ppm_counts(texts, order):
+    counts = {}
+    for text in texts:
+        line = [ppm.START] * order + list((text or "").lower().encode()) + [ppm.END]
+        for at in range(order, len(line)):
+            for k in range(order + 1):
+                counts.setdefault(tuple(line[at - k : at]), Counter())[line[at]] += 1
+    return counts
+
+
+def test_scores_use_every_count(spark):
+    """Training with more strings of orders 0 to 5 than a million."""
+    draw = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789 .,;:!?-+*/=()[]{}<>é"))
+    training = ["".join(draw.choice(letters, 4000)) for _ in range(110)]
+    counts = _ppm_counts(training, ppm.ORDER)
+    assert sum(map(len, counts.values())) > 1_000_000
+    texts = [(1, training[0][:300]), (2, training[1][100:200] + training[2][:100]), (3, "".join(draw.choice(letters, 200))), (4, None)]
+    found = ppm.scores(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(t,) for t in training], "text string"))
+    by = {r.doc_id: r.score for r in found.collect()}
+    for doc_id, text in texts:
+        assert by[doc_id] == pytest.approx(_plain_ppm(counts, ppm.ORDER, (text or "").lower().encode()), rel=1e-6)
+
+
+@pytest.mark.parametrize(("common", "split", "part"), [(5, 3, 20), (0, 1, 7), (10_000, 100, 1000)])
+def test_scores_from_parts(spark, messy, monkeypatch, common, split, part):
+    """Contexts split at every length; rows with one id keep their own scores."""
+    for name, value in (("COMMON", common), ("SPLIT", split), ("PART", part)):
+        monkeypatch.setattr(ppm, name, value)
+    training = messy.where("doc_id is null or doc_id not in (7, 10)")
+    counts = _ppm_counts([r.text for r in training.select("text").collect()], ppm.ORDER)
+    asked = messy.withColumn("whole", messy["text"])
+    rows = ppm.scores(asked, training).collect()
+    assert len(rows) == messy.count()
+    plain = {t: _plain_ppm(counts, ppm.ORDER, (t or "").lower().encode()) for t in {r.whole for r in rows}}
+    for r in rows:
+        assert r.score == pytest.approx(plain[r.whole], rel=1e-6)
+
+
 def test_scores_of_messy_and_empty_tables(messy, empty):
     rows = ppm.scores(messy, messy).collect()
     assert len(rows) == messy.count() and all(r.score < 0 for r in rows)

@@ -6,15 +6,18 @@ distinct byte of a context gives half a count to the escape) to the context one
 and so on down to all bytes alike. A text's score is the sum of the log10 probabilities of its bytes and of its end.
 
 Counting is distributed: each task counts the longest strings of its slices, counts combine across the cluster, and the
-shorter contexts are sums of these. The trie keeps strings that occur ``threshold`` times or more, with the least
-threshold for which it has at most ``max_nodes`` strings; that bounds what is sent to executors at any corpus size,
-and what falls below is predicted by shorter contexts.
+shorter contexts are sums of these. ``scores`` uses every count. Strings are dealt to parts by the last bytes of their
+contexts, so that a string, its contexts and their other bytes lie in one part; a context with too many strings is dealt
+by one byte more, and what its shorter strings say (at most 256 counts for each such context) goes to all parts. Each
+part is a trie of bounded size. Strings of the texts meet it there, but for the most frequent ones, whose
+probabilities every worker has. ``train`` and ``score`` do the same with one trie in memory.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,11 +26,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, plain, ship, slices, stored, words_of
+from .batches import NO_ID, mixed, plain, ship, shuffle_parts, slices, stored, words_of
 
 ORDER = 5
-#: Strings in the trie at most: 16 bytes each on the driver and in every worker.
-MAX_NODES = 1_000_000
+#: Strings whose probabilities go to every worker, 16 bytes each; all others meet their counts in the parts.
+COMMON = 1_000_000
+#: Longest strings of one context (of two bytes or more) that stay together, and of one part on average.
+SPLIT, PART = 100_000, 300_000
+#: Contexts shorter than this are whole in every part: 65,792 strings at most.
+TRUNK = 2
+#: Rows of a part: strings of training, strings of texts, sums of common strings.
+TRAINED, ASKED, SUMMED = 0, 1, 2
 #: Bytes that UTF-8 never has: before and after each text.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
@@ -104,7 +113,7 @@ class Trie(NamedTuple):
 
 def build(strings: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
     """The trie of these strings by context length 0, 1, ...; each list sorted, shorter ones hold all suffixes."""
-    log = lambda x: np.log10(np.maximum(x, 1e-30)).astype(np.float32)
+    log = lambda x: np.log10(np.maximum(x, 1e-30))
     direct, after, contexts, escape, rest, onward = [], [], [], [], [], []
     totals, distinct = [], []
     for k, (keys, n) in enumerate(zip(strings, counts)):
@@ -119,8 +128,8 @@ def build(strings: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
         after.append(log(n - DISCOUNT))
         escape.append(log(DISCOUNT * kinds) - log(total))
         if k == 0:
-            rest.append(np.zeros(len(own), np.float32))
-            onward.append(np.zeros(len(own), np.float32))
+            rest.append(np.zeros(len(own)))
+            onward.append(np.zeros(len(own)))
             continue
         # What the shorter context says of the bytes known here: these are excluded after an escape.
         mask = (1 << (8 * k)) - 1
@@ -131,7 +140,7 @@ def build(strings: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
         left = totals[k - 1][up] - known
         rest.append(log(np.maximum(left, 1)))
         # With nothing fresh there, the escape goes on for certain.
-        onward.append(np.where(fresh > 0, log(DISCOUNT * np.maximum(fresh, 1)) - log(np.maximum(left, 1)), np.float32(0)))
+        onward.append(np.where(fresh > 0, log(DISCOUNT * np.maximum(fresh, 1)) - log(np.maximum(left, 1)), 0.0))
     seen = np.array([int(distinct[0][0]) if len(distinct[0]) else 0])
     return Trie(strings, direct, after, contexts, escape, rest, onward, seen)
 
@@ -184,23 +193,36 @@ def least_count(counted: DataFrame, most: int) -> int:
     return 1
 
 
-def train(texts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie of all rows of ``texts`` (column text); null counts as the empty text."""
+def counted(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """Every distinct string of ``order`` bytes and one more in ``texts`` (column text), and its count."""
     ship(texts.sparkSession)
     longest = texts.select("text").mapInArrow(lambda batches: _counted(batches, order), "string long, n long")
-    longest = longest.groupBy("string").agg(F.sum("n").alias("n"))
+    return longest.groupBy("string").agg(F.sum("n").alias("n"))
+
+
+def train(texts: DataFrame, order: int = ORDER, max_nodes: int | None = None) -> Trie:
+    """The trie of all rows of ``texts`` (column text) in memory; null counts as the empty text.
+
+    With ``max_nodes``, only strings that occur a number of times or more, the least for which the trie is no larger.
+    """
+    longest = counted(texts, order)
     levels = [F.struct(F.lit(k).alias("k"), F.col("string").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("string")) for k in range(order + 1)]
     every = longest.select("n", F.explode(F.array(*levels)).alias("at")).groupBy("at.k", "at.string").agg(F.sum("n").alias("n"))
     every = stored(every, "contexts")
-    kept = every.where(F.col("n") >= least_count(every, max_nodes)).toArrow()
-    level, string, n = (kept.column(c).to_numpy() for c in ("k", "string", "n"))
+    return build(*_by_level(every if max_nodes is None else every.where(F.col("n") >= least_count(every, max_nodes)), order))
+
+
+def _by_level(frame: DataFrame, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sorted strings of each level 0, 1, ... and their counts; ``frame`` has k, string and n."""
+    rows = frame.toArrow()
+    level, string, n = (rows.column(c).to_numpy() for c in ("k", "string", "n"))
     strings, counts = [], []
     for k in range(order + 1):
         own = np.nonzero(level == k)[0]
         own = own[np.argsort(string[own])]
         strings.append(string[own].astype(np.int64))
         counts.append(n[own].astype(np.int64))
-    return build(strings, counts)
+    return strings, counts
 
 
 def _scored(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
@@ -227,6 +249,164 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     return docs.mapInArrow(lambda batches: _scored(batches, sent.value), f"{fields}, score double")
 
 
+# ---- the same with a trie in parts ------------------------------------------------------------------------------------
+
+
+class Deal(NamedTuple):
+    """How strings are dealt: number of parts; split contexts by length, sorted; strings and counts that all parts have."""
+
+    order: int
+    parts: int
+    split: list[np.ndarray]
+    strings: list[np.ndarray]
+    counts: list[np.ndarray]
+
+
+def deal(strings: DataFrame, order: int) -> Deal:
+    """For the longest strings of training (string, n): contexts that are split, and what is known of these and the shortest ones."""
+    end = lambda size: F.col("string").bitwiseAND(F.lit((1 << (8 * size)) - 1))
+    context = lambda size: F.shiftright("string", 8).bitwiseAND(F.lit((1 << (8 * size)) - 1))
+    split = [np.zeros(0, np.int64) for _ in range(order + 1)]
+    within, known = strings, []
+    for k in range(min(TRUNK, order)):
+        known.append(strings.groupBy(end(k + 1).alias("string")).agg(F.sum("n").alias("n")).select(F.lit(k).alias("k"), "string", "n"))
+    for k in range(TRUNK, order):
+        # As many as there are strings, divided by SPLIT, at most.
+        large = within.groupBy(context(k).alias("context")).count().where(F.col("count") > SPLIT)
+        split[k] = np.sort(np.array([r.context for r in large.collect()], np.int64))
+        if not len(split[k]):
+            break
+        within = within.where(context(k).isin(split[k].tolist()))
+        known.append(within.groupBy(end(k + 1).alias("string")).agg(F.sum("n").alias("n")).select(F.lit(k).alias("k"), "string", "n"))
+    trunk = _by_level(reduce(DataFrame.unionAll, known), order) if known else ([np.zeros(0, np.int64)] * (order + 1),) * 2
+    return Deal(order, max(shuffle_parts(strings.sparkSession), -(-strings.count() // PART)), split, *trunk)
+
+
+def parts_of(strings: np.ndarray, how: Deal) -> np.ndarray:
+    """The part of each string: by its shortest context of ``TRUNK`` bytes or more that is not split."""
+    size = min(TRUNK, how.order)
+    ends = (strings >> 8) & ((1 << (8 * size)) - 1)
+    key = ends | (size << 48)
+    open_ = np.arange(len(strings))
+    for k in range(size, how.order):
+        open_ = open_[_found(how.split[k], ends[open_])[1]]
+        if not len(open_):
+            break
+        ends[open_] = (strings[open_] >> 8) & ((1 << (8 * (k + 1))) - 1)
+        key[open_] = ends[open_] | ((k + 1) << 48)
+    return (mixed(key.astype(np.uint64)) % np.uint64(how.parts)).astype(np.int32)
+
+
+def part_trie(strings: np.ndarray, n: np.ndarray, how: Deal) -> Trie:
+    """The trie of one part: what all parts have, and all strings that end the part's own ones."""
+    levels, counts = list(how.strings), list(how.counts)
+    for k in range(min(TRUNK, how.order), how.order + 1):
+        keys, inverse = np.unique(strings & ((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, inverse, n)
+        # Other parts have strings of split contexts too; all parts know their sums.
+        own = ~_found(how.split[k], keys >> 8)[1]
+        keys, sums = np.concatenate([levels[k], keys[own]]), np.concatenate([counts[k], sums[own]])
+        order = np.argsort(keys)
+        levels[k], counts[k] = keys[order], sums[order]
+    return build(levels, counts)
+
+
+_PART = "part int, kind int, string long, n long, ids array<long>, times array<int>, sums array<double>"
+_PART_FIELDS = pa.schema(
+    [("part", pa.int32()), ("kind", pa.int32()), ("string", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64()))]
+)
+
+
+def _part_rows(rows: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """Rows of parts; what is not given is null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _PART_FIELDS], schema=_PART_FIELDS)
+
+
+def _trained(batches: Iterator[pa.RecordBatch], how: Deal) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = parts_of(batch.column("string").to_numpy(), how)
+        yield _part_rows(len(parts), part=parts, kind=np.full(len(parts), TRAINED), string=batch.column("string"), n=batch.column("n"))
+
+
+def _asked(batches: Iterator[pa.RecordBatch], common: np.ndarray, logs: np.ndarray, how: Deal) -> Iterator[pa.RecordBatch]:
+    """Per slice: what common strings add to each text, and every other string with the texts that have it and how often."""
+    for batch in slices(batches):
+        ids = batch.column("_key").to_numpy(zero_copy_only=False)
+        if not len(ids):
+            continue
+        strings, begins = strings_of(plain(batch.column("text")), how.order)
+        coded = pa.array(strings).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        at, hit = _found(common, distinct)
+        values = np.zeros(len(distinct))
+        values[hit] = logs[at[hit]]
+        sums = np.add.reduceat(values[codes], begins[:-1])
+        one = pa.array([0, len(ids)], pa.int32())
+        yield _part_rows(
+            1, part=np.array([int(ids[0]) % how.parts]), kind=np.array([SUMMED]), ids=pa.ListArray.from_arrays(one, pa.array(ids)), sums=pa.ListArray.from_arrays(one, pa.array(sums))
+        )
+        use = ~hit[codes]
+        owner = np.repeat(np.arange(len(ids)), np.diff(begins))
+        pairs, times = np.unique(codes[use].astype(np.int64) * len(ids) + owner[use], return_counts=True)
+        if not len(pairs):
+            continue
+        string, doc = np.divmod(pairs, len(ids))
+        heads = np.nonzero(np.diff(np.concatenate([[-1], string])))[0]
+        bounds = pa.array(np.append(heads, len(string)), pa.int32())
+        rare = distinct[string[heads]]
+        yield _part_rows(
+            len(rare), part=parts_of(rare, how), kind=np.full(len(rare), ASKED), string=rare,
+            ids=pa.ListArray.from_arrays(bounds, pa.array(ids[doc])), times=pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
+        )
+
+
+def _met(batches: Iterator[pa.RecordBatch], how: Deal) -> Iterator[pa.RecordBatch]:
+    """Part after part: the trie of its strings of training, which stand first, then what other strings add to texts."""
+    part, held, trie = -1, [], None
+    for batch in batches:
+        parts, kinds = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
+        cuts = np.nonzero((np.diff(parts) != 0) | (np.diff(kinds) != 0))[0] + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if start == stop:
+                continue
+            if parts[start] != part:
+                part, held, trie = parts[start], [], None
+            rows = batch.slice(start, stop - start)
+            if kinds[start] == TRAINED:
+                held.append((rows.column("string").to_numpy(), rows.column("n").to_numpy()))
+                continue
+            ids = rows.column("ids").flatten()
+            if kinds[start] == SUMMED:
+                yield pa.RecordBatch.from_arrays([ids, rows.column("sums").flatten()], ["id", "part"])
+                continue
+            if trie is None:
+                none = np.zeros(0, np.int64)
+                trie, held = part_trie(*(np.concatenate([none, *c]) for c in (zip(*held) if held else ([], []))), how), []
+            logs = np.repeat(log10_of(trie, rows.column("string").to_numpy()), pc.list_value_length(rows.column("ids")).to_numpy())
+            known, inverse = np.unique(ids.to_numpy(), return_inverse=True)
+            sums = np.bincount(inverse, logs * rows.column("times").flatten().to_numpy(), len(known))
+            yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(sums)], ["id", "part"])
+
+
+def whole_scores(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
+    """id and score of each row of ``docs`` (_key, which must be unique, and text) under all counts of ``training``."""
+    spark = docs.sparkSession
+    strings = stored(counted(training, order), "strings")
+    how = deal(strings, order)
+    context = F.shiftright("string", 8)
+    totals = strings.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
+    often = strings.where(F.col("n") >= least_count(strings, COMMON)).withColumn("context", context)
+    often = often.join(totals, "context").select("string", "n", "total").toArrow().sort_by("string")
+    # What training has seen in its longest context needs no other one.
+    n, total = (often.column(c).to_numpy() for c in ("n", "total"))
+    sent = spark.sparkContext.broadcast((often.column("string").to_numpy(), np.log10(n - DISCOUNT) - np.log10(total), how))
+    asked = docs.select("_key", "text").mapInArrow(lambda batches: _asked(batches, *sent.value), _PART)
+    trained = strings.mapInArrow(lambda batches: _trained(batches, sent.value[2]), _PART)
+    met = trained.unionAll(asked).repartition(shuffle_parts(spark), "part").sortWithinPartitions("part", "kind")
+    return met.mapInArrow(lambda batches: _met(batches, sent.value[2]), "id long, part double").groupBy("id").agg(F.sum("part").alias("score"))
+
+
 # ---- the word model that scores are compared with -------------------------------------------------------------------
 
 
@@ -325,12 +505,18 @@ def word_scores(docs: DataFrame, training: DataFrame, most: int = 100_000, texts
     )
 
 
-def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
     """Both scores of each row of ``docs`` (doc_id, text, ...), learning from all rows of ``training`` (text).
 
-    The text is not returned. Columns with the names of results are replaced, all others stay.
+    The text is not returned. Where ids are not unique, rows are told apart by a hash of id and text. Columns with the
+    names of results are replaced, all others stay.
     """
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    trie = train(training)
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return word_scores(score(keyed, trie), training, texts=keyed).drop("_key")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(key)).first()
+    keyed = docs.withColumn("_key", key if rows == ids else F.xxhash64(key, F.coalesce("text", F.lit(""))))
+    texts = keyed.select("_key", "text")
+    texts = texts if rows == ids else texts.dropDuplicates(["_key"])
+    found = whole_scores(texts, training, order).withColumnRenamed("id", "_id")
+    based = word_scores(keyed, training, texts=texts)
+    return based.join(found, F.col("_key") == F.col("_id")).drop("_key", "_id")
