@@ -285,6 +285,21 @@ def test_unseen_words_back_off_to_the_longest_known_n_gram():
     assert word_scores([b"known", b"xyx", b"q"], model).tolist() == [[-1.0, -9.0], [-0.5 - 5.0, -3.5 - 1.0], [0.0, 0.0]]
 
 
+def test_all_words_and_n_grams_of_training_count(spark):
+    """Scores do not depend on how many words and n-grams are sent to executors."""
+    training = spark.createDataFrame([("the cat sat the the mat rareword", "en"), ("der hund sass der der matte seltenes", "de")], "text string, lang string")
+    asked = spark.createDataFrame([("rareword",), ("seltenes",), ("the seltenen rarewords",), ("rareword",), (None,)], "text string")
+    whole = train(training)
+    expected = {r.text: (r.lang_pred, r.score) for r in identify(asked, whole._replace(every_word=None, every_gram=None)).collect()}
+    assert (expected["rareword"][0], expected["seltenes"][0]) == ("en", "de") and min(expected["rareword"][1], expected["seltenes"][1]) > 0.5
+    small = train(training, max_words=1, max_grams=1)
+    assert len(small.words) <= 2
+    rows = identify(asked, small).collect()
+    assert len(rows) == 5
+    for r in rows:
+        assert r.lang_pred == expected[r.text][0] and r.score == pytest.approx(expected[r.text][1], rel=1e-4)
+
+
 def test_languages_of_messy_and_empty_tables(docs, messy, empty):
     model = train(docs)
     rows = identify(messy, model).collect()

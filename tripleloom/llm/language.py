@@ -2,12 +2,14 @@
 
 A word that training has seen counts with its log frequency in each language. An unseen word backs off to the longest
 of its character n-grams that training has seen, position by position; n-grams that no length knows say nothing.
-The model is small by construction: at most ``max_words`` words and ``max_grams`` n-grams of each length per language,
-so it may be sent to every executor whatever the corpus holds.
+The counts of all words and n-grams of training are tables. Only the frequent ones are sent to every executor, at most
+``max_words`` words and ``max_grams`` n-grams of each length per language; all others meet their counts in joins, each
+distinct word once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -15,11 +17,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .batches import plain, ship, slices, words_of
+from .batches import plain, ship, slices, stored, words_of
+from .ppm import least_count
 
 UNKNOWN = "und"
 #: Everything in ASCII that is no letter separates words; letters become lower case, other bytes stay.
@@ -38,6 +41,9 @@ class LanguageModel(NamedTuple):
     grams: dict[str, int]
     gram_rows: np.ndarray
     lengths: tuple[int, ...]
+    #: All words (word, row), and all n-grams (length, gram, row); without them the model has no others than above.
+    every_word: DataFrame | None = None
+    every_gram: DataFrame | None = None
 
 
 def lettered(texts: pa.Array) -> pa.Array:
@@ -70,8 +76,8 @@ def train(
 ) -> LanguageModel:
     """Fit on at most about ``sample`` documents with a language, chosen by a hash of their text.
 
-    ``sample`` bounds the training rows, ``max_words`` and ``max_grams`` the model; all are counts per run or language
-    and do not grow with the input. Rows without text or language teach nothing.
+    ``sample`` bounds the training rows; ``max_words`` and ``max_grams`` bound, per language, what of the counts is sent to
+    executors. Rows without text or language teach nothing.
     """
     ship(docs.sparkSession)
     known = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -79,43 +85,55 @@ def train(
     if total > sample:
         known = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(sample / total * (1 << 20))))
     counted = known.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("top", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    rows = ranked.where(F.col("top") <= max_words).select("lang", "word", "n").collect()
-    langs = sorted({row.lang for row in rows})
-    place = {lang: i for i, lang in enumerate(langs)}
+    counted = stored(counted, "language-words")
+    per_lang = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs, lengths = sorted(per_lang), tuple(sorted(lengths, reverse=True))
     size = len(langs)
-    words: dict[bytes, list[float]] = {}
-    grams: dict[int, dict[str, list[float]]] = {length: {} for length in lengths}
-    totals = np.zeros(size)
-    for row in rows:
-        lang = place[row.lang]
-        words.setdefault(row.word.encode(), [0.0] * size)[lang] += row.n
-        totals[lang] += row.n
-        padded = f" {row.word} "
-        for length, own in grams.items():
-            for at in range(len(padded) - length + 1):
-                gram = padded[at : at + length]
-                counts = own.get(gram)
-                if counts is None:
-                    counts = own[gram] = [0.0] * size
-                counts[lang] += 1.0
-    prior = np.log((totals + 1) / (totals.sum() + size)) if size else np.zeros(0)
-    kept: dict[str, int] = {}
-    rows_of: list[np.ndarray] = []
-    for length, own in grams.items():
-        top = sorted(own, key=lambda gram: (-sum(own[gram]), gram))[: max_grams * max(1, size)]
-        rows_of.append(_logged([own[gram] for gram in top], size) / length)
-        base = len(kept)
-        kept.update((gram, base + i) for i, gram in enumerate(top))
+    if not size:
+        return LanguageModel([], np.zeros(0), {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32), lengths)
+    totals = np.array([per_lang[lang] for lang in langs], np.float64)
+    every_word = _logged(counted, ["word"], langs, F.lit(1), "language-word-rows")
+    pieces = counted.mapInArrow(lambda batches: _grams(batches, lengths), "lang string, length int, gram string, n long")
+    every_gram = _logged(pieces, ["length", "gram"], langs, F.col("length"), "language-gram-rows")
+    words = _common(every_word, max_words * size)
+    grams = [row for length in lengths for row in _common(every_gram.where(F.col("length") == length), max_grams * size)]
+    rows = lambda found: np.array([r.row for r in found], np.float32).reshape(len(found), size)
     return LanguageModel(
-        langs, prior, {word: i for i, word in enumerate(words)}, _logged(list(words.values()), size), kept, np.concatenate(rows_of), tuple(sorted(lengths, reverse=True))
+        langs, np.log((totals + 1) / (totals.sum() + size)), {r.word.encode(): i for i, r in enumerate(words)}, rows(words),
+        {r.gram: i for i, r in enumerate(grams)}, rows(grams), lengths, every_word, every_gram,
     )
 
 
-def _logged(counts: list[list[float]], size: int) -> np.ndarray:
-    """Log relative frequencies with half a count added."""
-    table = np.array(counts, np.float64).reshape(len(counts), size) + 0.5
-    return (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32)
+def _grams(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """N-grams of words, each word of a language once, blanks at its ends included."""
+    for batch in batches:
+        found: Counter = Counter()
+        for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist()):
+            padded = f" {word} "
+            found.update((lang, length, padded[at : at + length]) for length in lengths for at in range(len(padded) - length + 1))
+        columns = list(zip(*found)) if found else [[], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(list(found.values()), pa.int64())],
+            ["lang", "length", "gram", "n"],
+        )
+
+
+def _logged(counts: DataFrame, keys: list[str], langs: list[str], divisor: Column, label: str) -> DataFrame:
+    """Per key: n, and ``row``, the log relative frequency in each language with half a count added, by ``divisor``.
+
+    Frequencies are relative to all keys, or to those of the same length.
+    """
+    own = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in langs]
+    counts = stored(counts.groupBy(*keys).agg(F.array(*own).alias("counts"), F.sum("n").alias("n")), f"{label}-counts")
+    by = [k for k in keys if k == "length"]
+    sums = counts.groupBy(*by).agg(F.array(*[F.sum(F.col("counts")[i] + 0.5) for i in range(len(langs))]).alias("sums"))
+    met = counts.join(sums, by) if by else counts.crossJoin(sums)
+    row = F.transform(F.arrays_zip("counts", "sums"), lambda x: (F.log(x["counts"] + 0.5) - F.log(x["sums"])) / divisor)
+    return stored(met.select(*keys, "n", row.alias("row")), label)
+
+
+def _common(table: DataFrame, most: int) -> list:
+    return table.where(F.col("n") >= least_count(table, most)).collect()
 
 
 def gram_numbers(word: bytes, model: LanguageModel) -> list[int]:
@@ -144,13 +162,63 @@ def word_scores(words: list[bytes], model: LanguageModel) -> np.ndarray:
     return out
 
 
+def _common_scores(words: list[bytes], model: LanguageModel) -> np.ndarray:
+    """Log frequencies of common words; nothing for all others."""
+    return np.concatenate([model.word_rows, np.zeros((1, len(model.langs)), np.float32)])[[model.words.get(word, -1) for word in words]]
+
+
+def _rare(batches: Iterator[pa.RecordBatch], words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Per slice: words that are not common, each with the texts that have it and how often."""
+    for batch in slices(batches):
+        found = words_of(lettered(plain(batch.column("text"))))
+        codes, distinct = found.coded()
+        rare = np.fromiter((word not in words for word in distinct.cast(pa.binary()).to_pylist()), bool, len(distinct))
+        rows = max(1, batch.num_rows)
+        owner, use = np.repeat(np.arange(batch.num_rows), found.counts), rare[codes]
+        pairs, times = np.unique(codes[use].astype(np.int64) * rows + owner[use], return_counts=True)
+        word, doc = np.divmod(pairs, rows)
+        heads = np.nonzero(np.diff(np.concatenate([[-1], word])))[0]
+        bounds = pa.array(np.append(heads, len(word)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, v) for v in (batch.column("_k1").take(pa.array(doc)), batch.column("_k2").take(pa.array(doc)), pa.array(times, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()).take(pa.array(word[heads])), *lists], ["word", "k1", "k2", "times"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """All n-grams of words by place."""
+    for batch in batches:
+        rows = []
+        for word in batch.column("word").to_pylist():
+            padded = f" {word} "
+            rows += [(word, at, length, padded[at : at + length]) for length in lengths for at in range(len(padded) - length + 1)]
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        types = (pa.string(), pa.int32(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["word", "at", "length", "gram"])
+
+
+def _gains(keyed: DataFrame, model: LanguageModel, words: Broadcast) -> DataFrame:
+    """Per text (_k1, _k2): what its words that are not common add to each language."""
+    size, lengths = range(len(model.langs)), model.lengths
+    texts = keyed.select("text", "_k1", "_k2")
+    rare = stored(texts.mapInArrow(lambda batches: _rare(batches, words.value.words), "word string, k1 array<long>, k2 array<long>, times array<long>"), "language-rare")
+    asked = rare.select("word").distinct().join(model.every_word.select("word", "row"), "word", "left")
+    places = asked.where("row is null").select("word").mapInArrow(lambda batches: _pieces(batches, lengths), "word string, at int, length int, gram string")
+    places = places.join(model.every_gram.select("length", "gram", "row"), ["length", "gram"]).groupBy("word", "at").agg(F.max_by("row", "length").alias("row"))
+    backed = places.groupBy("word").agg(F.array(*[F.sum(F.col("row")[i]) for i in size]).alias("row"))
+    met = rare.join(asked.where("row is not null").unionByName(backed), "word").select("row", F.explode(F.arrays_zip("k1", "k2", "times")).alias("at"))
+    sums = met.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.array(*[F.sum(F.col("row")[i] * F.col("at.times")) for i in size]).alias("sums"))
+    # Texts that stand in several rows were added up.
+    copies = texts.groupBy(F.col("_k1").alias("k1"), F.col("_k2").alias("k2")).agg(F.count("*").alias("copies"))
+    return sums.join(copies, ["k1", "k2"]).select("k1", "k2", F.transform("sums", lambda x: x / F.col("copies")).alias("_gain"))
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
     size = len(model.langs)
     for batch in slices(batches):
         texts = plain(batch.column("text"))
         words = words_of(lettered(texts))
         codes, distinct = words.coded()
-        table = word_scores(distinct.cast(pa.binary()).to_pylist(), model)
+        joined = "_gain" in batch.schema.names
+        table = (_common_scores if joined else word_scores)(distinct.cast(pa.binary()).to_pylist(), model)
         counts = words.counts
         sums = np.zeros((len(counts), size))
         for k in range(size):
@@ -162,6 +230,10 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Itera
             spelled[i] = ascii_letter[i] or (counts[i] > 0 and any(c.isalpha() for c in texts[i].as_py()))
         if size:
             sums = sums + model.prior
+            if joined:
+                own = batch.column("_gain")
+                some = own.is_valid().to_numpy(zero_copy_only=False)
+                sums[some] += own.drop_null().flatten().to_numpy().reshape(-1, size)
             sums -= sums.max(axis=1, keepdims=True)
             odds = np.exp(sums)
             odds /= odds.sum(axis=1, keepdims=True)
@@ -171,7 +243,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Itera
             best, score, spelled = np.zeros(len(counts), int), np.zeros(len(counts)), np.zeros(len(counts), bool)
         names = np.array([*model.langs, UNKNOWN], dtype=object)
         best = np.where(spelled, best, size)
-        keep = {name: batch.column(name) for name in batch.schema.names if name not in ("lang_pred", "score")}
+        keep = {name: batch.column(name) for name in batch.schema.names if name not in ("lang_pred", "score", "_gain")}
         keep["lang_pred"] = pa.array(names[best], pa.string())
         keep["score"] = pa.array(np.where(spelled, np.clip(score, 0.0, 1.0), 0.0))
         yield pa.RecordBatch.from_arrays(list(keep.values()), list(keep))
@@ -186,7 +258,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model._replace(every_word=None, every_gram=None))
+    if model.every_word is not None:
+        text = F.coalesce("text", F.lit(""))
+        docs = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
+        gains = _gains(docs, model, sent)
+        docs = docs.join(gains, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").drop("_k1", "_k2", "k1", "k2")
     return docs.mapInArrow(lambda batches: _predicted(batches, sent.value), schema)
 
 
