@@ -102,3 +102,45 @@ SELECT doc.doc_id, CAST(octet_length(data) AS BIGINT) AS n_bytes, CAST(coalesce(
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256
 FROM doc LEFT JOIN kept USING (doc_id)
 """
+
+#: crc32 is spelled out: a byte is met by exclusive or, followed by eight shifts (marked -1).
+PREFIX_TRIE = """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+      range(1, length(CAST(c AS VARCHAR)) + 1),
+      lambda i: [CAST(ascii(substr(CAST(c AS VARCHAR), CAST(i AS INT), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 9 AS BIGINT) AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), joined AS (
+  SELECT v.c, 0 AS side, t.pos, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c - v.c % 5 AND t.pos <= v.h
+  UNION ALL
+  SELECT v.c, 1, t.pos, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h
+), lists AS (
+  SELECT v.c, coalesce(j.steps, []) AS steps FROM convs v LEFT JOIN (
+    SELECT c, list(sha256(length(role) || ':' || role || text) ORDER BY side, pos) AS steps FROM joined GROUP BY c) j ON j.c = v.c
+), sizes AS (
+  SELECT DISTINCT sha256(length(role) || ':' || role || text) AS step, strlen(text) AS bytes FROM joined
+), prefixes AS (
+  SELECT c, len(steps) AS n, d, steps[1:d] AS path FROM (SELECT c, steps, unnest(range(0, len(steps) + 1)) AS d FROM lists)
+), nodes AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, d
+), weighed AS (
+  SELECT nodes.*, (n_convs - 1) * coalesce(bytes, 0) AS own FROM nodes LEFT JOIN sizes ON step = path[-1]
+), children AS (
+  SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), known AS (
+  SELECT w.*, coalesce(k.n, 0) AS n_children FROM weighed w LEFT JOIN children k ON k.path = w.path AND k.d = w.d
+), above AS (
+  SELECT path[1:e] AS path, e AS d, sum(own) AS saved, count_if(n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM known) GROUP BY ALL
+)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, k.n_convs,
+  k.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known k JOIN above a ON a.path = k.path AND a.d = k.d LEFT JOIN nodes p ON k.d > 0 AND p.path = k.path[1:k.d - 1] AND p.d = k.d - 1
+"""

@@ -16,9 +16,12 @@ from .fingerprints import edited_fingerprints
 from .language import held_out, identify, train
 from .near_dup import near_duplicates
 from .packing import pack
+from .prefix_trie import prefix_trie
+from .simhash import simhash_components
 from .suffix_dedup import remove_repeated_bytes
 from .token_files import read_tokens, write_tokens
 from .url_filter import Rule
+from .whitening import whiten
 from .window_dedup import remove_repeats
 
 RULES = (
@@ -96,6 +99,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in sorted(globals().items()) if name.startswith("op") and callable(function)
 }
@@ -107,4 +122,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": answers.SUBSTRING_DEDUP,
     "op4_near_dedup": answers.NEAR_DEDUP,
     "op8_suffix_dedup": answers.SUFFIX_DEDUP,
+    "op13_prefix_trie": answers.PREFIX_TRIE,
 }
