@@ -1,7 +1,9 @@
 """Graph queries against brute force, storage, and streams."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,10 +22,13 @@ from tripleloom.operators.graph import (
     order_patterns,
     triple_pattern,
 )
+from tripleloom.operators import condensation
+from tripleloom.operators.condensation import path_components, strong_components
 from tripleloom.operators.paths import path_closure
 from tripleloom.operators.registry import dataset_profile
 from tripleloom.operators.sampling import spark_pi
-from tripleloom.session import build_session, scratch_path, scratch_root, shuffle_partitions_for
+from tripleloom.operators.stars import bgp_star, characteristic_sets, star_estimates
+from tripleloom.session import build_session, scratch_path, scratch_root, shuffle_partitions_for, stored
 from tripleloom.sources import publish_graphs, read_graphs
 from tripleloom.sources.graphs import clear_graphs
 
@@ -85,6 +90,74 @@ def test_patterns(spark, random_rows, patterns):
     assert got == sorted(tuple(solution["?" + name][1] for name in names) for solution in expected)
 
 
+STARS = [
+    [Pattern("?x", "p", "?y"), Pattern("?x", "q", "?z")],
+    [Pattern("?x", "p", "?y"), Pattern("?x", "q", "?y"), Pattern("?x", "p", "?z")],
+    [Pattern("?x", "p", "?y"), Pattern("?x", "q", "?z"), Pattern("?y", "p", "?v"), Pattern("?y", "q", "?w")],
+    [Pattern("?x", "p", Literal("1", "int")), Pattern("?x", "q", "?v"), Pattern("?x", "p", "a")],
+    [Pattern("?x", "p", "?x"), Pattern("?x", "q", "?v"), Pattern("?v", "?r", "?x")],
+    [Pattern("?x", "p", "?v"), Pattern("?x", "q", "?w"), Pattern("?y", "q", "?v"), Pattern("?y", "p", "?w")],
+    [Pattern("?x", "p", "?y")],
+    [Pattern("?x", "p", "?y"), Pattern("?x", "none", "?z")],
+]
+
+
+@pytest.mark.parametrize("objects", [1, 1000])
+@pytest.mark.parametrize("patterns", STARS)
+def test_stars(spark, random_rows, patterns, objects):
+    """With all objects in the subject's row, and with crowded predicates joined."""
+    expected = brute_force(random_rows, patterns)
+    made = solutions(bgp_star(graph(spark, random_rows), patterns, objects_per_row=objects))
+    names = made.columns
+    got = sorted(tuple(row[name] for name in names) for row in made.collect())
+    assert got == sorted(tuple(solution["?" + name][1] for name in names) for solution in expected)
+
+
+def test_stars_count_repeated_triples(spark, random_rows):
+    """A triple that two graphs hold matches twice, as in a join."""
+    twice = graph(spark, [*random_rows, *random_rows[:20]])
+    for patterns in STARS[:3]:
+        one, other = solutions(bgp_join(twice, patterns)), solutions(bgp_star(twice, patterns))
+        assert sorted(map(tuple, one.select(sorted(one.columns)).collect())) == sorted(map(tuple, other.select(sorted(one.columns)).collect()))
+
+
+def test_unconnected_stars_are_refused(spark, random_rows):
+    with pytest.raises(ValueError, match="share no variable"):
+        bgp_star(graph(spark, random_rows), [Pattern("?a", "p", "?b"), Pattern("?c", "q", "?d")])
+    with pytest.raises(ValueError):
+        bgp_star(graph(spark, random_rows), [])
+
+
+def test_characteristic_sets(spark, random_rows):
+    triples = graph(spark, random_rows)
+    of_subject = {}
+    for s, p, *_ in random_rows:
+        of_subject.setdefault(s, Counter())[p] += 1
+    expected = {}
+    for counts in of_subject.values():
+        expected.setdefault(tuple(sorted(counts)), []).append(counts)
+    sets = characteristic_sets(triples)
+    assert {tuple(r.predicates): (r.subjects, r.triples, r.most) for r in sets.collect()} == {
+        key: (len(c), [sum(x[p] for x in c) for p in key], [max(x[p] for x in c) for p in key]) for key, c in expected.items()
+    }
+    found = star_estimates(sets, [["p"], ["p", "q"], ["none"]]).first()
+    assert found.star_0 == sum(c["p"] for c in of_subject.values()) and found.star_2 == 0
+    wanted = sum(len(c) * math.prod(sum(x[p] for x in c) / len(c) for p in "pq") for key, c in expected.items() if {"p", "q"} <= set(key))
+    assert found.star_1 == pytest.approx(wanted)
+    assert characteristic_sets(triples.limit(0)).count() == 0
+
+
+def test_a_star_is_one_scan_and_no_join(spark, tmp_path):
+    rows = [(f"s{i}", p, f"{p}{i % 3}", "uri", None, None) for i in range(40) for p in "pqrt"]
+    publish_graphs(graph(spark, rows), str(tmp_path / "store"))
+    sets = stored(characteristic_sets(read_graphs(spark, str(tmp_path / "store"))), "sets")
+    made = bgp_star(read_graphs(spark, str(tmp_path / "store")), [Pattern("?s", p, f"?{p}") for p in "pqrt"], sets)
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Join" not in text and text.count("Exchange") == 1
+    assert "In(p, [p,q,r,t])" in text
+    assert made.count() == 40
+
+
 def test_unconnected_patterns_are_refused(spark, random_rows):
     with pytest.raises(ValueError, match="share no variable"):
         bgp_join(graph(spark, random_rows), [Pattern("?a", "p", "?b"), Pattern("?c", "q", "?d")])
@@ -156,6 +229,46 @@ def test_paths_with_cycles_and_a_hub(spark):
     with pytest.raises(RuntimeError):
         path_closure(frame, max_rounds=1)
     assert path_closure(frame.limit(0)).count() == 0
+    ends = spark.createDataFrame([("d",), ("alone",)], "node string")
+    back = {tuple(row) for row in path_closure(frame, targets=ends, include_start=True).collect()}
+    assert back == {pair for pair in reach(set(edges)) if pair[1] == "d"} | {("d", "d"), ("alone", "alone")}
+    with pytest.raises(ValueError):
+        path_closure(frame, starts, targets=ends)
+
+
+@pytest.mark.parametrize("nodes, count", [(12, 14), (30, 36), (9, 40)])
+def test_path_components(spark, nodes, count):
+    draw = random.Random(count)
+    edges = [(f"n{draw.randrange(nodes):02}", f"n{draw.randrange(nodes):02}") for _ in range(count)]
+    edges += [edges[0], ("z", "z"), ("y", "z"), ("n00", None)]
+    frame = spark.createDataFrame(edges, "source string, target string")
+    pairs = reach({e for e in edges if e[1]})
+    names = {n for e in edges if e[1] for n in e}
+    component = {n: min([n, *[m for m in names if (n, m) in pairs and (m, n) in pairs]]) for n in names}
+    size = Counter(component.values())
+    assert dict(map(tuple, strong_components(frame).collect())) == component
+    found = sorted(map(tuple, path_components(frame).collect()))
+    assert found == sorted({(component[a], size[component[a]], component[b], size[component[b]]) for a, b in pairs})
+
+
+def test_path_components_of_nothing(spark):
+    empty = spark.createDataFrame([], "source string, target string")
+    assert path_components(empty).count() == 0 and strong_components(empty).count() == 0
+
+
+def test_path_components_compare_no_rounds(spark, monkeypatch):
+    """Pairs are extended once, from the level they end in: no anti-join with pairs found before."""
+    plans = []
+
+    def watched(frame, label):
+        plans.append((label, frame._jdf.queryExecution().optimizedPlan().toString()))
+        return stored(frame, label)
+
+    monkeypatch.setattr(condensation, "stored", watched)
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)] + [("n2", "n4")], "source string, target string")
+    assert condensation.path_components(chain).count() == 15
+    of_pairs = [text for label, text in plans if label == "pairs-level"]
+    assert of_pairs and all("Join" not in text for text in of_pairs)
 
 
 def test_store(spark, tmp_path):

@@ -5,11 +5,11 @@ from fixtures import GAUGES_DDL, GOLDEN, ROWS, SCHEMES, D, declare
 from pyspark.sql import functions as F
 
 from tripleloom import Mapper, plan_mapping, schemes_frame, specs_frame
-from tripleloom.operators.materialize import distinct_triples, materialize, materialize_distinct
+from tripleloom.operators.materialize import distinct_triples, materialize, materialize_distinct, materialize_many
 from tripleloom.operators.render import render_rml
 from tripleloom.operators.rml_rules import document_triples, plan_batches, plans_from_rml, rejected_documents, triples_maps
 from tripleloom.operators.turtle import corpus_of, mapping_projections
-from tripleloom.plans import expand, template_key
+from tripleloom.plans import MappingPlan, TripleRule, expand, template_key
 from tripleloom.vocab import RDF_TYPE, XSD
 
 
@@ -250,3 +250,22 @@ def test_plans_come_in_batches(spark):
     batches = list(plan_batches(documents(spark, d=text), 3))
     assert [len(batch) for batch in batches] == [3, 3, 1]
     assert {plan.subject_template for batch in batches for _, _, plan in batch} == {f"http://ex/{i}/{{value}}" for i in range(7)}
+
+
+def test_many_mappings_of_a_table(spark, gauges):
+    """A thousand mappings of one table: the triples of each of them, in one scan."""
+    table, plan = gauges, plan_mapping(declare().spec(), SCHEMES)
+    other = MappingPlan("river", "http://ex/{value}/{value}", (
+        TripleRule("http://ex/p", "uri", constant="http://ex/{value}"),
+        TripleRule("http://ex/q", "literal", column="depth"),
+        TripleRule("http://ex/r", "uri", column="code", template="http://ex/{value}"),
+        TripleRule("http://ex/r", "literal", column="photo"),
+    ))
+    odd = table.union(spark.createDataFrame([(None, "a b/é", 1.0, 2, "{value}"), ("x y", None, None, None, None)], table.schema))
+    jobs = [(plan, "g1"), (other, "g2"), (plan, "g1"), (MappingPlan("code", "{value}", ()), "g3")]
+    wanted = [tuple(r) for p, g in jobs for r in materialize(odd, p, g).collect()]
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in materialize_many(odd, jobs).collect())
+    assert materialize_many(odd, []).count() == 0
+    many = materialize_many(odd, [(other if i % 2 else plan, f"g{i}") for i in range(1000)])
+    assert plan_text(many).count("Scan ") == plan_text(odd).count("Scan ")
+    assert many.count() == 500 * (materialize(odd, plan, "g").count() + materialize(odd, other, "g").count())

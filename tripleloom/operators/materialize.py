@@ -1,17 +1,19 @@
 """Table rows to triples.
 
-Three plan shapes, chosen by what is asked for:
+Four plan shapes, chosen by what is asked for:
 
 * ``rows``: one scan, one ``stack`` generator, for materialising everything;
 * ``branches``: one projection per rule, united. Catalyst pushes a filter on
   ``p`` into it, drops the other branches and reads only their columns;
+* merged: for many mappings of one table, their rules as data beside one scan;
 * compact: for set semantics, de-duplicates short typed keys and values and
   builds the long strings after the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -214,6 +216,64 @@ def materialize_all(parts: Iterable[tuple[DataFrame, MappingPlan, str]], shape:
     return reduce(DataFrame.unionByName, frames)
 
 
+#: What a merged mapping says of a rule; ``at`` and ``key`` are places among the row's texts.
+_MERGED = "graph string, key int, subject string, p string, at int, template string, o_type string, o_datatype string"
+
+
+def materialize_many(df: DataFrame, jobs: Sequence[tuple[MappingPlan, str]]) -> DataFrame:
+    """Triples of one table under many mappings, each with its graph, in one scan.
+
+    Equal to the union of :func:`materialize` over the jobs. The rules of all mappings are one constant list that every
+    row meets; each column is turned into text, and encoded for IRIs, once a row, however many rules use it. So the
+    plan has one expression a column, and a thousand mappings are no larger a program than one.
+    """
+    jobs = [(plan, graph) for plan, graph in jobs if plan.rules]
+    if not jobs:
+        return _no_triples(df, "")
+    used = list(dict.fromkeys(name for plan, _ in jobs for name in plan.columns()))
+    whole = _Source(df, MappingPlan(used[0], "", tuple(TripleRule("", "literal", column=name) for name in used)))
+    texts: dict[tuple[str, bool], int] = {}
+
+    def place(name: str, in_iri: bool) -> int:
+        plain = isinstance(whole.types[name], _PLAIN_TYPES)
+        return texts.setdefault((name, in_iri and not plain), len(texts))
+
+    rules = [
+        {
+            "graph": graph,
+            "key": place(plan.subject_column, True),
+            "subject": plan.subject_template,
+            "p": rule.predicate,
+            "at": None if rule.column is None else place(rule.column, rule.template is not None),
+            "template": rule.constant if rule.column is None else rule.template,
+            "o_type": rule.o_type,
+            "o_datatype": rule.datatype,
+        }
+        for plan, graph in jobs
+        for rule in plan.rules
+    ]
+    held = F.array(*[whole.iri("{value}", name) if encoded else whole.text(name) for name, encoded in texts])
+    rows = df.select(*[_column(name) for name in used]).select(held.alias("_texts"))
+    stated = rows.select("_texts", F.explode(F.from_json(F.lit(json.dumps(rules)), f"array<struct<{_MERGED}>>")).alias("_rule"))
+    rule = {name: F.col(f"_rule.{name}") for name in ("graph", "key", "subject", "p", "at", "template", "o_type", "o_datatype")}
+    key, value = F.get("_texts", rule["key"]), F.get("_texts", rule["at"])
+    slot = F.lit("{value}")
+    made = F.when(rule["at"].isNull(), rule["template"]).when(rule["template"].isNull(), value).otherwise(F.replace(rule["template"], slot, value))
+    return (
+        stated.select(
+            rule["graph"],
+            F.replace(rule["subject"], slot, key).alias("s"),
+            rule["p"],
+            made.alias("o"),
+            rule["o_type"],
+            rule["o_datatype"],
+            _text_lit(None).alias("o_lang"),
+        )
+        .where(F.col("s").isNotNull() & F.col("o").isNotNull())
+        .select(*TRIPLE_COLUMNS)
+    )
+
+
 def distinct_triples(triples: DataFrame) -> DataFrame:
     """A graph is a set: equal triples of one graph count once."""
     return triples.select(*TRIPLE_COLUMNS).distinct()

@@ -13,6 +13,7 @@ def path_closure(
     sources: DataFrame | None = None,
     include_start: bool = False,
     max_rounds: int | None = None,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
     """``(start, node)`` for every node that edges ``(source, target)`` lead to.
 
@@ -21,7 +22,18 @@ def path_closure(
     Rounds are cut off by reliable checkpoints, which survive lost executors.
     ``include_start`` adds the path of length zero. Raises ``RuntimeError`` if
     ``max_rounds`` do not reach the end.
+
+    Name the bound end: with ``sources(start)`` only ways from them are walked, with ``targets(node)`` only ways to
+    them, backwards. Where neither is bound, :func:`.condensation.path_components` gives the same answer without
+    listing the pairs of nodes.
     """
+    if targets is not None:
+        if sources is not None:
+            raise ValueError("bind one end; filter the result for the other")
+        turned = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        ends = targets.select(F.col("node").alias("start"))
+        found = path_closure(turned, ends, include_start, max_rounds)
+        return found.select(F.col("node").alias("start"), F.col("start").alias("node"))
     spark = edges.sparkSession
     scratch_root(spark)
     links = edges.select("source", "target").distinct().checkpoint()

@@ -147,12 +147,13 @@ def rejected_documents(corpus: DataFrame) -> DataFrame:
     return renamed.union(bad).union(empty).distinct()
 
 
-def plan_batches(corpus: DataFrame, size: int = 200) -> Iterator[list[tuple[str, str | None, MappingPlan]]]:
+def plan_batches(corpus: DataFrame, size: int = 200, by_source: bool = False) -> Iterator[list[tuple[str, str | None, MappingPlan]]]:
     """``(mapping_id, source_uri, plan)`` of each TriplesMap, in document order, ``size`` of them at a time.
 
     Plans are needed on the driver before a job can be put together; it holds
     one batch of them, however many maps the corpus has. Raises ``ValueError``
-    for a map that cannot be run.
+    for a map that cannot be run. ``by_source`` orders maps by their source first, so that those of one table meet in
+    a batch and can share its scan.
     """
     terms = F.concat(
         F.col("class_terms"), F.flatten(F.transform("rules", lambda rule: F.array(rule["predicate"], rule["object"], rule["datatype"])))
@@ -165,7 +166,8 @@ def plan_batches(corpus: DataFrame, size: int = 200) -> Iterator[list[tuple[str,
         "term", expand_known_prefix(F.col("term"), F.col("_namespace")).alias("iri")
     )
     of_map = wanted.join(resolved, "term").groupBy("mapping_id", "stmt_pos").agg(F.map_from_entries(F.collect_list(F.struct("term", "iri"))).alias("iris"))
-    rows = maps.drop("terms").join(of_map, ["mapping_id", "stmt_pos"], "left").orderBy("mapping_id", "stmt_pos").toLocalIterator()
+    rows = maps.drop("terms").join(of_map, ["mapping_id", "stmt_pos"], "left")
+    rows = rows.orderBy(*["source_uri"] * by_source, "mapping_id", "stmt_pos").toLocalIterator()
     while batch := list(islice(rows, size)):
         yield [_plan_of(row) for row in batch]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution is what re-plans joins from measured sizes: it broadcasts a
 # side only after seeing how large it is and splits hot keys of the others.
@@ -68,6 +68,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the scratch folder: computed once, read again, safe from lost executors."""
+    spark = frame.sparkSession
+    path = scratch_path(spark, label)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours on whatever file system it lies."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,6 +9,7 @@ from ..operators.graph import (
     Literal,
     Pattern,
     bgp_join,
+    bindings,
     bindings_rows,
     class_counts,
     clear_graph,
@@ -37,7 +38,9 @@ from ..operators.graph import (
     triple_pattern,
     union,
 )
+from ..operators.condensation import path_components
 from ..operators.paths import path_closure
+from ..operators.stars import bgp_star, characteristic_sets
 from ..operators.updates import insert_into, update_graphs, update_where
 from ..session import scratch_path
 from ..sources import publish_graphs, read_graphs
@@ -255,6 +258,29 @@ def closure_from_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def closure_to_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p+`` with a bound end: what leads to the regions, walked backwards from them."""
+    links = everything(spark, sf_dir).where(F.col("p").isin(DPA + "placedBy", DPA + "inNation", DPA + "inRegion"))
+    ends = triple_pattern(people(spark, sf_dir), Pattern("?s", RDF_TYPE, DPA + "Region"))
+    return path_closure(
+        links.select(F.col("s").alias("source"), F.col("o").alias("target")), targets=ends.select(F.col("s").alias("node"))
+    )
+
+
+def components_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, customers, nations and regions, with links back: each nation to its richest customer, each region to its first nation."""
+    links = everything(spark, sf_dir).where(F.col("p").isin(DPA + "placedBy", DPA + "inNation", DPA + "inRegion"))
+    graph = people(spark, sf_dir)
+    rich = bgp_join(
+        graph,
+        [Pattern("?customer", DPA + "accountBalance", "?balance"), Pattern("?customer", DPA + "inNation", "?nation")],
+    )
+    led = rich.groupBy("nation").agg(F.max_by("customer", F.struct(number("balance"), "customer")).alias("target"))
+    seats = bindings(graph, Pattern("?nation", DPA + "inRegion", "?region")).groupBy("region").agg(F.min("nation").alias("target"))
+    edges = links.select(F.col("s").alias("source"), F.col("o").alias("target"))
+    return path_components(edges.union(led.select("nation", "target")).union(seats.select("region", "target")))
+
+
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert, delete and clear, one after the other, on triples in flight."""
     graph = people(spark, sf_dir)
@@ -375,6 +401,37 @@ def typed_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stars_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four facts of each customer and two of its nation: two stars that meet in the nation."""
+    found = bgp_star(
+        whole(spark, sf_dir),
+        [
+            Pattern("?customer", RDF_TYPE, DPA + "Customer"),
+            Pattern("?customer", DPA + "name", "?name"),
+            Pattern("?customer", DPA + "accountBalance", "?balance"),
+            Pattern("?customer", DPA + "inNation", "?nation"),
+            Pattern("?nation", DPA + "name", "?nation_name"),
+            Pattern("?nation", DPA + "inRegion", "?region"),
+        ],
+    )
+    return solutions(found)
+
+
+def stars_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and flags of orders, where one order has several of both: every choice is a solution, as in a join."""
+    found = bgp_star(
+        triples(spark, sf_dir, "lineitem", shape="rows"),
+        [Pattern("?line", DPA + "part", "?part"), Pattern("?line", DPA + "returnFlag", "?flag")],
+    )
+    return found.groupBy("flag").agg(F.count("*").alias("n"), F.count_distinct("part").alias("n_parts"))
+
+
+def sets_of_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = characteristic_sets(triples(spark, sf_dir, *ALL_TABLES, "lineitem", shape="rows"))
+    text = lambda name: F.array_join(F.transform(name, lambda n: n.cast("string")), " ").alias(name)
+    return found.select(F.array_join("predicates", " ").alias("predicates"), "subjects", text("triples"), text("most"))
+
+
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_counts(whole(spark, sf_dir))
 
@@ -464,6 +521,28 @@ QUERIES = {
         UNION SELECT '{RESOURCE}nation/' || c_nationkey, '{RESOURCE}customer/' || c_custkey FROM customer
         UNION SELECT '{RESOURCE}nation/' || c_nationkey, '{RESOURCE}orders/' || o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey""",
     ),
+    "path_closure_to": Query(
+        closure_to_regions,
+        f"""WITH n AS (SELECT '{RESOURCE}region/' || n_regionkey AS node, * FROM nation),
+        c AS (SELECT * FROM n JOIN customer ON c_nationkey = n_nationkey), o AS (SELECT * FROM c JOIN orders ON o_custkey = c_custkey)
+        SELECT '{RESOURCE}nation/' || n_nationkey AS start, node FROM n UNION ALL SELECT '{RESOURCE}customer/' || c_custkey, node FROM c
+        UNION ALL SELECT '{RESOURCE}orders/' || o_orderkey, node FROM o""",
+    ),
+    "path_components": Query(
+        components_of_links,
+        _LINKS.replace("WITH t", "WITH RECURSIVE t", 1)
+        + f""", k AS (SELECT s, o FROM l
+          UNION SELECT '{RESOURCE}nation/' || c_nationkey, arg_max('{RESOURCE}customer/' || c_custkey, (c_acctbal, '{RESOURCE}customer/' || c_custkey))
+            FROM customer GROUP BY c_nationkey
+          UNION SELECT '{RESOURCE}region/' || n_regionkey, min('{RESOURCE}nation/' || n_nationkey) FROM nation GROUP BY n_regionkey),
+        w AS (SELECT s AS a, o AS b FROM k UNION SELECT w.a, k.o FROM w JOIN k ON w.b = k.s),
+        nodes AS (SELECT a AS node FROM w UNION SELECT b FROM w),
+        c AS (SELECT node, least(node, coalesce(min(x.b), node)) AS component FROM nodes
+              LEFT JOIN (SELECT w.a, w.b FROM w JOIN w v ON v.a = w.b AND v.b = w.a) x ON x.a = node GROUP BY node),
+        z AS (SELECT component, count(*) AS members FROM c GROUP BY component)
+        SELECT DISTINCT one.component, p.members, two.component AS reached, q.members AS reached_members FROM w
+        JOIN c one ON one.node = a JOIN c two ON two.node = b JOIN z p ON p.component = one.component JOIN z q ON q.component = two.component""",
+    ),
     "graph_update": Query(
         updates,
         _P
@@ -512,6 +591,25 @@ QUERIES = {
         f"""SELECT '{RESOURCE}nation/' || c_nationkey AS nation, count(*) AS n, count(*) FILTER (c_custkey % 3 <> 0) AS n_numbers,
         CAST(sum(CAST(c_acctbal AS DECIMAL(20,2))) FILTER (c_custkey % 3 <> 0) AS DOUBLE) AS total FROM customer GROUP BY c_nationkey""",
     ),
+    "bgp_star": Query(
+        stars_of_customers,
+        f"SELECT {_CN.removesuffix(' FROM customer')}, c_name AS name, CAST(c_acctbal AS VARCHAR) AS balance, n_name AS nation_name, "
+        f"'{RESOURCE}region/' || n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    ),
+    "bgp_star_bag": Query(
+        stars_of_lines,
+        "SELECT b.l_returnflag AS flag, count(*) AS n, count(DISTINCT a.l_partkey) AS n_parts "
+        "FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey GROUP BY b.l_returnflag",
+    ),
+    "characteristic_sets": Query(
+        sets_of_predicates,
+        with_triples(*ALL_TABLES, "lineitem")
+        + """, k AS (SELECT s, p, count(*) AS n FROM t GROUP BY s, p),
+        o AS (SELECT s, string_agg(p, ' ' ORDER BY p) AS predicates FROM k GROUP BY s),
+        x AS (SELECT predicates, p, count(*) AS subjects, sum(n) AS triples, max(n) AS most FROM k JOIN o USING (s) GROUP BY predicates, p)
+        SELECT predicates, max(subjects) AS subjects, string_agg(CAST(CAST(triples AS BIGINT) AS VARCHAR), ' ' ORDER BY p) AS triples,
+          string_agg(CAST(most AS VARCHAR), ' ' ORDER BY p) AS most FROM x GROUP BY predicates""",
+    ),
     "predicate_stats": Query(
         lambda s, d: predicate_stats(whole(s, d)),
         _A + "SELECT p, count(*) AS triple_count, count(*) FILTER (o_type = 'uri') AS resource_count FROM t GROUP BY p",

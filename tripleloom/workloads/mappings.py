@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +13,15 @@ from ..operators.materialize import (
     dangling_references,
     distinct_triples,
     materialize,
-    materialize_all,
     materialize_distinct,
+    materialize_many,
 )
 from ..operators.render import render_rml
-from ..operators.registry import active_mappings
-from ..operators.rml_rules import plans_from_rml
+from ..operators.registry import active_mappings, current_records, documents_of, register_batch
+from ..operators.rml_rules import plan_batches, plans_from_rml
 from ..operators.turtle import corpus_of
 from ..plans import plan_mapping
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..streaming import distinct_stream, materialize_stream, read_table_stream, run_available
 from ..vocab import DPA, RDF_TYPE, XSD
 from . import lifecycle
@@ -107,16 +110,55 @@ def subject_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TURNS = ("region", "nation", "customer", "orders")
+#: Mappings of each table in the log of :func:`materialize_active`.
+VARIANTS = 3
 
 
 def materialize_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All active mappings into one graph. The log of events says which are active; records take turns with the tables."""
-    active = active_mappings(lifecycle.records(spark, sf_dir))
-    turn = F.regexp_extract("id", "([0-9]+)$", 1).cast("int") % len(TURNS)
-    chosen = sorted(row.turn for row in active.select(turn.alias("turn")).distinct().collect())
-    return materialize_all(
-        [(table(spark, sf_dir, TURNS[i]), plan(TURNS[i]), graph_iri("all")) for i in chosen], shape="rows"
-    )
+    """All active mappings of a log of events, as the log's documents say, each into a graph named after its record.
+
+    Three mappings of each of four tables are registered; users' views activate and their purchases deprecate the
+    mapping whose turn it is. Mappings of one table share its scan.
+    """
+    specs = [replace(SPECS[name], name=f"{SPECS[name].name}_{v}") for v in range(VARIANTS) for name in TURNS]
+    number = {spec.name: F.lit(i) for i, spec in enumerate(specs)}
+    at = F.element_at(F.create_map(*[x for name, i in number.items() for x in (F.lit(name), i)]), F.col("dataset.name"))
+    born = F.to_timestamp(F.lit("2000-01-01 00:00:00"))
+    log = register_batch(specs_frame(spark, specs), schemes_frame(spark, SCHEMES), at=born, seq=at, new_id=F.concat(F.lit("map-"), at))
+    status = lifecycle.events(spark, sf_dir).where("op in ('activate', 'deprecate')")
+    user = F.regexp_extract("mapping_id", "([0-9]+)$", 1).cast("int")
+    log = log.unionByName(status.withColumn("mapping_id", F.concat(F.lit("map-"), user % len(specs))))
+    active = stored(documents_of(active_mappings(current_records(log))), "active")
+    jobs: dict[str, list] = {}
+    for batch in plan_batches(corpus_of(active), by_source=True):
+        for mapping_id, uri, made in batch:
+            jobs.setdefault(uri.rsplit("/", 1)[-1], []).append((made, graph_iri(mapping_id)))
+    parts = [materialize_many(table(spark, sf_dir, name), of_table) for name, of_table in jobs.items()]
+    return reduce(DataFrame.unionByName, parts) if parts else triples(spark, sf_dir, *TURNS).where("false")
+
+
+MANY = 1000
+
+
+def materialize_many_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand mappings of the suppliers, in one scan: classes, predicates, links and graphs differ."""
+
+    def spec(i: int):
+        return (
+            Mapper()
+            .dataset(f"unity.default.supplier_{i}")
+            .row_subject(rdf_class=f"dpa:Supplier{i % 7}")
+            .subject_identifier(column="s_suppkey", scheme=f"sup{i % 3}")
+            .column("s_name")
+            .literal(predicate=f"dpa:name{i % 10}")
+            .column("s_nationkey", "INT")
+            .entity_reference(scheme="nat", predicate="dpa:inNation")
+            .spec()
+        )
+
+    schemes = {f"sup{n}": f"{RESOURCE}supplier{n}/{{value}}" for n in range(3)} | {"nat": RESOURCE + "nation/{value}"}
+    jobs = [(plan_mapping(spec(i), schemes), graph_iri(f"many/{i}")) for i in range(MANY)]
+    return materialize_many(table(spark, sf_dir, "supplier"), jobs)
 
 
 def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,11 +258,18 @@ QUERIES = {
     "materialize_active": Query(
         materialize_active,
         with_triples(*TURNS).rstrip()
-        + ", "
-        + lifecycle.RECORDS_SQL.strip().removeprefix("WITH")
-        + f"SELECT * REPLACE ('{graph_iri('all')}' AS graph) FROM t "
-        + f"WHERE list_position({[graph_iri(name) for name in TURNS]}, graph) - 1 IN "
-        + f"(SELECT CAST(split_part(id, '-', 2) AS BIGINT) % {len(TURNS)} FROM r WHERE status = 'active')",
+        + f""", e AS (SELECT user_id % {VARIANTS * len(TURNS)} AS i, arg_max(event_type, event_id) AS last
+          FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1)
+        SELECT t.* REPLACE ('{graph_iri("map-")}' || i AS graph) FROM t
+        JOIN e ON last = 'view' AND list_position({[graph_iri(name) for name in TURNS]}, graph) - 1 = i % {len(TURNS)}""",
+    ),
+    "materialize_many": Query(
+        materialize_many_maps,
+        f"""WITH m AS (SELECT '{graph_iri("many/")}' || i AS graph, '{RESOURCE}supplier' || i % 3 || '/' || s_suppkey AS s, i, s_name, s_nationkey
+          FROM supplier, range({MANY}) r(i))
+        SELECT graph, s, '{RDF_TYPE}' AS p, '{DPA}Supplier' || i % 7 AS o, 'uri' AS o_type, CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM m
+        UNION ALL SELECT graph, s, '{DPA}name' || i % 10, s_name, 'literal', '{XSD}string', NULL FROM m
+        UNION ALL SELECT graph, s, '{DPA}inNation', '{RESOURCE}nation/' || s_nationkey, 'uri', NULL, NULL FROM m""",
     ),
     "distinct_triples": Query(distinct, with_triples("lineitem") + "SELECT DISTINCT * FROM t"),
     "distinct_triples_plain": Query(distinct_plain, with_triples("lineitem") + "SELECT DISTINCT * FROM t"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql.utils import AnalysisException
 from .model import EVENT_SCHEMA, JOB_SCHEMA, MappingSpec, payload_json, specs_frame
 from .operators import projection as projecting
 from .operators import registry
-from .operators.materialize import materialize_all
+from .operators.materialize import materialize_many
 from .operators.render import render_rml
 from .operators.rml_rules import document_triples, plan_batches, rejected_documents
 from .operators.turtle import (
@@ -33,6 +34,7 @@ from .operators.turtle import (
     ttl_prefixes,
 )
 from .operators.validate import projection_errors, raise_on_error, validate_mappings, validation_summary
+from .plans import MappingPlan
 from .session import remove_path, scratch_path
 from .sources.catalog import catalog_snapshot
 from .sources.graphs import publish_graphs, read_graphs
@@ -234,19 +236,23 @@ class Workspace:
         """Run all active mappings: the rows they describe as triples, published graph by graph.
 
         ``tables`` gives the table of a source URI, ``graph`` names the graph of
-        a mapping id. Mappings are planned and run ``batch`` at a time into a
+        a mapping id. Mappings are planned and run ``batch`` at a time, in the
+        order of their sources, and those of one source share a scan, into a
         staged copy, from which each graph is published once, as a set: mappings
         may share graphs, and a failing one leaves the old graphs in place.
         """
         staged = scratch_path(self.spark, "materialized")
         corpus = corpus_of(registry.documents_of(registry.active_mappings(self.records())))
         sources_seen = False
-        for plans in plan_batches(corpus, batch):
-            sources = {uri: tables(uri) for uri in {uri for _, uri, _ in plans if uri is not None}}
-            jobs = [(sources[uri], plan, graph(mapping_id)) for mapping_id, uri, plan in plans if uri is not None]
+        for plans in plan_batches(corpus, batch, by_source=True):
+            jobs: dict[str, list[tuple[MappingPlan, str]]] = {}
+            for mapping_id, uri, plan in plans:
+                if uri is not None:
+                    jobs.setdefault(uri, []).append((plan, graph(mapping_id)))
             sources_seen |= bool(jobs)
             if jobs:
-                materialize_all(jobs, shape="rows").write.mode("append").partitionBy("graph").parquet(staged)
+                made = reduce(DataFrame.unionByName, [materialize_many(tables(uri), of_source) for uri, of_source in jobs.items()])
+                made.write.mode("append").partitionBy("graph").parquet(staged)
         if sources_seen:
             publish_graphs(read_graphs(self.spark, staged), f"{self.root}/graphs")
             remove_path(self.spark, staged)
