@@ -201,12 +201,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFra
     found: list[DataFrame] = []
     rows, masks = nodes.select(F.lit(0).cast("long").alias("mask"), "bits"), [0]
     while True:
-        steps = [(_signed(m), _signed(further)) for m in masks for further in refined(m, radius)]
-        # At most 6, 36, 216, ... rows: the number of choices of parts.
-        table = F.broadcast(spark.createDataFrame(steps, "mask long, further long"))
-        keyed = rows.join(table, "mask").select(
-            F.col("further").alias("mask"), F.col("bits").bitwiseAND(F.col("further")).alias("prefix"), "bits"
-        )
+        # At most 1, 6, 36, ... masks, each with 6 further ones.
+        steps = [(F.lit(_signed(m)), F.array(*[F.lit(_signed(further)) for further in refined(m, radius)])) for m in masks]
+        cut = rows.select(F.explode(F.element_at(F.create_map(*[x for step in steps for x in step]), F.col("mask"))).alias("mask"), "bits")
+        keyed = cut.select("mask", F.col("bits").bitwiseAND(F.col("mask")).alias("prefix"), "bits")
         large = stored(keyed.groupBy("mask", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > limit).drop("n"), "simhash-large")
         more = not large.isEmpty()
         if more:
