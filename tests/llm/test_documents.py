@@ -8,6 +8,7 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR, by_id
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from tokenizers import Tokenizer
 from tripleloom.llm import ppm
 from tripleloom.llm.decontaminate import blocks_of, decontaminate
 from tripleloom.llm.fingerprints import edited_fingerprints, signatures, similar_documents
-from tripleloom.llm.language import LanguageModel, identify, train, word_scores
+from tripleloom.llm.batches import hashes
+from tripleloom.llm.language import Frequencies, LanguageModel, gram_keys, identify, train, word_scores
 from tripleloom.llm.near_dup import near_duplicates
 from tripleloom.llm.packing import pack, plan
 from tripleloom.llm.queries import QUERIES
@@ -272,32 +274,78 @@ def test_files_of_messy_and_empty_tables(spark, messy, empty):
 # ---- language -------------------------------------------------------------------------------------------------------
 
 
-def test_held_out_languages(spark, docs):
-    found = QUERIES["op9_language"](spark, SF_DIR).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
-    assert found and sum(r.lang == r.lang_pred for r in found) >= 0.98 * len(found)
-    assert all(0 <= r.score <= 1 for r in found)
+def _plain_languages(rows, training):
+    """Language and score of each text by the method, over dictionaries of words and n-grams."""
+    blank = lambda t: "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in t or "")
+    split = lambda t: blank(t).split(" ")
+    words, grams = {}, {n: {} for n in (4, 3, 2, 1)}
+    for text, lang in training:
+        for word in split(text):
+            if word:
+                words.setdefault(word, Counter())[lang] += 1
+    langs = sorted({lang for _, lang in training})
+    for word, counts in words.items():
+        for n in grams:
+            for lang in counts:
+                grams[n].update({f" {word} "[i : i + n]: grams[n].get(f" {word} "[i : i + n], Counter()) + Counter([lang]) for i in range(len(word) + 3 - n)})
+    totals = {lang: sum(c[lang] for c in words.values()) for lang in langs}
+    prior = [math.log((totals[lang] + 1) / (sum(totals.values()) + len(langs))) for lang in langs]
+    sums = {n: {lang: sum(x[lang] + 0.5 for x in t.values()) for lang in langs} for n, t in ((0, words), *grams.items())}
+    row = lambda n, key: [math.log((({0: words} | grams)[n][key][lang] + 0.5) / sums[n][lang]) / max(1, n) for lang in langs]
+    out = {}
+    for key, text in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out[key] = ("und", 0.0)
+            continue
+        score = list(prior)
+        for word in split(text):
+            found = [row(0, word)] if word in words else []
+            if word and not found:
+                padded = f" {word} "
+                for at in range(len(padded)):
+                    n = next((n for n in grams if at + n <= len(padded) and padded[at : at + n] in grams[n]), None)
+                    found += [row(n, padded[at : at + n])] if n else []
+            score = [a + sum(f[i] for f in found) for i, a in enumerate(score)]
+        odds = [math.exp(s - max(score)) for s in score]
+        best = odds.index(max(odds))
+        out[key] = (langs[best], odds[best] / sum(odds))
+    return out
+
+
+def test_languages_of_query(spark, docs):
+    """The whole query against plain dictionaries, and its accuracy on documents it has not seen."""
+    rows = docs.select("doc_id", "text", "lang").collect()
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    wanted = _plain_languages([(r.doc_id, r.text) for r in rows], [(r.text, r.lang) for r in rows if not out(r.doc_id) and r.text and r.lang])
+    found = QUERIES["op9_language"](spark, SF_DIR).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.held_out, r.lang_pred) == (out(r.doc_id), wanted[r.doc_id][0])
+        assert r.score == pytest.approx(wanted[r.doc_id][1], rel=1e-3)
+    given = {r.doc_id: r.lang for r in rows}
+    judged = [r for r in found if r.held_out and given[r.doc_id] and r.lang_pred != "und"]
+    assert sum(r.lang_pred == given[r.doc_id] for r in judged) >= 0.95 * len(judged)
 
 
-def test_unseen_words_back_off_to_the_longest_known_n_gram():
-    rows = np.array([[-5.0, -1.0], [-0.5, -3.5]], np.float32)
-    model = LanguageModel(["a", "b"], np.zeros(2), {b"known": 0}, np.array([[-1.0, -9.0]], np.float32), {"x": 0, "xy": 1}, rows, (2, 1))
+def test_word_scores():
+    keys = lambda *grams: np.array([gram_keys([g], (len(g),))[1][len(g)][0][1] for g in grams], np.uint64)
+    of = lambda k, rows: Frequencies(np.sort(k), np.array(rows, np.float32)[np.argsort(k)])
+    model = LanguageModel(["a", "b"], np.zeros(2), of(hashes(pa.array(["known"])), [[-1, -9]]), {2: of(keys("xy"), [[-0.5, -3.5]]), 1: of(keys("x", "é"), [[-5, -1], [-2, -4]])})
     # " xyx ": the pair, then nothing for y, then the single x.
-    assert word_scores([b"known", b"xyx", b"q"], model).tolist() == [[-1.0, -9.0], [-0.5 - 5.0, -3.5 - 1.0], [0.0, 0.0]]
-
-
-def test_all_words_and_n_grams_of_training_count(spark):
-    """Scores do not depend on how many words and n-grams are sent to executors."""
-    training = spark.createDataFrame([("the cat sat the the mat rareword", "en"), ("der hund sass der der matte seltenes", "de")], "text string, lang string")
-    asked = spark.createDataFrame([("rareword",), ("seltenes",), ("the seltenen rarewords",), ("rareword",), (None,)], "text string")
-    whole = train(training)
-    expected = {r.text: (r.lang_pred, r.score) for r in identify(asked, whole._replace(every_word=None, every_gram=None)).collect()}
-    assert (expected["rareword"][0], expected["seltenes"][0]) == ("en", "de") and min(expected["rareword"][1], expected["seltenes"][1]) > 0.5
-    small = train(training, max_words=1, max_grams=1)
-    assert len(small.words) <= 2
-    rows = identify(asked, small).collect()
-    assert len(rows) == 5
-    for r in rows:
-        assert r.lang_pred == expected[r.text][0] and r.score == pytest.approx(expected[r.text][1], rel=1e-4)
+    found = word_scores(pa.array(["known", "xyx", "q", "éq"]), model).tolist()
+    assert found == [[-1.0, -9.0], [-5.5, -4.5], [0.0, 0.0], [-2.0, -4.0]]
+
+
+def test_languages_learn_from_a_bounded_sample(spark):
+    """Few documents of a language are all kept, copies do not move together, and a large model halves its sample."""
+    rows = [(i, "the same words again", "en") for i in range(900)] + [(1000 + i, f"seltenes wort{chr(97 + i)}", "de") for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(table, sample=100)
+    assert model.langs == ["de", "en"] and len(model.words.keys) == 4 + 6
+    english = np.exp(model.prior[1])
+    assert 0.6 < english < 0.98
+    small = train(spark.createDataFrame([(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(400)], table.schema), frequencies=500)
+    assert 0 < len(small.words.keys) + sum(len(g.keys) for g in small.grams.values()) <= 500
 
 
 def test_languages_of_messy_and_empty_tables(docs, messy, empty):

@@ -2,61 +2,85 @@
 
 A word that training has seen counts with its log frequency in each language. An unseen word backs off to the longest
 of its character n-grams that training has seen, position by position; n-grams that no length knows say nothing.
-The counts of all words and n-grams of training are tables. Only the frequent ones are sent to every executor, at most
-``max_words`` words and ``max_grams`` n-grams of each length per language; all others meet their counts in joins, each
-distinct word once.
+
+The model learns from a bounded sample of labelled documents and keeps every word and every n-gram of it, as sorted 64-bit
+hashes with a row of frequencies each. That is a few dozen bytes a word, so the whole model goes to every executor, and
+texts are judged in one pass over the table, without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import plain, ship, slices, stored, words_of
-from .ppm import least_count
+from .batches import hashes, plain, rolled, ship, slices, stored, words_of
 
 UNKNOWN = "und"
+LENGTHS = (4, 3, 2, 1)
+#: Documents that training reads at most, dealt evenly to the languages; frequencies that the model holds at most.
+SAMPLE, FREQUENCIES = 50_000, 8_000_000
 #: Everything in ASCII that is no letter separates words; letters become lower case, other bytes stay.
 _LETTERS = bytes(
     byte if byte >= 128 or 97 <= byte <= 122 else byte + 32 if 65 <= byte <= 90 else 32 for byte in range(256)
 )
 
 
+class Frequencies(NamedTuple):
+    """Sorted hashes, and a row of log frequencies per hash."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of ``keys`` stands, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+
 class LanguageModel(NamedTuple):
-    """Languages in order, log priors, and log frequencies: a row per word, and per n-gram divided by its length."""
+    """Languages in order, log priors, words, and n-grams by length, longest first; n-gram rows are divided by the length."""
 
     langs: list[str]
     prior: np.ndarray
-    words: dict[bytes, int]
-    word_rows: np.ndarray
-    grams: dict[str, int]
-    gram_rows: np.ndarray
-    lengths: tuple[int, ...]
-    #: All words (word, row), and all n-grams (length, gram, row); without them the model has no others than above.
-    every_word: DataFrame | None = None
-    every_gram: DataFrame | None = None
+    words: Frequencies
+    grams: dict[int, Frequencies]
 
 
 def lettered(texts: pa.Array) -> pa.Array:
     """Texts with everything but letters and non-ASCII characters blanked, in lower case (ASCII)."""
-    buffers = texts.buffers()
-    if buffers[2] is None:
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    if texts.buffers()[2] is None or offsets[0] == offsets[-1]:
         return texts
-    return pa.Array.from_buffers(
-        pa.string(), len(texts), [None, buffers[1], pa.py_buffer(buffers[2].to_pybytes().translate(_LETTERS))], offset=texts.offset
-    )
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only the bytes of these texts: a slice shares its batch's buffer.
+    held = texts.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes().translate(_LETTERS)
+    return pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(held)])
+
+
+def gram_keys(words: list[str], lengths: tuple[int, ...]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The word of every place in the words, blanks at their ends included, and per length the hashes of the n-grams that
+    begin at each place, with whether they end inside the word."""
+    padded = [f" {word} " for word in words]
+    owner = np.repeat(np.arange(len(words)), [len(p) for p in padded])
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    made = {}
+    for length in lengths:
+        keys, whole = np.zeros(len(points), np.uint64), np.zeros(len(points), bool)
+        runs = rolled(points, length)
+        keys[: len(runs)] = runs
+        whole[: len(runs)] = owner[: len(runs)] == owner[length - 1 :]
+        made[length] = keys, whole
+    return owner, made
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each language, counted in slices."""
     for batch in slices(batches):
         langs = batch.column("lang").dictionary_encode()
@@ -71,169 +95,111 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(
-    docs: DataFrame, sample: int = 50_000, max_words: int = 20_000, max_grams: int = 10_000, lengths: tuple[int, ...] = (4, 3, 2, 1)
-) -> LanguageModel:
-    """Fit on at most about ``sample`` documents with a language, chosen by a hash of their text.
-
-    ``sample`` bounds the training rows; ``max_words`` and ``max_grams`` bound, per language, what of the counts is sent to
-    executors. Rows without text or language teach nothing.
-    """
-    ship(docs.sparkSession)
-    known = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = known.count()
-    if total > sample:
-        known = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(sample / total * (1 << 20))))
-    counted = known.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = stored(counted, "language-words")
-    per_lang = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs, lengths = sorted(per_lang), tuple(sorted(lengths, reverse=True))
-    size = len(langs)
-    if not size:
-        return LanguageModel([], np.zeros(0), {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32), lengths)
-    totals = np.array([per_lang[lang] for lang in langs], np.float64)
-    every_word = _logged(counted, ["word"], langs, F.lit(1), "language-word-rows")
-    pieces = counted.mapInArrow(lambda batches: _grams(batches, lengths), "lang string, length int, gram string, n long")
-    every_gram = _logged(pieces, ["length", "gram"], langs, F.col("length"), "language-gram-rows")
-    words = _common(every_word, max_words * size)
-    grams = [row for length in lengths for row in _common(every_gram.where(F.col("length") == length), max_grams * size)]
-    rows = lambda found: np.array([r.row for r in found], np.float32).reshape(len(found), size)
-    return LanguageModel(
-        langs, np.log((totals + 1) / (totals.sum() + size)), {r.word.encode(): i for i, r in enumerate(words)}, rows(words),
-        {r.gram: i for i, r in enumerate(grams)}, rows(grams), lengths, every_word, every_gram,
-    )
-
-
-def _grams(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """N-grams of words, each word of a language once, blanks at its ends included."""
+def _key_counts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Words (length 0) and n-grams of each language by hash; n-grams count once for each word of the language."""
     for batch in batches:
-        found: Counter = Counter()
-        for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist()):
-            padded = f" {word} "
-            found.update((lang, length, padded[at : at + length]) for length in lengths for at in range(len(padded) - length + 1))
-        columns = list(zip(*found)) if found else [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(list(found.values()), pa.int64())],
-            ["lang", "length", "gram", "n"],
-        )
-
-
-def _logged(counts: DataFrame, keys: list[str], langs: list[str], divisor: Column, label: str) -> DataFrame:
-    """Per key: n, and ``row``, the log relative frequency in each language with half a count added, by ``divisor``.
-
-    Frequencies are relative to all keys, or to those of the same length.
+        if not batch.num_rows:
+            continue
+        langs = batch.column("lang").dictionary_encode()
+        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        found = [(0, lang, hashes(batch.column("word")), batch.column("n").to_numpy(zero_copy_only=False))]
+        owner, grams = gram_keys(batch.column("word").to_pylist(), lengths)
+        for length, (keys, whole) in grams.items():
+            held = np.zeros(int(whole.sum()), [("lang", np.int64), ("key", np.uint64)])
+            held["lang"], held["key"] = lang[owner[whole]], keys[whole]
+            distinct, times = np.unique(held, return_counts=True)
+            found.append((length, distinct["lang"], distinct["key"], times))
+        for length, of_lang, keys, times in found:
+            yield pa.RecordBatch.from_arrays(
+                [langs.dictionary.cast(pa.string()).take(pa.array(of_lang)), pa.array(np.full(len(keys), length), pa.int32()), pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))],
+                ["lang", "length", "key", "n"],
+            )
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, frequencies: int = FREQUENCIES, lengths: tuple[int, ...] = LENGTHS) -> LanguageModel:
+    """Fit on at most about ``sample`` documents with a language, as many of each language where there are enough.
+
+    Documents are chosen by a hash of text and ``doc_id`` (if there is one), so copies under different ids do not move
+    together, and a language with few documents keeps all of them. Every word and n-gram of the chosen documents is in the
+    model. If that makes more than ``frequencies`` numbers (words and n-grams times languages), the sample is halved until
+    it does not: this bounds what is sent to executors. Rows without text or language teach nothing.
     """
-    own = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in langs]
-    counts = stored(counts.groupBy(*keys).agg(F.array(*own).alias("counts"), F.sum("n").alias("n")), f"{label}-counts")
-    by = [k for k in keys if k == "length"]
-    sums = counts.groupBy(*by).agg(F.array(*[F.sum(F.col("counts")[i] + 0.5) for i in range(len(langs))]).alias("sums"))
-    met = counts.join(sums, by) if by else counts.crossJoin(sums)
-    row = F.transform(F.arrays_zip("counts", "sums"), lambda x: (F.log(x["counts"] + 0.5) - F.log(x["sums"])) / divisor)
-    return stored(met.select(*keys, "n", row.alias("row")), label)
-
-
-def _common(table: DataFrame, most: int) -> list:
-    return table.where(F.col("n") >= least_count(table, most)).collect()
-
-
-def gram_numbers(word: bytes, model: LanguageModel) -> list[int]:
-    """At each position of a word, blanks at its ends included, the longest known n-gram that starts there."""
-    padded, grams, lengths, found = f" {word.decode(errors='replace')} ", model.grams, model.lengths, []
-    for at in range(len(padded)):
-        for length in lengths:
-            number = grams.get(padded[at : at + length])
-            if number is not None:
-                found.append(number)
-                break
-    return found
-
-
-def word_scores(words: list[bytes], model: LanguageModel) -> np.ndarray:
+    ship(docs.sparkSession)
+    lengths = tuple(sorted(lengths, reverse=True))
+    chosen = F.xxhash64("text", *(["doc_id"] if "doc_id" in docs.columns else []))
+    known = docs.select("text", "lang", F.pmod(chosen, F.lit(1 << 30)).alias("draw")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = {r.lang: r.rows for r in known.groupBy("lang").agg(F.count("*").alias("rows")).collect()}
+    langs = sorted(rows)
+    if not langs:
+        return LanguageModel([], np.zeros(0), Frequencies(np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)), {})
+    each = sample / len(langs)
+    while True:
+        share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1 << 30, int(each / rows[lang] * (1 << 30)) + 1))])
+        taken = known.where(F.col("draw") < F.element_at(share, F.col("lang"))).select("text", "lang")
+        words = stored(taken.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+        keyed = words.mapInArrow(lambda batches: _key_counts(batches, lengths), "lang string, length int, key long, n long")
+        counts = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+        wide = stored(keyed.groupBy("length", "key").agg(*counts), "language-counts")
+        if wide.count() * len(langs) <= frequencies:
+            break
+        each /= 2
+    table = wide.orderBy("length").toArrow()
+    length = table.column("length").to_numpy()
+    keys = table.column("key").to_numpy().view(np.uint64)
+    held = np.stack([table.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.float64)
+
+    def of_length(n: int) -> Frequencies:
+        own = length == n
+        order = np.argsort(keys[own])
+        logs = np.log(held[own] + 0.5) - np.log((held[own] + 0.5).sum(axis=0))
+        return Frequencies(keys[own][order], (logs / max(1, n))[order].astype(np.float32))
+
+    totals = held[length == 0].sum(axis=0)
+    prior = np.log((totals + 1) / (totals.sum() + len(langs)))
+    return LanguageModel(langs, prior, of_length(0), {n: of_length(n) for n in lengths})
+
+
+def word_scores(words: pa.Array, model: LanguageModel) -> np.ndarray:
     """Log frequencies of words in each language; of unseen ones, from their n-grams, each for its own character."""
-    numbers = np.fromiter((model.words.get(word, -1) for word in words), np.int64, len(words))
-    out = model.word_rows[numbers] if len(model.word_rows) else np.zeros((len(words), len(model.langs)), np.float32)
-    unseen = np.nonzero(numbers < 0)[0]
-    found = [gram_numbers(words[i], model) for i in unseen.tolist()]
-    sizes = np.array([len(f) for f in found], np.int64)
-    rows = model.gram_rows[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))]
-    run = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(rows, axis=0, dtype=np.float64)])
-    ends = np.cumsum(sizes)
-    out[unseen] = run[ends] - run[ends - sizes]
+    size = len(model.langs)
+    if not len(words) or not size:
+        return np.zeros((len(words), size), np.float32)
+    at, seen = model.words.found(hashes(words))
+    out = np.zeros((len(words), size), np.float32)
+    out[seen] = model.words.rows[at[seen]]
+    unseen = np.nonzero(~seen)[0]
+    if len(unseen):
+        owner, grams = gram_keys(words.take(pa.array(unseen)).to_pylist(), tuple(model.grams))
+        rows = np.zeros((len(owner), size))
+        open_ = np.ones(len(owner), bool)
+        for n, (keys, whole) in grams.items():
+            places = np.nonzero(open_ & whole)[0]
+            at, known = model.grams[n].found(keys[places])
+            rows[places[known]] = model.grams[n].rows[at[known]]
+            open_[places[known]] = False
+        run = np.concatenate([np.zeros((1, size)), np.cumsum(rows, axis=0)])
+        ends = np.searchsorted(owner, np.arange(len(unseen)), side="right")
+        out[unseen] = run[ends] - run[np.concatenate([[0], ends[:-1]])]
     return out
 
 
-def _common_scores(words: list[bytes], model: LanguageModel) -> np.ndarray:
-    """Log frequencies of common words; nothing for all others."""
-    return np.concatenate([model.word_rows, np.zeros((1, len(model.langs)), np.float32)])[[model.words.get(word, -1) for word in words]]
-
-
-def _rare(batches: Iterator[pa.RecordBatch], words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Per slice: words that are not common, each with the texts that have it and how often."""
-    for batch in slices(batches):
-        found = words_of(lettered(plain(batch.column("text"))))
-        codes, distinct = found.coded()
-        rare = np.fromiter((word not in words for word in distinct.cast(pa.binary()).to_pylist()), bool, len(distinct))
-        rows = max(1, batch.num_rows)
-        owner, use = np.repeat(np.arange(batch.num_rows), found.counts), rare[codes]
-        pairs, times = np.unique(codes[use].astype(np.int64) * rows + owner[use], return_counts=True)
-        word, doc = np.divmod(pairs, rows)
-        heads = np.nonzero(np.diff(np.concatenate([[-1], word])))[0]
-        bounds = pa.array(np.append(heads, len(word)), pa.int32())
-        lists = [pa.ListArray.from_arrays(bounds, v) for v in (batch.column("_k1").take(pa.array(doc)), batch.column("_k2").take(pa.array(doc)), pa.array(times, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()).take(pa.array(word[heads])), *lists], ["word", "k1", "k2", "times"])
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """All n-grams of words by place."""
-    for batch in batches:
-        rows = []
-        for word in batch.column("word").to_pylist():
-            padded = f" {word} "
-            rows += [(word, at, length, padded[at : at + length]) for length in lengths for at in range(len(padded) - length + 1)]
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        types = (pa.string(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["word", "at", "length", "gram"])
-
-
-def _gains(keyed: DataFrame, model: LanguageModel, words: Broadcast) -> DataFrame:
-    """Per text (_k1, _k2): what its words that are not common add to each language."""
-    size, lengths = range(len(model.langs)), model.lengths
-    texts = keyed.select("text", "_k1", "_k2")
-    rare = stored(texts.mapInArrow(lambda batches: _rare(batches, words.value.words), "word string, k1 array<long>, k2 array<long>, times array<long>"), "language-rare")
-    asked = rare.select("word").distinct().join(model.every_word.select("word", "row"), "word", "left")
-    places = asked.where("row is null").select("word").mapInArrow(lambda batches: _pieces(batches, lengths), "word string, at int, length int, gram string")
-    places = places.join(model.every_gram.select("length", "gram", "row"), ["length", "gram"]).groupBy("word", "at").agg(F.max_by("row", "length").alias("row"))
-    backed = places.groupBy("word").agg(F.array(*[F.sum(F.col("row")[i]) for i in size]).alias("row"))
-    met = rare.join(asked.where("row is not null").unionByName(backed), "word").select("row", F.explode(F.arrays_zip("k1", "k2", "times")).alias("at"))
-    sums = met.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.array(*[F.sum(F.col("row")[i] * F.col("at.times")) for i in size]).alias("sums"))
-    # Texts that stand in several rows were added up.
-    copies = texts.groupBy(F.col("_k1").alias("k1"), F.col("_k2").alias("k2")).agg(F.count("*").alias("copies"))
-    return sums.join(copies, ["k1", "k2"]).select("k1", "k2", F.transform("sums", lambda x: x / F.col("copies")).alias("_gain"))
-
-
 def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
     size = len(model.langs)
     for batch in slices(batches):
         texts = plain(batch.column("text"))
         words = words_of(lettered(texts))
         codes, distinct = words.coded()
-        joined = "_gain" in batch.schema.names
-        table = (_common_scores if joined else word_scores)(distinct.cast(pa.binary()).to_pylist(), model)
+        table = word_scores(distinct, model)
         counts = words.counts
         sums = np.zeros((len(counts), size))
         for k in range(size):
             run = np.concatenate([[0.0], np.cumsum(table[codes, k], dtype=np.float64)])
             sums[:, k] = run[words.starts[1:]] - run[words.starts[:-1]]
-        spelled = np.zeros(len(counts), bool)
-        ascii_letter = pc.match_substring_regex(texts, "[A-Za-z]").to_numpy(zero_copy_only=False)
-        for i in range(len(counts)):
-            spelled[i] = ascii_letter[i] or (counts[i] > 0 and any(c.isalpha() for c in texts[i].as_py()))
+        spelled = pc.match_substring_regex(texts, "[A-Za-z]").to_numpy(zero_copy_only=False).copy()
+        for i in np.nonzero(~spelled & (counts > 0))[0].tolist():
+            spelled[i] = any(c.isalpha() for c in texts[i].as_py())
         if size:
             sums = sums + model.prior
-            if joined:
-                own = batch.column("_gain")
-                some = own.is_valid().to_numpy(zero_copy_only=False)
-                sums[some] += own.drop_null().flatten().to_numpy().reshape(-1, size)
             sums -= sums.max(axis=1, keepdims=True)
             odds = np.exp(sums)
             odds /= odds.sum(axis=1, keepdims=True)
@@ -242,9 +208,8 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Itera
         else:
             best, score, spelled = np.zeros(len(counts), int), np.zeros(len(counts)), np.zeros(len(counts), bool)
         names = np.array([*model.langs, UNKNOWN], dtype=object)
-        best = np.where(spelled, best, size)
-        keep = {name: batch.column(name) for name in batch.schema.names if name not in ("lang_pred", "score", "_gain")}
-        keep["lang_pred"] = pa.array(names[best], pa.string())
+        keep = {name: batch.column(name) for name in batch.schema.names}
+        keep["lang_pred"] = pa.array(names[np.where(spelled, best, size)], pa.string())
         keep["score"] = pa.array(np.where(spelled, np.clip(score, 0.0, 1.0), 0.0))
         yield pa.RecordBatch.from_arrays(list(keep.values()), list(keep))
 
@@ -258,12 +223,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    sent = docs.sparkSession.sparkContext.broadcast(model._replace(every_word=None, every_gram=None))
-    if model.every_word is not None:
-        text = F.coalesce("text", F.lit(""))
-        docs = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
-        gains = _gains(docs, model, sent)
-        docs = docs.join(gains, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").drop("_k1", "_k2", "k1", "k2")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(lambda batches: _predicted(batches, sent.value), schema)
 
 
@@ -272,4 +232,4 @@ def held_out(doc_id: Column, folds: int, rest: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == rest
 
 
-__all__ = ["UNKNOWN", "LanguageModel", "held_out", "identify", "train", "word_scores"]
+__all__ = ["UNKNOWN", "Frequencies", "LanguageModel", "held_out", "identify", "train", "word_scores"]
