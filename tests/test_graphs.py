@@ -30,6 +30,7 @@ from tripleloom.operators.sampling import spark_pi
 from tripleloom.operators.stars import bgp_star, characteristic_sets, star_estimates
 from tripleloom.session import build_session, scratch_path, scratch_root, shuffle_partitions_for, stored
 from tripleloom.sources import publish_graphs, read_graphs
+from tripleloom.sources.buckets import BucketedStore
 from tripleloom.sources.graphs import clear_graphs
 
 
@@ -325,3 +326,54 @@ def test_stream_in_several_batches(spark, tmp_path):
         distinct_stream(rows, plan("events"), "g", "ts", "90 days"), str(tmp_path / "b"), str(tmp_path / "bc")
     )
     assert sorted(once.drop("event_time").collect()) == sorted(batch.distinct().collect())
+
+
+def _store_with(spark, path, rows, buckets=4):
+    store = BucketedStore(spark, path, buckets)
+    store.publish(graph(spark, rows))
+    return store
+
+
+def test_bucketed_store(spark, tmp_path, random_rows):
+    path = str(tmp_path / "store")
+    store = _store_with(spark, path, [*random_rows, *random_rows[:9]])
+    in_other = [("other graph/\u00e9", s, p, o, kind, datatype, lang) for s, p, o, kind, datatype, lang in random_rows[:5]]
+    other = spark.createDataFrame(in_other, TRIPLE_SCHEMA)
+    store.insert(other.unionByName(graph(spark, random_rows[:20])))
+    held = lambda s: sorted(map(tuple, s.read().collect()), key=str)
+    everything = sorted([("g", *r) for r in random_rows] + in_other, key=str)
+    assert held(store) == everything
+    # Opened again, the store is the same; what it does not have is not taken away.
+    again = BucketedStore(spark, path, 4)
+    again.delete(graph(spark, [*random_rows[10:], ("none", "p", "a", "uri", None, None)]))
+    assert held(again) == sorted([("g", *r) for r in random_rows[:10]] + in_other, key=str)
+    again.delete(other)
+    assert held(again) == sorted([("g", *r) for r in random_rows[:10]], key=str)
+    assert again.read("g").count() == 10 and again.read("other graph/\u00e9").count() == 0
+
+
+def test_bucketed_updates_do_not_shuffle_the_store(spark, tmp_path, random_rows):
+    from tripleloom.sources.buckets import _by_subject
+
+    store = _store_with(spark, str(tmp_path / "store"), random_rows)
+    few = graph(spark, random_rows[:3])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with _by_subject(spark):
+            for made in (store.fresh(few), store.remaining(few)):
+                text = made._jdf.queryExecution().executedPlan().toString()
+                assert "Bucketed: true" in text
+                # What lies below an exchange is new: the scan of the store is under none.
+                lines = text.splitlines()
+                depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+                scan = next(i for i, line in enumerate(lines) if "Bucketed: true" in line or "FileScan parquet" in line and "graphs_" in line)
+                above, level = [], depth(lines[scan])
+                for line in reversed(lines[:scan]):
+                    if depth(line) < level:
+                        above.append(line)
+                        level = depth(line)
+                assert not any("Exchange hashpartitioning" in line for line in above)
+                assert text.count("Exchange hashpartitioning(s") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -44,6 +44,7 @@ from ..operators.stars import bgp_star, characteristic_sets
 from ..operators.updates import insert_into, update_graphs, update_where
 from ..session import scratch_path
 from ..sources import publish_graphs, read_graphs
+from ..sources.buckets import BucketedStore
 from ..vocab import DPA, RDF_TYPE, XSD
 from .data import GRAPH, RESOURCE, Query, graph_iri, table, triples, with_triples
 
@@ -310,6 +311,19 @@ def stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_graphs(spark, path)
 
 
+def bucketed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store in buckets of subjects: published, added to twice with the same, and negative balances taken away."""
+    graph = people(spark, sf_dir)
+    store = BucketedStore(spark, scratch_path(spark, "buckets"), 4)
+    store.publish(graph)
+    names = triple_pattern(graph, Pattern("?s", DPA + "name", "?o", graph=graph_iri("nation")))
+    renamed = names.withColumn("o", F.concat(F.lit("The "), F.col("o")))
+    for _ in range(2):
+        store.insert(renamed.unionByName(graph.where(F.col("p") == RDF_TYPE)))
+    store.delete(triple_pattern(graph, Pattern("?s", DPA + "accountBalance", "?o")).where(object_number() < 0))
+    return store.read()
+
+
 def foreign_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An update of the graph of regions that also writes to that of nations, which keeps what it has."""
     path = scratch_path(spark, "store")
@@ -556,6 +570,11 @@ QUERIES = {
         _P + f"SELECT * FROM t WHERE graph <> '{GRAPH}region' AND p <> '{DPA}accountBalance' UNION ALL "
         f"SELECT * REPLACE ('The ' || o AS o) FROM t WHERE graph = '{GRAPH}nation' AND p = '{DPA}name'",
     ),
+    "graph_update_bucketed": Query(
+        bucketed_updates,
+        _P + f"SELECT * FROM t WHERE p <> '{DPA}accountBalance' OR CAST(o AS DOUBLE) >= 0 UNION ALL "
+        f"SELECT * REPLACE ('The ' || o AS o) FROM t WHERE graph = '{GRAPH}nation' AND p = '{DPA}name'",
+    ),
     "graph_update_foreign": Query(
         foreign_updates,
         _P + f"SELECT * FROM t UNION ALL SELECT * REPLACE ('{GRAPH}nation' AS graph, '{DPA}regionName' AS p) "
