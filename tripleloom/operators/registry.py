@@ -1,8 +1,10 @@
 """Mapping records as a log of events and the states that follow from it.
 
-Each state is one aggregation by mapping id: the newest event of a kind wins
-through ``max_by``, which combines on the map side, so a mapping with a third
-of all events costs no more than any other.
+Which event of a kind is the newest is one aggregation by mapping id over times
+and numbers, which combines on the map side, so a mapping with a third of all
+events costs no more than any other. Texts are fetched for the winners only. A
+state can be stored and advanced by newer events, so that a long log is not
+read again.
 """
 
 from __future__ import annotations
@@ -70,47 +72,95 @@ def register_batch(
     )
 
 
-def current_records(events: DataFrame) -> DataFrame:
-    """The record of every mapping that is registered and not deleted since."""
-    order = F.struct("ts", "seq")
-
-    def when(*ops: str) -> Column:
-        return F.when(F.col("op").isin(*ops), order)
-
-    registered = when(REGISTER)
-    carrying_text = when(REGISTER, UPDATE)
-    status = F.coalesce(
-        F.when(F.col("op") == ACTIVATE, STATUS_AFTER[ACTIVATE]).when(
-            F.col("op") == DEPRECATE, STATUS_AFTER[DEPRECATE]
-        ),
-        F.col("status"),
+def _when(*ops: str) -> Column:
+    return F.when(F.col("op").isin(*ops), F.struct("ts", "seq"))
+
+
+def _winners(events: DataFrame) -> DataFrame:
+    """Per mapping, which events count: when it was born, died, got its text, its status, and was last touched.
+
+    Only times, numbers and states are aggregated; the texts stay in their rows until the winners are known.
+    """
+    status = (
+        F.when(F.col("op") == ACTIVATE, STATUS_AFTER[ACTIVATE]).when(F.col("op") == DEPRECATE, STATUS_AFTER[DEPRECATE]).otherwise(F.col("status"))
     )
-    source = F.when(F.col("op") == UPDATE, F.lit("rml")).otherwise(F.col("source"))
-    newest = events.groupBy("mapping_id").agg(
-        F.max_by(F.struct("ts", "ontology", "profile", "payload"), registered).alias("birth"),
-        F.max(registered).alias("born"),
-        F.max(when(DELETE)).alias("died"),
-        F.max_by(F.struct(source.alias("source"), "rml"), carrying_text).alias("text"),
-        F.max_by(status, when(REGISTER, ACTIVATE, DEPRECATE)).alias("status"),
-        F.max(when(REGISTER, UPDATE, ACTIVATE, DEPRECATE)).alias("touched"),
+    decided = F.when(F.col("op").isin(REGISTER, ACTIVATE, DEPRECATE), F.struct("ts", "seq", status.alias("status")))
+    return events.groupBy("mapping_id").agg(
+        F.max(_when(REGISTER)).alias("born"),
+        F.max(_when(DELETE)).alias("died"),
+        F.max(_when(REGISTER, UPDATE)).alias("texted"),
+        F.max(decided).alias("decided"),
+        F.max(_when(REGISTER, UPDATE, ACTIVATE, DEPRECATE)).alias("touched"),
     )
-    alive = F.col("born").isNotNull() & (F.col("died").isNull() | (F.col("died") < F.col("born")))
-    return newest.where(alive).select(
+
+
+_MOMENTS = ("born", "died", "texted", "decided", "touched")
+
+
+def _state(events: DataFrame) -> DataFrame:
+    """The winners with what their rows say: ``birth`` and ``text``."""
+    winners = _winners(events)
+    at = F.struct("ts", "seq").alias("at")
+    rows = events.where(F.col("op").isin(REGISTER, UPDATE)).select("mapping_id", at, "op", "source", "ontology", "profile", "payload", "rml")
+    wanted = winners.select("mapping_id", F.explode(F.array_distinct(F.array("born", "texted"))).alias("at")).where("at is not null")
+    # At most two rows a mapping have their texts moved.
+    found = rows.join(wanted, ["mapping_id", "at"], "left_semi")
+    births = found.where(F.col("op") == REGISTER).dropDuplicates(["mapping_id", "at"])
+    births = births.select("mapping_id", F.col("at").alias("born"), F.struct("ontology", "profile", "payload").alias("birth"))
+    source = F.when(F.col("op") == UPDATE, F.lit("rml")).otherwise(F.col("source")).alias("source")
+    texts = found.dropDuplicates(["mapping_id", "at"]).select("mapping_id", F.col("at").alias("texted"), F.struct(source, "rml").alias("text"))
+    return winners.join(births, ["mapping_id", "born"], "left").join(texts, ["mapping_id", "texted"], "left").select("mapping_id", *_MOMENTS, "birth", "text")
+
+
+def advance(state: DataFrame | None, events: DataFrame) -> DataFrame:
+    """The state of all mappings after more events; without a state, from the whole log.
+
+    A state is what the log comes down to: one row a mapping, the dead included, from which :func:`records_of` reads the
+    records. Events may come in any order, and some may come again: the newest of each kind counts. Mappings that
+    ``events`` does not name pass unchanged, without a shuffle if few are named.
+    """
+    newer = _state(events)
+    if state is None:
+        return newer
+    same = state.join(newer.select("mapping_id"), "mapping_id", "left_anti")
+    older = state.select("mapping_id", F.struct(*_MOMENTS, "birth", "text").alias("old"))
+    met = newer.join(older, "mapping_id", "left")
+    later = lambda moment: F.greatest(F.col(moment), F.col(f"old.{moment}"))
+    kept = lambda part, moment: F.when(
+        F.col(f"old.{moment}").isNotNull() & (F.col(moment).isNull() | (F.col(f"old.{moment}") > F.col(moment))), F.col(f"old.{part}")
+    ).otherwise(F.col(part))
+    moved = met.select("mapping_id", *[later(m).alias(m) for m in _MOMENTS], kept("birth", "born").alias("birth"), kept("text", "texted").alias("text"))
+    return same.unionByName(moved)
+
+
+def _alive() -> Column:
+    return F.col("born").isNotNull() & (F.col("died").isNull() | (F.col("died") < F.col("born")))
+
+
+def records_of(state: DataFrame) -> DataFrame:
+    """The records of a state."""
+    return state.where(_alive()).select(
         F.col("mapping_id").alias("id"),
         F.col("text.source").alias("source"),
         F.col("birth.ontology").alias("ontology"),
         F.col("birth.profile").alias("profile"),
-        "status",
-        F.col("birth.ts").alias("created_at"),
+        F.col("decided.status").alias("status"),
+        F.col("born.ts").alias("created_at"),
         F.col("touched.ts").alias("updated_at"),
         F.col("birth.payload").alias("payload"),
         F.col("text.rml").alias("rml"),
     )
 
 
+def current_records(events: DataFrame) -> DataFrame:
+    """The record of every mapping that is registered and not deleted since."""
+    return records_of(advance(None, events))
+
+
 def current_status(events: DataFrame) -> DataFrame:
     """``(id, status, updated_at)`` of every living mapping; reads no document text."""
-    return current_records(events).select("id", "status", "updated_at")
+    living = _winners(events).where(_alive())
+    return living.select(F.col("mapping_id").alias("id"), F.col("decided.status").alias("status"), F.col("touched.ts").alias("updated_at"))
 
 
 def list_mappings(records: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..model import EVENT_SCHEMA
 from ..operators.registry import (
     RECORD_COLUMNS,
     active_mappings,
+    advance,
     current_records,
     current_status,
     dataset_profile,
@@ -18,10 +19,12 @@ from ..operators.registry import (
     mapping_responses,
     mappings_by_dataset,
     projection_jobs,
+    records_of,
     register_batch,
     rml_for_ids,
 )
 from ..operators.turtle import corpus_of
+from ..session import stored
 from ..vocab import DPA, PROJECTION_TARGET
 from . import documents
 from .data import Query, table
@@ -65,6 +68,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_records(events(spark, sf_dir))
 
 
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in three parts by time: a state, advanced twice, and stored in between."""
+    log = events(spark, sf_dir)
+    ends = log.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    third = (ends.b - ends.a) // 3
+    state = None
+    for begins, until in ((ends.a, ends.a + third), (ends.a + third, ends.a + 2 * third), (ends.a + 2 * third, ends.b + 1)):
+        state = stored(advance(state, log.where((F.col("seq") >= begins) & (F.col("seq") < until))), "registry-state")
+    return _shown(records_of(state))
+
+
 _RML_SQL = _RML.replace("\\n", "' || chr(10) || '")
 RECORDS_SQL = f"""
 WITH e AS (
@@ -173,6 +187,7 @@ QUERIES = {
     "list_mappings": Query(
         lambda spark, sf: _shown(list_mappings(records(spark, sf))), f"{RECORDS_SQL} SELECT {_ALL} FROM r ORDER BY id"
     ),
+    "registry_snapshot": Query(snapshot, f"{RECORDS_SQL} SELECT {_ALL} FROM r"),
     "mappings_by_dataset": Query(
         lambda spark, sf: _shown(mappings_by_dataset(records(spark, sf), "unity.default.t_3")),
         f"{RECORDS_SQL} SELECT {_ALL} FROM r WHERE json_extract_string(payload, '$.dataset.name') = 'unity.default.t_3'",

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import Mapper, schemes_frame, specs_frame
 from ..operators.materialize import (
@@ -22,7 +23,8 @@ from ..operators.rml_rules import plan_batches, plans_from_rml
 from ..operators.turtle import corpus_of
 from ..plans import plan_mapping
 from ..session import scratch_path, stored
-from ..streaming import distinct_stream, materialize_stream, read_table_stream, run_available
+from ..sources.buckets import BucketedStore
+from ..streaming import GraphSink, distinct_stream, materialize_stream, read_table_stream, run_available, run_into_graph
 from ..vocab import DPA, RDF_TYPE, XSD
 from . import lifecycle
 from .data import (
@@ -210,6 +212,57 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("s", "p", "o", "o_type", "o_datatype")
 
 
+#: Events arrive in the order of their time, purchases ten days later; a file for every quarter of the time.
+_ARRIVES = "ts + (CASE WHEN event_type = 'purchase' THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END)"
+_FILES, _DELAY = 4, "2 days"
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
+    """The events as files in the order of their arrival."""
+    events = table(spark, sf_dir, "events")
+    ends = events.agg(F.min(F.expr(_ARRIVES)).alias("a"), F.max(F.expr(_ARRIVES)).alias("b")).first()
+    width = (ends.b - ends.a) / _FILES
+    folder = scratch_path(spark, "arrivals")
+    arrives = F.expr(_ARRIVES)
+    for i in range(_FILES):
+        begins, until = F.lit(ends.a + i * width), F.lit(ends.a + (i + 1) * width)
+        within = (arrives >= begins) & ((arrives < until) if i + 1 < _FILES else F.lit(True))
+        events.where(within).coalesce(1).write.mode("append").parquet(f"{folder}/{i}")
+    return f"{folder}/*", events.schema
+
+
+def _streamed(spark: SparkSession, sf_dir: str, times: int) -> tuple[GraphSink, T.StructType]:
+    path, schema = _arriving(spark, sf_dir)
+    state = scratch_path(spark, "sink")
+    store = BucketedStore(spark, f"{state}/graphs", 4)
+    sink = GraphSink(store, plan("events"), graph_iri("events"), "ts", _DELAY, state)
+    for _ in range(times):
+        rows = read_table_stream(spark, path, schema, files_per_batch=1)
+        run_into_graph(rows, sink, scratch_path(spark, "offsets"))
+    return sink, schema
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that came more than two days behind what earlier batches had brought."""
+    sink, schema = _streamed(spark, sf_dir, 1)
+    found = sink.late(spark, schema)
+    return found.select("event_id", "event_type", "batch_id", F.date_format("missed", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("missed"))
+
+
+def stream_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in time, streamed into a graph and replayed from the start: one graph."""
+    sink, _ = _streamed(spark, sf_dir, 2)
+    return sink.store.read()
+
+
+_LATE = f"""
+WITH a AS (SELECT *, {_ARRIVES} AS arrives FROM events),
+x AS (SELECT min(arrives) AS first, epoch_us(max(arrives)) - epoch_us(min(arrives)) AS span FROM a),
+b AS (SELECT a.*, CAST(least({_FILES - 1}, (epoch_us(arrives) - epoch_us(first)) * {_FILES} // span) AS BIGINT) AS batch_id FROM a, x),
+w AS (SELECT i AS batch_id, (SELECT max(ts) FROM b WHERE b.batch_id < i) - INTERVAL 2 DAY AS missed FROM range({_FILES}) r(i)),
+l AS (SELECT b.*, missed, coalesce(ts < missed, false) AS late FROM b JOIN w USING (batch_id))
+"""
+
 _NULL_RULES = f"""
 WITH c AS (SELECT CASE WHEN c_custkey % 10 <> 0 THEN c_custkey END AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS n,
                   c_acctbal AS a, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS nk FROM customer),
@@ -281,4 +334,11 @@ QUERIES = {
     "materialize_rml": Query(materialize_rml, triples_sql("customer")),
     "stream_materialize": Query(stream_materialize, triples_sql("events")),
     "stream_distinct": Query(stream_distinct, _USERS),
+    "stream_late": Query(
+        stream_late, _LATE + "SELECT event_id, event_type, batch_id, strftime(missed, '%Y-%m-%d %H:%M:%S.%f') AS missed FROM l WHERE late"
+    ),
+    "stream_graph": Query(
+        stream_graph,
+        _LATE + ", t AS (" + triples_sql("events") + f") SELECT t.* FROM t JOIN l ON s = '{RESOURCE}event/' || event_id WHERE NOT late",
+    ),
 }

@@ -117,7 +117,33 @@ class Workspace:
     # -- records --------------------------------------------------------------------------------
 
     def records(self) -> DataFrame:
-        return registry.current_records(self.events())
+        return registry.records_of(self._state())
+
+    def _state(self) -> DataFrame:
+        """The newest snapshot and what has happened since; without one, the whole log."""
+        mark = self._mark()
+        if mark is None:
+            return registry.advance(None, self.events())
+        held = self.spark.read.parquet(f"{self.root}/snapshots").where(F.col("mark") == mark).drop("mark")
+        return registry.advance(held, self.events().where(F.col("seq") > mark))
+
+    def _mark(self) -> int | None:
+        """The number up to which the newest snapshot holds all events."""
+        try:
+            snapshots = self.spark.read.parquet(f"{self.root}/snapshots")
+        except AnalysisException:
+            return None
+        return snapshots.agg(F.max("mark").alias("mark")).first().mark
+
+    def snapshot(self) -> int:
+        """Store the state of all mappings, so that later reads look at newer events only; returns the last number it holds.
+
+        A snapshot is a folder of its own and the log stays as it is: a failed one is not seen, and an old one can go.
+        """
+        mark = self._next_seq() - 1
+        if mark and mark != self._mark():
+            self._state().withColumn("mark", F.lit(mark).cast("long")).write.mode("append").partitionBy("mark").parquet(f"{self.root}/snapshots")
+        return mark
 
     def list(self, dataset: str | None = None) -> DataFrame:
         found = self.records()
