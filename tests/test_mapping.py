@@ -5,9 +5,9 @@ from fixtures import GAUGES_DDL, GOLDEN, ROWS, SCHEMES, D, declare
 from pyspark.sql import functions as F
 
 from tripleloom import Mapper, plan_mapping, schemes_frame, specs_frame
-from tripleloom.operators.materialize import distinct_triples, materialize, materialize_distinct, materialize_many
+from tripleloom.operators.materialize import distinct_triples, materialize, materialize_distinct, materialize_many, untyped_values
 from tripleloom.operators.render import render_rml
-from tripleloom.operators.rml_rules import document_triples, plan_batches, plans_from_rml, rejected_documents, triples_maps
+from tripleloom.operators.rml_rules import _unescaped, document_triples, plan_batches, plans_from_rml, rejected_documents, triples_maps
 from tripleloom.operators.turtle import corpus_of, mapping_projections
 from tripleloom.plans import MappingPlan, TripleRule, expand, template_key
 from tripleloom.vocab import RDF_TYPE, XSD
@@ -240,9 +240,19 @@ def test_what_cannot_be_read_is_rejected(spark):
         listed=HEAD + f"<#m> a rr:TriplesMap ; {subject} ; rr:predicateObjectMap [ rr:predicate ex:p ; rr:object ex:o ] , [ rr:predicate ex:q ; rr:object ex:o ] .",
         renamed=HEAD.replace("rr:", "r2:") + f"<#m> a r2:TriplesMap ; {subject.replace('rr:', 'r2:')} .",
         nothing="<a> <b> <c> .",
+        fact=HEAD + f'<#m> a rr:TriplesMap ; {subject} .\n<https://x/owner> <https://x/name> "Ann" .',
+        unended=HEAD + f"<#m> a rr:TriplesMap ; {subject} .\n<#n> a rr:TriplesMap ; {subject} ;",
+        escape=HEAD + f'<#m> a rr:TriplesMap ; dpa:unityCatalogObject "a\\x.b.c" ; {subject} .',
+        no_code=HEAD + f'<#m> a rr:TriplesMap ; dpa:unityCatalogObject "a\\U00110000" ; {subject} .',
     )
     found = {row.mapping_id for row in rejected_documents(corpus).collect()}
-    assert found == {"table", "other", "listed", "renamed", "nothing"}
+    assert found == {"table", "other", "listed", "renamed", "nothing", "fact", "unended", "escape", "no_code"}
+
+
+def test_escapes(spark):
+    texts = [(r"r\U0001F600x", "r\U0001F600x"), (r"\uD83D\uDE00\u00e9", "\U0001F600\u00e9"), (r"\t\b\n\r\f\"\'\\", "\t\b\n\r\f\"'\\"), (r"a\\u0041", "a\\u0041"), ("plain é", "plain é"), ("", "")]
+    frame = spark.createDataFrame(texts, "given string, wanted string").select("wanted", _unescaped(F.col("given")).alias("found"))
+    assert all(row.found == row.wanted for row in frame.collect())
 
 
 def test_plans_come_in_batches(spark):
@@ -269,3 +279,22 @@ def test_many_mappings_of_a_table(spark, gauges):
     many = materialize_many(odd, [(other if i % 2 else plan, f"g{i}") for i in range(1000)])
     assert plan_text(many).count("Scan ") == plan_text(odd).count("Scan ")
     assert many.count() == 500 * (materialize(odd, plan, "g").count() + materialize(odd, other, "g").count())
+
+
+def test_literals_of_declared_datatypes(spark):
+    import datetime
+
+    row = (1, 2.5, 3.0, 1e20, float("nan"), datetime.date(2024, 1, 2), datetime.datetime(2024, 1, 2, 3, 4, 5), 1, "07")
+    table = spark.createDataFrame([row], "k int, half double, three double, big double, nan double, day date, at timestamp, flag int, text string")
+    cases = {
+        ("half", "integer"): None, ("three", "integer"): "3", ("big", "integer"): "100000000000000000000", ("big", "long"): None, ("three", "byte"): "3", ("nan", "integer"): None, ("half", "decimal"): "2.5",
+        ("three", "decimal"): "3", ("three", "double"): "3.0", ("day", "dateTime"): "2024-01-02T00:00:00.000000", ("day", "date"): "2024-01-02",
+        ("at", "date"): "2024-01-02", ("at", "dateTime"): "2024-01-02T03:04:05.000000", ("flag", "boolean"): "true", ("k", "boolean"): "true", ("text", "integer"): "07",
+    }
+    rules = tuple(TripleRule(f"{c}-{d}", "literal", column=c, datatype=XSD + d) for c, d in cases)
+    plan = MappingPlan("k", "http://ex/{value}", rules)
+    wanted = {f"{c}-{d}": text for (c, d), text in cases.items() if text is not None}
+    for made in (materialize(table, plan, "g"), materialize(table, plan, "g", shape="branches"), materialize_distinct(table, plan, "g"), materialize_many(table, [(plan, "g")])):
+        assert {r.p: r.o for r in made.collect()} == wanted
+    failed = {(r.column, r.datatype.removeprefix(XSD)): r.rows for r in untyped_values(table, plan).collect()}
+    assert failed == {key: 1 for key, text in cases.items() if text is None}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tripleloom import Mapper, Workspace, schemes_frame, specs_frame
 from tripleloom.model import EVENT_SCHEMA
-from tripleloom.operators.registry import current_records, register_batch
+from tripleloom.operators.registry import advance, current_records, records_of, register_batch
 from tripleloom.vocab import MAPPINGS_GRAPH, RDF_TYPE, RR
 
 EXPERT = """@prefix rr: <http://www.w3.org/ns/r2rml#> .
@@ -146,6 +146,48 @@ def test_states(spark):
     }
 
 
+    # A state that is advanced by parts of the log, in any order and some of them twice, says the same.
+    whole = spark.createDataFrame(log, EVENT_SCHEMA)
+    for parts in ([(1, 4), (5, 8), (9, 12)], [(9, 12), (1, 8)], [(3, 7), (7, 12), (1, 4)]):
+        state = None
+        for begins, until in parts:
+            state = advance(state, whole.where(F.col("seq").between(begins, until)))
+        assert {row.id: row for row in records_of(state).collect()} == records
+
+
+def test_no_text_in_an_aggregation_buffer(spark):
+    plan = current_records(spark.createDataFrame([], EVENT_SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [line for line in plan.splitlines() if "Aggregate" in line and "max(" in line]
+    assert aggregates and all("rml" not in line and "payload" not in line for line in aggregates)
+
+
+def test_snapshots(workspace):
+    assert workspace.snapshot() == 0
+    first = workspace.register(declare().spec())["id"]
+    second = workspace.register(declare().spec())["id"]
+    workspace.delete(second)
+    mark = workspace.snapshot()
+    assert mark == workspace.snapshot() == 3
+    before = sorted(map(str, workspace.records().collect()))
+    assert before == sorted(map(str, current_records(workspace.events()).collect())) and len(before) == 1
+    workspace.replace_rml(first, workspace.rml(first).replace("Gauge>", "Basin>"))
+    third = workspace.register(declare().spec())["id"]
+    assert sorted(map(str, workspace.records().collect())) == sorted(map(str, current_records(workspace.events()).collect()))
+    assert "Basin>" in workspace.rml(first) and {r.id for r in workspace.list().collect()} == {first, third}
+    assert workspace.snapshot() == 5 and workspace.records().count() == 2
+
+
+def test_the_catalog_is_checked_after_a_projection(workspace, clean_catalog, monkeypatch):
+    done = declare(workspace).register_and_project()
+    mapping_id = done["mapping"]["id"]
+    assert workspace.check([mapping_id]).count() == 0
+    workspace.spark.sql("ALTER TABLE spark_catalog.default.gauges SET TBLPROPERTIES ('semantic.class' = 'X')")
+    assert [(row.fact, row.actual) for row in workspace.check([mapping_id]).collect()] == [("semantic.class", "X")]
+    monkeypatch.setattr(type(workspace), "project", lambda self, ids: {})
+    with pytest.raises(RuntimeError, match="does not say what was projected"):
+        declare(workspace).register_and_project()
+
+
 def test_active_mappings_are_run(spark, workspace):
     """From the registry to triples: two mappings of one graph, planned one at a time."""
     from fixtures import GAUGES_DDL, ROWS

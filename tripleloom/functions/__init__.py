@@ -4,7 +4,9 @@ from .iris import expand_curie, expand_known_prefix, iri_label, iri_local_part,
 from .literals import (
     catalog_type,
     column_annotation,
+    lexical_by_datatype,
     lexical_form,
+    may_lack_form,
     type_json,
     xsd_datatype,
 )
@@ -33,7 +35,9 @@ __all__ = [
     "iri_safe",
     "iri_suffixes",
     "iri_template",
+    "lexical_by_datatype",
     "lexical_form",
+    "may_lack_form",
     "preview_id",
     "record_id",
     "safe_name",

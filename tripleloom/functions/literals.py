@@ -49,6 +49,39 @@ def lexical_form(value: Column, data_type: T.DataType) -> Column:
     return text
 
 
+_WHOLE = {XSD + "integer": "decimal(38,0)", XSD + "long": "long", XSD + "int": "int", XSD + "short": "short", XSD + "byte": "byte"}
+
+
+def may_lack_form(data_type: T.DataType, datatype: str | None) -> bool:
+    """Whether some values of a type are no literals of a datatype."""
+    fractional = isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType))
+    to_whole = datatype in _WHOLE and fractional
+    return to_whole or (datatype == XSD + "decimal" and fractional) or (datatype == XSD + "boolean" and isinstance(data_type, T.IntegralType))
+
+
+def lexical_by_datatype(value: Column, data_type: T.DataType, datatype: str | None) -> Column:
+    """Text of a value as a literal of a declared datatype; null where the value has no such form.
+
+    Texts are taken as they are. Numbers declared whole lose an empty fraction, and are no such literal with another
+    one; times become days and days the times they begin at; other types keep the text of their own type.
+    """
+    text = lexical_form(value, data_type)
+    fractional = isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType))
+    if datatype in _WHOLE and fractional:
+        whole = value.try_cast(_WHOLE[datatype])
+        return F.when(whole.try_cast(data_type) == value, whole.cast("string"))
+    if datatype == XSD + "decimal" and isinstance(data_type, (T.DoubleType, T.FloatType)):
+        digits = value.try_cast("decimal(38,12)")
+        return F.when(digits.try_cast(data_type) == value, F.regexp_replace(digits.cast("string"), r"\.?0+$", ""))
+    if datatype == XSD + "date" and isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        return value.cast("date").cast("string")
+    if datatype == XSD + "dateTime" and isinstance(data_type, T.DateType):
+        return F.concat(value.cast("string"), F.lit("T00:00:00.000000"))
+    if datatype == XSD + "boolean" and isinstance(data_type, T.IntegralType):
+        return F.when(value.isin(0, 1), (value == 1).cast("string"))
+    return text
+
+
 def column_annotation(name: Column, type_name: Column, comment: Column) -> Column:
     """``name:TYPE:comment``, leaving out the parts that are empty."""
     return F.concat_ws(

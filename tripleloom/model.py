@@ -222,12 +222,19 @@ class DatasetBuilder:
         return self._mapper._home().register(self.spec())
 
     def register_and_project(self) -> dict[str, Any]:
-        """Register, validate, activate and project in one go."""
+        """Register, validate, activate and project in one go, and look at what the catalog then says.
+
+        Raises ``RuntimeError`` if it is not what the mapping says.
+        """
         home = self._mapper._home()
         record = home.register(self.spec())
         checked = home.validate(record["id"])
         active = home.activate(record["id"])
-        return {"mapping": active, "validation": checked, "projection": home.project([record["id"]])}
+        projection = home.project([record["id"]])
+        if wrong := home.check([record["id"]]).collect():
+            said = "; ".join(f"{row.full_name}: {row.fact} is {row.actual!r}, not {row.expected!r}" for row in wrong)
+            raise RuntimeError(f"the catalog does not say what was projected: {said}")
+        return {"mapping": active, "validation": checked, "projection": projection}
 
 
 class Mapper:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import iri_template, lexical_form
+from ..functions import iri_template, lexical_by_datatype, lexical_form, may_lack_form
 from ..plans import MappingPlan, TripleRule, template_key
 from ..vocab import TRIPLE_COLUMNS
 
@@ -61,7 +61,10 @@ class _Source:
     def object(self, rule: TripleRule) -> Column:
         if rule.column is None:
             return F.lit(rule.constant)
-        return self.text(rule.column) if rule.template is None else self.iri(rule.template, rule.column)
+        return self.literal(rule.column, rule.datatype) if rule.template is None else self.iri(rule.template, rule.column)
+
+    def literal(self, name: str, datatype: str | None) -> Column:
+        return lexical_by_datatype(_column(name), self.types[name], datatype)
 
     def keyed_by(self, template: str, column: str, iri: str) -> Column | None:
         """Condition on the source column that a row making ``iri`` must meet, where there is one."""
@@ -134,7 +137,8 @@ def _stacked(rows: DataFrame, source: _Source, carry: tuple[str, ...]) -> DataFr
 def _branches(rows: DataFrame, source: _Source, carry: tuple[str, ...]) -> DataFrame:
     def branch(rule: TripleRule) -> DataFrame:
         present = rows if rule.column is None else rows.where(_column(rule.column).isNotNull())
-        return present.select(
+        literal = rule.column is not None and rule.template is None
+        made = present.select(
             *carry,
             source.subject().alias("s"),
             F.lit(rule.predicate).alias("p"),
@@ -142,6 +146,7 @@ def _branches(rows: DataFrame, source: _Source, carry: tuple[str, ...]) -> DataF
             F.lit(rule.o_type).alias("o_type"),
             _text_lit(rule.datatype).alias("o_datatype"),
         )
+        return made.where(F.col("o").isNotNull()) if literal and may_lack_form(source.types[rule.column], rule.datatype) else made
 
     return reduce(DataFrame.unionByName, [branch(rule) for rule in source.plan.rules])
 
@@ -169,6 +174,8 @@ def materialize_distinct(df: DataFrame, plan: MappingPlan, graph: str) -> DataFr
             value = source.object(rule)
         elif rule.column is None:
             value = F.lit("")
+        elif rule.template is None:
+            value = source.object(rule)
         else:
             value = source.text(rule.column)
         cells += [F.lit(faces.index(face)), value]
@@ -232,11 +239,11 @@ def materialize_many(df: DataFrame, jobs: Sequence[tuple[MappingPlan, str]]) ->
         return _no_triples(df, "")
     used = list(dict.fromkeys(name for plan, _ in jobs for name in plan.columns()))
     whole = _Source(df, MappingPlan(used[0], "", tuple(TripleRule("", "literal", column=name) for name in used)))
-    texts: dict[tuple[str, bool], int] = {}
+    # Forms of columns: in an IRI, or as a literal of a datatype.
+    forms: dict[tuple[str, bool, str | None], int] = {}
 
-    def place(name: str, in_iri: bool) -> int:
-        plain = isinstance(whole.types[name], _PLAIN_TYPES)
-        return texts.setdefault((name, in_iri and not plain), len(texts))
+    def place(name: str, in_iri: bool, datatype: str | None = None) -> int:
+        return forms.setdefault((name, in_iri, datatype), len(forms))
 
     rules = [
         {
@@ -244,7 +251,7 @@ def materialize_many(df: DataFrame, jobs: Sequence[tuple[MappingPlan, str]]) ->
             "key": place(plan.subject_column, True),
             "subject": plan.subject_template,
             "p": rule.predicate,
-            "at": None if rule.column is None else place(rule.column, rule.template is not None),
+            "at": None if rule.column is None else place(rule.column, rule.template is not None, rule.datatype),
             "template": rule.constant if rule.column is None else rule.template,
             "o_type": rule.o_type,
             "o_datatype": rule.datatype,
@@ -252,7 +259,7 @@ def materialize_many(df: DataFrame, jobs: Sequence[tuple[MappingPlan, str]]) ->
         for plan, graph in jobs
         for rule in plan.rules
     ]
-    held = F.array(*[whole.iri("{value}", name) if encoded else whole.text(name) for name, encoded in texts])
+    held = F.array(*[whole.iri("{value}", name) if in_iri else whole.literal(name, datatype) for name, in_iri, datatype in forms])
     rows = df.select(*[_column(name) for name in used]).select(held.alias("_texts"))
     stated = rows.select("_texts", F.explode(F.from_json(F.lit(json.dumps(rules)), f"array<struct<{_MERGED}>>")).alias("_rule"))
     rule = {name: F.col(f"_rule.{name}") for name in ("graph", "key", "subject", "p", "at", "template", "o_type", "o_datatype")}
@@ -274,6 +281,19 @@ def materialize_many(df: DataFrame, jobs: Sequence[tuple[MappingPlan, str]]) ->
     )
 
 
+def untyped_values(df: DataFrame, plan: MappingPlan) -> DataFrame:
+    """``(column, datatype, rows)``: values that are no literal of their declared datatype, and so make no triple."""
+    rules = list(dict.fromkeys((r.column, r.datatype) for r in plan.rules if r.column is not None and r.template is None))
+    if not rules:
+        return df.sparkSession.createDataFrame([], "column string, datatype string, rows long")
+    source = _Source(df, plan)
+    failed = [F.count_if(_column(name).isNotNull() & source.literal(name, datatype).isNull()) for name, datatype in rules]
+    cells = [cell for (name, datatype), count in zip(rules, failed) for cell in (F.lit(name), _text_lit(datatype), count)]
+    return source.rows.agg(F.array(*[F.struct(*cells[i : i + 3]) for i in range(0, len(cells), 3)]).alias("all")).select(
+        F.inline("all").alias("column", "datatype", "rows")
+    ).where(F.col("rows") > 0)
+
+
 def distinct_triples(triples: DataFrame) -> DataFrame:
     """A graph is a set: equal triples of one graph count once."""
     return triples.select(*TRIPLE_COLUMNS).distinct()

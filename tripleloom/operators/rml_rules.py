@@ -18,7 +18,7 @@ from ..functions import expand_known_prefix
 from ..functions.iris import term_prefix
 from ..plans import MappingPlan, TripleRule
 from ..vocab import DPA, PREFIX_PATTERN, RDF_TYPE, RML, RR, TRIPLE_COLUMNS, XSD
-from .turtle import expand_terms, ttl_prefixes, ttl_statements
+from .turtle import expand_terms, ttl_leftovers, ttl_prefixes, ttl_statements
 
 _QUOTED = r'"((?:[^"\\]|\\.)*)"'
 _TERM = r"(<[^>]*>|[^\s;\]\[]+)"
@@ -38,14 +38,26 @@ _PROPERTY = r"(?U)(?:^\s*\S+|[;\[])\s*([\w-]*:[\w-]+)"
 _CLASS_LIST = rf"(?U)rr:class\s+{_TERM}((?:\s*,\s*{_TERM})*)"
 
 
+# Escapes of Turtle, and one that is none of them: an unknown letter, too few digits, or no code point.
+_CODE = r"\\u[0-9A-Fa-f]{4}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
+_PIECE = rf"(?s)(?:\\u[0-9A-Fa-f]{{4}})+|{_CODE}|\\.|[^\\]+"
+_BAD_ESCAPE = rf"(?s)^(?:[^\\]|{_CODE}|\\[tbnrf\"'\\])*+.+$"
+_LETTERS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+
+
 def _unescaped(text: Column) -> Column:
-    """The characters that a quoted text stands for; its escapes are those of JSON."""
-    read = F.from_json(
-        F.concat(F.lit('["'), text, F.lit('"]')),
-        "array<string>",
-        {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"},
-    )
-    return F.when(text.contains("\\"), read[0]).otherwise(text)
+    """The characters that a quoted text stands for."""
+
+    def read(piece: Column) -> Column:
+        letter = F.substr(piece, F.lit(2), F.lit(1))
+        plain = F.coalesce(*[F.when(letter == name, F.lit(char)) for name, char in _LETTERS.items()], letter)
+        # Runs of short codes are read together: two of them may be one character.
+        short = F.decode(F.unhex(F.replace(piece, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        long = F.decode(F.unhex(F.substr(piece, F.lit(3))), "UTF-32")
+        return F.when(~piece.startswith("\\"), piece).when(piece.rlike(r"^\\u"), short).when(piece.rlike(r"^\\U"), long).otherwise(plain)
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), read), "")
+    return F.when(text.contains("\\") & ~text.rlike(_BAD_ESCAPE), whole).otherwise(text)
 
 
 def _quoted_after(text: Column, name: str) -> Column:
@@ -101,6 +113,7 @@ def triples_maps(corpus: DataFrame) -> DataFrame:
                 F.array_union(used, properties), F.array(*[F.lit(term) for term in [*_KNOWN_TERMS, *_ANNOTATIONS]])
             ).alias("unknown"),
             (bare.rlike(r"\]\s*,") | F.contains(statement, F.lit(f"<{RR}")) | F.contains(statement, F.lit(f"<{RML}"))).alias("other_form"),
+            F.exists(F.regexp_extract_all(statement, F.lit(_QUOTED), F.lit(1)), lambda text: text.rlike(_BAD_ESCAPE)).alias("bad_escape"),
             (F.size(maps) == F.size(F.filter(used, lambda term: term == "rr:predicateObjectMap"))).alias("all_read"),
         )
     )
@@ -111,9 +124,10 @@ def triples_maps(corpus: DataFrame) -> DataFrame:
         )
         .when(~F.col("all_read"), F.lit("Unreadable predicate-object map"))
         .when(F.col("other_form"), F.lit("List of objects or vocabulary without prefix"))
+        .when(F.col("bad_escape"), F.lit("Unknown escape in a text"))
         .when(F.col("subject_template").isNull(), F.lit("Subject map without template"))
     )
-    return found.withColumn("problem", problem).drop("unknown", "all_read", "other_form")
+    return found.withColumn("problem", problem).drop("unknown", "all_read", "other_form", "bad_escape")
 
 
 def _slot(template: str) -> tuple[str, str]:
@@ -129,7 +143,8 @@ def rejected_documents(corpus: DataFrame) -> DataFrame:
     """``(mapping_id, problem)`` of each document that cannot be turned into triples as a whole.
 
     A document is rejected for a map with a problem, for a prefix that gives a
-    mapping vocabulary another name or its name to something else, and if it has
+    mapping vocabulary another name or its name to something else, for a
+    statement that is no map, for text behind its last full stop, and if it has
     no map at all.
     """
     declared = corpus.select(F.col("doc_id").alias("mapping_id"), F.explode(F.regexp_extract_all("text", F.lit(PREFIX_PATTERN), F.lit(0))).alias("line"))
@@ -144,7 +159,10 @@ def rejected_documents(corpus: DataFrame) -> DataFrame:
         .join(maps.select("mapping_id").distinct(), "mapping_id", "left_anti")
         .select("mapping_id", F.lit("No TriplesMap found").alias("problem"))
     )
-    return renamed.union(bad).union(empty).distinct()
+    others = ttl_statements(corpus).where(~F.col("statement").contains("rr:subjectMap"))
+    no_maps = others.select(F.col("doc_id").alias("mapping_id"), F.lit("Statement that is no TriplesMap").alias("problem"))
+    unended = ttl_leftovers(corpus).select(F.col("doc_id").alias("mapping_id"), F.lit("Text behind the last statement").alias("problem"))
+    return renamed.union(bad).union(empty).union(no_maps).union(unended).distinct()
 
 
 def plan_batches(corpus: DataFrame, size: int = 200, by_source: bool = False) -> Iterator[list[tuple[str, str | None, MappingPlan]]]:

@@ -77,6 +77,15 @@ def ttl_statements(corpus: DataFrame, keep_empty: bool = False) -> DataFrame:
     return corpus.select("doc_id", "doc_order", unroll(found).alias("stmt_pos", "statement"))
 
 
+def ttl_leftovers(corpus: DataFrame) -> DataFrame:
+    """``(doc_id, leftover)`` of documents with text behind their last statement, which :func:`ttl_statements` drops."""
+    body = F.regexp_replace(unix_lines(F.col("text")), SKIPPED_LINE, "")
+    parts = F.regexp_extract_all(body, F.lit(STATEMENT), F.lit(0))
+    ended = lambda text: F.rtrim(text, F.lit(WHITESPACE)).endswith(".")
+    open_text = F.array_join(F.filter(parts, lambda text: ~ended(text) & (F.trim(text, F.lit(WHITESPACE)) != "")), "")
+    return corpus.select("doc_id", open_text.alias("leftover")).where(F.col("leftover") != "")
+
+
 def expand_terms(df: DataFrame, term: str, prefixes: DataFrame, into: str) -> DataFrame:
     """Add the IRI of a Turtle term under the corpus prefixes.
 

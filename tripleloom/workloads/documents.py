@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import SPEC_SCHEMA
 from ..operators.render import render_rml
+from ..operators.rml_rules import document_triples, rejected_documents
 from ..operators.turtle import (
     bad_columns,
     catalog_columns,
@@ -486,6 +487,51 @@ SELECT '{DPA}' || replace(p_name, ' ', '-') || '/' || p_size AS focus_node, '{RD
 FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) FILTER (p_brand = 'Brand#1' OR p_type = 'SMALL') < 2
 """
 
+_EXPERT_HEAD = f"@prefix rr: <{RR}> .\n@prefix dpa: <{DPA}> .\n"
+
+
+def expert_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hand-written document per part; four of five have something that cannot be published."""
+    key = _text("p_partkey")
+    subject = F.lit(' ; rr:subjectMap [ rr:template "http://ex/{id}" ; rr:class dpa:A , dpa:B ]')
+    named = lambda escape: F.concat(
+        F.lit(_EXPERT_HEAD + "<m-"), key, F.lit('> a rr:TriplesMap ; dpa:unityCatalogObject "part '), key, F.lit(f'{escape}"'), subject, F.lit(" .\n")
+    )
+    text = case(
+        "p_partkey",
+        {
+            1: F.concat(named("\\U0001F600"), F.lit('<https://x/owner> <https://x/name> "Ann" .\n')),
+            2: F.concat(named("\\U0001F600"), F.lit("<n> a rr:TriplesMap"), subject, F.lit(" ;\n")),
+            3: named("\\x"),
+            4: F.replace(named("\\U0001F600"), F.lit("rr:"), F.lit("r2:")),
+        },
+        named("\\U0001F600"),
+        5,
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("m-"), key).alias("doc_id"), F.concat(F.lit("m-"), key).alias("doc_order"), text.alias("text"))
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sound documents say with a name or a text, without the blank nodes between."""
+    corpus = expert_corpus(spark, sf_dir)
+    rejected = rejected_documents(corpus).select(F.col("mapping_id").alias("doc_id")).distinct()
+    sound = corpus.join(rejected, "doc_id", "left_anti")
+    return document_triples(sound, "g").where(F.col("o_type") != "bnode").groupBy("p", "o", "o_type", "o_datatype").agg(F.count("*").alias("n"))
+
+
+_REJECTED_SQL = """
+SELECT 'm-' || p_partkey AS mapping_id, CASE p_partkey % 5 WHEN 1 THEN 'Statement that is no TriplesMap' WHEN 2 THEN 'Text behind the last statement'
+  WHEN 3 THEN 'Unknown escape in a text' ELSE 'Prefix of the mapping vocabulary: r2' END AS problem FROM part WHERE p_partkey % 5 > 0
+UNION ALL SELECT 'm-' || p_partkey, unnest(['No TriplesMap found', 'Statement that is no TriplesMap']) FROM part WHERE p_partkey % 5 = 4
+"""
+_PUBLISHED_SQL = f"""
+WITH k AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 = 0)
+SELECT '{RDF_TYPE}' AS p, '{RR}TriplesMap' AS o, 'uri' AS o_type, CAST(NULL AS VARCHAR) AS o_datatype, count(*) AS n FROM k
+UNION ALL SELECT '{RR}template', 'http://ex/{{id}}', 'literal', '{XSD}string', count(*) FROM k
+UNION ALL SELECT '{RR}class', '{DPA}' || c, 'uri', NULL, count(*) FROM k, (VALUES ('A'), ('B')) v(c) GROUP BY c
+UNION ALL SELECT '{DPA}unityCatalogObject', 'part ' || k || chr(128512), 'literal', '{XSD}string', 1 FROM k
+"""
+
 QUERIES = {
     "render_rml": Query(render, _RENDER_SQL),
     "render_broken": Query(render_broken, _RENDER_BROKEN_SQL),
@@ -497,6 +543,8 @@ QUERIES = {
     ),
     "ontology_classes": Query(classes, f"SELECT * FROM ({_CLASSES})"),
     "term_lookup": Query(terms, _TERMS_SQL),
+    "rejected_documents": Query(lambda spark, sf: rejected_documents(expert_corpus(spark, sf)), _REJECTED_SQL),
+    "document_triples": Query(published, _PUBLISHED_SQL),
     "catalog_columns": Query(columns, _COLUMNS_SQL),
     "mapping_projections": Query(projections, _PROJECTIONS_SQL),
     "ontology_summary": Query(

@@ -16,6 +16,7 @@ from ..operators.materialize import (
     materialize,
     materialize_distinct,
     materialize_many,
+    untyped_values,
 )
 from ..operators.render import render_rml
 from ..operators.registry import active_mappings, current_records, documents_of, register_batch
@@ -102,6 +103,37 @@ def materialize_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(table(spark, sf_dir, "orders"), plan("orders"), graph_iri("orders"))
 
 
+_TYPED = (
+    Mapper()
+    .dataset("unity.default.orders")
+    .row_subject(rdf_class="dpa:Order")
+    .subject_identifier(column="o_orderkey", scheme="res:orders")
+    .column("o_orderdate", "DATE")
+    .literal(predicate="dpa:day")
+    .column("o_totalprice", "INT")
+    .literal(predicate="dpa:wholePrice")
+    .column("o_shippriority", "BOOLEAN")
+    .literal(predicate="dpa:urgent")
+    .column("o_custkey", "DOUBLE")
+    .literal(predicate="dpa:customerNumber")
+    .spec()
+)
+
+
+def _odd_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose prices are whole at every third key, and with a flag of 0, 1 or 2."""
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.floor("o_totalprice").cast("double")).otherwise(F.col("o_totalprice"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderdate", price.alias("o_totalprice"), (F.col("o_orderkey") % 3).cast("int").alias("o_shippriority"), "o_custkey"
+    )
+
+
+def typed_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals in the form of their declared datatype, which is not that of the column."""
+    made = materialize(_odd_orders(spark, sf_dir), plan_mapping(_TYPED, SCHEMES), graph_iri("orders"))
+    return made.where(F.col("o_type") == "literal").select("s", "p", "o", "o_datatype")
+
+
 def subject_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triples of the customer with the highest key."""
     customers = table(spark, sf_dir, "customer")
@@ -316,6 +348,20 @@ QUERIES = {
         SELECT t.* REPLACE ('{graph_iri("map-")}' || i AS graph) FROM t
         JOIN e ON last = 'view' AND list_position({[graph_iri(name) for name in TURNS]}, graph) - 1 = i % {len(TURNS)}""",
     ),
+    "lexical_by_datatype": Query(
+        typed_literals,
+        f"""WITH r AS (SELECT '{RESOURCE}orders/' || o_orderkey AS s, o_orderkey % 3 AS k, o_orderdate AS d, o_custkey AS c,
+          CASE WHEN o_orderkey % 3 = 0 THEN floor(o_totalprice) ELSE o_totalprice END AS price FROM orders)
+        SELECT s, '{DPA}day' AS p, strftime(d, '%Y-%m-%d') AS o, '{XSD}date' AS o_datatype FROM r
+        UNION ALL SELECT s, '{DPA}wholePrice', CAST(CAST(price AS BIGINT) AS VARCHAR), '{XSD}integer' FROM r WHERE price = floor(price)
+        UNION ALL SELECT s, '{DPA}urgent', CASE WHEN k = 1 THEN 'true' ELSE 'false' END, '{XSD}boolean' FROM r WHERE k < 2
+        UNION ALL SELECT s, '{DPA}customerNumber', CAST(c AS VARCHAR), '{XSD}double' FROM r""",
+    ),
+    "untyped_values": Query(
+        lambda spark, sf: untyped_values(_odd_orders(spark, sf), plan_mapping(_TYPED, SCHEMES)),
+        f"""SELECT 'o_totalprice' AS "column", '{XSD}integer' AS datatype, count(*) AS "rows" FROM orders WHERE o_orderkey % 3 <> 0 AND o_totalprice <> floor(o_totalprice)
+        UNION ALL SELECT 'o_shippriority', '{XSD}boolean', count(*) FROM orders WHERE o_orderkey % 3 = 2""",
+    ),
     "materialize_many": Query(
         materialize_many_maps,
         f"""WITH m AS (SELECT '{graph_iri("many/")}' || i AS graph, '{RESOURCE}supplier' || i % 3 || '/' || s_suppkey AS s, i, s_name, s_nationkey

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from ..sources import (
     registered_tables,
     write_table,
 )
+from ..sources.catalog import current_namespace, list_catalogs, list_schemas
 from ..vocab import DPA
 from .data import GRAPH, Query, graph_iri, table, triples, with_triples
 
@@ -186,6 +189,25 @@ def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registered_tables(spark, prefix="loom_")
 
 
+def catalog_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session's catalog, the schemas made here (one a region) and the current namespace while it is one of them."""
+    prefix = f"loom_{uuid.uuid4().hex[:12]}_"
+    names = [prefix + row.name for row in table(spark, sf_dir, "region").select(F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("name")).collect()]
+    before = spark.catalog.currentDatabase()
+    try:
+        for name in names:
+            spark.sql(f"CREATE SCHEMA `{name}`")
+        spark.catalog.setCurrentDatabase(min(names))
+        rows = [("schema", row.namespace) for row in list_schemas(spark).collect() if row.namespace.startswith(prefix)]
+        rows += [("catalog", row.catalog) for row in list_catalogs(spark).collect()]
+        rows += [("current", f"{row.catalog}.{row.schema}") for row in current_namespace(spark).collect()]
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        for name in names:
+            spark.sql(f"DROP SCHEMA IF EXISTS `{name}`")
+    return spark.createDataFrame([(kind, name.replace(prefix, "")) for kind, name in rows], "kind string, name string")
+
+
 def ttl_statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut running prose into statements, to see the line rules on texts no tool wrote."""
     corpus = table(spark, sf_dir, "documents").select(
@@ -237,5 +259,10 @@ QUERIES = {
         catalog_listing,
         "\nUNION ALL\n".join(f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {name}" for name in TABLES),
     ),
+    "catalog_namespaces": Query(
+        catalog_namespaces,
+        "WITH r AS (SELECT replace(lower(r_name), ' ', '_') AS name FROM region) SELECT 'schema' AS kind, name FROM r "
+        "UNION ALL SELECT 'catalog', 'spark_catalog' UNION ALL SELECT 'current', 'spark_catalog.' || min(name) FROM r",
+    ),
     "ttl_statement_lines": Query(ttl_statement_lines, _STATEMENT_LINES_SQL),
 }

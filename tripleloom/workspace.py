@@ -327,6 +327,18 @@ class Workspace:
         log.write.mode("append").parquet(f"{self.root}/jobs")
         return {"id": job_id, "status": "succeeded", "target": PROJECTION_TARGET, "created": made}
 
+    def check(self, ids: Iterable[str]) -> DataFrame:
+        """Catalog entries of the named mappings whose class or location is not what their documents say.
+
+        Locations are left out where the workspace puts tables elsewhere.
+        """
+        covered = self.spark.createDataFrame([(name,) for name in ids], "id string").distinct()
+        projections = mapping_projections(corpus_of(registry.rml_for_ids(self.records(), covered)))
+        expected = projecting.projection_plan(projections, self.classes())
+        names = (row.full_name for row in expected.select("full_name").distinct().toLocalIterator())
+        found = projecting.semantic_check(expected, catalog_snapshot(self.spark, names, self.catalog))
+        return found if self.table_location is None else found.where(F.col("fact") != "storage_location")
+
     def job_mappings(self, job_id: str) -> DataFrame:
         """``(mapping_id)`` of the mappings that a projection run covered."""
         return self.jobs().where((F.col("job_id") == job_id) & F.col("mapping_id").isNotNull()).select("mapping_id")
