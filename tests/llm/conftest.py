@@ -48,7 +48,7 @@ def odd_pairs():
 
 
 #: Columns with the names that operators use inside or return.
-CLASHING = "gain known id mark spans score items n_words n_removed kept bucket block part tail fingerprint root center word n lang_pred".split()
+CLASHING = "gain known id mark spans score items n_words n_removed kept bucket block part tail fingerprint root center word n lang_pred _mark k1 _k1 _gain _id _sure _part _key _row start mask prefix bits".split()
 
 
 @pytest.fixture(scope="session")

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from conftest import SF_DIR, by_id
+from conftest import CLASHING, SF_DIR, by_id
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -31,6 +31,15 @@ from tripleloom.session import scratch_path
 
 # ---- substring dedup ------------------------------------------------------------------------------------------------
 
+def _callers_columns_stay(given, found, gone=()):
+    """All columns of the caller that no result is named after come back in order, with what they held."""
+    kept = [c for c in given.columns if c in found.columns and c not in gone]
+    results = set(found.columns) - set(given.columns)
+    assert {c for c in given.columns if c not in kept} <= set(gone) and found.columns[: len(kept)] == kept and results
+    own = [c for c in kept if c in CLASHING]
+    assert found.where(" and ".join(f"`{c}` = 'own'" for c in own)).count() == given.count()
+
+
 WINDOW = ("n_words", "n_removed", "kept_sha256")
 
 
@@ -43,6 +52,7 @@ def test_windows_of_odd_texts(odd, odd_pairs, width):
     found = remove_repeats(odd, width)
     assert by_id(found, *WINDOW) == brute.window_dedup(odd_pairs, width)
     assert found.where("block = 'own' and source is null").count() == len(odd_pairs)
+    _callers_columns_stay(odd, found, gone=("n_words", "n_removed"))
 
 
 def test_windows_of_messy_and_empty_tables(messy, empty):
@@ -72,7 +82,9 @@ def test_bytes_of_query(spark, pairs):
 @pytest.mark.parametrize("width", [24, 100])
 def test_bytes_of_odd_texts(odd, odd_pairs, width):
     pairs = [p for p in odd_pairs if p[0] != 10]
-    assert by_id(remove_repeated_bytes(odd.where("doc_id != 10"), width), *BYTES) == brute.byte_dedup(pairs, width)
+    found = remove_repeated_bytes(odd.where("doc_id != 10"), width)
+    assert by_id(found, *BYTES) == brute.byte_dedup(pairs, width)
+    _callers_columns_stay(odd.where("doc_id != 10"), found, gone=("kept", "n_removed"))
 
 
 def test_bytes_of_messy_and_empty_tables(messy, empty):
@@ -361,6 +373,20 @@ def test_languages_of_messy_and_empty_tables(docs, messy, empty):
 # ---- language model -------------------------------------------------------------------------------------------------
 
 
+def test_a_count_bounds_rows_however_large_counts_are(spark):
+    for base in (10, 100_000, 1 << 40):
+        table = spark.createDataFrame([(base + i,) for i in range(50)] + [(1,)] * 30, "n long")
+        assert table.where(F.col("n") >= ppm.least_count(table, 10)).count() <= 10
+        assert table.where(F.col("n") >= ppm.least_count(table, 60)).count() == (50 if base > 1 else 60)
+        assert table.where(F.col("n") >= ppm.least_count(table, 80)).count() == 80
+
+
+def test_scores_leave_the_callers_columns(odd):
+    found = ppm.scores(odd, odd)
+    _callers_columns_stay(odd, found, gone=("text", "score"))
+    assert found.count() == odd.count()
+
+
 def test_scores_of_query(spark, pairs):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     tokens = lambda t: [*brute.SPACED.findall((t or "").translate(brute.LOWER)), None]

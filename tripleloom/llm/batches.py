@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripleloom.session import scratch_path
 
@@ -116,6 +117,20 @@ def rolled(values: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def nested(docs: DataFrame, results: list[str], own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[Column]]:
+    """``docs`` without columns named like results: the columns an operator works on and the caller's others in one,
+    ``_row``, so that no name of theirs meets one of ours; and the expressions that give the caller's columns back."""
+    docs = docs.drop(*results)
+    others = [c for c in docs.columns if c not in own]
+    row = [F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in others]).alias("_row")] if others else []
+    return docs.select(*own, *row), [F.col(c) if c in own else F.col("_row").getField(c).alias(c) for c in docs.columns]
+
+
+def extended(frame: DataFrame, added: str) -> T.StructType:
+    """The schema of a frame with further columns behind; names inside structs need no quoting here."""
+    return T.StructType([*frame.schema.fields, *T.StructType.fromDDL(added).fields])
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared scratch folder: read again, never computed again, safe from lost executors."""
     spark: SparkSession = frame.sparkSession

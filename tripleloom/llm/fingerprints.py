@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,7 +211,9 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
         for r in range(ROWS):
             keys = mixed(keys + cut[:, :, r])
         empty = (rows == _EMPTY).all(axis=1)
-        digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(row.tobytes()), np.int64) for row in rows]).reshape(-1, 2)
+        # A fingerprint is no proof of equal texts: the digest that makes classes is the text's own.
+        texts = pc.ascii_lower(plain(batch.column("text"))).cast(pa.binary()).to_pylist()
+        digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(text), np.int64) for text in texts]).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"), pa.array((~empty).astype(np.int64)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
@@ -233,10 +236,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) ->
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.translate("text", UPPER, UPPER.lower()).alias("text"))
     schema = "id long, n long, d1 long, d2 long, bands array<long>, fingerprint string"
     signed = stored(source.mapInArrow(lambda batches: _signed(batches, words), schema), "fingerprints")
-    # A fingerprint is no proof of equal texts: the digest that makes classes is the text's own.
-    exact = source.select(F.col("id").alias("text_id"), F.xxhash64("text").alias("e1"), F.hash("text").cast("long").alias("e2"))
-    own = signed.join(exact, signed["id"] == exact["text_id"]).select("id", "n", F.col("e1").alias("d1"), F.col("e2").alias("d2"), "bands")
-    roots = confirmed(docs.select("doc_id", "text"), stored(own, "fingerprint-classes"), words, percent)
+    roots = confirmed(docs.select("doc_id", "text"), signed.drop("fingerprint"), words, percent)
+    # Rows that share an id are one node and get one class; each keeps its own fingerprint.
     joined = signed.select("id", "fingerprint").join(roots.withColumnRenamed("node", "id"), "id", "left")
     back = lambda c: F.when(c != NO_ID, c)
     return joined.select(back(F.col("id")).alias("doc_id"), "fingerprint", back(F.coalesce("root", "id")).alias("class_id"))

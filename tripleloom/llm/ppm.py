@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, mixed, plain, ship, shuffle_parts, slices, stored, words_of
+from .batches import NO_ID, extended, mixed, nested, plain, ship, shuffle_parts, slices, stored, words_of
 
 ORDER = 5
 #: Strings whose probabilities go to every worker, 16 bytes each; all others meet their counts in the parts.
@@ -181,15 +181,18 @@ def log10_of(trie: Trie, strings: np.ndarray) -> np.ndarray:
 def least_count(counted: DataFrame, most: int) -> int:
     """The least n for which at most ``most`` rows of ``counted`` (n) have n or more.
 
-    It follows from how many rows have each n, a table as short as the distinct counts, of which there are 100,000
-    at most: beyond that n is only known to be larger.
+    It follows from how many rows have each n, with counts above 65,536 taken by powers of two: a short table, and a
+    bound that holds however large counts are.
     """
-    sizes = counted.groupBy(F.least(F.col("n"), F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows")).collect()
+    exact = 1 << 16
+    step = F.when(F.col("n") < exact, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n") + 1e-12)).cast("long"))
+    sizes = counted.groupBy(step.alias("n")).agg(F.count("*").alias("rows")).collect()
     rows = 0
     for row in sorted(sizes, key=lambda r: -r.n):
         rows += row.rows
         if rows > most:
-            return row.n + 1
+            # Beyond the whole step: a count that a rounded logarithm puts into the step above is larger still.
+            return row.n + 1 if row.n < exact else 2 * row.n + 1
     return 1
 
 
@@ -493,8 +496,8 @@ def word_scores(docs: DataFrame, training: DataFrame, most: int = 100_000, texts
     met = rare.join(counts, "word").select("ids", "times", "n")
     gains = met.mapInArrow(_summed, "id long, gain double, known long")
     gains = gains.groupBy("id").agg(F.sum("gain").alias("_gain"), F.sum("known").alias("_known")).withColumnRenamed("id", "_id")
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    based = docs.mapInArrow(lambda batches: _based(batches, sent.value, ends, total, kinds), f"{fields}, n_tokens long, _sure long, _part double")
+    schema = extended(docs, "n_tokens long, _sure long, _part double")
+    based = docs.mapInArrow(lambda batches: _based(batches, sent.value, ends, total, kinds), schema)
     joined = based.drop("text").join(gains, F.col("_key") == F.col("_id"), "left")
     return joined.select(
         *[c for c in docs.columns if c != "text"],
@@ -511,7 +514,9 @@ def scores(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFram
     The text is not returned. Where ids are not unique, rows are told apart by a hash of id and text. Columns with the
     names of results are replaced, all others stay.
     """
-    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    given = docs.drop(*(results := ["n_tokens", "n_known", "train_tokens", "base_score", "score"])).columns
+    docs, back = nested(docs, results)
+    back = [column for column, name in zip(back, given) if name != "text"]
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows, ids = docs.agg(F.count("*"), F.count_distinct(key)).first()
     keyed = docs.withColumn("_key", key if rows == ids else F.xxhash64(key, F.coalesce("text", F.lit(""))))
@@ -519,4 +524,4 @@ def scores(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFram
     texts = texts if rows == ids else texts.dropDuplicates(["_key"])
     found = whole_scores(texts, training, order).withColumnRenamed("id", "_id")
     based = word_scores(keyed, training, texts=texts)
-    return based.join(found, F.col("_key") == F.col("_id")).drop("_key", "_id")
+    return based.join(found, F.col("_key") == F.col("_id")).select(*back, *results)

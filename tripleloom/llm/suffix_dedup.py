@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import STEP, ids_of, mixed, plain, slices
+from .batches import STEP, extended, ids_of, mixed, nested, plain, slices
 from .superkmers import Packed, covered, dealt, inner_repeats, minimisers, runs
 from .window_dedup import with_spans
 
@@ -252,8 +252,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
     """
     if width < MINIMISER + 4:
         raise ValueError(f"width must be {MINIMISER + 4} at least")
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "mark", "id", "_mark")
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return with_spans(docs, _packed, width, byte_windows).mapInArrow(
-        _kept, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    held, back = nested(docs, results)
+    schema = extended(held, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return with_spans(held, _packed, width, byte_windows).mapInArrow(_kept, schema).select(*back, *results)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, STEP, hashes, ids_of, mixed, plain, rolled, ship, shuffle_parts, slices, words_of
+from .batches import NO_ID, STEP, extended, hashes, ids_of, mixed, nested, plain, rolled, ship, shuffle_parts, slices, words_of
 from .near_dup import grouped
 from .superkmers import DEALT, SPANS, Packed, chosen, covered, dealt, decode, decode_spans, first_of_equal, inner_repeats, merged, minimisers, not_alone, runs, span_batch
 
@@ -168,8 +168,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     doc_id but different texts come in the order of a hash of their texts; a row repeated whole is one document, and
     each of its rows gets the same result. Columns with the names of results are replaced, all others stay.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text", "spans", "mark", "id", "_mark")
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return with_spans(docs, _packed, width, word_windows).mapInArrow(
-        _kept, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    )
+    results = ["n_words", "n_removed", "kept_sha256", "kept_text"]
+    held, back = nested(docs, results)
+    schema = extended(held, "n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return with_spans(held, _packed, width, word_windows).mapInArrow(_kept, schema).select(*back, *results)
