@@ -59,6 +59,9 @@ def main() -> None:
         "distinct_compact": lambda: materialize_distinct(lineitem, plan("lineitem"), graph_iri("lineitem")),
         "distinct_plain": lambda: distinct_triples(materialize(lineitem, plan("lineitem"), graph_iri("lineitem"))),
         "bgp_join": lambda: ALL["bgp_join"].run(spark, SF_DIR),
+        "bgp_star": lambda: ALL["bgp_star"].run(spark, SF_DIR),
+        "materialize_many": lambda: ALL["materialize_many"].run(spark, SF_DIR),
+        "registry_snapshot": lambda: ALL["registry_snapshot"].run(spark, SF_DIR),
         "bgp_aggregate": lambda: ALL["bgp_aggregate"].run(spark, SF_DIR),
         "predicate_stats": lambda: ALL["predicate_stats"].run(spark, SF_DIR),
         "graph_scan": lambda: read_graphs(spark, store, graph_iri("customer")),
