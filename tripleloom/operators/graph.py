@@ -390,6 +390,29 @@ def bindings_rows(results: DataFrame, variables: Sequence[str]) -> DataFrame:
     return rows.select("result_id", "row_index", *columns)
 
 
+def bindings_variant(results: DataFrame) -> DataFrame:
+    """Stored query results ``(result_id, json)`` as rows ``(result_id, row_index, cells)``, whatever their variables.
+
+    ``cells`` maps each bound variable to a VARIANT, so results of different queries lie in one table and a variable is
+    looked up when it is asked for (:func:`bound_cells`, :func:`cell`). What is no JSON, or no result, has no rows.
+    """
+    found = results.select("result_id", F.try_parse_json("json").alias("r"))
+    rows = found.select("result_id", F.posexplode(F.try_variant_get("r", "$.results.bindings", "array<variant>")).alias("row_index", "row"))
+    return rows.select("result_id", "row_index", F.try_variant_get("row", "$", "map<string,variant>").alias("cells"))
+
+
+def cell(variable: str, part: str = "value") -> Column:
+    """The value (or ``type``, ``datatype``, ``xml:lang``) of a variable in rows of :func:`bindings_variant`; null if unbound."""
+    return F.try_variant_get(F.try_element_at("cells", F.lit(variable)), f'$["{part}"]', "string")
+
+
+def bound_cells(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`bindings_variant` as ``(result_id, row_index, variable, value, type)``, one row a bound variable."""
+    cells = rows.select("result_id", "row_index", F.explode("cells").alias("variable", "cell"))
+    part = lambda name: F.try_variant_get("cell", f"$.{name}", "string").alias(name)
+    return cells.select("result_id", "row_index", "variable", part("value"), part("type")).where(F.col("value").isNotNull())
+
+
 def table_view(rows: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Rows as a table shows them: nothing is an empty text."""
     return rows.select(*[F.coalesce(name, F.lit("")).alias(name) for name in variables])

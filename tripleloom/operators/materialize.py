@@ -310,3 +310,32 @@ def dangling_references(references: DataFrame, subjects: DataFrame) -> DataFrame
     )
     known = subjects.select(F.col("s").alias("known")).distinct()
     return linked.join(known, F.col("o") == F.col("known"), "left_anti")
+
+
+def dangling_keys(df: DataFrame, plan: MappingPlan, predicate: str, subjects: DataFrame, subject_plan: MappingPlan, graph: str = "") -> DataFrame:
+    """:func:`dangling_references` of one table's links to another table's subjects, on keys instead of IRIs.
+
+    Where a link and the subject have one template, equal IRIs come from equal keys: the key columns are compared, as
+    numbers if both are whole numbers, else as texts, and IRIs are made of what is left. Otherwise IRIs are compared.
+    """
+    rules = [rule for rule in plan.bound_to(predicate).rules if rule.o_type == "uri"]
+    same = all(rule.column is not None and rule.template == subject_plan.subject_template for rule in rules)
+    if not rules or not same or "{value}" not in subject_plan.subject_template:
+        links = materialize(df, plan, graph, predicate=predicate)
+        return dangling_references(links, materialize(subjects, subject_plan, graph).select("s"))
+    links, known = _Source(df, plan.bound_to(predicate)), _Source(subjects, MappingPlan(subject_plan.subject_column, "", ()))
+    columns = list(dict.fromkeys(rule.column for rule in rules))
+    kinds = [links.types[name] for name in columns] + [known.types[subject_plan.subject_column]]
+    whole = all(isinstance(kind, T.IntegralType) for kind in kinds)
+
+    def key(source: _Source, name: str) -> Column:
+        return _column(name).cast("long") if whole else source.text(name)
+
+    # A column named by two rules links twice.
+    cells = F.array(*[key(links, rule.column) for rule in rules])
+    linked = links.rows.select(F.explode(cells).alias("key")).where(F.col("key").isNotNull())
+    counted = linked.groupBy("key").agg(F.count("*").alias("reference_count"))
+    held = known.rows.select(key(known, subject_plan.subject_column).alias("key")).distinct()
+    plain = all(isinstance(kind, _PLAIN_TYPES) for kind in kinds)
+    made = iri_template(subject_plan.subject_template, F.col("key").cast("string"), encode=not plain)
+    return counted.join(held, "key", "left_anti").select(F.lit(predicate).alias("p"), made.alias("o"), "reference_count")

@@ -17,6 +17,7 @@ from ..functions import (
     xsd_datatype,
 )
 from ..vocab import CSV_FORMULATION, DEFAULT_CLASS, DEFAULT_CLASSIFICATION, DPA, RML, RR, XSD
+from .lookup import look_up
 from .validate import spec_problems
 
 # The layout of a mapping document.
@@ -170,12 +171,7 @@ def render_keyed(specs: DataFrame, schemes: DataFrame) -> DataFrame:
         {"predicate": expand_curie(F.col("predicate")), "what": expand_curie(F.col("what"))}
     )
 
-    known = schemes.select(F.col("scheme_id").alias("_scheme"), "template")
-    # Items without a scheme take a key that no scheme has, spread over all partitions.
-    spread = F.concat(F.lit("\u0000"), F.xxhash64("mapping_id", "spec_key", "pos").cast("string"))
-    found = expanded.withColumn("_key", F.coalesce("scheme", spread)).join(
-        known, F.col("_key") == F.col("_scheme"), "left"
-    )
+    found = look_up(expanded, F.col("scheme"), schemes.select("scheme_id", "template"), "scheme_id")
 
     predicate, what, field = F.col("predicate"), F.col("what"), F.col("field")
     template = _filled_template(F.col("template"), field)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import (
     catalog_type,
@@ -33,6 +34,7 @@ from ..vocab import (
     STATEMENT,
     WHITESPACE,
 )
+from .lookup import look_up
 
 
 def corpus_of(documents: DataFrame) -> DataFrame:
@@ -77,6 +79,32 @@ def ttl_statements(corpus: DataFrame, keep_empty: bool = False) -> DataFrame:
     return corpus.select("doc_id", "doc_order", unroll(found).alias("stmt_pos", "statement"))
 
 
+def split_statements(lines: DataFrame) -> DataFrame:
+    """:func:`ttl_statements` over ``(doc_id, part, line, text)``: documents cut in parts that many tasks read.
+
+    ``part`` orders the parts of a document and ``line`` the lines of a part. How many statements end before a part
+    begins is a running sum over one number a part, so a part needs no text of another one; only the lines of a
+    statement that runs over a border, or on within a part, meet by its number. No task holds a whole document.
+    """
+    cut = lines.select("doc_id", "part", "line", F.posexplode(F.split(unix_lines(F.col("text")), "\n")).alias("sub", "text"))
+    bare = strip(F.col("text"))
+    kept = cut.where((bare != "") & ~bare.startswith("#") & ~bare.startswith("@prefix")).withColumn("ends", bare.endswith("."))
+    before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    borders = kept.groupBy("doc_id", "part").agg(F.count_if("ends").alias("ended")).select(
+        "doc_id", "part", F.coalesce(F.sum("ended").over(before), F.lit(0)).alias("before")
+    )
+    above = Window.partitionBy("doc_id", "part").orderBy("line", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.count_if("ends").over(above), F.lit(0))
+    numbered = kept.withColumn("own", own).join(borders, ["doc_id", "part"]).withColumn("stmt_pos", F.col("before") + F.col("own"))
+    held = F.array_sort(F.collect_list(F.struct("part", "line", "sub", "text")))
+    return (
+        numbered.groupBy("doc_id", "stmt_pos")
+        .agg(held.alias("held"), F.bool_or("ends").alias("ended"))
+        .where("ended")
+        .select("doc_id", "stmt_pos", F.array_join(F.transform("held", lambda line: line["text"]), "\n").alias("statement"))
+    )
+
+
 def ttl_leftovers(corpus: DataFrame) -> DataFrame:
     """``(doc_id, leftover)`` of documents with text behind their last statement, which :func:`ttl_statements` drops."""
     body = F.regexp_replace(unix_lines(F.col("text")), SKIPPED_LINE, "")
@@ -87,19 +115,10 @@ def ttl_leftovers(corpus: DataFrame) -> DataFrame:
 
 
 def expand_terms(df: DataFrame, term: str, prefixes: DataFrame, into: str) -> DataFrame:
-    """Add the IRI of a Turtle term under the corpus prefixes.
-
-    Rows that need no look-up get a key of their own, so that they do not all
-    land in one partition when the prefixes are too many to be broadcast.
-    """
-    spare = F.concat(F.lit("<"), F.xxhash64(*df.columns).cast("string"))
-    names = prefixes.select(F.col("prefix").alias("_prefix"), F.col("iri").alias("_namespace"))
-    keyed = df.withColumn("_key", F.coalesce(term_prefix(F.col(term)), spare))
-    return (
-        keyed.join(names, keyed["_key"] == names["_prefix"], "left")
-        .withColumn(into, expand_known_prefix(F.col(term), F.col("_namespace")))
-        .drop("_key", "_prefix", "_namespace")
-    )
+    """Add the IRI of a Turtle term under the corpus prefixes."""
+    names = prefixes.select("prefix", F.col("iri").alias("_namespace"))
+    found = look_up(df, term_prefix(F.col(term)), names, "prefix")
+    return found.withColumn(into, expand_known_prefix(F.col(term), F.col("_namespace"))).drop("_namespace")
 
 
 def ontology_classes(corpus: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
@@ -121,10 +140,14 @@ def ontology_classes(corpus: DataFrame, prefixes: DataFrame | None = None) -> Da
         )
     )
     place = F.struct("doc_order", "stmt_pos")
+    # Declarations of one term are one row before prefixes are looked up; several terms may still name one IRI.
+    by_term = declared.groupBy("term").agg(
+        F.max_by(F.struct("label", "comment"), place).alias("texts"), F.max(place).alias("at"), F.min(place).alias("first")
+    )
     return (
-        expand_terms(declared, "term", prefixes, "iri")
+        expand_terms(by_term, "term", prefixes, "iri")
         .groupBy("iri")
-        .agg(F.max_by(F.struct("label", "comment"), place).alias("last"), F.min(place).alias("first"))
+        .agg(F.max_by("texts", "at").alias("last"), F.min("first").alias("first"))
         .select(
             "iri",
             F.coalesce("last.label", iri_local_part(F.col("iri"))).alias("label"),

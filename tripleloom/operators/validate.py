@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import first_nonempty, strip
+from ..session import stored
 from ..vocab import ONTOLOGY_ID, PROFILES, RDF_TYPE
+from .lookup import look_up
 from .turtle import bad_columns, expand_terms, projection_candidates, ttl_prefixes
 
 VALIDATION_COLUMNS = ("mapping_id", "severity", "rule", "detail")
@@ -127,9 +129,7 @@ def validation_summary(corpus: DataFrame, classes: DataFrame, prefixes: DataFram
     """
     if prefixes is None:
         prefixes = ttl_prefixes(corpus)
-    candidates = expand_terms(projection_candidates(corpus, keep_empty=True), "class_term", prefixes, "class_iri")
-    known = classes.select(F.col("iri").alias("_known"))
-    judged = candidates.join(known, candidates["class_iri"] == known["_known"], "left").select(
+    flagged = projection_candidates(corpus, keep_empty=True).select(
         F.col("doc_id").alias("mapping_id"),
         "stmt_pos",
         F.col("full_name").isNotNull().alias("projects"),
@@ -137,10 +137,14 @@ def validation_summary(corpus: DataFrame, classes: DataFrame, prefixes: DataFram
             F.col("full_name").isNotNull()
             & F.exists("found_columns", lambda column: column["problem"].isNotNull())
         ).alias("broken"),
-        F.when(
-            F.col("full_name").isNotNull() & F.col("_known").isNull(),
-            F.concat(F.lit("Class not found in ontology: "), F.col("class_iri")),
-        ).alias("warning"),
+        F.when(F.col("full_name").isNotNull(), F.col("class_term")).alias("class_term"),
+    )
+    # Parsed once; each distinct term is resolved once, and rows learn only whether an IRI is missing.
+    flagged = stored(flagged, "candidates")
+    used = expand_terms(flagged.where("class_term is not null").select("class_term").distinct(), "class_term", prefixes, "class_iri")
+    missing = used.join(classes.select(F.col("iri").alias("class_iri")), "class_iri", "left_anti")
+    judged = look_up(flagged, F.col("class_term"), missing, "class_term").withColumn(
+        "warning", F.concat(F.lit("Class not found in ontology: "), F.col("class_iri"))
     )
     noted = F.when(F.col("warning").isNotNull(), F.struct("stmt_pos", "warning"))
     return judged.groupBy("mapping_id").agg(

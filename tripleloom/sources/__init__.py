@@ -4,7 +4,7 @@ from .catalog import catalog_snapshot, list_namespace, registered_tables
 from .graphs import publish_graphs, read_graphs
 from .schemes import parse_schemes, read_schemes, scheme_by_id, scheme_templates
 from .tables import conform, read_back_report, read_table, write_table
-from .turtle import read_corpus
+from .turtle import read_corpus, read_corpus_lines
 
 __all__ = [
     "catalog_snapshot",
@@ -14,6 +14,7 @@ __all__ = [
     "publish_graphs",
     "read_back_report",
     "read_corpus",
+    "read_corpus_lines",
     "read_graphs",
     "read_schemes",
     "read_table",

@@ -1,4 +1,4 @@
-"""Turtle files as a corpus."""
+"""Turtle files as a corpus, or as lines where files are huge."""
 
 from __future__ import annotations
 
@@ -13,10 +13,9 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "*.ttl") -> DataF
     with ``_`` or ``.``; a folder whose name starts with ``..`` is left out too.
     """
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .text(path)
+        .text(path, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("doc_id"),
             F.col("_metadata.file_path").alias("doc_order"),
@@ -24,3 +23,22 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "*.ttl") -> DataF
         )
         .where(~F.col("doc_id").contains("/.."))
     )
+
+
+def read_corpus_lines(spark: SparkSession, path: str, pattern: str = "*.ttl") -> DataFrame:
+    """``(doc_id, part, line, text)`` of all matching files, cut by byte ranges as Spark cuts any text file.
+
+    ``part`` is where a range begins in its file; ``line`` grows along the range but is not counted from one.
+    """
+    return (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("doc_id"),
+            F.col("_metadata.file_block_start").alias("part"),
+            F.monotonically_increasing_id().alias("line"),
+            F.col("value").alias("text"),
+        )
+        .where(~F.col("doc_id").contains("/.."))
+    )

@@ -11,6 +11,8 @@ from ..operators.graph import (
     bgp_join,
     bindings,
     bindings_rows,
+    bindings_variant,
+    bound_cells,
     class_counts,
     clear_graph,
     complete_triples,
@@ -109,6 +111,12 @@ SELECT c_custkey, 1, '{RESOURCE}customer/' || c_custkey, 'uri', '{DPA}segment',
 """
 
 
+def bindings_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results whose variables nobody names: every bound cell."""
+    cells = bound_cells(bindings_variant(_stored_results(spark, sf_dir)))
+    return cells.withColumn("row_index", F.col("row_index").cast("bigint"))
+
+
 def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete_triples(bindings_query(spark, sf_dir)).select("s", "p", "o", "o_type")
 
@@ -461,6 +469,12 @@ QUERIES = {
         with_triples("customer") + "SELECT * FROM t ORDER BY s, p, o LIMIT 100",
     ),
     "bindings_rows": Query(bindings_query, _RESULT_ROWS),
+    "bindings_variant": Query(
+        bindings_cells,
+        f"WITH r AS ({_RESULT_ROWS}) " + " UNION ALL ".join(
+            f"SELECT result_id, row_index, '{name}' AS variable, {name} AS value, {name}_type AS type FROM r WHERE {name} IS NOT NULL" for name in "spo"
+        ),
+    ),
     "complete_triples": Query(
         complete, f"SELECT s, p, o, o_type FROM ({_RESULT_ROWS}) WHERE o IS NOT NULL"
     ),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import EVENT_SCHEMA
 from ..operators.registry import (
     RECORD_COLUMNS,
+    SKETCH_ERROR,
     active_mappings,
     advance,
     current_records,
@@ -18,6 +19,8 @@ from ..operators.registry import (
     list_mappings,
     mapping_responses,
     mappings_by_dataset,
+    merge_profiles,
+    profile_sketches,
     projection_jobs,
     records_of,
     register_batch,
@@ -176,6 +179,18 @@ _PROFILE_SQL = "\nUNION ALL\n".join(
     ]
 )
 
+
+
+def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the years of orders, stored apart, merged, and held against exact counts."""
+    orders = table(spark, sf_dir, "orders")
+    kept = stored(profile_sketches(orders, F.year("o_orderdate")), "profile")
+    whole = merge_profiles(kept)
+    exact = dataset_profile(orders).select("column_name", F.col("distinct_count").alias("exact_count"))
+    near = F.abs(F.col("distinct_count") - F.col("exact_count")) <= F.greatest(F.lit(1.0), SKETCH_ERROR * F.col("exact_count"))
+    return whole.join(exact, "column_name").select("column_name", "type_name", "row_count", "null_count", "exact_count", near.alias("near"))
+
+
 _ALL = ", ".join(RECORD_COLUMNS)
 QUERIES = {
     "register_batch": Query(
@@ -216,4 +231,8 @@ QUERIES = {
         "count(DISTINCT user_id) AS mapping_count FROM events GROUP BY event_type",
     ),
     "dataset_profile": Query(profile, _PROFILE_SQL),
+    "profile_merge": Query(
+        profile_merge,
+        f"SELECT column_name, type_name, row_count, null_count, distinct_count AS exact_count, true AS near FROM ({_PROFILE_SQL})",
+    ),
 }

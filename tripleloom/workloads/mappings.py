@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..model import Mapper, schemes_frame, specs_frame
 from ..operators.materialize import (
+    dangling_keys,
     dangling_references,
     distinct_triples,
     materialize,
@@ -212,6 +213,18 @@ def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dangling_references(links, known)
 
 
+def dangling_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same question, answered on keys."""
+    households = table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "HOUSEHOLD")
+    return dangling_keys(table(spark, sf_dir, "orders"), plan("orders"), DPA + "placedBy", households, plan("customer"))
+
+
+_DANGLING_SQL = (
+    f"SELECT '{DPA}placedBy' AS p, '{RESOURCE}customer/' || o_custkey AS o, count(*) AS reference_count FROM orders "
+    "WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD') GROUP BY o_custkey"
+)
+
+
 def materialize_rml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Render the customer mapping as a document, read the document back, run what it says."""
     documents = render_rml(specs_frame(spark, [SPECS["customer"]]), schemes_frame(spark, SCHEMES))
@@ -372,11 +385,8 @@ QUERIES = {
     ),
     "distinct_triples": Query(distinct, with_triples("lineitem") + "SELECT DISTINCT * FROM t"),
     "distinct_triples_plain": Query(distinct_plain, with_triples("lineitem") + "SELECT DISTINCT * FROM t"),
-    "dangling_refs": Query(
-        dangling_refs,
-        f"SELECT '{DPA}placedBy' AS p, '{RESOURCE}customer/' || o_custkey AS o, count(*) AS reference_count FROM orders "
-        "WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD') GROUP BY o_custkey",
-    ),
+    "dangling_refs": Query(dangling_refs, _DANGLING_SQL),
+    "dangling_keys": Query(dangling_by_key, _DANGLING_SQL),
     "materialize_rml": Query(materialize_rml, triples_sql("customer")),
     "stream_materialize": Query(stream_materialize, triples_sql("events")),
     "stream_distinct": Query(stream_distinct, _USERS),

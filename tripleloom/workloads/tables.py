@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bucket_of, source_uri, storage_location
-from ..operators.turtle import ontology_classes, ttl_statements
+from ..operators.turtle import ontology_classes, split_statements, ttl_statements
 from ..session import scratch_path
 from ..sources import (
     conform,
@@ -17,6 +17,7 @@ from ..sources import (
     publish_graphs,
     read_back_report,
     read_corpus,
+    read_corpus_lines,
     read_graphs,
     read_table,
     registered_tables,
@@ -232,6 +233,19 @@ SELECT doc_id, CAST(pos AS BIGINT) AS stmt_pos, string_agg(line, chr(10) ORDER B
 FROM marked GROUP BY doc_id, pos HAVING ends_with(arg_max(bare, n), '.')
 """
 
+
+def ttl_statements_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as statements over several lines in large files, which are read by byte ranges."""
+    key = F.col("p_partkey").cast("string")
+    lines = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("# Part "), key, F.lit(".\n\n<p/"), key, F.lit("> a dpa:Part ;\n# made by.\n\tdpa:brand \""), F.col("p_brand"), F.lit("\" ;\n    dpa:name \""),
+                 F.col("p_name"), F.lit("\" .  ")).alias("value")
+    )
+    path = scratch_path(spark, "large")
+    lines.write.text(path)
+    return split_statements(read_corpus_lines(spark, path, pattern="*.txt")).select("statement")
+
+
 QUERIES = {
     "typed_rows": Query(
         typed_rows,
@@ -265,4 +279,9 @@ QUERIES = {
         "UNION ALL SELECT 'catalog', 'spark_catalog' UNION ALL SELECT 'current', 'spark_catalog.' || min(name) FROM r",
     ),
     "ttl_statement_lines": Query(ttl_statement_lines, _STATEMENT_LINES_SQL),
+    "ttl_statements_split": Query(
+        ttl_statements_split,
+        "SELECT '<p/' || p_partkey || '> a dpa:Part ;' || chr(10) || chr(9) || 'dpa:brand \"' || p_brand || '\" ;' || chr(10) || "
+        "'    dpa:name \"' || p_name || '\" .  ' AS statement FROM part",
+    ),
 }
