@@ -34,7 +34,8 @@ def look_up(rows: DataFrame, key: Column, dictionary: DataFrame, word: str, salt
     keyed = rows.withColumn("_key", key)
     if measured_bytes(known) <= limit:
         return keyed.join(known.withColumnRenamed(word, "_word"), F.col("_key") == F.col("_word"), "left").select(*rows.columns, *names)
-    spread = F.xxhash64(*rows.columns)
+    # Maps have no hash.
+    spread = F.xxhash64(*[field.name for field in rows.schema.fields if "map<" not in field.dataType.simpleString()])
     keyed = keyed.withColumn("_salt", F.when(F.col("_key").isNull(), spread).otherwise(F.pmod(spread, F.lit(salts))))
     copies = known.select(
         F.col(word).alias("_word"), *names, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_copy")
