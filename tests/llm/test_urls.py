@@ -95,6 +95,23 @@ def test_trees_learn_what_rules_do_not_say(spark):
     assert sum((r.p >= 0.5) == r.blocked for r in found) >= 0.97 * len(found)
 
 
+def test_rare_suffixes_keep_their_odds(spark, monkeypatch):
+    """Suffixes beyond the expression's are joined, and say the same as if all were in it."""
+    rows = [(f"http://a.s{i % 40}.example/{i}", i % 40 < 20) for i in range(1200)] + [(f"http://once{i}.example/x", True) for i in range(30)]
+    table = spark.createDataFrame(rows, "url string, blocked boolean")
+    asked = table.select("url").withColumns({name: F.lit(1) for name in ("_rule", "odds", "suffix", "row", "found", "_key", "n.`x")})
+    asked = asked.unionByName(asked.limit(1).withColumn("url", F.lit("http://never.seen/")))
+    few, all_ = train(table, trees=4, suffixes=3), train(table, trees=4, suffixes=1000)
+    assert len(few.suffixes) == 3 and few.rest.count() == 67 and all_.rest is None and few.trees == all_.trees
+    for threshold in ("-1", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        one, two = (sorted((r.url, round(r.score, 9)) for r in judge(asked, [], m).collect()) for m in (few, all_))
+        assert one == two and len(one) == asked.count()
+    assert judge(asked, [], few).columns[: len(asked.columns)] == asked.columns
+    scores = dict(one)
+    assert scores["http://a.s3.example/3"] > 0.5 > scores["http://a.s33.example/33"]
+
+
 def test_models_without_much_to_learn_from(spark):
     none = spark.createDataFrame([], "url string, blocked boolean")
     assert train(none).trees == [] and train(none).start == 0

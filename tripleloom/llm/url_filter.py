@@ -15,10 +15,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.operators.lookup import look_up
+
 from .batches import lower_ascii, stored
 
 ALLOW, BLOCK = "allow", "block"
-#: Labelled URLs used for training at most (about: they are chosen by a hash), trees, levels, bins, suffixes.
+#: Labelled URLs that trees are grown on at most (about: they are chosen by a hash), trees, levels, bins, and suffixes that
+#: are part of the model's expression; all others are joined.
 SAMPLE, TREES, DEPTH, BINS, SUFFIXES = 20_000, 12, 3, 16, 256
 RATE, RIDGE = 0.3, 1.0
 
@@ -92,16 +95,24 @@ def features(url: Column) -> dict[str, Column]:
 
 
 class UrlModel(NamedTuple):
-    """Log odds to start from, suffix log odds, and trees as nested (feature, edge, low, high) or leaf values."""
+    """Log odds to start from, log odds of the most frequent suffixes and of a suffix never seen, trees as nested (feature,
+    edge, low, high) or leaf values, and a table (suffix, odds) of all other suffixes, if there are any."""
 
     start: float
     suffixes: dict[str, float]
     other: float
     trees: list
+    rest: DataFrame | None = None
+
 
+def _rare_suffix(host: Column, suffixes: dict[str, float]) -> Column:
+    """The suffix of a host where it is none of the frequent ones, so a look-up has no hot key."""
+    own = suffix(host)
+    return F.when(~own.isin(list(suffixes)), own) if suffixes else own
 
-def _with_suffix(columns: dict[str, Column], host: Column, suffixes: dict[str, float], other: float) -> dict[str, Column]:
-    known = F.lit(other)
+
+def _with_suffix(columns: dict[str, Column], host: Column, suffixes: dict[str, float], other: Column) -> dict[str, Column]:
+    known = other
     if suffixes:
         known = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in suffixes.items() for x in pair]), suffix(host)), known)
     return columns | {"suffix_odds": known}
@@ -114,17 +125,20 @@ def _value(tree, columns: dict[str, Column]) -> Column:
     return F.when(columns[name] <= edge, _value(low, columns)).otherwise(_value(high, columns))
 
 
-def probability(url: Column, model: UrlModel) -> Column:
-    """The probability that a URL is to be blocked."""
+def probability(url: Column, model: UrlModel, rare: Column | None = None) -> Column:
+    """The probability that a URL is to be blocked; ``rare`` holds the odds of a suffix out of the model's table, or null."""
     host, _ = host_and_path(F.coalesce(url, F.lit("")))
-    columns = _with_suffix(features(url), host, model.suffixes, model.other)
+    other = F.lit(model.other) if rare is None else F.coalesce(rare, F.lit(model.other))
+    columns = _with_suffix(features(url), host, model.suffixes, other)
     odds = reduce(lambda a, b: a + b, [_value(t, columns) for t in model.trees], F.lit(model.start))
     return 1 / (1 + F.exp(-odds))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, bins: int = BINS) -> UrlModel:
-    """Fit on rows (url, blocked boolean), of which about ``sample`` are used, chosen by a hash of the URL.
+def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, suffixes: int = SUFFIXES) -> UrlModel:
+    """Fit on rows (url, blocked boolean): suffix statistics on all of them, trees on about ``sample``, chosen by a hash of the URL.
 
+    Every suffix has its odds; the ``suffixes`` most frequent are part of the model's expression, all others a table. The
+    sample sees the odds that the other half of all rows gives a suffix, so that a rare one does not tell its own label.
     Rows without url or label teach nothing. Without rows, or with one verdict only, the model has no trees and says
     what the smoothed share of blocked rows says.
     """
@@ -133,16 +147,26 @@ def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth:
     start = math.log((positive + 1) / (total - positive + 1))
     if positive in (0, total):
         return UrlModel(start, {}, 0.0, [])
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < F.lit(int(sample / total * (1 << 20))))
     host, _ = host_and_path(F.col("url"))
-    counts = rows.groupBy(suffix(host).alias("suffix")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
     # Smoothed towards the share of all rows, so rare suffixes say little.
     share = positive / total
-    odds = {r.suffix: math.log((r.y + 5 * share) / (r.n - r.y + 5 * (1 - share))) for r in counts.collect()}
-    columns = _with_suffix(features(F.col("url")), host, odds, start)
+    odds_of = lambda n, y: F.log((y + 5 * share) / (n - y + 5 * (1 - share)))
+    half = F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2))
+    sums = [f(F.when(half == h, v)).alias(f"{name}{h}") for h in (0, 1) for name, f, v in (("n", F.count, F.col("y")), ("y", F.sum, F.col("y")))]
+    counts = rows.groupBy(suffix(host).alias("suffix")).agg(*sums).fillna(0.0, ["y0", "y1"])
+    counts = counts.select("suffix", (F.col("n0") + F.col("n1")).alias("n"), odds_of(F.col("n0") + F.col("n1"), F.col("y0") + F.col("y1")).alias("odds"),
+                           odds_of(F.col("n1"), F.col("y1")).alias("odds0"), odds_of(F.col("n0"), F.col("y0")).alias("odds1"))
+    counts = stored(counts, "url-suffixes")
+    odds = {r.suffix: r.odds for r in counts.orderBy(F.desc("n"), "suffix").limit(suffixes).collect()}
+    rest = counts.where(~F.col("suffix").isin(list(odds))).select("suffix", "odds")
+    rest = None if rest.isEmpty() else rest
+    if total > sample:
+        rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < F.lit(int(sample / total * (1 << 20))))
+    rows = stored(rows.withColumns({"half": half, "_suffix": suffix(host)}).repartition(4), "url-rows")
+    met = rows.join(counts.select(F.col("suffix").alias("_suffix"), "odds0", "odds1"), "_suffix", "left")
+    columns = features(F.col("url")) | {"suffix_odds": F.coalesce(F.when(F.col("half") == 0, F.col("odds0")).otherwise(F.col("odds1")), F.lit(start))}
     names = list(columns)
-    table = stored(rows.select("y", *[c.alias(n) for n, c in columns.items()]).coalesce(4), "url-sample")
+    table = stored(met.select("y", *[c.alias(n) for n, c in columns.items()]), "url-sample")
     levels = [i / bins for i in range(1, bins)]
     cuts = table.agg(*[F.percentile_approx(n, levels, 1000).alias(n) for n in names]).first().asDict()
     edges = {n: sorted(set(cuts[n] or [])) for n in names}
@@ -189,7 +213,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth:
             (tree[number][0], edges[tree[number][0]][tree[number][1]], nested(2 * number), nested(2 * number + 1)) if number in tree else leaves.get(number, 0.0)
         )
         grown.append(nested(1))
-    return UrlModel(start, odds, start, grown)
+    return UrlModel(start, odds, start, grown, rest)
 
 
 def _leaf(own: list) -> float:
@@ -222,13 +246,23 @@ def judge(pages: DataFrame, rules: Sequence[Rule], model: UrlModel) -> DataFrame
     meant for up to some hundreds.
     """
     host, path = host_and_path(F.coalesce(F.col("url"), F.lit("")))
+    # The caller's columns travel in one struct, so that no name clashes.
+    results = ("host", "path", "rule", "verdict", "score")
+    given = [name for name in pages.columns if name not in results]
+    names = ["`" + name.replace("`", "``") + "`" for name in given]
+    rows = pages.select(F.struct(*names).alias("row"), host.alias("host"), path.alias("path"))
+    rare = None
+    if model.rest is not None:
+        rows = look_up(rows, _rare_suffix(F.col("host"), model.suffixes), model.rest, "suffix")
+        rare = F.col("odds")
     found = deciding_rule(F.col("host"), F.col("path"), rules)
-    return (
-        pages.withColumn("host", host)
-        .withColumn("path", path)
-        .withColumn("_rule", found)
-        .withColumn("score", probability(F.col("url"), model))
-        .withColumn("rule", F.col("_rule.text"))
-        .withColumn("verdict", F.coalesce("_rule.verdict", F.when(F.col("score") >= 0.5, BLOCK).otherwise(ALLOW)))
-        .drop("_rule")
+    url = next(F.col("row")[name] for name in given if name.lower() == "url")
+    judged = rows.withColumn("found", found).withColumn("score", probability(url, model, rare))
+    return judged.select(
+        *[F.col("row")[name].alias(name) for name in given],
+        "host",
+        "path",
+        F.col("found.text").alias("rule"),
+        F.coalesce("found.verdict", F.when(F.col("score") >= 0.5, BLOCK).otherwise(ALLOW)).alias("verdict"),
+        "score",
     )
