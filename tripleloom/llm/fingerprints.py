@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import NO_ID, UPPER, hashes, mixed, plain, rolled, ship, shuffle_parts, slices, stored, words_of
@@ -194,7 +194,7 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         ),
     )
     dealt = source.select("id", "text", F.explode(places).alias("at")).select("at.part", "at.tail", "id", "text")
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "tail", "id", F.xxhash64("text"))
+    ordered = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "tail", "id", F.xxhash64("text"))
     made = ordered.mapInArrow(
         lambda batches: _fingerprinted(batches, words),
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
@@ -224,6 +224,15 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
         )
 
 
+def _similarity(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Per row id and fingerprint; and (node, root) of the classes, without nodes that are their own root."""
+    ship(docs.sparkSession)
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.translate("text", UPPER, UPPER.lower()).alias("text"))
+    schema = "id long, n long, d1 long, d2 long, bands array<long>, fingerprint string"
+    signed = stored(source.mapInArrow(lambda batches: _signed(batches, words), schema), "fingerprints")
+    return signed.select("id", "fingerprint"), confirmed(docs.select("doc_id", "text"), signed.drop("fingerprint"), words, percent)
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint and class_id, the smallest id it is similar to, itself or
     through others.
@@ -232,12 +241,23 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) ->
     similarity of their full sets of shingles (A to Z in lower case), ``percent`` or more. Texts with one fingerprint
     are candidates of each other too. Nulls, empty texts and repeated ids are taken as by near_duplicates.
     """
-    ship(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.translate("text", UPPER, UPPER.lower()).alias("text"))
-    schema = "id long, n long, d1 long, d2 long, bands array<long>, fingerprint string"
-    signed = stored(source.mapInArrow(lambda batches: _signed(batches, words), schema), "fingerprints")
-    roots = confirmed(docs.select("doc_id", "text"), signed.drop("fingerprint"), words, percent)
     # Rows that share an id are one node and get one class; each keeps its own fingerprint.
-    joined = signed.select("id", "fingerprint").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    back = lambda c: F.when(c != NO_ID, c)
-    return joined.select(back(F.col("id")).alias("doc_id"), "fingerprint", back(F.coalesce("root", "id")).alias("class_id"))
+    rows, roots = _similarity(docs, words, percent)
+    return _classed(rows, "id", roots).select(_given("id").alias("doc_id"), "fingerprint", "class_id")
+
+
+def _given(column: str) -> Column:
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
+def _classed(rows: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+    """``rows`` with the class_id of their ``node``; roots have each node once, so no row meets two."""
+    joined = rows.join(roots.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node"), "left")
+    return joined.withColumn("root", F.coalesce("root", node)).withColumn("class_id", _given("root")).drop("_node", "root")
+
+
+def fingerprints_and_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
+    """:func:`edited_fingerprints` with the class_id of :func:`similar_documents`, one row for each of ``docs``."""
+    _, roots = _similarity(docs, words, percent)
+    found = edited_fingerprints(docs, words).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    return _classed(found, "_id", roots).drop("_id")

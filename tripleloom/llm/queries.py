@@ -12,7 +12,7 @@ from tripleloom.session import scratch_path
 
 from . import answers, ppm, url_filter
 from .decontaminate import decontaminate
-from .fingerprints import edited_fingerprints
+from .fingerprints import fingerprints_and_classes
 from .language import held_out, identify, train
 from .near_dup import near_duplicates
 from .packing import pack
@@ -96,7 +96,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return fingerprints_and_classes(_table(spark, sf_dir, "documents"))
 
 
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
