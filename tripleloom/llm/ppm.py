@@ -315,10 +315,33 @@ def part_trie(strings: np.ndarray, n: np.ndarray, how: Deal) -> Trie:
     return build(levels, counts)
 
 
-_PART = "part int, kind int, string long, n long, ids array<long>, times array<int>, sums array<double>"
-_PART_FIELDS = pa.schema(
-    [("part", pa.int32()), ("kind", pa.int32()), ("string", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64()))]
-)
+#: What travels in one binary value instead of arrays, which Spark would copy number by number.
+_TIMES = np.dtype([("id", "<i8"), ("times", "<i4")])
+_SUMS = np.dtype([("id", "<i8"), ("sum", "<f8")])
+_PART = "part int, kind int, string long, n long, packed binary"
+_PART_FIELDS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("string", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+
+
+def _packed(bounds: np.ndarray, kind: np.dtype, *columns: np.ndarray) -> pa.Array:
+    """Rows ``bounds[i]`` to ``bounds[i + 1]`` of these columns as one binary value each."""
+    rows = np.zeros(len(columns[0]), kind)
+    for name, column in zip(kind.names, columns):
+        rows[name] = column
+    offsets = (bounds * kind.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _unpacked(values: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all values, and how many each value has."""
+    if not len(values):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    values = values.cast(pa.binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = values.buffers()[2]
+    if data is None or offsets[0] == offsets[-1]:
+        return np.zeros(0, kind), np.zeros(len(values), np.int64)
+    rows = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    return rows, np.diff(offsets) // kind.itemsize
 
 
 def _part_rows(rows: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -345,10 +368,7 @@ def _asked(batches: Iterator[pa.RecordBatch], common: np.ndarray, logs: np.ndarr
         values = np.zeros(len(distinct))
         values[hit] = logs[at[hit]]
         sums = np.add.reduceat(values[codes], begins[:-1])
-        one = pa.array([0, len(ids)], pa.int32())
-        yield _part_rows(
-            1, part=np.array([int(ids[0]) % how.parts]), kind=np.array([SUMMED]), ids=pa.ListArray.from_arrays(one, pa.array(ids)), sums=pa.ListArray.from_arrays(one, pa.array(sums))
-        )
+        yield _part_rows(1, part=np.array([int(ids[0]) % how.parts]), kind=np.array([SUMMED]), packed=_packed(np.array([0, len(ids)]), _SUMS, ids, sums))
         use = ~hit[codes]
         owner = np.repeat(np.arange(len(ids)), np.diff(begins))
         pairs, times = np.unique(codes[use].astype(np.int64) * len(ids) + owner[use], return_counts=True)
@@ -356,11 +376,9 @@ def _asked(batches: Iterator[pa.RecordBatch], common: np.ndarray, logs: np.ndarr
             continue
         string, doc = np.divmod(pairs, len(ids))
         heads = np.nonzero(np.diff(np.concatenate([[-1], string])))[0]
-        bounds = pa.array(np.append(heads, len(string)), pa.int32())
         rare = distinct[string[heads]]
         yield _part_rows(
-            len(rare), part=parts_of(rare, how), kind=np.full(len(rare), ASKED), string=rare,
-            ids=pa.ListArray.from_arrays(bounds, pa.array(ids[doc])), times=pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
+            len(rare), part=parts_of(rare, how), kind=np.full(len(rare), ASKED), string=rare, packed=_packed(np.append(heads, len(string)), _TIMES, ids[doc], times)
         )
 
 
@@ -379,16 +397,17 @@ def _met(batches: Iterator[pa.RecordBatch], how: Deal) -> Iterator[pa.RecordBatc
             if kinds[start] == TRAINED:
                 held.append((rows.column("string").to_numpy(), rows.column("n").to_numpy()))
                 continue
-            ids = rows.column("ids").flatten()
             if kinds[start] == SUMMED:
-                yield pa.RecordBatch.from_arrays([ids, rows.column("sums").flatten()], ["id", "part"])
+                sums = _unpacked(rows.column("packed"), _SUMS)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(sums["id"].copy()), pa.array(sums["sum"].copy())], ["id", "part"])
                 continue
             if trie is None:
                 none = np.zeros(0, np.int64)
                 trie, held = part_trie(*(np.concatenate([none, *c]) for c in (zip(*held) if held else ([], []))), how), []
-            logs = np.repeat(log10_of(trie, rows.column("string").to_numpy()), pc.list_value_length(rows.column("ids")).to_numpy())
-            known, inverse = np.unique(ids.to_numpy(), return_inverse=True)
-            sums = np.bincount(inverse, logs * rows.column("times").flatten().to_numpy(), len(known))
+            asking, sizes = _unpacked(rows.column("packed"), _TIMES)
+            logs = np.repeat(log10_of(trie, rows.column("string").to_numpy()), sizes)
+            known, inverse = np.unique(asking["id"], return_inverse=True)
+            sums = np.bincount(inverse, logs * asking["times"], len(known))
             yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(sums)], ["id", "part"])
 
 
@@ -432,25 +451,18 @@ def _rare(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator
         pairs, times = np.unique(codes[use].astype(np.int64) * max(1, len(ids)) + owner[use], return_counts=True)
         word, doc = np.divmod(pairs, max(1, len(ids)))
         heads = np.nonzero(np.diff(np.concatenate([[-1], word])))[0]
-        bounds = pa.array(np.append(heads, len(word)), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [
-                distinct.cast(pa.string()).take(pa.array(word[heads])),
-                pa.ListArray.from_arrays(bounds, pa.array(ids[doc])),
-                pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
-            ],
-            ["word", "ids", "times"],
+            [distinct.cast(pa.string()).take(pa.array(word[heads])), _packed(np.append(heads, len(word)), _TIMES, ids[doc], times)], ["word", "packed"]
         )
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch of rare words with their counts: what each document gains over words never seen."""
     for batch in batches:
-        ids, times = batch.column("ids"), batch.column("times")
-        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        asking, sizes = _unpacked(batch.column("packed"), _TIMES)
         gain = np.repeat(np.log10(batch.column("n").to_numpy() + 1.0), sizes)
-        known, inverse = np.unique(ids.flatten().to_numpy(), return_inverse=True)
-        n = times.flatten().to_numpy().astype(np.float64)
+        known, inverse = np.unique(asking["id"], return_inverse=True)
+        n = asking["times"].astype(np.float64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(known), pa.array(np.bincount(inverse, gain * n, len(known))), pa.array(np.bincount(inverse, n, len(known)).astype(np.int64))], ["id", "gain", "known"]
         )
@@ -492,8 +504,8 @@ def word_scores(docs: DataFrame, training: DataFrame, most: int = 100_000, texts
     total, kinds = words + ends, kinds + (1 if ends else 0)
     common = {r.word: r.n for r in counts.where(F.col("n") >= least_count(counts, most)).collect()}
     sent = spark.sparkContext.broadcast(common)
-    rare = (docs if texts is None else texts).select("_key", "text").mapInArrow(lambda batches: _rare(batches, sent.value), "word string, ids array<long>, times array<int>")
-    met = rare.join(counts, "word").select("ids", "times", "n")
+    rare = (docs if texts is None else texts).select("_key", "text").mapInArrow(lambda batches: _rare(batches, sent.value), "word string, packed binary")
+    met = rare.join(counts, "word").select("packed", "n")
     gains = met.mapInArrow(_summed, "id long, gain double, known long")
     gains = gains.groupBy("id").agg(F.sum("gain").alias("_gain"), F.sum("known").alias("_known")).withColumnRenamed("id", "_id")
     schema = extended(docs, "n_tokens long, _sure long, _part double")
