@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 from typing import NamedTuple
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripleloom.session import scratch_path
+from tripleloom.session import remove_path, scratch_path
 
 SLICE_BYTES = 4 << 20
 #: Sorts before every document; stands for a null id inside the operators.
@@ -136,7 +137,18 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     spark: SparkSession = frame.sparkSession
     path = scratch_path(spark, label)
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    held = spark.read.schema(frame.schema).parquet(path)
+    _STORED[held] = path
+    return held
+
+
+_STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for frame in frames:
+        remove_path(frame.sparkSession, _STORED.pop(frame))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

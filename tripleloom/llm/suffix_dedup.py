@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .batches import STEP, extended, ids_of, mixed, nested, plain, slices
-from .superkmers import Packed, covered, dealt, inner_repeats, minimisers, runs
-from .window_dedup import with_spans
+from .superkmers import Packed, Pieces, covered, dealt, inner_repeats, runs_of
+from .window_dedup import Method, longer_piece, with_spans
 
 #: Bytes in a minimiser.
 MINIMISER = 16
@@ -157,6 +158,8 @@ def _candidates(texts: list[bytes], width: int) -> list[tuple[int, int, int]]:
     string = np.repeat(np.arange(len(texts)), counts)
     offset = at - begins[string]
     kept = np.nonzero(again)[0]
+    if not len(kept):
+        return []
     string, offset = string[kept], offset[kept]
     cut = np.ones(len(kept), bool)
     cut[1:] = (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)
@@ -192,28 +195,53 @@ def _batched(items: list, keys: np.ndarray, sizes: list[int], limit: int) -> Ite
         yield items[start:]
 
 
-def _packed(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, limit=4 << 20):
-        texts = plain(batch.column("text"))
-        data = texts.buffers()[2]
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = data.to_pybytes()[offsets[0] : offsets[-1]] if data else b""
-        offsets -= offsets[0]
-        if len(data) < width:
-            continue
-        eight = _loads(data)
-        m = len(data) - MINIMISER + 1
-        pieces = mixed(((eight[:m] * STEP) + eight[8 : m + 8]) * STEP + eight[MINIMISER - 8 : m + MINIMISER - 8])
-        reach = width - MINIMISER + 1
-        least = minimisers(pieces, reach)
-        counts = np.maximum(np.diff(offsets) - width + 1, 0)
-        valid = np.repeat(offsets[:-1], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts, windows = runs(least, valid)
+class _Bytes(NamedTuple):
+    """A slice of documents as bytes, where each begins, and its pieces."""
+
+    batch: pa.RecordBatch
+    data: bytes
+    offsets: np.ndarray
+    pieces: Pieces
+
+    @staticmethod
+    def of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Bytes]:
+        for batch in slices(batches, limit=4 << 20):
+            texts = plain(batch.column("text"))
+            data = texts.buffers()[2]
+            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+            data = data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if data else b""
+            offsets -= offsets[0]
+            if len(data) < width:
+                continue
+            eight, long = _loads(data), longer_piece(width, MINIMISER)
+            counts = np.maximum(np.diff(offsets) - width + 1, 0)
+            valid = np.repeat(offsets[:-1], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            pieces = Pieces(_runs_of_bytes(eight, MINIMISER), width - MINIMISER + 1, lambda e=eight: _runs_of_bytes(e, long), width - long + 1, valid)
+            yield _Bytes(batch, data, offsets, pieces)
+
+
+def _runs_of_bytes(eight: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of ``length`` bytes, from the eight bytes at each place."""
+    n = max(0, len(eight) + 8 - length)
+    sums = np.zeros(n, np.uint64)
+    for shift in [*range(0, length - 7, 8), length - 8]:
+        sums = sums * STEP + eight[shift : shift + n]
+    return mixed(sums)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Pieces]:
+    return (held.pieces for held in _Bytes.of(batches, width))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], width: int, buckets: int, late: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch, data, offsets, pieces in _Bytes.of(batches, width):
+        cut = runs_of(pieces, late)
+        starts, windows = cut.starts, cut.windows
         owner = np.searchsorted(offsets, starts, side="right") - 1
         strings = [data[s:e] for s, e in zip(starts.tolist(), (starts + windows + width - 1).tolist())]
         yield dealt(
-            ids_of(batch.column("doc_id")), batch.column("mark").to_numpy(zero_copy_only=False), owner, starts - offsets[owner], windows, least[starts],
-            inner_repeats(pieces, least, starts, windows, reach), strings, width, buckets,
+            ids_of(batch.column("doc_id")), batch.column("mark").to_numpy(zero_copy_only=False), owner, starts - offsets[owner], windows, cut.least,
+            inner_repeats(cut, pieces.reach), strings, width, buckets,
         )
 
 
@@ -255,4 +283,4 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     held, back = nested(docs, results)
     schema = extended(held, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return with_spans(held, _packed, width, byte_windows).mapInArrow(_kept, schema).select(*back, *results)
+    return with_spans(held, Method(_pieces, _packed, byte_windows), width).mapInArrow(_kept, schema).select(*back, *results)

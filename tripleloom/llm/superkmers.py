@@ -2,21 +2,34 @@
 
 Shared by the two operators that remove repeated windows. Positions count symbols (words or bytes) in one text.
 A row of the dealt table holds all super-k-mers that one slice of documents has for one bucket, compressed together.
+
+Pieces are ordered by a hash, but those in ``late`` come after all others. A piece is put there if the windows that
+choose it are so many different strings that they would fill a bucket by themselves: a window that has any other piece
+then goes by that one, and a window of late pieces only goes by its least longer piece. The choice depends on nothing
+but the window and ``late``, so equal windows still meet, whatever is in there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
+from .batches import STEP, mixed
+
 #: bucket, kind (windows to compare, or spans already known to repeat), payload.
 DEALT = "bucket int, kind int, payload binary"
 SPANS = "id long, mark long, start long, stop long"
 #: Windows in one packed string at most; longer runs are cut, which changes nothing but the packing.
 LONGEST = 512
+#: Set in the order of late pieces, and in the longer pieces that stand in for them.
+LATE = np.uint64(1 << 63)
+#: Strings by minimiser, as counted in one task (null: all strings), and how many minimisers a task keeps in mind.
+TALLY = "piece long, n long"
+TALLIED = 1 << 18
 
 
 def minimisers(values: np.ndarray, reach: int) -> np.ndarray:
@@ -46,16 +59,112 @@ def runs(least: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return valid[heads], lengths
 
 
-def inner_repeats(values: np.ndarray, least: np.ndarray, starts: np.ndarray, windows: np.ndarray, reach: int, step: int = 8192) -> np.ndarray:
-    """Which runs hold their minimiser in more than one place; only these can hold one window twice."""
+class Pieces(NamedTuple):
+    """Pieces of one slice: the hash of the piece that begins at each place, how many of them a window has, the same for
+    longer pieces (made only if wanted), and where windows begin, ascending.
+    """
+
+    short: np.ndarray
+    reach: int
+    longer: Callable[[], np.ndarray]
+    longer_reach: int
+    valid: np.ndarray
+
+
+class Runs(NamedTuple):
+    """Super-k-mers of a slice: starts and windows, the minimiser of each, and the order of the pieces at each place."""
+
+    starts: np.ndarray
+    windows: np.ndarray
+    least: np.ndarray
+    order: np.ndarray
+
+
+def _among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which values are in ``few`` (ascending)."""
+    out = np.zeros(len(values), bool)
+    if len(few):
+        # Most values are not, and need no search.
+        seen = np.zeros(1 << 16, bool)
+        seen[(few >> np.uint64(40)).astype(np.int64) & 0xFFFF] = True
+        at = np.nonzero(seen[(values >> np.uint64(40)).astype(np.int64) & 0xFFFF])[0]
+        out[at] = few[np.minimum(np.searchsorted(few, values[at]), len(few) - 1)] == values[at]
+    return out
+
+
+def runs_of(pieces: Pieces, late: np.ndarray) -> Runs:
+    """Super-k-mers under the order in which ``late`` pieces (ascending, without the bit ``LATE``) come last."""
+    order = pieces.short & ~LATE
+    if len(late):
+        order[_among(order, late)] |= LATE
+    least = minimisers(order, pieces.reach)
+    if len(late):
+        only_late = least >= LATE
+        if only_late.any():
+            least[only_late] = minimisers(pieces.longer() | LATE, pieces.longer_reach)[only_late]
+    starts, windows = runs(least, pieces.valid)
+    return Runs(starts, windows, least[starts], order)
+
+
+def _strings(cut: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Minimisers and how many strings of each travel; equal strings of a slice travel once."""
+    code = mixed(cut.least * STEP + cut.windows.astype(np.uint64)) + cut.order[cut.starts]
+    return np.unique(cut.least[np.unique(code, return_index=True)[1]], return_counts=True)
+
+
+def tallied(slices_of_pieces: Iterable[Pieces], share: float, at_least: int) -> Iterator[pa.RecordBatch]:
+    """One task's count of strings by minimiser, for those that may have ``share`` of all, and of all strings.
+
+    A minimiser found to have so many is late from then on. What is counted after it are the pieces that take its place,
+    so all frequent pieces of one passage are found in one reading.
+    """
+    keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    late = np.zeros(0, np.uint64)
+    for pieces in slices_of_pieces:
+        frequent = None
+        while True:
+            own, times = _strings(runs_of(pieces, late))
+            merged_keys, place = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            merged_counts = np.bincount(place, np.concatenate([counts, times]), len(merged_keys)).astype(np.int64)
+            bound = max(at_least, share * (total + int(times.sum())))
+            fresh = merged_keys[(merged_counts >= bound) & (merged_keys < LATE)]
+            fresh = fresh[~_among(fresh, late)]
+            if not len(fresh):
+                break
+            if frequent is None:
+                # Where one piece is late, others of its passage are too frequent as well.
+                frequent, often = np.unique(pieces.short & ~LATE, return_counts=True)
+                frequent = frequent[often >= bound]
+                fresh = np.union1d(fresh, frequent)
+            late = np.union1d(late, fresh)
+        total += int(times.sum())
+        floor = 0
+        while len(merged_keys) > TALLIED:
+            floor += 1
+            merged_keys, merged_counts = merged_keys[merged_counts > floor], merged_counts[merged_counts > floor]
+        keys, counts = merged_keys, merged_counts
+    if not total:
+        return
+    bound = max(1, int(share * total))
+    some = (counts >= max(2, bound // 4)) & (keys < LATE) & ~_among(keys, late)
+    names = np.concatenate([late, keys[some]]).view(np.int64)
+    times = np.concatenate([np.full(len(late), bound + 1), counts[some]])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([*names.tolist(), None], pa.int64()), pa.array([*times.tolist(), total], pa.int64())], ["piece", "n"]
+    )
+
+
+def inner_repeats(cut: Runs, reach: int, step: int = 8192) -> np.ndarray:
+    """Which runs hold their minimiser in more than one place, or may; only these can hold one window twice."""
+    starts, windows = cut.starts, cut.windows
     out = np.zeros(len(starts), bool)
     for at in range(0, len(starts), step):
         lengths = windows[at : at + step] + reach - 1
         ends = np.cumsum(lengths)
         place = np.repeat(starts[at : at + step] - (ends - lengths), lengths) + np.arange(ends[-1])
-        equal = values[place] == np.repeat(least[starts[at : at + step]], lengths)
+        equal = cut.order[place] == np.repeat(cut.least[at : at + step], lengths)
         out[at : at + step] = np.add.reduceat(equal, ends - lengths, dtype=np.int64) > 1
-    return out
+    return out | (cut.least >= LATE)
 
 
 class Packed(NamedTuple):

@@ -4,12 +4,15 @@ Windows are ``width`` consecutive words. A window's minimiser is the least hash
 consecutive windows with the same one travel as one packed string to the minimiser's bucket, and so do all other
 occurrences of these windows. There the windows of all distinct strings are sorted, so equal ones stand together and
 all but the earliest are known to repeat. Strings whose minimiser nothing else in the bucket has are left out at once.
+A phrase that stands in many places with different surroundings would fill one bucket as a minimiser; a first reading
+finds such phrases, and windows go by their other pieces (see ``superkmers``).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +20,52 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, STEP, extended, hashes, ids_of, mixed, nested, plain, rolled, ship, shuffle_parts, slices, words_of
+from .batches import NO_ID, STEP, Words, discard, extended, hashes, ids_of, mixed, nested, plain, rolled, ship, shuffle_parts, slices, stored, words_of
 from .near_dup import grouped
-from .superkmers import DEALT, SPANS, Packed, chosen, covered, dealt, decode, decode_spans, first_of_equal, inner_repeats, merged, minimisers, not_alone, runs, span_batch
+from .superkmers import DEALT, SPANS, TALLY, Packed, Pieces, chosen, covered, dealt, decode, decode_spans, first_of_equal, inner_repeats, merged, not_alone, runs_of, span_batch, tallied
 
 MINIMISER = 4
+#: A minimiser is late if it has this share of a partition's strings, and so many in a task that the share means something.
+SHARE, AT_LEAST = 0.5, 64
+#: Strings in a bucket at most, on average; a partition has as many buckets as that takes.
+BUCKET_STRINGS = 1 << 20
 
-def _packed(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        words = words_of(plain(batch.column("text")))
-        codes, distinct = words.coded()
-        if len(codes) < width:
-            continue
-        pieces, reach = rolled(hashes(distinct)[codes], MINIMISER), width - MINIMISER + 1
-        least = minimisers(pieces, reach)
-        counts = np.maximum(words.counts - width + 1, 0)
-        base = np.repeat(words.starts[:-1], counts)
-        valid = base + np.arange(len(base)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts, windows = runs(least, valid)
+
+def longer_piece(width: int, piece: int) -> int:
+    """Length of the pieces that windows of late pieces go by."""
+    return max(piece, width * 3 // 5)
+
+
+class _Words(NamedTuple):
+    """A slice of documents in words, and its pieces."""
+
+    batch: pa.RecordBatch
+    words: Words
+    pieces: Pieces
+
+    @staticmethod
+    def of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Words]:
+        for batch in slices(batches):
+            words = words_of(plain(batch.column("text")))
+            codes, distinct = words.coded()
+            if len(codes) < width:
+                continue
+            values, long = hashes(distinct)[codes], longer_piece(width, MINIMISER)
+            counts = np.maximum(words.counts - width + 1, 0)
+            base = np.repeat(words.starts[:-1], counts)
+            valid = base + np.arange(len(base)) - np.repeat(np.cumsum(counts) - counts, counts)
+            pieces = Pieces(rolled(values, MINIMISER), width - MINIMISER + 1, lambda v=values: rolled(v, long), width - long + 1, valid)
+            yield _Words(batch, words, pieces)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Pieces]:
+    return (held.pieces for held in _Words.of(batches, width))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], width: int, buckets: int, late: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch, words, pieces in _Words.of(batches, width):
+        cut = runs_of(pieces, late)
+        starts, windows = cut.starts, cut.windows
         owner = np.searchsorted(words.starts, starts, side="right") - 1
         text = words.joined()
         buffer = text.buffers()[2].to_pybytes() if text.buffers()[2] else b""
@@ -47,8 +78,8 @@ def _packed(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iter
         hi = ends[starts + windows + width - 2] - 1 + shift
         texts = [buffer[s:e] for s, e in zip(lo.tolist(), hi.tolist())]
         yield dealt(
-            ids_of(batch.column("doc_id")), batch.column("mark").to_numpy(zero_copy_only=False), owner, starts - words.starts[owner], windows, least[starts],
-            inner_repeats(pieces, least, starts, windows, reach), texts, width, buckets,
+            ids_of(batch.column("doc_id")), batch.column("mark").to_numpy(zero_copy_only=False), owner, starts - words.starts[owner], windows, cut.least,
+            inner_repeats(cut, pieces.reach), texts, width, buckets,
         )
 
 
@@ -114,25 +145,49 @@ def compared(batches: Iterator[pa.RecordBatch], width: int, classes: Callable) -
             yield from repeated(not_alone(parts), width, classes)
 
 
-def spans_to_remove(docs: DataFrame, pack: Callable, width: int, classes: Callable) -> DataFrame:
+class Method(NamedTuple):
+    """What windows are made of: pieces of slices, super-k-mers of slices, and classes of the windows of strings."""
+
+    pieces: Callable
+    packed: Callable
+    classes: Callable
+
+
+def _late_pieces(docs: DataFrame, method: Method, width: int, parts: int) -> tuple[np.ndarray, int]:
+    """Pieces that come last, and the number of strings.
+
+    One reading of all texts counts strings by minimiser in each task; what comes back are the pieces with the share of
+    a partition's strings, of which there are so many at most as the share allows for each partition.
+    """
+    share, at_least = SHARE / parts, AT_LEAST
+    tallies = stored(docs.select("text").mapInArrow(lambda batches: tallied(method.pieces(batches, width), share, at_least), TALLY), "tallies")
+    total = tallies.where("piece is null").agg(F.sum("n")).first()[0] or 0
+    counted = tallies.where("piece is not null").groupBy("piece").agg(F.sum("n").alias("n"))
+    late = [r.piece for r in counted.where(F.col("n") >= max(at_least, share * total)).collect()]
+    discard(tallies)
+    return np.sort(np.array(late, np.int64).view(np.uint64)), total
+
+
+def spans_to_remove(docs: DataFrame, method: Method, width: int) -> DataFrame:
     """(id, mark, spans) of every document that loses something; ``docs`` has doc_id, mark and text."""
     spark = docs.sparkSession
     ship(spark)
     parts = shuffle_parts(spark)
-    sent = docs.mapInArrow(lambda batches: pack(batches, width, parts), DEALT)
-    found = (
-        sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: compared(batches, width, classes), SPANS)
-    )
+    late, strings = _late_pieces(docs, method, width, parts)
+    buckets = parts * max(1, -(-strings // (parts * BUCKET_STRINGS)))
+    sent = docs.mapInArrow(lambda batches: method.packed(batches, width, buckets, late), DEALT)
+    lying = sent.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
+    found = lying.mapInArrow(lambda batches: compared(batches, width, method.classes), SPANS)
     return found.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, pack: Callable, width: int, classes: Callable) -> DataFrame:
+def with_spans(docs: DataFrame, method: Method, width: int) -> DataFrame:
     """``docs`` and the spans that each row loses (null for none), on column ``spans``."""
     # What tells rows with one id apart need not travel where ids are unique.
     rows, ids = docs.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))).first()
     mark = F.lit(0).cast("long") if rows == ids else F.coalesce(F.xxhash64("text"), F.lit(0))
     keyed = docs.withColumn("mark", mark)
-    spans = spans_to_remove(keyed.select("doc_id", "mark", "text"), pack, width, classes)
+    spans = spans_to_remove(keyed.select("doc_id", "mark", "text"), method, width)
     spans = spans.withColumnRenamed("mark", "_mark")
     on = (F.coalesce(keyed["doc_id"].cast("long"), F.lit(NO_ID)) == spans["id"]) & (keyed["mark"] == spans["_mark"])
     return keyed.join(spans.hint("shuffle_hash"), on, "left").drop("id", "_mark", "mark")
@@ -171,4 +226,4 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     results = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     held, back = nested(docs, results)
     schema = extended(held, "n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return with_spans(held, _packed, width, word_windows).mapInArrow(_kept, schema).select(*back, *results)
+    return with_spans(held, Method(_pieces, _packed, word_windows), width).mapInArrow(_kept, schema).select(*back, *results)
