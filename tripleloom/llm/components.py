@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import stored
+from .batches import discard, stored
 
 
 def _with_least(sided: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every id in ``edges`` (columns u, v) that is not the smallest of its component.
 
-    Every round is written to the shared folder; rounds grow with the logarithm of the longest chain. The least
+    Every round is written to the shared folder, in place of the one before; rounds grow with the logarithm of the longest chain. The least
     neighbour is an aggregate that combines before the shuffle, and each edge meets it in an ordinary join, so a node
     with very many edges is not gathered anywhere. Self links and repeated edges do no harm; no edges give no rows.
     """
@@ -40,4 +40,5 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if tuple(now) == mark or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = tuple(now)
-        edges = stored(_small_star(_large_star(edges)), label)
+        before, edges = edges, stored(_small_star(_large_star(edges)), label)
+        discard(before)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, UPPER, hashes, mixed, plain, rolled, ship, shuffle_parts, slices, stored, words_of
+from .batches import NO_ID, UPPER, discard, hashes, mixed, plain, rolled, ship, shuffle_parts, slices, stored, words_of
 from .near_dup import confirmed
 
 PERMUTATIONS = 64
@@ -225,12 +225,13 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 
 def _similarity(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Per row id and fingerprint; and (node, root) of the classes, without nodes that are their own root."""
+    """Per row id, fingerprint and what :func:`confirmed` wants; and (node, root) of the classes, without nodes that are
+    their own root."""
     ship(docs.sparkSession)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.translate("text", UPPER, UPPER.lower()).alias("text"))
     schema = "id long, n long, d1 long, d2 long, bands array<long>, fingerprint string"
     signed = stored(source.mapInArrow(lambda batches: _signed(batches, words), schema), "fingerprints")
-    return signed.select("id", "fingerprint"), confirmed(docs.select("doc_id", "text"), signed.drop("fingerprint"), words, percent)
+    return signed, confirmed(docs.select("doc_id", "text"), signed.drop("fingerprint"), words, percent)
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -243,7 +244,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) ->
     """
     # Rows that share an id are one node and get one class; each keeps its own fingerprint.
     rows, roots = _similarity(docs, words, percent)
-    return _classed(rows, "id", roots).select(_given("id").alias("doc_id"), "fingerprint", "class_id")
+    return _classed(rows.select("id", "fingerprint"), "id", roots).select(_given("id").alias("doc_id"), "fingerprint", "class_id")
 
 
 def _given(column: str) -> Column:
@@ -258,6 +259,7 @@ def _classed(rows: DataFrame, node: str, roots: DataFrame) -> DataFrame:
 
 def fingerprints_and_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """:func:`edited_fingerprints` with the class_id of :func:`similar_documents`, one row for each of ``docs``."""
-    _, roots = _similarity(docs, words, percent)
+    signed, roots = _similarity(docs, words, percent)
+    discard(signed)
     found = edited_fingerprints(docs, words).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
     return _classed(found, "_id", roots).drop("_id")

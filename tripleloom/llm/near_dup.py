@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, hashes, ids_of, mixed, plain, rolled, ship, shuffle_parts, slices, stored, words_of
+from .batches import NO_ID, discard, hashes, ids_of, mixed, plain, rolled, ship, shuffle_parts, slices, stored, words_of
 from .components import components
 
 BINS, ROWS = 128, 4
@@ -286,7 +286,11 @@ def confirmed(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> D
     if not spans.isEmpty():
         links = links.union(_rest_of_large_stars(spans, links, texts, words, percent).where("linked"))
     copies = classed.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    return components(links.select("u", "v").union(copies), "near-components")
+    edges = stored(links.select("u", "v").union(copies), "near-edges")
+    discard(classed, pairs, texts, found)
+    roots = components(edges, "near-components")
+    discard(edges)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
