@@ -202,7 +202,7 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return made.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
-def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], words: int, printed: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = signatures(plain(batch.column("text")), words)
         bands = PERMUTATIONS // ROWS
@@ -218,19 +218,19 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             [
                 batch.column("id"), pa.array((~empty).astype(np.int64)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
                 pa.array([[] if e else row for e, row in zip(empty.tolist(), keys.view(np.int64))], pa.list_(pa.int64())),
-                pa.array(_hex(rows), pa.string()),
+                *([pa.array(_hex(rows), pa.string())] if printed else []),
             ],
-            ["id", "n", "d1", "d2", "bands", "fingerprint"],
+            ["id", "n", "d1", "d2", "bands", *(["fingerprint"] if printed else [])],
         )
 
 
-def _similarity(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Per row id, fingerprint and what :func:`confirmed` wants; and (node, root) of the classes, without nodes that are
-    their own root."""
+def _similarity(docs: DataFrame, words: int, percent: int, printed: bool) -> tuple[DataFrame, DataFrame]:
+    """Per row id and what :func:`confirmed` wants, with fingerprints if ``printed``; and (node, root) of the classes,
+    without nodes that are their own root."""
     ship(docs.sparkSession)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.translate("text", UPPER, UPPER.lower()).alias("text"))
-    schema = "id long, n long, d1 long, d2 long, bands array<long>, fingerprint string"
-    signed = stored(source.mapInArrow(lambda batches: _signed(batches, words), schema), "fingerprints")
+    schema = "id long, n long, d1 long, d2 long, bands array<long>" + (", fingerprint string" if printed else "")
+    signed = stored(source.mapInArrow(lambda batches: _signed(batches, words, printed), schema), "fingerprints")
     return signed, confirmed(docs.select("doc_id", "text"), signed.drop("fingerprint"), words, percent)
 
 
@@ -243,7 +243,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) ->
     are candidates of each other too. Nulls, empty texts and repeated ids are taken as by near_duplicates.
     """
     # Rows that share an id are one node and get one class; each keeps its own fingerprint.
-    rows, roots = _similarity(docs, words, percent)
+    rows, roots = _similarity(docs, words, percent, True)
     return _classed(rows.select("id", "fingerprint"), "id", roots).select(_given("id").alias("doc_id"), "fingerprint", "class_id")
 
 
@@ -259,7 +259,7 @@ def _classed(rows: DataFrame, node: str, roots: DataFrame) -> DataFrame:
 
 def fingerprints_and_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """:func:`edited_fingerprints` with the class_id of :func:`similar_documents`, one row for each of ``docs``."""
-    signed, roots = _similarity(docs, words, percent)
+    signed, roots = _similarity(docs, words, percent, False)
     discard(signed)
     found = edited_fingerprints(docs, words).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
     return _classed(found, "_id", roots).drop("_id")
