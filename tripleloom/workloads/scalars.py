@@ -159,18 +159,18 @@ def lexical_form_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             "day": F.to_date("ts"),
             "flag": F.col("event_type") == "error",
             "money": F.col("value").cast("decimal(12,3)"),
-            "small": F.col("user_id").cast("smallint"),
+            "small": F.col("user_id").try_cast("smallint"),
             "bytes": F.col("event_type").cast("binary"),
         }
     )
     types = {field.name: field.dataType for field in events.schema.fields}
-    return events.select(
-        "event_id",
-        *[
-            lexical_form(F.col(name), types[name]).alias(f"{name}_text")
-            for name in ("ts", "day", "flag", "value", "money", "small", "bytes", "event_type")
-        ],
-    )
+    forms = {
+        name: lexical_form(F.col(name), types[name])
+        for name in ("ts", "day", "flag", "value", "money", "small", "bytes", "event_type")
+    }
+    # A user beyond the small type keeps the text of its own type.
+    forms["small"] = F.coalesce(forms["small"], lexical_form(F.col("user_id"), types["user_id"]))
+    return events.select("event_id", *[form.alias(f"{name}_text") for name, form in forms.items()])
 
 
 def iri_label_query(spark: SparkSession, sf_dir: str) -> DataFrame:
