@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import iri_template, lexical_by_datatype, lexical_form, may_lack_form
 from ..plans import MappingPlan, TripleRule, template_key
+from ..session import spread
 from ..vocab import TRIPLE_COLUMNS
 
 # Values of these types never hold a character that an IRI would have to escape.
@@ -226,13 +227,17 @@ def materialize_all(parts: Iterable[tuple[DataFrame, MappingPlan, str]], shape:
 #: What a merged mapping says of a rule; ``at`` and ``key`` are places among the row's texts.
 _MERGED = "graph string, key int, subject string, p string, at int, template string, o_type string, o_datatype string"
 
+#: From this many rules on, a row makes so much more than it holds that rows are dealt anew before they meet them.
+MANY_RULES = 64
+
 
 def materialize_many(df: DataFrame, jobs: Sequence[tuple[MappingPlan, str]]) -> DataFrame:
     """Triples of one table under many mappings, each with its graph, in one scan.
 
     Equal to the union of :func:`materialize` over the jobs. The rules of all mappings are one constant list that every
     row meets; each column is turned into text, and encoded for IRIs, once a row, however many rules use it. So the
-    plan has one expression a column, and a thousand mappings are no larger a program than one.
+    plan has one expression a column, and a thousand mappings are no larger a program than one. From ``MANY_RULES`` rules
+    on, rows are dealt anew first, as texts: what one task reads of a small file would make too much in it.
     """
     jobs = [(plan, graph) for plan, graph in jobs if plan.rules]
     if not jobs:
@@ -261,6 +266,8 @@ def materialize_many(df: DataFrame, jobs: Sequence[tuple[MappingPlan, str]]) ->
     ]
     held = F.array(*[whole.iri("{value}", name) if in_iri else whole.literal(name, datatype) for name, in_iri, datatype in forms])
     rows = df.select(*[_column(name) for name in used]).select(held.alias("_texts"))
+    if len(rules) >= MANY_RULES:
+        rows = spread(rows)
     stated = rows.select("_texts", F.explode(F.from_json(F.lit(json.dumps(rules)), f"array<struct<{_MERGED}>>")).alias("_rule"))
     rule = {name: F.col(f"_rule.{name}") for name in ("graph", "key", "subject", "p", "at", "template", "o_type", "o_datatype")}
     key, value = F.get("_texts", rule["key"]), F.get("_texts", rule["at"])

@@ -42,6 +42,17 @@ def shuffle_partitions_for(shuffled_bytes: int, cores: int, target_bytes: int =
     return max(cores, -(-shuffled_bytes // target_bytes))
 
 
+def spread(frame: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt anew to as many tasks as a shuffle has, evenly or by the hash of columns.
+
+    For small files whose rows cost or make much: a file is read in as few tasks as its bytes need, and a Parquet row
+    group in one.
+    """
+    spark = frame.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return frame.repartition(tasks, *by)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
