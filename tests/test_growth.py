@@ -6,7 +6,7 @@ import pytest
 from oracle import connect, differences
 from pyspark.sql import functions as F
 
-from tripleloom.workloads import ALL
+from tripleloom.workloads import ALL, documents
 
 SF_DIR = Path("/root/testdata/sf0.001")
 
@@ -30,3 +30,17 @@ def with_table(spark, tmp_path):
 def test_lexical_form_of_users_beyond_the_small_type(spark, with_table):
     sf_dir = with_table("events", lambda events: events.withColumn("user_id", F.col("user_id") * 70_000).coalesce(1))
     assert not differences(ALL["lexical_form"], spark, connect(sf_dir), sf_dir)
+
+
+def test_rows_of_a_small_file_meet_many_rules_in_many_tasks(spark):
+    made = ALL["materialize_many"].run(spark, str(SF_DIR))
+    tasks = made.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    counts = [row["count"] for row in tasks]
+    assert len(counts) == 4 and max(counts) < sum(counts) / 2
+
+
+def test_documents_are_written_in_many_tasks_and_once(spark):
+    tasks = documents.specs(spark, str(SF_DIR)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == 4
+    found = documents.projections(spark, str(SF_DIR))
+    assert "collect_set" not in found._jdf.queryExecution().toString()

@@ -26,7 +26,7 @@ from .data import Query, case, table
 
 
 def plan(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
-    projections = mapping_projections(documents.corpus(spark, sf_dir))
+    projections = mapping_projections(documents.stored_corpus(spark, sf_dir))
     return projection_plan(projections, documents.known_classes(spark, sf_dir), ids)
 
 

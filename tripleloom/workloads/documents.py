@@ -28,6 +28,7 @@ from ..operators.validate import (
     validate_specs,
     validation_summary,
 )
+from ..session import spread, stored
 from ..vocab import CSV_FORMULATION, DPA, OWL_CLASS, RDF_TYPE, RDFS_COMMENT, RML, RR, XSD
 from .data import Query, case, table
 
@@ -43,6 +44,11 @@ def schemes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCHEME_ROWS, "scheme_id string, label string, template string")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts in all tasks: a part is a few bytes in the file, and a whole document to write and to read."""
+    return spread(table(spark, sf_dir, "part"), "p_partkey")
+
+
 def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -100,7 +106,7 @@ def specs(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
             datatype="xsd:decimal",
         ),
     )
-    return table(spark, sf_dir, "part").select(
+    return parts(spark, sf_dir).select(
         F.concat(F.lit("mapping-unity-"), F.lower("p_type"), F.lit("-part."), key).alias("mapping_id"),
         ontology.alias("ontology"),
         profile.alias("profile"),
@@ -186,9 +192,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_of(render(spark, sf_dir))
 
 
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For questions that read the documents more than once: they are rendered once."""
+    return stored(corpus(spark, sf_dir), "corpus")
+
+
 def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part declares its type as a prefix; the last part of a type decides what it means."""
-    documents = table(spark, sf_dir, "part").select(
+    documents = parts(spark, sf_dir).select(
         F.col("p_partkey").alias("doc_id"),
         F.col("p_partkey").alias("doc_order"),
         F.concat(
@@ -216,7 +227,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ontology document per part: its type and its brand as classes, again and again."""
-    documents = table(spark, sf_dir, "part").select(
+    documents = parts(spark, sf_dir).select(
         F.col("p_partkey").alias("doc_id"),
         F.col("p_partkey").alias("doc_order"),
         F.concat(
@@ -291,7 +302,7 @@ FROM c
 
 
 def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping_projections(corpus(spark, sf_dir)).select(
+    return mapping_projections(stored_corpus(spark, sf_dir)).select(
         "mapping_id",
         "full_name",
         "class_iri",
@@ -317,7 +328,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mistakes of declarations, and expert documents of which some are blank."""
-    documents = table(spark, sf_dir, "part").select(
+    documents = parts(spark, sf_dir).select(
         F.concat(F.lit("doc-"), _text("p_partkey")).alias("mapping_id"),
         case("p_partkey", {0: F.lit(" \t\n"), 1: F.lit(None).cast("string")}, F.col("p_name"), 31).alias("rml"),
     )
@@ -357,7 +368,7 @@ def known_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classes_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unknown_classes(mapping_projections(corpus(spark, sf_dir)), known_classes(spark, sf_dir))
+    return unknown_classes(mapping_projections(stored_corpus(spark, sf_dir)), known_classes(spark, sf_dir))
 
 
 _KNOWN = f"('{DPA}SMALL', '{DPA}PROMO', '{DPA}ECONOMY')"
@@ -389,7 +400,7 @@ def written_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", {0: F.lit("")}, F.concat(F.lit('    dpa:unityCatalogStorageLocation "s3://hand/'), key, F.lit('" ;\n')), 8
     )
     map_class = case("p_partkey", {0: F.lit("")}, F.concat(F.lit("    rr:class dpa:"), F.col("p_type"), F.lit(" ]")), 9)
-    return table(spark, sf_dir, "part").select(
+    return parts(spark, sf_dir).select(
         F.concat(F.lit("hand-"), key).alias("doc_id"),
         F.concat(F.lit("hand-"), key).alias("doc_order"),
         F.concat(
@@ -508,12 +519,12 @@ def expert_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         named("\\U0001F600"),
         5,
     )
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("m-"), key).alias("doc_id"), F.concat(F.lit("m-"), key).alias("doc_order"), text.alias("text"))
+    return parts(spark, sf_dir).select(F.concat(F.lit("m-"), key).alias("doc_id"), F.concat(F.lit("m-"), key).alias("doc_order"), text.alias("text"))
 
 
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the sound documents say with a name or a text, without the blank nodes between."""
-    corpus = expert_corpus(spark, sf_dir)
+    corpus = stored(expert_corpus(spark, sf_dir), "corpus")
     rejected = rejected_documents(corpus).select(F.col("mapping_id").alias("doc_id")).distinct()
     sound = corpus.join(rejected, "doc_id", "left_anti")
     return document_triples(sound, "g").where(F.col("o_type") != "bnode").groupBy("p", "o", "o_type", "o_datatype").agg(F.count("*").alias("n"))
