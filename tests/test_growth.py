@@ -6,6 +6,8 @@ import pytest
 from oracle import connect, differences
 from pyspark.sql import functions as F
 
+from tripleloom.sources import buckets
+from tripleloom.sources.buckets import BucketedStore, buckets_for
 from tripleloom.workloads import ALL, documents
 
 SF_DIR = Path("/root/testdata/sf0.001")
@@ -44,3 +46,19 @@ def test_documents_are_written_in_many_tasks_and_once(spark):
     assert len(tasks) == 4
     found = documents.projections(spark, str(SF_DIR))
     assert "collect_set" not in found._jdf.queryExecution().toString()
+
+
+def test_buckets_grow_with_the_graph():
+    assert buckets_for(0) == 4 and buckets_for(1_000_001) == 5 and buckets_for(144_000_000) == 576
+
+
+def test_sink_sets_the_session_of_the_batch(spark, monkeypatch):
+    other = spark.newSession()
+    seen = []
+    original = buckets._by_subject
+    monkeypatch.setattr(buckets, "_by_subject", lambda session: seen.append(session) or original(session))
+    store = object.__new__(BucketedStore)
+    store.spark, store.table = spark, "none"
+    with pytest.raises(Exception):
+        store._write(other.createDataFrame([], "graph string, s string, p string, o string, o_type string, o_datatype string, o_lang string"), "no_such_table")
+    assert len(seen) == 1 and seen[0]._jsparkSession.equals(other._jsparkSession)

@@ -32,6 +32,14 @@ def _by_subject(spark: SparkSession) -> Iterator[None]:
     finally:
         spark.conf.set(name, before)
 
+#: Triples in a bucket that a task sorts and compares in a few hundred MB.
+TRIPLES_PER_BUCKET = 250_000
+
+
+def buckets_for(triples: int, least: int = 4) -> int:
+    """Buckets of a store whose largest graph has about so many triples."""
+    return max(least, -(-triples // TRIPLES_PER_BUCKET))
+
 
 class BucketedStore:
     """Named graphs below ``path``, each a set of triples in ``buckets`` buckets of subjects.
@@ -93,7 +101,8 @@ class BucketedStore:
         return left.alias("l").join(right.hint("merge").alias("r"), same, "left_anti").select(*TRIPLE_COLUMNS)
 
     def _write(self, triples: DataFrame, table: str) -> None:
-        with _by_subject(self.spark):
+        # A batch of a stream has a session of its own, and its settings are those that count.
+        with _by_subject(triples.sparkSession):
             triples.select(*_STORED).write.mode("append").insertInto(table)
         self.spark.catalog.refreshTable(table)
 

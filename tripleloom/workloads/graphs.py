@@ -46,9 +46,9 @@ from ..operators.stars import bgp_star, characteristic_sets
 from ..operators.updates import insert_into, update_graphs, update_where
 from ..session import scratch_path
 from ..sources import publish_graphs, read_graphs
-from ..sources.buckets import BucketedStore
+from ..sources.buckets import BucketedStore, buckets_for
 from ..vocab import DPA, RDF_TYPE, XSD
-from .data import GRAPH, RESOURCE, Query, graph_iri, table, triples, with_triples
+from .data import GRAPH, RESOURCE, Query, graph_iri, plan, table, triples, with_triples
 
 PEOPLE = ("region", "nation", "customer")
 ALL_TABLES = (*PEOPLE, "orders")
@@ -322,7 +322,8 @@ def stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucketed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store in buckets of subjects: published, added to twice with the same, and negative balances taken away."""
     graph = people(spark, sf_dir)
-    store = BucketedStore(spark, scratch_path(spark, "buckets"), 4)
+    largest = table(spark, sf_dir, "customer").count() * len(plan("customer").rules)
+    store = BucketedStore(spark, scratch_path(spark, "buckets"), buckets_for(largest))
     store.publish(graph)
     names = triple_pattern(graph, Pattern("?s", DPA + "name", "?o", graph=graph_iri("nation")))
     renamed = names.withColumn("o", F.concat(F.lit("The "), F.col("o")))
