@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..operators.materialize import materialize
 from ..plans import MappingPlan
+from ..session import spread
 from ..sources.buckets import BucketedStore
 
 
@@ -39,7 +40,8 @@ class GraphSink:
         late = F.lit(False) if limit is None else F.coalesce(stamp < F.lit(limit), F.lit(False))
         kept = batch.where(late).withColumns({"missed": F.lit(limit).cast("timestamp"), "batch_id": F.lit(batch_id).cast("long")})
         self._replace(kept, self.late_path, batch_id)
-        self.store.insert(materialize(batch.where(~late), self.plan, self.graph))
+        # A batch may be one file, and a row makes several triples.
+        self.store.insert(materialize(spread(batch.where(~late)), self.plan, self.graph))
 
     @staticmethod
     def _replace(rows: DataFrame, path: str, batch_id: int) -> None:

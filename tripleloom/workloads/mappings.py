@@ -25,7 +25,7 @@ from ..operators.rml_rules import plan_batches, plans_from_rml
 from ..operators.turtle import corpus_of
 from ..plans import plan_mapping
 from ..session import scratch_path, stored
-from ..sources.buckets import BucketedStore
+from ..sources.buckets import BucketedStore, buckets_for
 from ..streaming import GraphSink, distinct_stream, materialize_stream, read_table_stream, run_available, run_into_graph
 from ..vocab import DPA, RDF_TYPE, XSD
 from . import lifecycle
@@ -272,14 +272,15 @@ def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
     for i in range(_FILES):
         begins, until = F.lit(ends.a + i * width), F.lit(ends.a + (i + 1) * width)
         within = (arrives >= begins) & ((arrives < until) if i + 1 < _FILES else F.lit(True))
-        events.where(within).coalesce(1).write.mode("append").parquet(f"{folder}/{i}")
+        events.where(within).repartition(1).write.mode("append").parquet(f"{folder}/{i}")
     return f"{folder}/*", events.schema
 
 
 def _streamed(spark: SparkSession, sf_dir: str, times: int) -> tuple[GraphSink, T.StructType]:
     path, schema = _arriving(spark, sf_dir)
     state = scratch_path(spark, "sink")
-    store = BucketedStore(spark, f"{state}/graphs", 4)
+    made = table(spark, sf_dir, "events").count() * len(plan("events").rules)
+    store = BucketedStore(spark, f"{state}/graphs", buckets_for(made))
     sink = GraphSink(store, plan("events"), graph_iri("events"), "ts", _DELAY, state)
     for _ in range(times):
         rows = read_table_stream(spark, path, schema, files_per_batch=1)
