@@ -62,3 +62,15 @@ def test_sink_sets_the_session_of_the_batch(spark, monkeypatch):
     with pytest.raises(Exception):
         store._write(other.createDataFrame([], "graph string, s string, p string, o string, o_type string, o_datatype string, o_lang string"), "no_such_table")
     assert len(seen) == 1 and seen[0]._jsparkSession.equals(other._jsparkSession)
+
+
+def test_published_rows_are_dealt_before_they_become_a_set(spark, tmp_path, monkeypatch):
+    from tripleloom.workloads import tables
+
+    tasks = []
+    original = tables.publish_graphs
+    counted = lambda made, path: tasks.append(made.select(F.spark_partition_id()).distinct().count()) or original(made, path)
+    monkeypatch.setattr(tables, "publish_graphs", counted)
+    tables.publish_graph(spark, str(SF_DIR))
+    # Two small tables of one task each, and customers in four.
+    assert tasks[0] == 6 and tasks[1] == 4

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..model import Mapper, MappingSpec
 from ..operators.materialize import materialize_all
 from ..plans import MappingPlan, plan_mapping
+from ..session import spread
 from ..vocab import DPA, RDF_TYPE, XSD
 
 
@@ -88,6 +89,10 @@ def _declare() -> dict[str, MappingSpec]:
 SPECS = _declare()
 
 
+#: Tables of a few rows at any size of the others.
+SMALL = ("region", "nation")
+
+
 def plan(name: str) -> MappingPlan:
     return plan_mapping(SPECS[name], SCHEMES)
 
@@ -96,10 +101,14 @@ def graph_iri(name: str) -> str:
     return GRAPH + name
 
 
-def triples(spark: SparkSession, sf_dir: str, *names: str, shape: str = "branches") -> DataFrame:
-    return materialize_all(
-        [(table(spark, sf_dir, name), plan(name), graph_iri(name)) for name in names], shape=shape
-    )
+def triples(spark: SparkSession, sf_dir: str, *names: str, shape: str = "branches", dealt: bool = False) -> DataFrame:
+    """Triples of the named tables. ``dealt``: of rows in all tasks, for what holds the triples a task makes, as a set does."""
+
+    def rows(name: str) -> DataFrame:
+        found = table(spark, sf_dir, name)
+        return spread(found, plan(name).subject_column) if dealt and name not in SMALL else found
+
+    return materialize_all([(rows(name), plan(name), graph_iri(name)) for name in names], shape=shape)
 
 
 # -- the same triples in SQL ---------------------------------------------------------------------

@@ -306,7 +306,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same kinds of change in a store; the graph of regions is emptied, that of nations grows."""
     path = scratch_path(spark, "store")
-    publish_graphs(people(spark, sf_dir), path)
+    publish_graphs(triples(spark, sf_dir, *PEOPLE, dealt=True), path)
 
     def change(touched: DataFrame) -> DataFrame:
         kept = clear_graph(touched, graph_iri("region"))
@@ -336,7 +336,7 @@ def bucketed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def foreign_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An update of the graph of regions that also writes to that of nations, which keeps what it has."""
     path = scratch_path(spark, "store")
-    publish_graphs(people(spark, sf_dir), path)
+    publish_graphs(triples(spark, sf_dir, *PEOPLE, dealt=True), path)
 
     def change(touched: DataFrame) -> DataFrame:
         names = triple_pattern(touched, Pattern("?s", DPA + "name", "?o"))
@@ -349,7 +349,7 @@ def foreign_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pattern_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances of customers become worths, where the nation is known; all else stays."""
     path = scratch_path(spark, "store")
-    publish_graphs(people(spark, sf_dir), path)
+    publish_graphs(triples(spark, sf_dir, *PEOPLE, dealt=True), path)
     update_where(
         spark,
         path,

@@ -166,8 +166,8 @@ FROM supplier GROUP BY s_nationkey
 def publish_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publish, then replace one graph; the others keep their triples."""
     path = scratch_path(spark, "graphs")
-    publish_graphs(triples(spark, sf_dir, "region", "nation", "customer", shape="rows"), path)
-    smaller = triples(spark, sf_dir, "customer", shape="rows").where(F.col("p") == DPA + "name")
+    publish_graphs(triples(spark, sf_dir, "region", "nation", "customer", shape="rows", dealt=True), path)
+    smaller = triples(spark, sf_dir, "customer", shape="rows", dealt=True).where(F.col("p") == DPA + "name")
     publish_graphs(smaller, path)
     publish_graphs(smaller.limit(0), path)
     return read_graphs(spark, path)
@@ -175,7 +175,7 @@ def publish_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "graphs")
-    publish_graphs(triples(spark, sf_dir, "nation", "customer", "orders", shape="rows"), path)
+    publish_graphs(triples(spark, sf_dir, "nation", "customer", "orders", shape="rows", dealt=True), path)
     return read_graphs(spark, path, graph_iri("customer"))
 
 
