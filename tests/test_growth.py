@@ -74,3 +74,13 @@ def test_published_rows_are_dealt_before_they_become_a_set(spark, tmp_path, monk
     tables.publish_graph(spark, str(SF_DIR))
     # Two small tables of one task each, and customers in four.
     assert tasks[0] == 6 and tasks[1] == 4
+
+
+def test_characteristic_sets_of_a_star_are_counted_once(spark, monkeypatch):
+    from tripleloom.operators import stars
+
+    kept = []
+    original = stars.stored
+    monkeypatch.setattr(stars, "stored", lambda frame, label: kept.append(label) or original(frame, label))
+    ALL["bgp_star_bag"].run(spark, str(SF_DIR))
+    assert kept == ["characteristic-sets"]

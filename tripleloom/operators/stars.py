@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .graph import Pattern, _is_variable, _kind, _matches, _object_kind, bindings
 
 #: Objects of one subject and predicate that may be held in one row; predicates with more are joined instead.
@@ -91,7 +92,8 @@ def bgp_star(
 
     fixed = sorted({p.p for p in patterns if not _is_variable(p.p)})
     if sets is None:
-        sets = characteristic_sets(triples.where(F.col("p").isin(fixed)))
+        # Read twice below, and counted in one pass over the triples.
+        sets = stored(characteristic_sets(triples.where(F.col("p").isin(fixed))), "characteristic-sets")
     most = sets.agg(F.lit(0).alias("_"), *[F.max(_cell("most", p)).alias(f"most_{i}") for i, p in enumerate(fixed)]).first()
     crowded = {p for i, p in enumerate(fixed) if (most[f"most_{i}"] or 0) > objects_per_row}
 
