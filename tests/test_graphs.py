@@ -275,6 +275,38 @@ def test_path_components_compare_no_rounds(spark, monkeypatch):
     assert of_pairs and all("Join" not in text for text in of_pairs)
 
 
+def test_path_components_number_nodes_without_joins(spark, monkeypatch):
+    """Edges meet no table of nodes, and nodes that no edge leads to are in no table of levels."""
+    plans = {}
+
+    def watched(frame, label):
+        plans.setdefault(label, []).append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return stored(frame, label)
+
+    monkeypatch.setattr(condensation, "stored", watched)
+    edges = spark.createDataFrame([(f"o{i}", f"c{i % 3}") for i in range(9)] + [("c0", "n"), ("n", "c0")], "source string, target string")
+    assert condensation.path_components(edges).count() == 10
+    assert all("Join" not in text for text in plans["edges"]) and all("Sort" not in text for text in plans["nodes"])
+    assert condensation._levels(spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "u long, v long")).count() == 2
+
+
+def test_path_components_with_equal_hashes(spark, monkeypatch):
+    """Nodes whose hashes are equal stay apart."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "d"), ("e", "a")], "source string, target string")
+    wanted = sorted(map(tuple, path_components(edges).collect()))
+    monkeypatch.setattr(condensation, "_hashed", lambda values: F.pmod(F.xxhash64(values), F.lit(2)))
+    assert sorted(map(tuple, path_components(edges).collect())) == wanted
+    assert dict(map(tuple, strong_components(edges).collect())) == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+
+
+def test_path_components_of_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(condensation, "PARTS", 2)
+    for length in (3, 5, 6):
+        chain = spark.createDataFrame([(i, i + 1) for i in range(length)], "source int, target long")
+        found = sorted(map(tuple, path_components(chain).collect()))
+        assert found == [(a, 1, b, 1) for a in range(length + 1) for b in range(a + 1, length + 1)]
+
+
 def test_store(spark, tmp_path):
     path = str(tmp_path / "store")
     first = graph(spark, [("a", "p", "b", "uri", None, None)])

@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
 
 
+#: Frames in one union; pairs of further levels go to a folder.
+PARTS = 64
+
+
+def _hashed(values: Column) -> Column:
+    return F.xxhash64(values)
+
+
 def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes ``(node, id)`` with ids in the order of the nodes, and the edges ``(u, v)`` between ids, each once."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    # A sorted table's parts follow one another, so numbers that grow with part and place keep its order.
-    nodes = stored(ends.orderBy("node").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    """Nodes ``(node, id)`` and the edges ``(u, v)`` between ids, each once.
+
+    An id is the hash of its node, so edges meet no table of nodes. If two nodes have one hash, all are counted instead.
+    """
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node"))
+    kind = ends.schema["node"].dataType
+    plain = edges.select(F.col("source").cast(kind).alias("source"), F.col("target").cast(kind).alias("target"))
+    nodes = stored(ends.distinct().withColumn("id", _hashed(F.col("node"))), "nodes")
+    if nodes.groupBy("id").count().where("count > 1").isEmpty():
+        return nodes, stored(plain.select(_hashed(F.col("source")).alias("u"), _hashed(F.col("target")).alias("v")).distinct(), "edges")
+    nodes = stored(nodes.select("node").withColumn("id", F.monotonically_increasing_id()), "nodes")
     of_source = nodes.select(F.col("node").alias("source"), F.col("id").alias("u"))
     of_target = nodes.select(F.col("node").alias("target"), F.col("id").alias("v"))
-    plain = edges.select("source", "target").distinct()
-    return nodes, stored(plain.join(of_source, "source").join(of_target, "target").select("u", "v"), "edges")
+    return nodes, stored(plain.join(of_source, "source").join(of_target, "target").select("u", "v").distinct(), "edges")
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -48,7 +64,7 @@ def _coloured(edges: DataFrame) -> DataFrame:
 
 
 def _component_ids(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` of nodes on cycles; a component is named after its smallest node.
+    """``(node, component)`` of nodes on cycles; a component is named after the smallest id of its nodes.
 
     Forward-backward colouring: every node takes the smallest node that reaches it. Nodes of one colour that lead back to
     the node their colour names are a component; edges between colours lie on no cycle. What is left begins anew.
@@ -84,30 +100,30 @@ def strong_components(edges: DataFrame) -> DataFrame:
     A node on no cycle is a component of its own. Nulls are no nodes. Rounds grow with the longest way within a colour.
     """
     nodes, links = _numbered(edges.dropna(subset=["source", "target"]))
-    names = nodes.select(F.col("id").alias("component_id"), F.col("node").alias("component"))
-    return _placed(nodes, links).join(names, "component_id").select("node", "component")
-
-
-def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``(id, node, component_id)``."""
-    cyclic = _component_ids(links).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
-    return stored(nodes.join(cyclic, "id", "left").select("id", "node", F.coalesce("component_id", "id").alias("component_id")), "components")
-
-
-def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, level)`` in an acyclic graph: the longest way that ends in each node. Every round drops what it settles."""
-    settled = []
-    level = 0
-    while not nodes.isEmpty():
-        entered = edges.select(F.col("v").alias("id")).distinct()
-        settled.append(stored(nodes.join(entered, "id", "left_anti").withColumn("level", F.lit(level)), "levels"))
-        nodes = stored(nodes.join(entered, "id", "left_semi"), "levels-open")
-        edges = stored(edges.join(entered.withColumnRenamed("id", "u"), "u", "left_semi"), "levels-edges")
-        level += 1
-    found = settled[0]
-    for part in settled[1:]:
-        found = found.unionByName(part)
-    return found
+    cyclic = _cyclic(links)
+    names = nodes.join(cyclic, "id").groupBy("component_id").agg(F.min("node").alias("component"))
+    named = cyclic.join(names, "component_id").select("id", "component")
+    return nodes.join(named, "id", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _cyclic(links: DataFrame) -> DataFrame:
+    """``(id, component_id)`` of nodes on cycles."""
+    return stored(_component_ids(links).select(F.col("node").alias("id"), F.col("component").alias("component_id")), "components")
+
+
+def _levels(edges: DataFrame) -> DataFrame:
+    """``(id, level)`` of the nodes of an acyclic graph that an edge leads to: the longest way that ends in each."""
+    levels = None
+    entered, level = stored(edges.select(F.col("v").alias("id")).distinct(), "levels-open"), 1
+    while not entered.isEmpty():
+        edges = stored(edges.join(entered.withColumnRenamed("id", "u"), "u", "left_semi").select("u", "v"), "levels-edges")
+        further = stored(edges.select(F.col("v").alias("id")).distinct(), "levels-open")
+        settled = entered.join(further, "id", "left_anti").withColumn("level", F.lit(level))
+        levels = settled if levels is None else levels.unionByName(settled)
+        if level % PARTS == 0:
+            levels = stored(levels, "levels")
+        entered, level = further, level + 1
+    return entered.withColumn("level", F.lit(0)) if levels is None else levels
 
 
 def _swept(spark: SparkSession, edges: DataFrame, levels: DataFrame) -> DataFrame:
@@ -117,18 +133,28 @@ def _swept(spark: SparkSession, edges: DataFrame, levels: DataFrame) -> DataFram
     distinct once, extended once, and no pair is ever compared with pairs of other rounds.
     """
     top = levels.agg(F.max("level").alias("top")).first().top or 0
-    aimed = stored(edges.join(levels.withColumnRenamed("id", "v"), "v").select("u", "v", "level"), "edges-levelled")
-    open_pairs, done = scratch_path(spark, "pairs-open"), scratch_path(spark, "pairs")
-    aimed.select(F.col("u").alias("start"), "v", "level").write.partitionBy("level").parquet(open_pairs)
     schema, out = "start long, v long, level int", "start long, v long"
+    if not top:
+        return spark.createDataFrame([], out)
+    aimed_path, open_pairs, done = (scratch_path(spark, label) for label in ("edges-levelled", "pairs-open", "pairs"))
+    edges.join(levels.withColumnRenamed("id", "v"), "v").select("u", "v", "level").write.partitionBy("level").parquet(aimed_path)
+    aimed = spark.read.schema("u long, v long, level int").parquet(aimed_path)
+    parts: list[DataFrame] = []
     for level in range(1, top + 1):
-        here = spark.read.schema(schema).parquet(open_pairs).where(F.col("level") == level).select("start", "v").distinct()
-        here = stored(here, "pairs-level")
-        here.write.mode("append").parquet(done)
+        here = aimed.where(F.col("level") == level).select(F.col("u").alias("start"), "v")
+        if level > 1:
+            # Only pairs of lower levels are extended, so the first level's are edges and nothing else.
+            longer = spark.read.schema(schema).parquet(open_pairs).where(F.col("level") == level).select("start", "v")
+            here = stored(here.unionByName(longer).distinct(), "pairs-level")
+        parts.append(here)
         if level < top:
-            further = here.select("start", F.col("v").alias("u")).join(aimed, "u").select("start", "v", "level")
+            further = here.select("start", F.col("v").alias("u")).join(aimed.where(F.col("level") > level), "u").select("start", "v", "level")
             further.write.mode("append").partitionBy("level").parquet(open_pairs)
-    return spark.read.schema(out).parquet(done) if top else spark.createDataFrame([], out)
+        if len(parts) == PARTS:
+            reduce(DataFrame.unionByName, parts).write.mode("append").parquet(done)
+            parts = []
+    held = [spark.read.schema(out).parquet(done)] if top >= PARTS else []
+    return reduce(DataFrame.unionByName, held + parts)
 
 
 def path_components(edges: DataFrame) -> DataFrame:
@@ -140,16 +166,18 @@ def path_components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     nodes, links = _numbered(edges.dropna(subset=["source", "target"]))
-    placed = _placed(nodes, links)
-    if placed.isEmpty():
+    if nodes.isEmpty():
         return spark.createDataFrame([], f"component {edges.schema['source'].dataType.simpleString()}, members long, reached {edges.schema['source'].dataType.simpleString()}, reached_members long")
-    sizes = stored(placed.groupBy("component_id").agg(F.count("*").alias("members"), F.min("node").alias("component")), "component-sizes")
-    member = placed.select("id", "component_id")
-    between = links.join(member.select(F.col("id").alias("u"), F.col("component_id").alias("cu")), "u")
-    between = between.join(member.select(F.col("id").alias("v"), F.col("component_id").alias("cv")), "v")
-    between = stored(between.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "component-edges")
+    cyclic = _cyclic(links)
+    # Most nodes lie on no cycle: they are components as they are, without a shuffle.
+    alone = nodes.join(cyclic, "id", "left_anti").select(F.col("id").alias("component_id"), F.lit(1).cast("long").alias("members"), F.col("node").alias("component"))
+    groups = nodes.join(cyclic, "id").groupBy("component_id").agg(F.count("*").alias("members"), F.min("node").alias("component"))
+    sizes = stored(alone.unionByName(groups), "component-sizes")
+    between = links.join(cyclic.select(F.col("id").alias("u"), F.col("component_id").alias("cu")), "u", "left")
+    between = between.join(cyclic.select(F.col("id").alias("v"), F.col("component_id").alias("cv")), "v", "left")
+    between = stored(between.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).distinct(), "component-edges")
     apart = between.where("u != v")
-    levels = stored(_levels(sizes.select(F.col("component_id").alias("id")), apart), "component-levels")
+    levels = stored(_levels(apart), "component-levels")
     pairs = _swept(spark, apart, levels).unionByName(between.where("u = v").select(F.col("u").alias("start"), "v"))
     one = sizes.select(F.col("component_id").alias("start"), "component", "members")
     two = sizes.select(F.col("component_id").alias("v"), F.col("component").alias("reached"), F.col("members").alias("reached_members"))
