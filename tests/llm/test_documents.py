@@ -14,7 +14,7 @@ from conftest import CLASHING, SF_DIR, by_id
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tripleloom.llm import ppm
+from tripleloom.llm import ppm, tokens
 from tripleloom.llm.decontaminate import blocks_of, decontaminate
 from tripleloom.llm.fingerprints import edited_fingerprints, fingerprints_and_classes, signatures, similar_documents
 from tripleloom.llm.batches import hashes
@@ -187,6 +187,34 @@ def test_pieces_give_the_ids_of_whole_texts(coder, pairs, odd_pairs):
     assert all(ids.flat[a:b].tolist() == [*w.ids, 1] for a, b, w in zip(ids.starts[:-1], ids.starts[1:], whole))
 
 
+def test_pre_tokens_are_encoded_once_and_together(monkeypatch):
+    """New pieces go to the tokenizer as distinct pre-tokens, all in one call, lines included; known ones not again."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        coder, calls = Encoder(public_tokenizers.path(name)), []
+        spelled = coder._spelled
+        monkeypatch.setattr(coder, "_spelled", lambda parts, spelled=spelled, calls=calls: calls.append(parts.to_pylist()) or spelled(parts))
+        monkeypatch.setattr(coder, "_part", lambda part: pytest.fail(part))
+        monkeypatch.setattr(coder, "whole", lambda text: pytest.fail(text))
+        # A piece that opens a text has no space before it where spaces belong to pre-tokens; it goes alone.
+        monkeypatch.setattr(coder, "piece", lambda piece, space="": tuple(coder.tokenizer.encode(space + piece, add_special_tokens=False).ids))
+        texts = ["ab river, river. river", "ab river.\nStone river, stone", "ab stone's river; river.\nStone"]
+        ids = [coder.encode(pa.array([text])).flat.tolist() for text in texts]
+        assert ids == [w.ids for w in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        seen = [part for call in calls for part in call]
+        assert len(seen) == len(set(seen)) and len(calls) == len(texts)
+
+
+def test_full_caches_lose_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        coder = Encoder(public_tokenizers.path(name))
+        texts = [" ".join(f"w{i * j % 13}x, é{j}\nÿ" for j in range(9)) for i in range(6)]
+        for _ in range(2):
+            found = [coder.encode(pa.array([text])).flat.tolist() for text in texts]
+            assert found == [w.ids for w in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(coder.pieces_held.keys) == len(coder.parts_held.keys) == 5
+
+
 def _check_packing(rows, capacity):
     by_sequence = {}
     for r in rows:
