@@ -19,17 +19,18 @@ def _hashed(values: Column) -> Column:
 
 
 def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes ``(node, id)`` and the edges ``(u, v)`` between ids, each once.
+    """Nodes ``(node, entered, id)`` and the edges ``(u, v)`` between ids, each once; ``entered`` if an edge leads to a node.
 
     An id is the hash of its node, so edges meet no table of nodes. If two nodes have one hash, all are counted instead.
     """
-    ends = edges.select(F.explode(F.array("source", "target")).alias("node"))
-    kind = ends.schema["node"].dataType
+    kind = edges.select(F.explode(F.array("source", "target")).alias("node")).schema["node"].dataType
     plain = edges.select(F.col("source").cast(kind).alias("source"), F.col("target").cast(kind).alias("target"))
-    nodes = stored(ends.distinct().withColumn("id", _hashed(F.col("node"))), "nodes")
+    both = [F.struct(F.col(end).alias("node"), F.lit(end == "target").alias("entered")) for end in ("source", "target")]
+    ends = plain.select(F.inline(F.array(*both))).groupBy("node").agg(F.max("entered").alias("entered"))
+    nodes = stored(ends.withColumn("id", _hashed(F.col("node"))), "nodes")
     if nodes.groupBy("id").count().where("count > 1").isEmpty():
         return nodes, stored(plain.select(_hashed(F.col("source")).alias("u"), _hashed(F.col("target")).alias("v")).distinct(), "edges")
-    nodes = stored(nodes.select("node").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    nodes = stored(nodes.drop("id").withColumn("id", F.monotonically_increasing_id()), "nodes")
     of_source = nodes.select(F.col("node").alias("source"), F.col("id").alias("u"))
     of_target = nodes.select(F.col("node").alias("target"), F.col("id").alias("v"))
     return nodes, stored(plain.join(of_source, "source").join(of_target, "target").select("u", "v").distinct(), "edges")
@@ -40,8 +41,9 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     size = edges.count()
     while size:
         entered = edges.select(F.col("v").alias("u")).distinct()
+        edges = stored(edges.join(entered, "u", "left_semi").select("u", "v"), "edges-trimmed")
         left = edges.select(F.col("u").alias("v")).distinct()
-        edges = stored(edges.join(entered, "u", "left_semi").join(left, "v", "left_semi").select("u", "v"), "edges-trimmed")
+        edges = stored(edges.join(left, "v", "left_semi").select("u", "v"), "edges-trimmed")
         before, size = size, edges.count()
         if size == before:
             break
@@ -170,8 +172,8 @@ def path_components(edges: DataFrame) -> DataFrame:
         return spark.createDataFrame([], f"component {edges.schema['source'].dataType.simpleString()}, members long, reached {edges.schema['source'].dataType.simpleString()}, reached_members long")
     cyclic = _cyclic(links)
     # Most nodes lie on no cycle: they are components as they are, without a shuffle.
-    alone = nodes.join(cyclic, "id", "left_anti").select(F.col("id").alias("component_id"), F.lit(1).cast("long").alias("members"), F.col("node").alias("component"))
-    groups = nodes.join(cyclic, "id").groupBy("component_id").agg(F.count("*").alias("members"), F.min("node").alias("component"))
+    alone = nodes.join(cyclic, "id", "left_anti").select(F.col("id").alias("component_id"), F.lit(1).cast("long").alias("members"), F.col("node").alias("component"), "entered")
+    groups = nodes.join(cyclic, "id").groupBy("component_id").agg(F.count("*").alias("members"), F.min("node").alias("component"), F.lit(True).alias("entered"))
     sizes = stored(alone.unionByName(groups), "component-sizes")
     between = links.join(cyclic.select(F.col("id").alias("u"), F.col("component_id").alias("cu")), "u", "left")
     between = between.join(cyclic.select(F.col("id").alias("v"), F.col("component_id").alias("cv")), "v", "left")
@@ -180,5 +182,6 @@ def path_components(edges: DataFrame) -> DataFrame:
     levels = stored(_levels(apart), "component-levels")
     pairs = _swept(spark, apart, levels).unionByName(between.where("u = v").select(F.col("u").alias("start"), "v"))
     one = sizes.select(F.col("component_id").alias("start"), "component", "members")
-    two = sizes.select(F.col("component_id").alias("v"), F.col("component").alias("reached"), F.col("members").alias("reached_members"))
-    return pairs.join(one, "start").join(two, "v").select("component", "members", "reached", "reached_members")
+    two = sizes.where("entered").select(F.col("component_id").alias("v"), F.col("component").alias("reached"), F.col("members").alias("reached_members"))
+    # What many reach is met first, while rows are two numbers; starts are spread evenly.
+    return pairs.join(two, "v").join(one, "start").select("component", "members", "reached", "reached_members")
